@@ -28,8 +28,8 @@ OVERSAMPLING_EXCEPTIONS = ["i'm", "doesn't", "san", "antonio"]
 
 def contains_any(text: Column, keywords: Sequence[str] = KEYWORDS) -> Column:
     """Does the lower-cased text contain any keyword, taken literally?"""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in keywords])
+    # a one-element array binds the lower-cased text, so that it is made once per row
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in keywords]))
 
 
 def words(text: Column, stop_words: Sequence[str], min_len: int = 3) -> Column:

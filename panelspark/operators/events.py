@@ -76,17 +76,20 @@ def user_majority(events: DataFrame, flag: str = "flag") -> DataFrame:
     return out.where(F.col("_f") + F.col("_u") > 0).select("user_id", (F.col("_f") > F.col("_u")).alias("user_flag"))
 
 
-def daily_activity(events: DataFrame, keep_all_days: bool = True, copy_counts: bool = False) -> DataFrame:
-    """Eight daily counts per (region, date), from events with event_id, user_id, region, date, flag and ref_id.
+def daily_activity(
+    events: DataFrame, users: DataFrame | None = None, keep_all_days: bool = True, copy_counts: bool = False
+) -> DataFrame:
+    """Eight daily counts per (region, date), from events with user_id, date, flag and ref_id.
 
     Events are first reduced to (user, region, date), so that neither a very
     active user nor a busy region reaches the later steps row by row; a user's
-    label and first day in a region are windows over that small table.
+    label and first day in a region are windows over that small table. With
+    ``users`` the region is joined after that step, else ``events`` carries it.
     ``keep_all_days=False`` keeps only days on which the region saw a new user.
     ``copy_counts=True`` reports event counts in place of reference counts.
     """
     is_ref = F.col("ref_id") != -1
-    cells = events.groupBy("user_id", "region", "date").agg(
+    cells = events.groupBy("user_id", *([] if users is not None else ["region"]), "date").agg(
         F.sum("flag").alias("flagged"),
         F.count("flag").alias("n"),
         F.count_if(F.col("flag") == 1).alias("_f"),
@@ -95,6 +98,8 @@ def daily_activity(events: DataFrame, keep_all_days: bool = True, copy_counts: b
         F.count(F.when(is_ref, F.col("flag"))).alias("refs"),
         F.max(is_ref.cast("int")).alias("_has_ref"),
     )
+    if users is not None:
+        cells = cells.join(users.select("user_id", "region"), "user_id")
     by_user = W.partitionBy("user_id")
     f, u = F.sum("_f").over(by_user), F.sum("_u").over(by_user)
     label = F.when((f + u > 0) & F.col("user_id").isNotNull(), (f > u).cast("int"))

@@ -19,20 +19,30 @@ def reference_network(
     first: str | None = None,
     last: str | None = None,
     time: str = "event_time",
+    users: DataFrame | None = None,
 ) -> DataFrame:
     """References counted per (src region, dst region), with the rate per day; both time bounds are closed.
 
     References are counted per (region, referenced event) before the join, so
     an event that everyone refers to adds at most one row per region to it.
+    With ``users`` the events carry no region: references are counted between
+    users first, and regions joined to those counts.
     """
     if first is not None:
         events = events.where(F.col(time) >= F.lit(first).cast("timestamp_ntz"))
     if last is not None:
         events = events.where(F.col(time) <= F.lit(last).cast("timestamp_ntz"))
-    owners = events.select(F.col("event_id").alias("ref_id"), F.col("region").alias("dst")).distinct()
-    refs = events.where(F.col("ref_id") != -1).groupBy(F.col("region").alias("src"), "ref_id").agg(F.count("event_id").alias("_n"))
-    pairs = refs.join(owners, "ref_id").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    edges = pairs.groupBy("src", "dst").agg(F.sum("_n").alias("n_refs"))
+    end = "region" if users is None else "user_id"
+    owners = events.select(F.col("event_id").alias("ref_id"), F.col(end).alias("dst")).distinct()
+    refs = events.where(F.col("ref_id") != -1).groupBy(F.col(end).alias("src"), "ref_id").agg(F.count("event_id").alias("_n"))
+    pairs = refs.join(owners, "ref_id").groupBy("src", "dst").agg(F.sum("_n").alias("n_refs"))
+    if users is not None:
+        known = users.select("user_id", "region")
+        events = events.join(known.select("user_id"), "user_id", "left_semi")
+        src = pairs.withColumnRenamed("src", "user_id").join(known, "user_id").select(F.col("region").alias("src"), "dst", "n_refs")
+        both = src.withColumnRenamed("dst", "user_id").join(known, "user_id").select("src", F.col("region").alias("dst"), "n_refs")
+        pairs = both.groupBy("src", "dst").agg(F.sum("n_refs").alias("n_refs"))
+    edges = pairs.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     spans = F.unix_micros(F.max(time).cast("timestamp")) - F.unix_micros(F.min(time).cast("timestamp"))
     days = events.agg(F.floor(spans / 86_400_000_000)).scalar()
     return edges.withColumn("n_refs_per_day", ratio(F.col("n_refs").cast("double"), days))

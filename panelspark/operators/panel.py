@@ -45,11 +45,15 @@ def fill_calendar(
     date: str = "date",
     bounds: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per region of ``regions`` and day between the first and last date; missing measures become 0."""
+    """One row per region of ``regions`` and day between the first and last date; missing measures become 0.
+
+    Each region makes its own days, so no pair of tables is multiplied. The
+    columns of ``regions`` stay. ``bounds`` names another table to take the
+    first and last date from.
+    """
     source = df if bounds is None else bounds
-    first = source.agg(F.min(date)).scalar()
-    last = source.agg(F.max(date)).scalar()
-    days = regions.select(region, F.explode(F.sequence(first, last)).alias(date))
+    span = source.agg(F.struct(F.min(date).alias("a"), F.max(date).alias("b"))).scalar()
+    days = regions.withColumn(date, F.explode(F.sequence(span.getField("a"), span.getField("b"))))
     return days.join(df, [region, date], "left").fillna(0, subset=list(zero))
 
 
@@ -265,9 +269,8 @@ def interpolate(
 
 def expand_dates(panel: DataFrame, sparse: DataFrame, region: str = "region", date: str = "date") -> DataFrame:
     """The panel's (region, date) rows inside the sparse table's date range and regions, left-joined with it."""
-    first = sparse.agg(F.min(date)).scalar()
-    last = sparse.agg(F.max(date)).scalar()
-    rows = panel.where((F.col(date) >= first) & (F.col(date) <= last))
+    span = sparse.agg(F.struct(F.min(date).alias("a"), F.max(date).alias("b"))).scalar()
+    rows = panel.where((F.col(date) >= span.getField("a")) & (F.col(date) <= span.getField("b")))
     rows = rows.join(sparse.select(region).distinct(), region, "left_semi")
     extra = [c for c in sparse.columns if c in (region, date) or c not in panel.columns]
     return rows.join(sparse.select(*extra), [region, date], "left")
@@ -313,9 +316,9 @@ def compartments(
     region: str = "region",
     date: str = "date",
 ) -> DataFrame:
-    """Adds N, V, D, C, R (cases ``recovery`` days ago), I = C - R, S = N - (C + V) and T."""
+    """Adds N, V, D, C, R (cases ``recovery`` days ago), I = C - R, S = N - (C + V) and T_a."""
     named = df.withColumns(
-        {"N": F.col(population), "V": F.col(vaccinated), "D": F.col(deaths), "C": F.col(cases), "T": F.col(produced)}
+        {"N": F.col(population), "V": F.col(vaccinated), "D": F.col(deaths), "C": F.col(cases), "T_a": F.col(produced)}
     )
     lagged = calendar_lag(named, ["C"], [recovery], region=region, date=date).withColumnRenamed(f"C_tlag{recovery}", "R")
     return lagged.withColumns({"I": F.col("C") - F.col("R"), "S": F.col("N") - (F.col("C") + F.col("V"))})

@@ -13,6 +13,11 @@ HOT_SHARE = 64
 SALTS = 64
 
 
+def range_buckets(df: DataFrame) -> int:
+    """How many ranges to cut an ordered pass into: about one per shuffle task."""
+    return min(512, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys holding at least 1/share of the rows: never more than ``share`` rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -83,7 +88,7 @@ def positions(
     group: Sequence[str] = (),
     tie: Sequence[str] = (),
     out: str = "pos",
-    buckets: int = HOT_SHARE,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in the order (value, tie) within its group, and the group size ``n``.
 
@@ -94,27 +99,18 @@ def positions(
     result is exact whatever the cut points are; they only balance the work.
     Rows with a missing value are left out.
     """
-    group = list(group)
+    buckets = buckets or range_buckets(df)
     rows = df.where(F.col(value).isNotNull())
-    probs = [i / buckets for i in range(1, buckets)]
-    approx = F.percentile_approx(value, probs, F.lit(20 * buckets))
-    cuts = F.array_sort(F.array_distinct(approx))
+    cuts = _cut_points(rows, value, list(group), buckets)
     v = F.col(value)
-
-    def add_range(cut: Column) -> DataFrame:
-        below = F.size(F.filter(cut, lambda c: c < v))
-        on_cut = F.array_contains(cut, v)
-        sub = F.pmod(F.xxhash64(*[F.col(t) for t in tie]), F.lit(buckets)) if tie else F.lit(0)
-        return (below * 2 + on_cut.cast("int")).cast("int"), F.when(on_cut, sub).otherwise(F.lit(0)).cast("int")
-
-    if group:
-        bounds = rows.groupBy(*group).agg(cuts.alias("_cuts"))
-        ranged = rows.join(bounds, group)
-        rng, sub = add_range(F.col("_cuts"))
-        ranged = ranged.withColumns({"_range": rng, "_sub": sub}).drop("_cuts")
-    else:
-        rng, sub = add_range(rows.agg(cuts).scalar())
-        ranged = rows.withColumns({"_range": rng, "_sub": sub})
+    on_cut = F.array_contains("_cuts", v)
+    sub = F.pmod(F.xxhash64(*[F.col(t) for t in tie]), F.lit(buckets)) if tie else F.lit(0)
+    ranged = _with_cuts(rows, cuts, group).withColumns(
+        {
+            "_range": F.size(F.filter("_cuts", lambda c: c < v)) * 2 + on_cut.cast("int"),
+            "_sub": F.when(on_cut, sub).otherwise(F.lit(0)).cast("int"),
+        }
+    ).drop("_cuts")
 
     cell = [*group, "_range", "_sub"]
     before = W.partitionBy(*group).orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)
@@ -130,21 +126,13 @@ def positions(
     return numbered.withColumn(out, F.col("_start") + F.col("_in")).drop("_range", "_sub", "_start", "_in")
 
 
-def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], group: Sequence[str] = (), buckets: int = HOT_SHARE) -> DataFrame:
+def prefix_sums(
+    df: DataFrame, value: str, sums: Sequence[str], group: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
     """Adds ``<c>_below``: the sum of c over smaller values of the group. (group, value) must be unique."""
-    group = list(group)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx(value, probs, F.lit(20 * buckets))
+    cuts = _cut_points(df, value, list(group), buckets or range_buckets(df))
     v = F.col(value)
-
-    def below(cut: Column) -> Column:
-        return F.size(F.filter(cut, lambda c: c < v))
-
-    if group:
-        ranged = df.join(df.groupBy(*group).agg(cuts.alias("_cuts")), group)
-        ranged = ranged.withColumn("_range", below(F.col("_cuts"))).drop("_cuts")
-    else:
-        ranged = df.withColumn("_range", below(df.agg(cuts).scalar()))
+    ranged = _with_cuts(df, cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
     cell = [*group, "_range"]
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy(*cell).agg(*[F.sum(c).alias(f"_{c}_total") for c in sums])
@@ -153,3 +141,17 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], group: Sequence[
     run = ranged.withColumns({f"_{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
     joined = run.join(totals, cell)
     return joined.select(*df.columns, *[(F.col(f"_{c}_start") + F.col(f"_{c}_in")).alias(f"{c}_below") for c in sums])
+
+
+def _cut_points(df: DataFrame, value: str, group: list[str], buckets: int) -> DataFrame:
+    """Per group, at most ``buckets`` distinct cut points from a bounded quantile sketch."""
+    probs = [i / buckets for i in range(1, buckets)]
+    sketch = F.percentile_approx(value, probs, F.lit(20 * buckets))
+    return df.groupBy(*group).agg(F.array_sort(F.array_distinct(sketch)).alias("_cuts"))
+
+
+def _with_cuts(df: DataFrame, cuts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Without groups the cut points are one row, which is all that is broadcast."""
+    if group:
+        return df.join(cuts, list(group))
+    return df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")

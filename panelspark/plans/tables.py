@@ -9,11 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import events as ev
+from panelspark.operators import network as nw
 from panelspark.operators import panel as pn
 
 
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+    "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is declared, so no file is opened before the query runs."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 # ---- events: located users' events with a flag and a referenced event ----
@@ -38,6 +56,10 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("region"))
 
 
+def network(spark: SparkSession, sf: str, **bounds: str) -> DataFrame:
+    return nw.reference_network(raw_events(spark, sf), users=users(spark, sf), **bounds)
+
+
 def located_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.geotag(raw_events(spark, sf), users(spark, sf))
 
@@ -89,15 +111,15 @@ TOTALS = {c: "cumulative" + c[1:] for c in COUNTS}
 
 
 def activity(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.daily_activity(located_events(spark, sf))
+    return ev.daily_activity(raw_events(spark, sf), users(spark, sf))
 
 
 def activity_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Daily counts for every region and day, with running totals and the population."""
     rg = regions(spark, sf)
     days = table(spark, sf, "events").select(F.to_date("ts").alias("date"))
-    full = pn.fill_calendar(activity(spark, sf), rg, COUNTS, bounds=days)
-    return pn.running_total(full, TOTALS).join(rg.select("region", "state", "population"), "region")
+    full = pn.fill_calendar(activity(spark, sf), rg.select("region", "state", "population"), COUNTS, bounds=days)
+    return pn.running_total(full, TOTALS)
 
 
 AC = """
@@ -146,9 +168,9 @@ edg AS (SELECT src, dst, n_refs_per_day / sum(n_refs_per_day) OVER (PARTITION BY
 
 
 def order_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """(region, date, population, state, V, C, D, T): running order counts for every region and day.
+    """(region, date, population, state, V, C, D, U): running order counts for every region and day.
 
-    V counts open, C filled, D pending and T urgent orders.
+    V counts open, C filled, D pending and U urgent orders.
     """
     o = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("date"), "o_orderstatus", "o_orderpriority"
@@ -158,13 +180,13 @@ def order_panel(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("o_orderstatus") == "O").alias("V"),
         F.count_if(F.col("o_orderstatus") == "F").alias("C"),
         F.count_if(F.col("o_orderstatus") == "P").alias("D"),
-        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("T"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("U"),
     )
-    cols = ["V", "C", "D", "T"]
+    cols = ["V", "C", "D", "U"]
     daily = per_user.join(users(spark, sf), "user_id").groupBy("region", "date").agg(*[F.sum(c).alias(c) for c in cols])
     rg = regions(spark, sf)
-    full = pn.fill_calendar(daily, rg, cols, bounds=o)
-    return pn.running_total(full, {c: c for c in cols}).join(rg.select("region", "state", "population"), "region")
+    full = pn.fill_calendar(daily, rg.select("region", "state", "population"), cols, bounds=o)
+    return pn.running_total(full, {c: c for c in cols})
 
 
 OP = (
@@ -172,12 +194,12 @@ OP = (
     + """
 od AS (SELECT c.c_nationkey AS region, CAST(o_orderdate AS DATE) AS date,
               sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS V, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS C,
-              sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS D, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS T
+              sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS D, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS U
        FROM orders JOIN customer c ON c.c_custkey = o_custkey GROUP BY 1, 2),
 ogrid AS (SELECT rg.region, rg.state, rg.population, CAST(d.date AS DATE) AS date
           FROM rg, (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS date FROM orders) d),
 op AS (SELECT g.region, g.state, g.population, g.date, """
-    + ", ".join(f"CAST(sum(coalesce(od.{c}, 0)) OVER (PARTITION BY g.region ORDER BY g.date) AS BIGINT) AS {c}" for c in "VCDT")
+    + ", ".join(f"CAST(sum(coalesce(od.{c}, 0)) OVER (PARTITION BY g.region ORDER BY g.date) AS BIGINT) AS {c}" for c in "VCDU")
     + """ FROM ogrid g LEFT JOIN od ON od.region = g.region AND od.date = g.date),
 """
 )
