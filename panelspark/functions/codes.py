@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def pad_code(code: Column, width: int = 5) -> Column:
-    return F.lpad(code.cast("string"), width, "0")
+    """Zero-padded code; a longer one stays whole."""
+    text = code.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), "0")
 
 
 def state_of(code: Column) -> Column:

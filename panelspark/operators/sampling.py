@@ -8,9 +8,9 @@ from math import exp, factorial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.hashing import h32, unit
+from panelspark.functions.hashing import HASH_SPAN, h32, unit
 from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, words
-from panelspark.operators.skew import positions
+from panelspark.operators.skew import even_cuts, positions
 from panelspark.session import cut_lineage
 
 # A sorted limit gathers n rows in one task; larger samples are cut by distributed position.
@@ -21,12 +21,18 @@ def hash_order(df: DataFrame, key: str, seed: int | str, out: str = "_h") -> Dat
     return df.withColumn(out, h32(seed, F.col(key)))
 
 
+def hash_positions(df: DataFrame, key: str, seed: int | str, out: str = "pos") -> DataFrame:
+    """Adds each row's place in the random order, and the row count ``n``. Hashes are even, so fixed cut points balance."""
+    return positions(hash_order(df, key, seed), "_h", tie=[key], out=out, cuts=even_cuts(df, HASH_SPAN)).drop("_h")
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: int | str, skip: int = 0) -> DataFrame:
     """Rows ``skip`` to ``skip + n`` of a random order; ``key`` is unique."""
     hashed = hash_order(df, key, seed)
     if skip + n <= TOP_K_LIMIT:
-        return hashed.orderBy("_h", key).limit(skip + n).offset(skip).drop("_h") if skip else hashed.orderBy("_h", key).limit(n).drop("_h")
-    placed = positions(hashed, "_h", tie=[key], out="_pos")
+        top = hashed.orderBy("_h", key).limit(skip + n)
+        return (top.offset(skip) if skip else top).drop("_h")
+    placed = hash_positions(df, key, seed, "_pos")
     return placed.where((F.col("_pos") >= skip) & (F.col("_pos") < skip + n)).select(*df.columns)
 
 
@@ -48,8 +54,11 @@ def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int | str) -> Dat
     replicate, and the slot's hash names the row drawn, so no driver-side count
     or list of draws is needed.
     """
-    rows = positions(hash_order(df.select(key), key, seed), "_h", tie=[key], out="_row").select(key, "_row", "n")
-    slots = rows.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("_row").alias("_slot"), "n")
+    rows = hash_positions(df.select(key), key, seed, "_row")
+    # every row becomes ``reps`` rows next, so few input rows must not end up in few tasks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.select("_row", "n").repartition(tasks, "_row")
+    slots = spread.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("_row").alias("_slot"), "n")
     drawn = slots.select("rep", F.pmod(h32(seed, F.col("rep"), F.col("_slot")), F.col("n")).alias("_row"))
     weights = drawn.groupBy("rep", "_row").agg(F.count(F.lit(1)).alias("weight"))
     return weights.join(rows.select(key, "_row"), "_row").select("rep", key, "weight")
@@ -77,7 +86,7 @@ def sample_regions(df: DataFrame, n: int, seed: int | str, replace: bool = False
     regions = df.select(region).distinct()
     if not replace:
         return df.join(sample_n(regions, region, n, seed), region, "left_semi").select(*df.columns)
-    rows = positions(hash_order(regions, region, seed), "_h", tie=[region], out="_row")
+    rows = hash_positions(regions, region, seed, "_row")
     slots = df.sparkSession.range(n).select(F.col("id").alias("_slot"))
     size = regions.agg(F.count(F.lit(1))).scalar()
     picks = slots.select(F.col("_slot").alias("copy"), F.pmod(h32(seed, F.lit("draw"), F.col("_slot")), size).alias("_row"))
@@ -87,8 +96,8 @@ def sample_regions(df: DataFrame, n: int, seed: int | str, replace: bool = False
 def region_permutation(regions: DataFrame, seed: int | str, region: str = "region") -> DataFrame:
     """(region, source): a random one-to-one mapping between the regions."""
     ids = regions.select(region).distinct()
-    to = positions(hash_order(ids, region, f"{seed}-a"), "_h", tie=[region]).select(F.col(region), "pos")
-    of = positions(hash_order(ids, region, f"{seed}-b"), "_h", tie=[region]).select(F.col(region).alias("source"), "pos")
+    to = hash_positions(ids, region, f"{seed}-a").select(region, "pos")
+    of = hash_positions(ids, region, f"{seed}-b").select(F.col(region).alias("source"), "pos")
     return to.join(of, "pos").select(region, "source")
 
 
@@ -152,7 +161,8 @@ def rebalance_words(
         if n_drop <= TOP_K_LIMIT:
             dropped = flagged.orderBy("_h", key).limit(n_drop)
         else:
-            dropped = positions(flagged, "_h", tie=[key], out="_pos").where(F.col("_pos") < n_drop)
+            cuts = even_cuts(flagged, HASH_SPAN)
+            dropped = positions(flagged, "_h", tie=[key], out="_pos", cuts=cuts).where(F.col("_pos") < n_drop)
         kept = cut_lineage(kept.join(dropped.select(key), key, "left_anti").select(*tokens.columns))
 
 

@@ -82,30 +82,56 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """One row: an array of cut points between which lie about equal numbers of rows, from a bounded sketch.
+
+    They are taken over all groups together, so a range holds at most about
+    1/buckets of the whole table whatever share one group has of it.
+    """
+    buckets = buckets or range_buckets(df)
+    probs = [i / buckets for i in range(1, buckets)]
+    sketch = F.percentile_approx(value, probs, F.lit(20 * buckets))
+    return df.agg(F.array_sort(F.array_distinct(sketch)).alias("_cuts"))
+
+
+def even_cuts(df: DataFrame, span: int, buckets: int | None = None) -> list[int]:
+    """Cut points for a value spread evenly over [0, span), such as a hash."""
+    buckets = buckets or range_buckets(df)
+    return [span * i // buckets for i in range(1, buckets)]
+
+
+def _with_cuts(df: DataFrame, cuts: DataFrame | list[int]) -> DataFrame:
+    """Adds the array ``_cuts``; the one row of cut points is all that is broadcast."""
+    if isinstance(cuts, list):
+        return df.withColumn("_cuts", F.array(*[F.lit(c).cast("bigint") for c in cuts]))
+    return df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
+
+
 def positions(
     df: DataFrame,
     value: str,
     group: Sequence[str] = (),
     tie: Sequence[str] = (),
     out: str = "pos",
-    buckets: int | None = None,
+    cuts: DataFrame | list[int] | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in the order (value, tie) within its group, and the group size ``n``.
 
-    Approximate quantiles cut every group into value ranges; rows are numbered
-    inside a range and shifted by the sizes of the ranges below. A cut point
+    Cut points divide the values into ranges; rows are numbered inside a
+    (group, range) and shifted by the sizes of the ranges below. A cut point
     that is itself a frequent value forms a range of its own, split again by a
-    hash of ``tie`` since the order among equal values carries no meaning. The
+    hash of ``tie``, since the order among equal values carries no meaning. The
     result is exact whatever the cut points are; they only balance the work.
     Rows with a missing value are left out.
     """
-    buckets = buckets or range_buckets(df)
     rows = df.where(F.col(value).isNotNull())
-    cuts = _cut_points(rows, value, list(group), buckets)
+    buckets = range_buckets(df)
+    if cuts is None:
+        cuts = cut_points(rows, value)
     v = F.col(value)
     on_cut = F.array_contains("_cuts", v)
     sub = F.pmod(F.xxhash64(*[F.col(t) for t in tie]), F.lit(buckets)) if tie else F.lit(0)
-    ranged = _with_cuts(rows, cuts, group).withColumns(
+    ranged = _with_cuts(rows, cuts).withColumns(
         {
             "_range": F.size(F.filter("_cuts", lambda c: c < v)) * 2 + on_cut.cast("int"),
             "_sub": F.when(on_cut, sub).otherwise(F.lit(0)).cast("int"),
@@ -127,12 +153,17 @@ def positions(
 
 
 def prefix_sums(
-    df: DataFrame, value: str, sums: Sequence[str], group: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame,
+    value: str,
+    sums: Sequence[str],
+    group: Sequence[str] = (),
+    cuts: DataFrame | list[int] | None = None,
 ) -> DataFrame:
     """Adds ``<c>_below``: the sum of c over smaller values of the group. (group, value) must be unique."""
-    cuts = _cut_points(df, value, list(group), buckets or range_buckets(df))
+    if cuts is None:
+        cuts = cut_points(df, value)
     v = F.col(value)
-    ranged = _with_cuts(df, cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
+    ranged = _with_cuts(df, cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
     cell = [*group, "_range"]
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy(*cell).agg(*[F.sum(c).alias(f"_{c}_total") for c in sums])
@@ -141,17 +172,3 @@ def prefix_sums(
     run = ranged.withColumns({f"_{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
     joined = run.join(totals, cell)
     return joined.select(*df.columns, *[(F.col(f"_{c}_start") + F.col(f"_{c}_in")).alias(f"{c}_below") for c in sums])
-
-
-def _cut_points(df: DataFrame, value: str, group: list[str], buckets: int) -> DataFrame:
-    """Per group, at most ``buckets`` distinct cut points from a bounded quantile sketch."""
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(value, probs, F.lit(20 * buckets))
-    return df.groupBy(*group).agg(F.array_sort(F.array_distinct(sketch)).alias("_cuts"))
-
-
-def _with_cuts(df: DataFrame, cuts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Without groups the cut points are one row, which is all that is broadcast."""
-    if group:
-        return df.join(cuts, list(group))
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")

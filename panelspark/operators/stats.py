@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import ratio, weighted_mean
-from panelspark.operators.skew import positions, prefix_sums
+from panelspark.operators.skew import cut_points, positions, prefix_sums
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[str] = (), bounded: bool = False) -> DataFrame:
@@ -28,7 +28,9 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[s
         return q.select(*group, F.inline(cells))
 
     counts = df.where(F.col(col).isNotNull()).groupBy(*group, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    below = prefix_sums(counts, "_v", ["_c"], group)
+    # cut points come from the column itself, a scan without a shuffle
+    cuts = cut_points(df.select(F.col(col).cast("double").alias("_v")), "_v")
+    below = prefix_sums(counts, "_v", ["_c"], group, cuts)
     if group:
         placed = below.join(counts.groupBy(*group).agg(F.sum("_c").alias("_n")), group)
     else:

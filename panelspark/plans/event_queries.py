@@ -281,9 +281,9 @@ def first_original(spark, sf):
 PADDED = Out(longs=("user_id", "state"), strings=("code",))
 
 
-@query("f10_region_codes", PADDED.sql("", "SELECT c_custkey AS user_id, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS code, CAST(floor(c_custkey / 1000) AS BIGINT) AS state FROM customer WHERE length(CAST(c_custkey AS VARCHAR)) <= 5"))
+@query("f10_region_codes", PADDED.sql("", "SELECT c_custkey AS user_id, lpad(CAST(c_custkey AS VARCHAR), greatest(5, CAST(length(CAST(c_custkey AS VARCHAR)) AS INT)), '0') AS code, CAST(floor(c_custkey / 1000) AS BIGINT) AS state FROM customer"))
 def region_codes(spark, sf):
-    c = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")).where("length(string(user_id)) <= 5")
+    c = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     return PADDED.of(c.withColumns({"code": codes.pad_code(F.col("user_id")), "state": codes.state_of(F.col("user_id"))}))
 
 

@@ -1 +1,256 @@
+"""Queries on labels, classifiers, clusters and regressions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.functions.hashing import h32
+from panelspark.operators import events as ev
+from panelspark.operators import model as md
+from panelspark.operators import panel as pn
+from panelspark.operators import regions as rg
+from panelspark.operators import sampling as sm
+from panelspark.operators import stats as st
+from panelspark.plans import tables as tb
+from panelspark.plans.registry import Out, query
+from panelspark.plans.sampling_queries import bootstrap_sql, h
+
+_CONS = Out(longs=("doc_id",), doubles=("label",), flags=("any2", "all3", "is_flagged"))
+_RATE_SQL = f"""
+r AS (SELECT doc_id, quality AS r1, toxic AS r2, CASE WHEN {h('r', 'doc_id')} % 10 = 0 THEN NULL ELSE {h('r', 'doc_id')} % 2 END AS r3 FROM labels),
+c AS (SELECT doc_id, coalesce(r1 = r2, false) OR coalesce(r1 = r3, false) OR coalesce(r2 = r3, false) AS any2,
+        coalesce(r1 = r2, false) AND coalesce(r1 = r3, false) AS all3, CASE WHEN r3 IS NOT NULL THEN list_median([r1, r2, r3]) END AS label FROM r),
+d AS (SELECT *, coalesce(label = 1, false) AS is_flagged FROM c),
+"""
+
+
+def raters(spark, sf):
+    hh = h32("r", F.col("doc_id"))
+    third = F.when(hh % 10 == 0, None).otherwise(hh % 2)
+    return tb.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("rating1"), F.col("toxic").alias("rating2"), third.alias("rating3"))
+
+
+@query("m01_rater_consensus", _CONS.sql(_RATE_SQL, "SELECT * FROM d WHERE all3"))
+def rater_consensus(spark, sf):
+    """Three ratings, some missing: rows on which all agree."""
+    return _CONS.of(md.consensus(raters(spark, sf)))
+
+
+@query("m01_rater_majority", _CONS.sql(_RATE_SQL, "SELECT * FROM d WHERE any2"))
+def rater_majority(spark, sf):
+    return _CONS.of(md.consensus(raters(spark, sf), "any2"))
+
+
+@query("m03_classify_events")
+def classify_documents(spark, sf):
+    """Trained on the labelled documents, each distinct text scored once, labels joined back to every document."""
+    d = tb.table(spark, sf, "documents").select("doc_id", "text")
+    labelled = d.join(tb.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    _, train = sm.split_by_count(labelled, "doc_id", 70, 13)
+    model = md.train_text_classifier(train)
+    scored = md.score_texts(ev.distinct_texts(d), model)
+    return ev.attach_predictions(d, scored, spread=["doc_id"]).select("doc_id", F.round("prob", 6).alias("prob"), "label")
+
+
+# ---- evaluation ----
+
+SCORED_SQL = "sc AS (SELECT doc_id, quality AS label, (n_chars % 97) / 96.0 AS score, d.lang FROM labels JOIN documents d USING (doc_id)),"
+
+
+def scored(spark, sf):
+    d = tb.table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    score = (F.col("n_chars") % 97) / F.lit(96.0)
+    return tb.table(spark, sf, "labels").join(d, "doc_id").select("doc_id", F.col("quality").alias("label"), score.alias("score"), "lang")
+
+
+def metrics_sql(source: str, group: str, weight: str) -> str:
+    """Confusion metrics and AUC per group of weighted (label, score) rows, as CTE ``met``."""
+    return f"""
+    k AS (SELECT {group}, CAST(sum(CASE WHEN score > 0.5 AND label = 1 THEN {weight} ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN score > 0.5 AND label = 0 THEN {weight} ELSE 0 END) AS DOUBLE) AS fp,
+            CAST(sum(CASE WHEN score <= 0.5 AND label = 1 THEN {weight} ELSE 0 END) AS DOUBLE) AS fn, CAST(sum(CASE WHEN score <= 0.5 AND label = 0 THEN {weight} ELSE 0 END) AS DOUBLE) AS tn FROM {source} GROUP BY 1),
+    c AS (SELECT {group}, score, CAST(sum(CASE WHEN label = 1 THEN {weight} ELSE 0 END) AS DOUBLE) AS p, CAST(sum(CASE WHEN label = 0 THEN {weight} ELSE 0 END) AS DOUBLE) AS q FROM {source} GROUP BY 1, 2),
+    o AS (SELECT {group}, p, q, sum(q) OVER (PARTITION BY {group} ORDER BY score) - q AS below FROM c),
+    auc AS (SELECT {group}, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auroc FROM o GROUP BY 1),
+    met AS (SELECT k.{group}, (tp + tn) / (tp + fp + fn + tn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+              coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+              coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) AS mcc, auroc FROM k JOIN auc ON auc.{group} = k.{group}),
+    """
+
+
+_METRICS = Out(strings=("lang",), doubles=tuple(md.METRICS))
+
+
+@query("m04_metrics_per_language", _METRICS.sql(SCORED_SQL + metrics_sql("sc", "lang", "1"), "SELECT * FROM met"))
+def metrics_per_language(spark, sf):
+    s = scored(spark, sf).withColumn("weight", F.lit(1))
+    return _METRICS.of(md.confusion_metrics(s, ["lang"]).join(md.roc_auc(s, ["lang"]), "lang"))
+
+
+_TABLE = Out(strings=("metric",), doubles=("mean", "half_width"))
+
+
+def intervals_sql(reps: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS v FROM met" for m in md.METRICS)
+    return (
+        SCORED_SQL + bootstrap_sql("sc", "doc_id", reps, "14") + "x AS (SELECT rep, label, score, weight FROM bw JOIN sc USING (doc_id)),"
+        + metrics_sql("x", "rep", "weight") + f"l AS ({parts})"
+    )
+
+
+@query(
+    "m07_bootstrap_metrics",
+    _TABLE.sql(intervals_sql(1000), "SELECT metric, avg(v) AS mean, greatest(avg(v) - quantile_cont(v, 0.025), quantile_cont(v, 0.975) - avg(v)) AS half_width FROM l GROUP BY 1"),
+)
+def bootstrap_metrics(spark, sf):
+    """A thousand replicates of six metrics."""
+    return _TABLE.of(md.metric_intervals(md.bootstrap_metrics(scored(spark, sf), "doc_id", 1000, 14)))
+
+
+# ---- clusters ----
+
+
+def attributes(spark, sf):
+    """(region, date, balance, population, supplier_balance, suppliers): attributes repeated on every panel day."""
+    r = rg.attach_attributes(tb.regions(spark, sf), [tb.suppliers(spark, sf)]).fillna(0)
+    return tb.sparse_orders(spark, sf).select("region", "date").join(r, "region")
+
+
+ATTRIBUTES = ["balance", "population", "supplier_balance", "suppliers"]
+
+
+@query("m10_principal_components")
+def principal_components(spark, sf):
+    out = md.principal_components(attributes(spark, sf), ATTRIBUTES, 2)
+    return out.select("region", F.round(F.abs("pc0"), 6).alias("pc0"), F.round(F.abs("pc1"), 6).alias("pc1"))
+
+
+@query("m11_cluster_regions")
+def cluster_regions(spark, sf):
+    out = md.cluster_regions(attributes(spark, sf), ATTRIBUTES, 4, 2)
+    return out.groupBy("cluster").agg(F.count_distinct("region").alias("n_regions"), F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- regression ----
+
+OLS_SQL = (
+    bootstrap_sql("supplier", "s_suppkey", 1000, "15")
+    + """
+m AS (SELECT rep, CAST(weight AS DOUBLE) AS w, CAST(s_acctbal AS DOUBLE) AS y, CAST(s_nationkey AS DOUBLE) AS a, CAST(s_suppkey % 7 AS DOUBLE) AS b FROM bw JOIN supplier USING (s_suppkey)),
+g AS (SELECT rep, sum(w * y) / sum(w) AS my, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM m GROUP BY 1),
+s AS (SELECT rep, sum(w * (a - ma) ** 2) AS aa, sum(w * (b - mb) ** 2) AS bb, sum(w * (a - ma) * (b - mb)) AS ab, sum(w * (a - ma) * (y - my)) AS ay, sum(w * (b - mb) * (y - my)) AS cy, sum(w * (y - my) ** 2) AS yy
+      FROM m JOIN g USING (rep) GROUP BY 1),
+f AS (SELECT rep, (ay * bb - cy * ab) / (aa * bb - ab * ab) AS ca, (cy * aa - ay * ab) / (aa * bb - ab * ab) AS cb, ay, cy, yy FROM s),
+cf AS (SELECT rep, 's_nationkey' AS feature, ca AS coef, (ca * ay + cb * cy) / yy AS ev FROM f UNION ALL SELECT rep, 'slot', cb, (ca * ay + cb * cy) / yy FROM f),
+"""
+)
+
+
+def supplier_rows(spark, sf):
+    return tb.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey", (F.col("s_suppkey") % 7).alias("slot"))
+
+
+def ols_replicates(spark, sf):
+    return md.bootstrap_ols(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], 1000, 15)
+
+
+_OLS = Out(longs=("rep",), strings=("feature",), doubles={"coef": 6, "explained_variance": 6})
+
+
+@query("m12_bootstrap_ols", _OLS.sql(OLS_SQL, "SELECT rep, feature, coef, ev AS explained_variance FROM cf"))
+def bootstrap_ols(spark, sf):
+    return _OLS.of(ols_replicates(spark, sf))
+
+
+_COEF = Out(strings=("feature", "mean_text", "p_text", "interval_text"), doubles=("mean", "p", "lower", "upper"))
+
+
+@query(
+    "m13_coefficient_summary",
+    _COEF.sql(
+        OLS_SQL
+        + """z AS (SELECT feature, avg(coef) AS mean, quantile_cont(coef, 0.025) AS lower, quantile_cont(coef, 0.975) AS upper,
+             (count(*) FILTER (coef <= 0) + 1) / (count(*) + 1) AS pl, (count(*) FILTER (coef >= 0) + 1) / (count(*) + 1) AS pu FROM cf GROUP BY 1),
+             y AS (SELECT *, CASE WHEN mean > 0 THEN pl ELSE pu END AS p FROM z)""",
+        "SELECT feature, mean, p, lower, upper, printf('%.5f', mean) AS mean_text, printf('%.3f', p) AS p_text, printf('(%.5f, %.5f)', lower, upper) AS interval_text FROM y",
+    ),
+)
+def coefficient_summary(spark, sf):
+    return _COEF.of(md.coefficient_summary(ols_replicates(spark, sf)))
+
+
+@query("m14_forest_importances")
+def forest_importances(spark, sf):
+    reps = md.forest_importances(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], 3, 16, trees=20)
+    return md.importance_summary(reps).select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")])
+
+
+_REPORT = Out(strings=("feature",), doubles={"coef": 4, "std_error": 4, "t": 3, "r2": 6})
+
+
+@query(
+    "m15_ols_report",
+    _REPORT.sql(
+        """
+        m AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem),
+        g AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, count(*) AS n FROM m),
+        s AS (SELECT any_value(my) AS my, any_value(ma) AS ma, any_value(mb) AS mb, any_value(n) AS n, sum((a - ma) ** 2) AS aa, sum((b - mb) ** 2) AS bb, sum((a - ma) * (b - mb)) AS ab,
+                sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS cy, sum((y - my) ** 2) AS yy FROM m, g),
+        f AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - cy * ab) / (aa * bb - ab * ab) AS ca, (cy * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s),
+        e AS (SELECT *, (yy - ca * ay - cb * cy) / (n - 3) AS s2, my - ca * ma - cb * mb AS c0 FROM f),
+        r AS (SELECT 'l_quantity' AS feature, ca AS coef, sqrt(s2 * bb / det) AS se, (ca * ay + cb * cy) / yy AS r2 FROM e
+              UNION ALL SELECT 'l_discount', cb, sqrt(s2 * aa / det), (ca * ay + cb * cy) / yy FROM e
+              UNION ALL SELECT 'const', c0, sqrt(s2 * (1.0 / n + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)), (ca * ay + cb * cy) / yy FROM e)""",
+        "SELECT feature, coef, se AS std_error, coef / se AS t, r2 FROM r",
+    ),
+)
+def ols_report(spark, sf):
+    return _REPORT.of(md.ols_report(tb.table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]))
+
+
+# ---- screens ----
+
+_SCREEN = Out(strings=("a", "b"), doubles=("corr",))
+
+
+@query(
+    "m16_confounder_screen",
+    _SCREEN.sql(
+        tb.OP + tb.SP
+        + """v AS (SELECT op.region, op.date, (op.V - a.V) / CAST(op.population AS DOUBLE) AS r FROM op JOIN op a ON a.region = op.region AND a.date + 1 = op.date),
+        x AS (SELECT v.r, rg.balance, rg.population, coalesce(suppliers, 0) AS suppliers FROM v JOIN rg USING (region) LEFT JOIN sp USING (region) WHERE day(v.date) = 9)""",
+        "SELECT 'V_dxdt1' AS a, 'balance' AS b, corr(r, balance) AS corr FROM x UNION ALL SELECT 'V_dxdt1', 'population', corr(r, population) FROM x "
+        "UNION ALL SELECT 'V_dxdt1', 'suppliers', corr(r, suppliers) FROM x",
+    ),
+)
+def confounder_screen(spark, sf):
+    """Scaled attributes against the daily rate of V per head, on the dates of another table."""
+    p = tb.order_panel(spark, sf).withColumn("V", F.col("V") / F.col("population"))
+    rates = pn.rate_of_change(p.select("region", "date", "V"), ["V"])
+    dates = tb.sparse_orders(spark, sf).where("day(date) = 9").select("date").distinct()
+    # each month's ninth, with or without an order in the region
+    rows = rates.join(dates.join(rates.select("date").distinct(), "date", "left_semi"), "date", "left_semi")
+    cols = ["balance", "population", "suppliers"]
+    attrs = rg.attach_attributes(tb.regions(spark, sf), [tb.suppliers(spark, sf)]).fillna(0, subset=["suppliers"]).select("region", *cols)
+    full = st.standard_scaled(rows.join(attrs, "region"), cols)
+    return _SCREEN.of(st.correlations(full, [("V_dxdt1", c) for c in cols]))
+
+
+@query(
+    "m17_attribute_correlates",
+    _SCREEN.sql(
+        tb.DR + tb.RG + tb.OP.replace(tb.RG, "")
+        + """a AS (SELECT idx AS region, avg(value) AS a_first FROM ld WHERE idx < 25 GROUP BY 1), b AS (SELECT idx - 25 AS region, avg(value) AS a_last FROM ld WHERE idx BETWEEN 25 AND 49 GROUP BY 1),
+        l AS (SELECT region, arg_max(V, date) / any_value(population) AS v_last FROM op GROUP BY 1),
+        x AS (SELECT * FROM a JOIN b USING (region) JOIN l USING (region) JOIN rg USING (region))""",
+        " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM x" for a in ("a_first", "a_last", "v_last") for b in ("balance", "population")),
+    ),
+)
+def attribute_correlates(spark, sf):
+    """First and last posterior means and the last V per head against scaled attributes."""
+    means = tb.long_draws(spark, sf).where("idx < 50").groupBy("idx").agg(F.avg("value").alias("m"))
+    first = means.where("idx < 25").select(F.col("idx").alias("region"), F.col("m").alias("a_first"))
+    last = means.where("idx >= 25").select((F.col("idx") - 25).alias("region"), F.col("m").alias("a_last"))
+    v = st.last_values(tb.order_panel(spark, sf).withColumn("v_last", F.col("V") / F.col("population")), ["v_last"])
+    x = first.join(last, "region").join(v, "region").join(tb.regions(spark, sf).select("region", "balance", "population"), "region")
+    x = st.standard_scaled(x, ["balance", "population"])
+    return _SCREEN.of(st.correlations(x, [(a, b) for a in ("a_first", "a_last", "v_last") for b in ("balance", "population")]))
