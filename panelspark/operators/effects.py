@@ -69,16 +69,13 @@ def causal_rows(draws: DataFrame, panel: DataFrame, n_regions: Column | int, nu_
     """
     n_regions = F.lit(n_regions) if isinstance(n_regions, int) else n_regions
     n_draws = F.lit(n_draws) if isinstance(n_draws, int) else n_draws
-    numbered = draws.select("A", "nu", "gamma_e", sample_id(n_draws).alias("s"), n_regions.alias("_k"))
-    rows = numbered.select("s", "gamma_e", "nu", "_k", F.posexplode("A").alias("obs", "a"), "A")
-    rows = rows.where(F.col("obs") >= F.col("_k"))
-    back = F.get("A", F.col("obs") - F.col("_k"))
-    step = F.floor(F.col("obs") / F.col("_k"))
-    slim = rows.select(
-        "s", "gamma_e", F.col("obs").cast("bigint").alias("obs"),
-        codes.blend_lag1(F.col("a"), back).alias("A_tlag1"),
-        F.get("nu", F.floor(step / nu_width).cast("int")).alias("nu"),
-    )
+    k, rest = n_regions, F.size("A") - n_regions
+    # blended while still an array, so that the exploded rows carry scalars only
+    blended = F.zip_with(F.slice("A", k + 1, rest), F.slice("A", F.lit(1), rest), codes.blend_lag1)
+    rows = draws.select(sample_id(n_draws).alias("s"), "gamma_e", "nu", k.alias("_k"), F.posexplode(blended).alias("_i", "A_tlag1"))
+    obs = F.col("_i") + F.col("_k")
+    bin_of = F.floor(F.floor(obs / F.col("_k")) / nu_width).cast("int")
+    slim = rows.select("s", "gamma_e", obs.cast("bigint").alias("obs"), "A_tlag1", F.get("nu", bin_of).alias("nu"))
     s_count = F.col("S_tlag1") * F.col("N") if times_population else F.col("S_tlag1")
     return slim.join(panel, "obs").select("s", "obs", "t", "region", "A_tlag1", "nu", "gamma_e", s_count.alias("S_tlag1"), "E_tlag1", "N")
 
