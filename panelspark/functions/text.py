@@ -38,10 +38,22 @@ def words(text: Column, stop_words: Sequence[str], min_len: int = 3) -> Column:
     Stop words and length are tested before stripping, so "the," stays in as
     "the" and a word of punctuation only becomes an empty string.
     """
-    parts = F.split(F.regexp_replace(F.lower(text), r"^\s+|\s+$", ""), r"\s+")
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    kept = F.filter(parts, lambda w: (F.length(w) >= min_len) & ~F.array_contains(stop, w))
-    return F.transform(kept, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    kept = F.filter(raw_words(text), lambda w: is_word(w, stop_words, min_len))
+    return F.transform(kept, bare_word)
+
+
+def raw_words(text: Column) -> Column:
+    """Lower-cased text split at white space; white space at either end leaves an empty string there."""
+    return F.split(F.lower(text), r"\s+")
+
+
+def is_word(w: Column, stop_words: Sequence[str], min_len: int = 3) -> Column:
+    long_enough = F.length(w) >= max(min_len, 1)
+    return long_enough & ~w.isin(list(stop_words)) if stop_words else long_enough
+
+
+def bare_word(w: Column) -> Column:
+    return F.btrim(w, F.lit(PUNCTUATION))
 
 
 def post_text(row: str = "") -> Column:

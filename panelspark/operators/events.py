@@ -100,10 +100,12 @@ def daily_activity(
     )
     if users is not None:
         cells = cells.join(users.select("user_id", "region"), "user_id")
-    by_user = W.partitionBy("user_id")
+    # events without a user are no one user's: they are told apart by region, lest they all meet in one window
+    cells = cells.withColumn("_nobody", F.when(F.col("user_id").isNull(), F.col("region")))
+    by_user = W.partitionBy("user_id", "_nobody")
     f, u = F.sum("_f").over(by_user), F.sum("_u").over(by_user)
     label = F.when((f + u > 0) & F.col("user_id").isNotNull(), (f > u).cast("int"))
-    first_day = F.min("date").over(W.partitionBy("user_id", "region"))
+    first_day = F.min("date").over(W.partitionBy("user_id", "_nobody", "region"))
     marked = cells.withColumns({"_label": label, "_new": F.col("date") == first_day})
     new_label = F.when(F.col("_new"), F.col("_label"))
     days = marked.where(F.col("region").isNotNull() & F.col("date").isNotNull()).groupBy("region", "date").agg(

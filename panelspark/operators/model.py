@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.codes import median3
 from panelspark.functions.nulls import ratio, same
-from panelspark.operators.sampling import bootstrap_counts, poisson_weights
+from panelspark.operators.sampling import bootstrap_counts, bootstrap_rows, poisson_weights
 from panelspark.operators.skew import cut_points, prefix_sums
 from panelspark.operators.stats import interval_summary, last_values, standard_scaled
 
@@ -122,7 +122,7 @@ def bootstrap_metrics(scored: DataFrame, key: str, reps: int, seed: int | str, t
     ``exact=False`` uses Poisson weights, which need no row numbering.
     """
     if exact:
-        rows = bootstrap_counts(scored, key, reps, seed).join(scored.select(key, "label", "score"), key)
+        rows = bootstrap_rows(scored.select(key, "label", "score"), key, reps, seed).withColumn("weight", F.lit(1))
     else:
         rows = poisson_weights(scored.select(key, "label", "score"), key, reps, seed)
     # both kinds of metric only need the weight per (replicate, label, score)
@@ -214,7 +214,7 @@ def ols_by_replicate(rows: DataFrame, y: str, xs: Sequence[str], weight: str = "
 
 def bootstrap_ols(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, seed: int | str, exact: bool = True) -> DataFrame:
     if exact:
-        rows = bootstrap_counts(df, key, reps, seed).join(df.select(key, y, *xs), key)
+        rows = bootstrap_rows(df.select(key, y, *xs), key, reps, seed).withColumn("weight", F.lit(1))
     else:
         rows = poisson_weights(df.select(key, y, *xs), key, reps, seed)
     return ols_by_replicate(rows, y, xs)

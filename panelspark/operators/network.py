@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import ratio
-from panelspark.operators.skew import prefix_sums
+from panelspark.operators.skew import prefix_sums, salted_join
 
 
 def reference_network(
@@ -25,26 +25,32 @@ def reference_network(
 
     References are counted per (region, referenced event) before the join, so
     an event that everyone refers to adds at most one row per region to it.
-    With ``users`` the events carry no region: references are counted between
-    users first, and regions joined to those counts.
+    With ``users`` the events carry no region: it is joined to counts per user,
+    on the referring side before that join, on the other side after it.
     """
     if first is not None:
         events = events.where(F.col(time) >= F.lit(first).cast("timestamp_ntz"))
     if last is not None:
         events = events.where(F.col(time) <= F.lit(last).cast("timestamp_ntz"))
-    end = "region" if users is None else "user_id"
-    owners = events.select(F.col("event_id").alias("ref_id"), F.col(end).alias("dst")).distinct()
-    refs = events.where(F.col("ref_id") != -1).groupBy(F.col(end).alias("src"), "ref_id").agg(F.count("event_id").alias("_n"))
-    pairs = refs.join(owners, "ref_id").groupBy("src", "dst").agg(F.sum("_n").alias("n_refs"))
-    if users is not None:
+    refs = events.where(F.col("ref_id") != -1)
+    if users is None:
+        owners = events.select(F.col("event_id").alias("ref_id"), F.col("region").alias("dst")).distinct()
+        counts = refs.groupBy(F.col("region").alias("src"), "ref_id").agg(F.count("event_id").alias("_n"))
+        pairs = counts.join(owners, "ref_id").groupBy("src", "dst").agg(F.sum("_n").alias("n_refs"))
+        spans = events.agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    else:
         known = users.select("user_id", "region")
-        events = events.join(known.select("user_id"), "user_id", "left_semi")
-        src = pairs.withColumnRenamed("src", "user_id").join(known, "user_id").select(F.col("region").alias("src"), "dst", "n_refs")
-        both = src.withColumnRenamed("dst", "user_id").join(known, "user_id").select("src", F.col("region").alias("dst"), "n_refs")
-        pairs = both.groupBy("src", "dst").agg(F.sum("n_refs").alias("n_refs"))
+        per_user = refs.groupBy("user_id", "ref_id").agg(F.count("event_id").alias("_n"))
+        placed = salted_join(per_user, known, ["user_id"], spread=["ref_id"])
+        counts = placed.groupBy(F.col("region").alias("src"), "ref_id").agg(F.sum("_n").alias("_n"))
+        owners = events.select(F.col("event_id").alias("ref_id"), "user_id").distinct()
+        to_user = counts.join(owners, "ref_id").groupBy("src", "user_id").agg(F.sum("_n").alias("_n"))
+        pairs = to_user.join(known, "user_id").groupBy("src", F.col("region").alias("dst")).agg(F.sum("_n").alias("n_refs"))
+        per_user_span = events.groupBy("user_id").agg(F.min(time).alias("a"), F.max(time).alias("b"))
+        spans = per_user_span.join(known.select("user_id"), "user_id", "left_semi").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     edges = pairs.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    spans = F.unix_micros(F.max(time).cast("timestamp")) - F.unix_micros(F.min(time).cast("timestamp"))
-    days = events.agg(F.floor(spans / 86_400_000_000)).scalar()
+    micros = F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))
+    days = spans.select(F.floor(micros / 86_400_000_000)).scalar()
     return edges.withColumn("n_refs_per_day", ratio(F.col("n_refs").cast("double"), days))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import ratio
+from panelspark.operators.stats import quantiles
 
 
 def day_number(date: str = "date") -> Column:
@@ -217,15 +218,18 @@ def smooth(
     n = F.size("_s")
 
     def smoothed(c: str) -> Column:
-        x = F.transform("_s", lambda s: s[c].cast("double"))
+        def fitted(x: Column) -> Column:
+            def at(_: Column, i: Column) -> Column:
+                start = F.least(F.greatest(i - half, F.lit(0)), n - window)
+                terms = F.zip_with(F.get(weights, i - start), F.slice(x, start + 1, window), lambda a, b: a * b)
+                return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 
-        def at(_: Column, i: Column) -> Column:
-            start = F.least(F.greatest(i - half, F.lit(0)), n - window)
-            terms = F.zip_with(F.get(weights, i - start), F.slice(x, start + 1, window), lambda a, b: a * b)
-            return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+            return F.transform(x, at)
 
         short = F.raise_error(F.lit("a series is shorter than the smoothing window")).cast("array<double>")
-        return F.when(n < window, short).otherwise(F.transform(x, at))
+        # the outer one-element array binds the series, which would else be rebuilt for every place in it
+        bound = F.array(F.transform("_s", lambda s: s[c].cast("double")))
+        return F.when(n < window, short).otherwise(F.get(F.transform(bound, fitted), F.lit(0)))
 
     out = _explode_series(arrays, df.columns, {c: smoothed(c) for c in cols}, region)
     if not drop_ends:
@@ -296,7 +300,7 @@ def thin_dates(
 
     Only dates on which the median of ``measure`` is above 0 are counted.
     """
-    per_date = df.groupBy(date).agg(F.median(measure).alias("_m")).where("_m > 0")
+    per_date = quantiles(df, measure, [0.5], [date]).where("value > 0")
     back = F.row_number().over(W.orderBy(F.col(date).desc()))
     kept = per_date.withColumn("_r", back).where((F.col("_r") - 1) % step == 0).select(date)
     kept = kept.orderBy(date).limit(n)

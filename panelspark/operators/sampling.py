@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import HASH_SPAN, h32, unit
-from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, words
+from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, bare_word, is_word, raw_words, words
 from panelspark.operators.skew import even_cuts, positions
 from panelspark.session import cut_lineage
 
@@ -47,21 +47,25 @@ def split_by_count(df: DataFrame, key: str, n_test: int, seed: int | str) -> tup
     return test, df.join(test.select(key), key, "left_anti").select(*df.columns)
 
 
-def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:
-    """(rep, key, weight): how often each row is drawn with replacement, ``n`` draws per replicate.
+def bootstrap_rows(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:
+    """Rows drawn with replacement: ``rep`` and the columns of ``df``, one row per draw, as many draws per replicate as rows.
 
     Rows get dense numbers in hash order. Each row stands for one slot of every
     replicate, and the slot's hash names the row drawn, so no driver-side count
     or list of draws is needed.
     """
-    rows = hash_positions(df.select(key), key, seed, "_row")
+    rows = hash_positions(df, key, seed, "_row")
     # every row becomes ``reps`` rows next, so few input rows must not end up in few tasks
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.select("_row", "n").repartition(tasks, "_row")
-    slots = spread.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("_row").alias("_slot"), "n")
-    drawn = slots.select("rep", F.pmod(h32(seed, F.col("rep"), F.col("_slot")), F.col("n")).alias("_row"))
-    weights = drawn.groupBy("rep", "_row").agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(rows.select(key, "_row"), "_row").select("rep", key, "weight")
+    slots = spread.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("_row").alias("_slot"), F.col("n").alias("_n"))
+    drawn = slots.select("rep", F.pmod(h32(seed, F.col("rep"), F.col("_slot")), F.col("_n")).alias("_row"))
+    return drawn.join(rows.drop("n"), "_row").select("rep", *df.columns)
+
+
+def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:
+    """(rep, key, weight): how often each row is drawn with replacement."""
+    return bootstrap_rows(df.select(key), key, reps, seed).groupBy("rep", key).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def poisson_weights(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:
@@ -108,9 +112,14 @@ def permute_column(df: DataFrame, col: str, mapping: DataFrame, region: str = "r
 
 
 def word_counts(df: DataFrame, stop_words: Sequence[str], text: str = "text", more_than: int = 5) -> DataFrame:
-    """(word, n) for words seen more than ``more_than`` times."""
-    found = df.select(F.explode(words(F.col(text), stop_words)).alias("word"))
-    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+    """(word, n) for words seen more than ``more_than`` times.
+
+    Words are counted as they stand first; the stop list and the stripping
+    then meet each distinct word once.
+    """
+    raw = df.select(F.explode(raw_words(F.col(text))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    bare = raw.where(is_word(F.col("_w"), stop_words)).groupBy(bare_word(F.col("_w")).alias("word"))
+    return bare.agg(F.sum("_n").alias("n")).where(F.col("n") > more_than)
 
 
 def oversampled_words(

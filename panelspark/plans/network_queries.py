@@ -51,12 +51,7 @@ geo AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight
 
 def distances(spark, sf):
     """Distances between customer and supplier regions that trade with each other."""
-    line = tb.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = tb.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    cust = tb.users(spark, sf).select(F.col("user_id").alias("o_custkey"), F.col("region").alias("src"))
-    supp = tb.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
-    trade = orders.join(cust, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "src")
-    pairs = line.join(supp, "l_suppkey").join(trade, "l_orderkey").select("src", "dst").distinct()
+    pairs = tb.trade(spark, sf).select("src", "dst")
     return pairs.where("src <> dst").withColumn("distance", F.abs(F.col("src") - F.col("dst")) * 25.0)
 
 
@@ -199,12 +194,8 @@ _SCI = Out(longs=("n_pairs",), doubles=("corr",))
 )
 def index_correlation(spark, sf):
     """Trade between customer and supplier regions beside the reference network."""
-    line = tb.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    orders = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
-    supp = tb.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
-    trade = orders.join(tb.users(spark, sf).withColumnRenamed("region", "src"), "user_id").select("l_orderkey", "src")
-    idx = line.join(supp, "l_suppkey").join(trade, "l_orderkey").groupBy("src", "dst").agg(F.sum("n").cast("double").alias("idx"))
-    return _SCI.of(nw.index_correlation(idx, tb.network(spark, sf), "idx"))
+    idx = tb.trade(spark, sf).withColumn("n", F.col("n").cast("double"))
+    return _SCI.of(nw.index_correlation(idx, tb.network(spark, sf), "n"))
 
 
 _CMP = Out(longs=("n_pairs",), doubles=("corr",))

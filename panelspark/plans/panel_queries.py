@@ -547,7 +547,7 @@ MONTHS = [f"1997-{m:02d}-01" for m in range(1, 13)]
 )
 def wide_to_long(spark, sf):
     """A column per month, unpivoted to rows with a date."""
-    o = tb.table(spark, sf, "orders").join(tb.users(spark, sf), F.col("o_custkey") == F.col("user_id"))
-    month = F.date_format("o_orderdate", "yyyy-MM-01")
-    wide = o.withColumn("month", month).groupBy("region").pivot("month", MONTHS).agg(F.count(F.lit(1)))
+    o = tb.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.date_format("o_orderdate", "yyyy-MM-01").alias("month"))
+    per_user = o.agg(F.count(F.lit(1)).alias("n")).join(tb.users(spark, sf), "user_id")
+    wide = per_user.groupBy("region").pivot("month", MONTHS).agg(F.sum("n"))
     return _WIDE.of(dated(rg.wide_to_long(wide, ["region"], "n")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.functions.nulls import weighted_mean
+from panelspark.functions.nulls import sum0, weighted_mean
 from panelspark.operators import stats as st
 from panelspark.plans import tables as tb
 from panelspark.plans.registry import Out, query
@@ -21,8 +21,6 @@ _SUM = Out(longs=("l_suppkey", "n"), doubles={"quantity": 2, "mean_discount": 6}
 
 @query("a07_sum_and_mean", _SUM.sql("", "SELECT l_suppkey, count(*) AS n, coalesce(sum(l_quantity), 0) AS quantity, avg(l_discount) AS mean_discount FROM lineitem GROUP BY 1"))
 def sum_and_mean(spark, sf):
-    from panelspark.functions.nulls import sum0
-
     line = tb.table(spark, sf, "lineitem")
     return _SUM.of(line.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), sum0(F.col("l_quantity")).alias("quantity"), F.avg("l_discount").alias("mean_discount")))
 
@@ -32,8 +30,7 @@ _MED = Out(longs=("region",), doubles={"value": 3})
 
 @query("a09_median_per_group", _MED.sql("", "SELECT c_nationkey AS region, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.5) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1"))
 def median_per_group(spark, sf):
-    o = tb.table(spark, sf, "orders").join(tb.users(spark, sf), F.col("o_custkey") == F.col("user_id")).select("region", "o_totalprice")
-    return _MED.of(st.quantiles(o, "o_totalprice", [0.5], ["region"]))
+    return _MED.of(st.quantiles(tb.located_orders(spark, sf), "o_totalprice", [0.5], ["region"]))
 
 
 _LAST = Out(longs=("region",), doubles={"first_price": 4, "last_price": 4})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import events as ev
 from panelspark.operators import network as nw
 from panelspark.operators import panel as pn
+from panelspark.operators.skew import salted_join
 
 
 SCHEMAS = {
@@ -207,8 +208,25 @@ op AS (SELECT g.region, g.state, g.population, g.date, """
 
 def sparse_orders(spark: SparkSession, sf: str) -> DataFrame:
     """(region, date, n, price): daily order counts and mean price, only for days with orders."""
-    o = table(spark, sf, "orders").join(users(spark, sf), F.col("o_custkey") == F.col("user_id"))
-    return o.groupBy("region", F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("price"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("date"))
+    per_user = o.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
+    daily = per_user.join(users(spark, sf), "user_id").groupBy("region", "date").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return daily.select("region", "date", "n", (F.col("s") / F.col("n")).alias("price"))
+
+
+def located_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """(o_orderkey, o_totalprice, region); a customer with very many orders is spread over many tasks."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", "o_totalprice")
+    return salted_join(o, users(spark, sf), ["user_id"], spread=["o_orderkey"]).drop("user_id")
+
+
+def trade(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst, n): order lines by customer and supplier region, counted per supplier before its region is joined."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    src = located_orders(spark, sf).select(F.col("o_orderkey").alias("l_orderkey"), F.col("region").alias("src"))
+    per_supplier = line.join(src, "l_orderkey").groupBy("l_suppkey", "src").agg(F.count(F.lit(1)).alias("n"))
+    supp = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
+    return per_supplier.join(supp, "l_suppkey").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 SO = """
