@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # A key or value is "hot" from 1/HOT_SHARE of the rows on: at most HOT_SHARE of them can exist.
 HOT_SHARE = 64
-SALTS = 64
 
 
 def range_buckets(df: DataFrame) -> int:
@@ -31,10 +30,10 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] = (),
-    salts: int = SALTS,
+    salts: int | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join in which the hot keys of ``big`` are spread over ``salts`` tasks.
+    """Equi-join in which the hot keys of ``big`` are spread over ``salts`` tasks, by default as many as a shuffle has.
 
     ``keyed`` is unique on ``on`` and is copied ``salts`` times for the hot keys
     only. ``spread`` names columns of ``big`` that differ within a hot key. The
@@ -43,6 +42,7 @@ def salted_join(
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"how={how!r} is not supported")
     on = list(on)
+    salts = salts or max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = hot_keys(big, on).withColumn("_hot", F.lit(True))
     spread_cols = [F.col(c) for c in (spread or [c for c in big.columns if c not in on])]
     salt = F.pmod(F.xxhash64(*spread_cols), F.lit(salts)).cast("int")

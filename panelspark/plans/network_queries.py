@@ -8,6 +8,7 @@ from panelspark.operators import network as nw
 from panelspark.operators import regions as rg
 from panelspark.plans import tables as tb
 from panelspark.plans.registry import Out, query
+from panelspark.session import cut_lineage
 
 
 def dated(df):
@@ -91,7 +92,7 @@ _MEAN_SELECT = (
 
 @query("p20_neighbour_mean", _MEAN.sql(tb.OP + tb.EV + tb.NW + _MEAN_SQL.format("edg"), _MEAN_SELECT.format("edg")))
 def neighbour_mean(spark, sf):
-    edges = nw.interaction_edges(tb.network(spark, sf), tb.users(spark, sf))
+    edges = nw.interaction_edges(tb.stored_network(spark, sf), tb.users(spark, sf))
     return _MEAN.of(dated(nw.neighbour_mean(tb.order_panel(spark, sf), ["V", "C"], edges, "_near")))
 
 
@@ -100,7 +101,7 @@ def neighbour_mean_by_distance(spark, sf):
     """Edges by distance, weighted by population."""
     p = tb.order_panel(spark, sf)
     r = tb.regions(spark, sf)
-    edges = nw.population_weighted(nw.distance_edges(distances(spark, sf), r, normalize=False), r)
+    edges = cut_lineage(nw.population_weighted(nw.distance_edges(distances(spark, sf), r, normalize=False), r))
     return _MEAN.of(dated(nw.neighbour_mean(p, ["V", "C"], edges, "_near")))
 
 
@@ -118,7 +119,7 @@ _EXPO = Out(longs=("region",), strings=("date",), doubles={"rate_exposure": 9})
 def exposure(spark, sf):
     """Neighbours' flagged events per head, over edges that are not normalised."""
     p = tb.activity_panel(spark, sf).select("region", "date", "population", (F.col("cumulative_flagged") / F.col("population")).alias("rate"))
-    edges = nw.interaction_edges(tb.network(spark, sf), tb.users(spark, sf), normalize=False)
+    edges = nw.interaction_edges(tb.stored_network(spark, sf), tb.users(spark, sf), normalize=False)
     return _EXPO.of(dated(nw.exposure(p, ["rate"], edges)))
 
 
@@ -162,7 +163,7 @@ _HOM_SQL = "SELECT '{0}' AS attribute, count(*) AS n_pairs, avg(abs(a.{0} - b.{0
 @query("e06_dense_homophily", _HOM.sql(NET + DENSE + tb.RG, _HOM_SQL.format("balance") + " UNION ALL " + _HOM_SQL.format("population")))
 def dense_homophily(spark, sf):
     """Do regions that refer to each other resemble each other? Over all pairs, those without references included."""
-    net, r = tb.network(spark, sf), tb.regions(spark, sf)
+    net, r = tb.stored_network(spark, sf), tb.regions(spark, sf)
     return _HOM.of(nw.dense_homophily(net, r, "balance").unionByName(nw.dense_homophily(net, r, "population")))
 
 

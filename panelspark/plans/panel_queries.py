@@ -10,6 +10,7 @@ from panelspark.operators import panel as pn
 from panelspark.operators import regions as rg
 from panelspark.plans import tables as tb
 from panelspark.plans.registry import Out, query
+from panelspark.session import cut_lineage
 
 
 def dated(df):
@@ -37,9 +38,9 @@ FLAG = Out(longs=("region", "n_events", "n_flagged", "cumulative_events", "cumul
 )
 def flagship(spark, sf):
     """Daily activity with running totals, its one-day rate, and exposure to other regions' flagged events."""
-    panel = tb.activity_panel(spark, sf)
+    panel = cut_lineage(tb.activity_panel(spark, sf))
     cols = ["region", "date", "population", "n_events", "n_flagged", "cumulative_events", "cumulative_flagged"]
-    edges = nw.interaction_edges(tb.network(spark, sf), tb.users(spark, sf))
+    edges = nw.interaction_edges(tb.stored_network(spark, sf), tb.users(spark, sf))
     exposed = nw.neighbour_mean(panel.select(*cols), ["cumulative_flagged"], edges, "_near")
     out = pn.calendar_lag(exposed, ["cumulative_flagged"], [1])
     return FLAG.of(

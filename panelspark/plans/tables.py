@@ -12,6 +12,7 @@ from panelspark.operators import events as ev
 from panelspark.operators import network as nw
 from panelspark.operators import panel as pn
 from panelspark.operators.skew import salted_join
+from panelspark.session import cut_lineage
 
 
 SCHEMAS = {
@@ -61,6 +62,11 @@ def network(spark: SparkSession, sf: str, **bounds: str) -> DataFrame:
     return nw.reference_network(raw_events(spark, sf), users=users(spark, sf), **bounds)
 
 
+def stored_network(spark: SparkSession, sf: str) -> DataFrame:
+    """The network written to the shared folder once: several later steps read it, and it is small beside the events."""
+    return cut_lineage(network(spark, sf))
+
+
 def located_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.geotag(raw_events(spark, sf), users(spark, sf))
 
