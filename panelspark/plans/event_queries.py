@@ -122,7 +122,7 @@ def sink_by_date(spark, sf):
     return PER_DAY.of(_per_day(files.read_parquet(spark, path)))
 
 
-SUPPLIER = Out(longs=("region", "n"), doubles={"balance": 4})
+SUPPLIER = Out(longs=("region", "n"), doubles={"balance": 6})
 
 
 @query("io09_delimited_files", SUPPLIER.sql("", "SELECT s_nationkey AS region, count(*) AS n, avg(s_acctbal) AS balance FROM supplier GROUP BY 1"))
@@ -399,7 +399,7 @@ def region_coverage(spark, sf):
     return COVER.of(rg.coverage({"customers": tb.users(spark, sf), "suppliers": tb.suppliers(spark, sf)}))
 
 
-ATTR = Out(longs=("region", "state", "population", "suppliers"), doubles={"balance": 4, "supplier_balance": 4})
+ATTR = Out(longs=("region", "state", "population", "suppliers"), doubles={"balance": 6, "supplier_balance": 6})
 
 
 @query("j02_attribute_chain", ATTR.sql(tb.RG + tb.SP, "SELECT rg.*, supplier_balance, suppliers FROM rg LEFT JOIN sp USING (region)"))

@@ -215,9 +215,9 @@ _SCREEN = Out(strings=("a", "b"), doubles=("corr",))
 @query(
     "m16_confounder_screen",
     _SCREEN.sql(
-        tb.OP + tb.SP
+        tb.OP + tb.SP + tb.SO
         + """v AS (SELECT op.region, op.date, (op.V - a.V) / CAST(op.population AS DOUBLE) AS r FROM op JOIN op a ON a.region = op.region AND a.date + 1 = op.date),
-        x AS (SELECT v.r, rg.balance, rg.population, coalesce(suppliers, 0) AS suppliers FROM v JOIN rg USING (region) LEFT JOIN sp USING (region) WHERE day(v.date) = 9)""",
+        x AS (SELECT v.r, rg.balance, rg.population, coalesce(suppliers, 0) AS suppliers FROM v JOIN rg USING (region) LEFT JOIN sp USING (region) WHERE v.date IN (SELECT date FROM so WHERE day(date) = 9))""",
         "SELECT 'V_dxdt1' AS a, 'balance' AS b, corr(r, balance) AS corr FROM x UNION ALL SELECT 'V_dxdt1', 'population', corr(r, population) FROM x "
         "UNION ALL SELECT 'V_dxdt1', 'suppliers', corr(r, suppliers) FROM x",
     ),
@@ -227,8 +227,7 @@ def confounder_screen(spark, sf):
     p = tb.order_panel(spark, sf).withColumn("V", F.col("V") / F.col("population"))
     rates = pn.rate_of_change(p.select("region", "date", "V"), ["V"])
     dates = tb.sparse_orders(spark, sf).where("day(date) = 9").select("date").distinct()
-    # each month's ninth, with or without an order in the region
-    rows = rates.join(dates.join(rates.select("date").distinct(), "date", "left_semi"), "date", "left_semi")
+    rows = rates.join(dates, "date", "left_semi")
     cols = ["balance", "population", "suppliers"]
     attrs = rg.attach_attributes(tb.regions(spark, sf), [tb.suppliers(spark, sf)]).fillna(0, subset=["suppliers"]).select("region", *cols)
     full = st.standard_scaled(rows.join(attrs, "region"), cols)

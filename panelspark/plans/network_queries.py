@@ -125,7 +125,7 @@ def exposure(spark, sf):
 
 # ---- whole-network questions ----
 
-_ENDS = Out(longs=("src", "dst", "n_refs"), doubles={"src_balance": 4, "dst_balance": 4, "src_population": 4, "dst_population": 4})
+_ENDS = Out(longs=("src", "dst", "n_refs"), doubles={"src_balance": 6, "dst_balance": 6, "src_population": 0, "dst_population": 0})
 
 
 @query(
@@ -156,7 +156,7 @@ def dense_network_summary(spark, sf):
     return _DSUM.of(nw.dense_summary(tb.network(spark, sf)))
 
 
-_HOM = Out(longs=("n_pairs",), strings=("attribute",), doubles={"mean_dist": 4, "corr": 6})
+_HOM = Out(longs=("n_pairs",), strings=("attribute",), doubles={"mean_dist": 6, "corr": 6})
 _HOM_SQL = "SELECT '{0}' AS attribute, count(*) AS n_pairs, avg(abs(a.{0} - b.{0})) AS mean_dist, corr(n_refs, abs(a.{0} - b.{0})) AS corr FROM dense JOIN rg a ON a.region = src JOIN rg b ON b.region = dst"
 
 

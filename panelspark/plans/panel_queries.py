@@ -163,7 +163,7 @@ def is_monotonic(spark, sf):
     return _MONO.of(a.join(b, "region"))
 
 
-_REP = Out(longs=("region",), strings=("date",), doubles={"last_wins": 4, "first_wins": 4})
+_REP = Out(longs=("region",), strings=("date",), doubles={"last_wins": 6, "first_wins": 6})
 
 
 @query(

@@ -33,7 +33,7 @@ def median_per_group(spark, sf):
     return _MED.of(st.quantiles(tb.located_orders(spark, sf), "o_totalprice", [0.5], ["region"]))
 
 
-_LAST = Out(longs=("region",), doubles={"first_price": 4, "last_price": 4})
+_LAST = Out(longs=("region",), doubles={"first_price": 6, "last_price": 6})
 
 
 @query(
@@ -59,7 +59,7 @@ def weighted_means(spark, sf):
     return _WM.of(dated(st.weighted_means(p, ["V", "C"], "population", ["date"])))
 
 
-_WS = Out(longs=("region",), doubles={"strict": 4})
+_WS = Out(longs=("region",), doubles={"strict": 6})
 
 
 @query(
