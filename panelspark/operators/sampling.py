@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import HASH_SPAN, h32, unit
 from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, bare_word, is_word, raw_words, words
-from panelspark.operators.skew import even_cuts, positions
+from panelspark.operators.skew import even_cuts, fits_broadcast, positions
 from panelspark.session import cut_lineage
 
 # A sorted limit gathers n rows in one task; larger samples are cut by distributed position.
@@ -60,7 +60,10 @@ def bootstrap_rows(df: DataFrame, key: str, reps: int, seed: int | str) -> DataF
     spread = rows.select("_row", "n").repartition(tasks, "_row")
     slots = spread.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("_row").alias("_slot"), F.col("n").alias("_n"))
     drawn = slots.select("rep", F.pmod(h32(seed, F.col("rep"), F.col("_slot")), F.col("_n")).alias("_row"))
-    return drawn.join(rows.drop("n"), "_row").select("rep", *df.columns)
+    looked_up = rows.drop("n")
+    if fits_broadcast(df.select(key)):  # else the draws and the rows are shuffled by row number
+        looked_up = F.broadcast(looked_up)
+    return drawn.join(looked_up, "_row").select("rep", *df.columns)
 
 
 def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Frames of a few narrow columns are broadcast up to this many rows, and only after they were counted.
+BROADCAST_ROWS = 500_000
+
 # A key or value is "hot" from 1/HOT_SHARE of the rows on: at most HOT_SHARE of them can exist.
 HOT_SHARE = 64
 
@@ -17,6 +20,11 @@ def range_buckets(df: DataFrame) -> int:
     return min(512, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Does ``df`` have at most ``max_rows`` rows? Counting stops just beyond them."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys holding at least 1/share of the rows: never more than ``share`` rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

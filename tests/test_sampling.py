@@ -40,7 +40,10 @@ def test_shuffle_and_split(ids):
     assert {r.k for r in train.collect()} == set(order(3)[50:])
 
 
-def test_bootstrap_counts(ids):
+@pytest.mark.parametrize("limit", [10, 1000])
+def test_bootstrap_counts(ids, monkeypatch, limit):
+    """With and without the broadcast of a frame counted as small."""
+    monkeypatch.setattr(sm, "fits_broadcast", lambda df: df.limit(limit + 1).count() <= limit)
     got = {(r.rep, r.k): r.weight for r in sm.bootstrap_counts(ids, "k", 4, 5).collect()}
     want = Counter((rep, order(5)[h(5, rep, slot) % 200]) for rep in range(4) for slot in range(200))
     assert got == want
