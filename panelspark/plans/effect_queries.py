@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import effects as ef
-from panelspark.operators import stats as st
 from panelspark.plans import tables as tb
 from panelspark.plans.registry import Out, query
 from panelspark.plans.stats_queries import HDI_SQL
