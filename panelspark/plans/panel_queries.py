@@ -70,14 +70,14 @@ _LAG = Out(longs=("region", "C", "C_tlag1", "C_tlag7", "V_tlag1", "V_tlag7"), st
 @query(
     "p02_calendar_lag",
     _LAG.sql(
-        tb.SO + "x AS (SELECT region, date, n AS C, CAST(floor(price) AS BIGINT) AS V FROM so)",
+        tb.SO + "x AS (SELECT region, date, n AS C, CAST(floor(price * n + 0.001) AS BIGINT) AS V FROM so)",
         f"SELECT x.region, strftime(x.date, '%Y-%m-%d') AS date, x.C, a.C AS C_tlag1, b.C AS C_tlag7, a.V AS V_tlag1, b.V AS V_tlag7 "
         "FROM x JOIN x a ON a.region = x.region AND a.date + 1 = x.date JOIN x b ON b.region = x.region AND b.date + 7 = x.date",
     ),
 )
 def calendar_lag(spark, sf):
     """On a panel with gaps: rows without both lagged days are dropped."""
-    x = tb.sparse_orders(spark, sf).select("region", "date", F.col("n").alias("C"), F.floor("price").alias("V"))
+    x = tb.sparse_orders(spark, sf).select("region", "date", F.col("n").alias("C"), F.floor(F.col("price") * F.col("n") + 0.001).alias("V"))
     return _LAG.of(dated(pn.calendar_lag(x, ["C", "V"], [1, 7])))
 
 
@@ -241,7 +241,7 @@ def smooth_drop_ends(spark, sf):
 
 
 GAPS = """
-g AS (SELECT region, date, CASE WHEN n % 3 = 0 THEN NULL ELSE price END AS x FROM so),
+g AS (SELECT region, date, CASE WHEN n % 3 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS x FROM so),
 h AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY date) AS i, date - DATE '1970-01-01' AS d FROM g),
 k AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY region ORDER BY i) AS ia,
         min(CASE WHEN x IS NOT NULL THEN i END) OVER (PARTITION BY region ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ib FROM h),
@@ -260,7 +260,7 @@ _INT = Out(longs=("region",), strings=("date",), doubles=("by_position", "by_dat
 )
 def interpolate(spark, sf):
     s = tb.sparse_orders(spark, sf)
-    gap = F.when(F.col("n") % 3 == 0, None).otherwise(F.col("price"))
+    gap = F.when(F.col("n") % 3 == 0, None).otherwise(F.col("n"))
     s = s.select("region", "date", gap.alias("by_position"), gap.alias("by_date"))
     return _INT.of(dated(pn.interpolate(pn.interpolate(s, "by_position"), "by_date", by="date")))
 
