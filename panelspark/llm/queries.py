@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm import packing, pii, quality, secrets
+from panelspark.llm import decontam, langid, licenses, neardup, packing, pii, quality, secrets, toxicity
 from panelspark.llm.scratch import stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,32 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def remainder(key: str, by: int) -> Column:
+    """CRC-32 of the id as text, modulo ``by``."""
+    return F.crc32(F.col(key).cast("string")) % by
+
+
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "n_copies")
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, out="score")
+    return scored.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op3_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder("doc_id", 4) != 2))
+    found = langid.detect(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     rank = F.create_map(*[x for i, k in enumerate(pii.KINDS) for x in (F.lit(k), F.lit(i))])
@@ -41,6 +67,10 @@ def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def crc32(ids: Column) -> Column:
     """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
 
@@ -59,6 +89,10 @@ def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests)
 
 
+def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     base_failed = F.col("failed").bitwiseAND(F.lit(quality.BASE)) != 0
@@ -83,9 +117,17 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_pii_deobfuscation": op4_pii_deobfuscation,
-    "op6_minimum_bin_slack": op6_minimum_bin_slack,
-    "op8_rule_ledger": op8_rule_ledger,
-    "op9_blob_ledger": op9_blob_ledger,
+    f.__name__: f
+    for f in (
+        op1_dart_minhash,
+        op2_counterfactual_toxicity,
+        op3_word_first_backoff,
+        op4_pii_deobfuscation,
+        op5_simhash_windows,
+        op6_minimum_bin_slack,
+        op7_license_templates,
+        op8_rule_ledger,
+        op9_blob_ledger,
+    )
 }
 ORACLES: dict[str, str] = {}
