@@ -108,7 +108,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     own = with_shingles(docs.select(id_col, text_col), text_col).drop(text_col)
     # a long list of literals is looked up by hashing
     hits = F.array_compact(F.transform("_shingles", lambda s, i: F.when(s.isin(every + [0] * 12), i)))
-    own = own.withColumn("_hits", hits).where(F.size("_hits") > 0).withColumn("_row", F.monotonically_increasing_id())
+    # texts without a hit end at the explode below; a filter here would be pushed under the arrays and build them anew
+    own = own.withColumns({"_hits": hits, "_row": F.monotonically_increasing_id()})
 
     def starts(size: int) -> Column:
         """First shingles of the windows of this size that hold a hit: both windows over each hit."""
