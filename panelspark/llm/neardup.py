@@ -73,7 +73,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray
             if not active.any():
                 continue
             some = np.flatnonzero(active)
-            seed = mixed(base[some] + _U(number + 1) * _U(0xC2B2AE3D27D4EB4F))
+            seed = mixed(base[some] + _U((number + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
             darts = np.searchsorted(_poisson(high - low), seed * _UNIT, "right")
             hit = np.flatnonzero(darts)
             times = darts[hit]

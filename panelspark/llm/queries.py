@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm import decontam, langid, licenses, neardup, packing, pii, quality, secrets, toxicity
+from panelspark.llm import decontam, langid, licenses, neardup, packing, pii, quality, secrets, substrings, toxicity
 from panelspark.llm.scratch import stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,6 +116,12 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_merge_sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -128,6 +134,7 @@ QUERIES = {
         op7_license_templates,
         op8_rule_ledger,
         op9_blob_ledger,
+        op10_merge_sorted_suffixes,
     )
 }
 ORACLES: dict[str, str] = {}
