@@ -25,7 +25,13 @@ WORDS_A_PASS = 1_000_000
 CHUNK = 4096
 
 EDGES = np.linspace(0, BITS, BLOCKS + 1).round().astype(int)
-MASKS = [(np.uint64((1 << int(b - a)) - 1), np.uint64(a)) for a, b in zip(EDGES, EDGES[1:], strict=False)]
+SHIFTS = EDGES[:-1].astype(np.uint64)
+MASKS = np.array([(1 << int(b - a)) - 1 for a, b in zip(EDGES, EDGES[1:], strict=False)], np.uint64)
+
+
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """One number for each block of each fingerprint: the block's place and its bits."""
+    return (prints[:, None] >> SHIFTS & MASKS).astype(np.int64) + np.arange(BLOCKS) * (1 << int(np.diff(EDGES).max()))
 
 
 def bit_signs(hashes: np.ndarray) -> np.ndarray:
@@ -51,35 +57,32 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 @dataclass
 class Sized:
-    """The items of one length in words: ids, shingles, fingerprints, and for each block the items by its value."""
+    """The items of one length in words: ids, shingles, fingerprints, and the index from block values to items."""
 
     length: int
     ids: list = field(default_factory=list)
     shingles: list = field(default_factory=list)
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    blocks: list = field(default_factory=list)
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def index(self) -> None:
         self.prints = fingerprints(np.stack([bit_signs(s).sum(0) for s in self.shingles]))
-        for mask, shift in MASKS:
-            values = self.prints >> shift & mask
-            order = np.argsort(values, kind="stable")
-            self.blocks.append((values[order], order))
+        keys = block_keys(self.prints).ravel()
+        self.items = np.argsort(keys, kind="stable") // BLOCKS
+        values = BLOCKS * (1 << int(np.diff(EDGES).max()))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=values))])
 
     def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """All (window, item) within the radius: those that share a block, then those that are near enough."""
-        found = []
-        for (mask, shift), (values, order) in zip(MASKS, self.blocks, strict=True):
-            own = prints >> shift & mask
-            first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            n = last - first
-            window = np.repeat(np.arange(len(prints)), n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            item = order[place]
-            near = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-            found.append(window[near] * len(self.ids) + item[near])
-        for pair in np.unique(np.concatenate(found)):
-            yield divmod(int(pair), len(self.ids))
+        keys = block_keys(prints).ravel()
+        begin, n = self.first[keys], self.first[keys + 1] - self.first[keys]
+        window = np.repeat(np.arange(len(keys)) // BLOCKS, n)
+        place = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        item = self.items[place]
+        near = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        for pair in np.unique(window[near] * len(self.ids) + item[near]).tolist():
+            yield divmod(pair, len(self.ids))
 
 
 class Benchmark:

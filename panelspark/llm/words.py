@@ -8,6 +8,8 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
+#: ASCII marks that are no part of a word.
+MARKS = "".join(chr(c) for c in range(33, 127) if not WORD.match(chr(c)))
 SHINGLE = 5
 #: Tokens a worker remembers; beyond that it starts anew.
 CACHE = 400_000
@@ -28,7 +30,11 @@ class WordHashes(dict):
     """Hashes, as bytes, of the lower-case words in a token without white space."""
 
     def __missing__(self, token: str) -> bytes:
-        hashes = b"".join(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for w in WORD.findall(token.lower()))
+        word = token.lower().strip(MARKS)
+        if word.isalnum():
+            hashes = xxhash.xxh64_digest(word)
+        else:
+            hashes = b"".join(xxhash.xxh64_digest(w.encode("utf-8", "surrogatepass")) for w in WORD.findall(word))
         if len(token) <= 64:
             if len(self) >= CACHE:
                 self.clear()
