@@ -117,7 +117,7 @@ def fit(
     text_col: str = "text",
     sample: int = SAMPLE,
     penalty: float = 1.0,
-    shrink: float = 2e-4,
+    shrink: float = 2e-3,
     rounds: int = 300,
 ) -> Model:
     """Logistic regression on a bounded sample of labelled documents.
