@@ -175,8 +175,9 @@ def sorted_neighbours(surroundings: DataFrame, side: str, parts: int) -> DataFra
     first, second = (LENGTH, BEFORE) if side == "after" else (BEFORE, LENGTH)
     rows = surroundings.select("uid", "place", _records(side).alias("string"))
     width = first + second + 8
-    sample = [bytes(r[0]) for r in rows.orderBy(F.xxhash64("place", "uid")).select("string").limit(min(SAMPLE, 50 * parts)).collect()]
-    sample.sort()
+    # one record in so many, chosen by hash: about SAMPLE of them whatever their number
+    every = 1 + parts * PART // min(SAMPLE, 100 * parts)
+    sample = sorted(bytes(r[0]) for r in rows.where(F.pmod(F.xxhash64("place", "uid"), F.lit(every)) == 0).select("string").collect())
     cuts = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
 
     def run(held: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
