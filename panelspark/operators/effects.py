@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import codes
 from panelspark.functions.nulls import ratio, weighted_mean
 from panelspark.operators.panel import expand_dates, interpolate, rate_of_change
-from panelspark.operators.stats import change_between, highest_density, interval_summary, weighted_means
+from panelspark.operators.stats import change_between, highest_density, interval_summary, quantiles, weighted_means
 
 # Fixed values of the effect-size report.
 NATION = 337_000_000
@@ -51,9 +51,8 @@ def posterior_summary(long: DataFrame, by: Sequence[str] = ("idx",), value: str
     between = chains.groupBy(*by).agg(F.avg("_v").alias("_w"), F.var_samp("_m").alias("_b"), F.avg("_n").alias("_n"))
     n = F.col("_n")
     r_hat = F.sqrt(ratio((n - 1) / n * F.col("_w") + F.col("_b"), F.col("_w")))
-    basic = long.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.percentile(value, F.lit(0.5)).alias("median")
-    )
+    basic = long.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    basic = basic.join(quantiles(long, value, [0.5], by).select(*by, F.col("value").alias("median")), by)
     hdi = highest_density(long, value, by, ["chain", "draw"], prob)
     return basic.join(hdi, by).join(between.select(*by, r_hat.alias("r_hat")), by)
 

@@ -148,18 +148,28 @@ def _count_users(user_days: DataFrame, labels: DataFrame, kind: str) -> DataFram
 
 
 def attach_predictions(events: DataFrame, predictions: DataFrame, spread: Sequence[str] = ("event_id",)) -> DataFrame:
-    """Joins labels made once per distinct text back to every event; a missing text matches a missing text."""
-    return salted_join(events, predictions, ["text"], spread=spread, null_safe=True)
+    """Joins labels made once per distinct text back to every event; a missing text matches a missing text.
+
+    Texts meet by their digest, so no shuffle or sort has a text as its key.
+    """
+    keyed = predictions.withColumn("_digest", text_digest("text")).drop("text")
+    return salted_join(events.withColumn("_digest", text_digest("text")), keyed, ["_digest"], spread=spread, null_safe=True).drop("_digest")
+
+
+def text_digest(text: str) -> Column:
+    """128 bits that stand for a text where it is a key; NULL for a missing one."""
+    return F.unhex(F.md5(F.col(text)))
 
 
 def distinct_texts(events: DataFrame, text: str = "text") -> DataFrame:
-    return events.select(text).distinct()
+    return events.select(text).groupBy(text_digest(text).alias("_digest")).agg(F.first(text).alias(text)).select(text)
 
 
 def clean_answers(answers: DataFrame) -> DataFrame:
     """accept/reject answers to distinct (text, is_flagged) rows; other answers and missing texts go."""
     kept = answers.where(F.col("answer") != "ignore").select("text", answer_flag(F.col("answer")).alias("is_flagged"))
-    return drop_missing(kept.distinct())
+    one = kept.groupBy(text_digest("text").alias("_digest"), "is_flagged").agg(F.first("text").alias("text"))
+    return drop_missing(one.select("text", "is_flagged"))
 
 
 def answer_flag(answer: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.codes import median3
 from panelspark.functions.nulls import ratio, same
 from panelspark.operators.sampling import bootstrap_counts, bootstrap_rows, poisson_weights
-from panelspark.operators.skew import cut_points, prefix_sums
+from panelspark.operators.skew import prefix_sums
 from panelspark.operators.stats import interval_summary, last_values, standard_scaled
 
 
@@ -97,7 +97,7 @@ def confusion_metrics(scored: DataFrame, group: Sequence[str], threshold: float
     )
 
 
-def roc_auc(scored: DataFrame, group: Sequence[str], weight: str = "weight", cuts: DataFrame | None = None) -> DataFrame:
+def roc_auc(scored: DataFrame, group: Sequence[str], weight: str = "weight") -> DataFrame:
     """Chance that a positive outscores a negative, ties counting half; NULL with one class only.
 
     Rows are first reduced to one per (group, score), then negatives below each
@@ -108,7 +108,7 @@ def roc_auc(scored: DataFrame, group: Sequence[str], weight: str = "weight", cut
     cells = scored.groupBy(*group, "score").agg(
         F.sum(F.when(F.col("label") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 1, 0).otherwise(w)).alias("neg")
     )
-    run = prefix_sums(cells, "score", ["neg"], group, cuts)
+    run = prefix_sums(cells, "score", ["neg"], group)
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     return run.groupBy(*group).agg(ratio(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
@@ -127,8 +127,7 @@ def bootstrap_metrics(scored: DataFrame, key: str, reps: int, seed: int | str, t
         rows = poisson_weights(scored.select(key, "label", "score"), key, reps, seed)
     # both kinds of metric only need the weight per (replicate, label, score)
     cells = rows.groupBy("rep", "label", "score").agg(F.sum("weight").alias("weight"))
-    # every replicate draws from the same scores, so their cut points serve all
-    auc = roc_auc(cells, ["rep"], cuts=cut_points(scored, "score"))
+    auc = roc_auc(cells, ["rep"])
     return confusion_metrics(cells, ["rep"], threshold).join(auc, "rep")
 
 

@@ -10,30 +10,27 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import HASH_SPAN, h32, unit
 from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, bare_word, is_word, raw_words, words
-from panelspark.operators.skew import even_cuts, fits_broadcast, positions
+from panelspark.operators.skew import positions
 from panelspark.session import cut_lineage
 
-# A sorted limit gathers n rows in one task; larger samples are cut by distributed position.
-TOP_K_LIMIT = 100_000
-
 
 def hash_order(df: DataFrame, key: str, seed: int | str, out: str = "_h") -> DataFrame:
     return df.withColumn(out, h32(seed, F.col(key)))
 
 
 def hash_positions(df: DataFrame, key: str, seed: int | str, out: str = "pos") -> DataFrame:
-    """Adds each row's place in the random order, and the row count ``n``. Hashes are even, so fixed cut points balance."""
-    return positions(hash_order(df, key, seed), "_h", tie=[key], out=out, cuts=even_cuts(df, HASH_SPAN)).drop("_h")
+    """Adds each row's place in the random order, and the row count ``n``. Hashes are even, so equal ranges balance."""
+    return positions(hash_order(df, key, seed), "_h", tie=[key], out=out, span=HASH_SPAN).drop("_h")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int | str, skip: int = 0) -> DataFrame:
-    """Rows ``skip`` to ``skip + n`` of a random order; ``key`` is unique."""
-    hashed = hash_order(df, key, seed)
-    if skip + n <= TOP_K_LIMIT:
-        top = hashed.orderBy("_h", key).limit(skip + n)
-        return (top.offset(skip) if skip else top).drop("_h")
-    placed = hash_positions(df, key, seed, "_pos")
-    return placed.where((F.col("_pos") >= skip) & (F.col("_pos") < skip + n)).select(*df.columns)
+    """Rows ``skip`` to ``skip + n`` of a random order; ``key`` is unique.
+
+    Keys alone are put in order and numbered; the rows then come by a semi-join.
+    """
+    placed = hash_positions(df.select(key), key, seed, "_pos")
+    picked = placed.where((F.col("_pos") >= skip) & (F.col("_pos") < skip + n)).select(key)
+    return df.join(picked, key, "left_semi").select(*df.columns)
 
 
 def shuffled(df: DataFrame, key: str, seed: int | str) -> DataFrame:
@@ -60,10 +57,7 @@ def bootstrap_rows(df: DataFrame, key: str, reps: int, seed: int | str) -> DataF
     spread = rows.select("_row", "n").repartition(tasks, "_row")
     slots = spread.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("_row").alias("_slot"), F.col("n").alias("_n"))
     drawn = slots.select("rep", F.pmod(h32(seed, F.col("rep"), F.col("_slot")), F.col("_n")).alias("_row"))
-    looked_up = rows.drop("n")
-    if fits_broadcast(df.select(key)):  # else the draws and the rows are shuffled by row number
-        looked_up = F.broadcast(looked_up)
-    return drawn.join(looked_up, "_row").select("rep", *df.columns)
+    return drawn.join(rows.drop("n"), "_row").select("rep", *df.columns)
 
 
 def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:
@@ -147,35 +141,43 @@ def rebalance_words(
     seed: int | str,
     threshold: float = 0.02,
     more_than: int = 5,
-    drop_share: float = 0.0,
+    one_by_one: bool = False,
     text: str = "text",
     exceptions: Sequence[str] = OVERSAMPLING_EXCEPTIONS,
 ) -> DataFrame:
     """Drops random rows holding an over-sampled word until no word is over-sampled.
 
-    With ``drop_share=0`` one row goes per round. A larger share drops that
-    part of the flagged rows (at least one) per round, which needs far fewer
-    rounds on a large table and may drop somewhat more rows. Each round is
-    written to the shared checkpoint folder.
+    ``one_by_one`` drops one row per round. Otherwise a round drops, for every
+    over-sampled word, as many rows as its count exceeds what the baseline
+    allows at the current totals, so no word is thinned beyond its excess and
+    few rounds are needed. Words of each row are held beside its key; rounds
+    move those only, and each is written to the shared checkpoint folder.
     """
-    tokens = df.withColumns({"_w": words(F.col(text), stop_words), "_h": h32(seed, F.col(key))})
-    kept = cut_lineage(tokens)
+    held = cut_lineage(df.select(key, words(F.col(text), stop_words).alias("_w"), h32(seed, F.col(key)).alias("_h")))
+    kept = held
     while True:
-        counts = kept.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        over = oversampled_words(counts.where(F.col("n") > more_than), baseline, threshold, exceptions).select("word")
-        # each row's words are distinct here, so a row is met once per over-sampled word at most
-        held = kept.select(key, "_h", F.explode(F.array_distinct("_w")).alias("word"))
-        flagged = cut_lineage(held.join(over, "word", "left_semi").select(key, "_h").distinct())
-        n_flagged = flagged.count()
-        if n_flagged == 0:
-            return kept.select(*df.columns)
-        n_drop = max(1, int(n_flagged * drop_share))
-        if n_drop <= TOP_K_LIMIT:
-            dropped = flagged.orderBy("_h", key).limit(n_drop)
+        counts = kept.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
+        over = excess_words(counts, baseline, threshold, exceptions)
+        rows_of = kept.select(key, "_h", F.explode(F.array_distinct("_w")).alias("word")).join(over, "word")
+        if one_by_one:
+            dropped = rows_of.orderBy("_h", key).limit(1).select(key)
         else:
-            cuts = even_cuts(flagged, HASH_SPAN)
-            dropped = positions(flagged, "_h", tie=[key], out="_pos", cuts=cuts).where(F.col("_pos") < n_drop)
-        kept = cut_lineage(kept.join(dropped.select(key), key, "left_anti").select(*tokens.columns))
+            least = positions(rows_of, "_h", ["word"], [key], "_pos")
+            dropped = least.where(F.col("_pos") < F.col("excess")).select(key).distinct()
+        dropped = cut_lineage(dropped)
+        if dropped.isEmpty():
+            return df.join(kept.select(key), key, "left_semi").select(*df.columns)
+        kept = cut_lineage(kept.join(dropped, key, "left_anti").select(*held.columns))
+
+
+def excess_words(counts: DataFrame, baseline: DataFrame, threshold: float, exceptions: Sequence[str]) -> DataFrame:
+    """(word, excess): over-sampled words and by how much their count exceeds what the baseline allows, at least 1."""
+    both = counts.join(baseline.select("word", F.col("n").alias("m")), "word")
+    totals = both.agg(F.struct(F.sum("n").alias("n"), F.sum("m").alias("m"))).scalar()
+    q = F.col("m") / totals.getField("m")
+    allowed = (q + threshold * F.sqrt(q)) * totals.getField("n")
+    over = oversampled_words(counts, baseline, threshold, exceptions).select("word")
+    return both.join(over, "word", "left_semi").select("word", F.greatest(F.lit(1), F.ceil(F.col("n") - allowed)).cast("bigint").alias("excess"))
 
 
 def pick_draw(draws: DataFrame, seed: int | str) -> DataFrame:

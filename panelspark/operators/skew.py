@@ -8,27 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Frames of a few narrow columns are broadcast up to this many rows, and only after they were counted.
-BROADCAST_ROWS = 500_000
+# Rows that one task of an ordered pass is meant to sort: the number of ranges follows from the row count.
+RANGE_ROWS = 1_000_000
 
-# A key or value is "hot" from 1/HOT_SHARE of the rows on: at most HOT_SHARE of them can exist.
-HOT_SHARE = 64
+# Rows sampled per range to place the cut points.
+SAMPLED = 20
 
 
-def range_buckets(df: DataFrame) -> int:
-    """How many ranges to cut an ordered pass into: about one per shuffle task."""
-    return min(512, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Does ``df`` have at most ``max_rows`` rows? Counting stops just beyond them."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def range_count(df: DataFrame) -> Column:
+    """How many ranges to cut an ordered pass over ``df`` into, as a scalar: some per task at least, more as rows grow."""
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    return F.greatest(F.lit(2 * tasks(df)), F.ceil(rows / F.lit(RANGE_ROWS))).cast("bigint")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding at least 1/share of the rows: never more than ``share`` rows."""
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int | None = None) -> DataFrame:
+    """Keys holding at least 1/share of the rows: never more than ``share`` rows.
+
+    By default the share is a quarter of what a shuffle task has on average, so
+    a key that is left alone cannot make its task much longer than others.
+    """
+    share = share or 4 * tasks(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()
     return counts.where(F.col("_n") * share >= total).drop("_n")
 
 
@@ -45,25 +50,27 @@ def salted_join(
 
     ``keyed`` is unique on ``on`` and is copied ``salts`` times for the hot keys
     only. ``spread`` names columns of ``big`` that differ within a hot key. The
-    list of hot keys has at most HOT_SHARE rows, so broadcasting it is bounded.
+    list of hot keys has at most a few rows per shuffle task, so broadcasting it
+    is bounded. A hot NULL is spread like any other key, also where it matches
+    nothing.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"how={how!r} is not supported")
     on = list(on)
-    salts = salts or max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = salts or max(8, tasks(big))
     hot = hot_keys(big, on).withColumn("_hot", F.lit(True))
     spread_cols = [F.col(c) for c in (spread or [c for c in big.columns if c not in on])]
     salt = F.pmod(F.xxhash64(*spread_cols), F.lit(salts)).cast("int")
 
-    def same_keys(left: str, right: str) -> Column:
+    def same_keys(left: str, right: str, nulls: bool = null_safe) -> Column:
         cond = F.lit(True)
         for k in on:
             a, b = F.col(f"{left}.{k}"), F.col(f"{right}.{k}")
-            cond = cond & (a.eqNullSafe(b) if null_safe else a == b)
+            cond = cond & (a.eqNullSafe(b) if nulls else a == b)
         return cond
 
     def with_flag(df: DataFrame) -> DataFrame:
-        joined = df.alias("d").join(F.broadcast(hot.alias("h")), same_keys("d", "h"), "left")
+        joined = df.alias("d").join(F.broadcast(hot.alias("h")), same_keys("d", "h", True), "left")
         return joined.select("d.*", F.coalesce("h._hot", F.lit(False)).alias("_hot"))
 
     left = with_flag(big).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
@@ -90,28 +97,41 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """One row: an array of cut points between which lie about equal numbers of rows, from a bounded sketch.
+def cut_points(df: DataFrame, value: str, tie: Sequence[str] = ()) -> DataFrame:
+    """One row: a sorted array of cut points between which lie about equal numbers of rows.
 
-    They are taken over all groups together, so a range holds at most about
-    1/buckets of the whole table whatever share one group has of it.
+    They come from a sample of SAMPLED rows per range, chosen by a hash of value
+    and ``tie``, so that no more than the sample meets in one task. They are
+    taken over all groups together: a range holds about an even part of the
+    whole table whatever share one group has of it.
     """
-    buckets = buckets or range_buckets(df)
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(value, probs, F.lit(20 * buckets))
-    return df.agg(F.array_sort(F.array_distinct(sketch)).alias("_cuts"))
+    buckets, rows = range_count(df), df.agg(F.count(F.lit(1))).scalar()
+    every = F.greatest(F.lit(1), F.floor(rows / (buckets * SAMPLED))).cast("bigint")
+    chosen = df.where(F.pmod(F.xxhash64(value, *tie), every) == 0)
+    values = F.array_sort(F.collect_list(value))
+    step = F.greatest(F.lit(1), F.floor(F.size("_values") / buckets)).cast("int")
+    picked = F.filter("_values", lambda x, i: i % F.col("_step") == F.col("_step") - 1)
+    return chosen.agg(values.alias("_values")).withColumn("_step", step).select(F.array_distinct(picked).alias("_cuts"))
+
 
+def _below(cuts: str, v: Column) -> Column:
+    """How many of the sorted cut points are smaller than ``v``, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
 
-def even_cuts(df: DataFrame, span: int, buckets: int | None = None) -> list[int]:
-    """Cut points for a value spread evenly over [0, span), such as a hash."""
-    buckets = buckets or range_buckets(df)
-    return [span * i // buckets for i in range(1, buckets)]
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        open_ = acc["lo"] < acc["hi"]
+        less = F.get(cuts, mid) < v
+        return F.struct(F.when(open_ & less, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~less, mid).otherwise(acc["hi"]).alias("hi"))
 
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + F.lit(2))).cast("int"))
+    return F.aggregate(rounds, start, halve)["lo"]
 
-def _with_cuts(df: DataFrame, cuts: DataFrame | list[int]) -> DataFrame:
+
+def _with_cuts(df: DataFrame, cuts: DataFrame | list) -> DataFrame:
     """Adds the array ``_cuts``; the one row of cut points is all that is broadcast."""
     if isinstance(cuts, list):
-        return df.withColumn("_cuts", F.array(*[F.lit(c).cast("bigint") for c in cuts]))
+        return df.withColumn("_cuts", F.array(*[F.lit(c) for c in cuts]))
     return df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
 
 
@@ -121,30 +141,30 @@ def positions(
     group: Sequence[str] = (),
     tie: Sequence[str] = (),
     out: str = "pos",
-    cuts: DataFrame | list[int] | None = None,
+    span: int | None = None,
 ) -> DataFrame:
     """Zero-based position of each row in the order (value, tie) within its group, and the group size ``n``.
 
-    Cut points divide the values into ranges; rows are numbered inside a
-    (group, range) and shifted by the sizes of the ranges below. A cut point
-    that is itself a frequent value forms a range of its own, split again by a
-    hash of ``tie``, since the order among equal values carries no meaning. The
-    result is exact whatever the cut points are; they only balance the work.
-    Rows with a missing value are left out.
+    Values are divided into ranges; rows are numbered inside a (group, range)
+    and shifted by the sizes of the ranges below. A cut point that is itself a
+    frequent value forms a range of its own, split again by a hash of ``tie``,
+    since the order among equal values carries no meaning. ``span`` says that
+    the values are spread evenly from 0 to span, as hashes are; their range is
+    then plain arithmetic. The result is exact whatever the ranges are; they
+    only balance the work. Rows with a missing value are left out.
     """
     rows = df.where(F.col(value).isNotNull())
-    buckets = range_buckets(df)
-    if cuts is None:
-        cuts = cut_points(rows, value)
     v = F.col(value)
-    on_cut = F.array_contains("_cuts", v)
-    sub = F.pmod(F.xxhash64(*[F.col(t) for t in tie]), F.lit(buckets)) if tie else F.lit(0)
-    ranged = _with_cuts(rows, cuts).withColumns(
-        {
-            "_range": F.size(F.filter("_cuts", lambda c: c < v)) * 2 + on_cut.cast("int"),
-            "_sub": F.when(on_cut, sub).otherwise(F.lit(0)).cast("int"),
-        }
-    ).drop("_cuts")
+    if span is not None:
+        whole_range = F.floor(v * range_count(rows) / F.lit(span)).cast("bigint")
+        ranged = rows.withColumns({"_range": whole_range, "_sub": F.lit(0)})
+    else:
+        held = _with_cuts(rows, cut_points(rows, value, tie))
+        below = _below("_cuts", v)
+        held = held.withColumn("_at", below)
+        on_cut = F.coalesce(F.get("_cuts", F.col("_at")) == v, F.lit(False))
+        sub = F.pmod(F.xxhash64(*tie), F.lit(2 * tasks(df))).cast("int") if tie else F.lit(0)
+        ranged = held.withColumns({"_range": F.col("_at") * 2 + on_cut.cast("int"), "_sub": F.when(on_cut, sub).otherwise(F.lit(0))}).drop("_cuts", "_at")
 
     cell = [*group, "_range", "_sub"]
     before = W.partitionBy(*group).orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)
@@ -165,18 +185,25 @@ def prefix_sums(
     value: str,
     sums: Sequence[str],
     group: Sequence[str] = (),
-    cuts: DataFrame | list[int] | None = None,
+    cuts: DataFrame | list | None = None,
 ) -> DataFrame:
-    """Adds ``<c>_below``: the sum of c over smaller values of the group. (group, value) must be unique."""
+    """Adds ``<c>_below``, the sum of c over smaller values of the group, and ``<c>_all``, that over the whole group.
+
+    (group, value) must be unique. The sums of a group come from its ranges, so
+    its rows are never joined by the group alone.
+    """
     if cuts is None:
         cuts = cut_points(df, value)
-    v = F.col(value)
-    ranged = _with_cuts(df, cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
+    ranged = _with_cuts(df, cuts).withColumn("_range", _below("_cuts", F.col(value))).drop("_cuts")
     cell = [*group, "_range"]
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy(*cell).agg(*[F.sum(c).alias(f"_{c}_total") for c in sums])
-    totals = totals.select(*cell, *[F.coalesce(F.sum(f"_{c}_total").over(before), F.lit(0)).alias(f"_{c}_start") for c in sums])
+    totals = totals.select(
+        *cell,
+        *[F.coalesce(F.sum(f"_{c}_total").over(before), F.lit(0)).alias(f"_{c}_start") for c in sums],
+        *[F.sum(f"_{c}_total").over(W.partitionBy(*group)).alias(f"{c}_all") for c in sums],
+    )
     inside = W.partitionBy(*cell).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     run = ranged.withColumns({f"_{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
     joined = run.join(totals, cell)
-    return joined.select(*df.columns, *[(F.col(f"_{c}_start") + F.col(f"_{c}_in")).alias(f"{c}_below") for c in sums])
+    return joined.select(*df.columns, *[(F.col(f"_{c}_start") + F.col(f"_{c}_in")).alias(f"{c}_below") for c in sums], *[f"{c}_all" for c in sums])

@@ -1,9 +1,7 @@
 """Summary statistics.
 
 Exact order statistics over unbounded columns come from value counts and
-prefix sums, so no task ever holds a whole column. Where a group is bounded by
-construction (bootstrap replicates, posterior samples), ``bounded=True`` takes
-Spark's percentile aggregate instead.
+prefix sums, so no task ever holds a whole column or group.
 """
 
 from __future__ import annotations
@@ -15,26 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import ratio, weighted_mean
-from panelspark.operators.skew import cut_points, positions, prefix_sums
+from panelspark.operators.skew import positions, prefix_sums, salted_join
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
     """(group, prob, value): exact quantiles with linear interpolation."""
     group = list(group)
     p_list = [float(p) for p in probs]
-    if bounded:
-        q = df.groupBy(*group).agg(F.percentile(col, F.array(*[F.lit(p) for p in p_list])).alias("_q"))
-        cells = F.array(*[F.struct(F.lit(p).alias("prob"), F.get("_q", F.lit(i)).alias("value")) for i, p in enumerate(p_list)])
-        return q.select(*group, F.inline(cells))
-
     counts = df.where(F.col(col).isNotNull()).groupBy(*group, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # cut points come from the column itself, a scan without a shuffle
-    cuts = cut_points(df.select(F.col(col).cast("double").alias("_v")), "_v")
-    below = prefix_sums(counts, "_v", ["_c"], group, cuts)
-    if group:
-        placed = below.join(counts.groupBy(*group).agg(F.sum("_c").alias("_n")), group)
-    else:
-        placed = below.withColumn("_n", counts.agg(F.sum("_c")).scalar())
+    placed = prefix_sums(counts, "_v", ["_c"], group).withColumnRenamed("_c_all", "_n")
 
     def target(p: float) -> Column:
         at = (F.col("_n") - 1) * F.lit(p)
@@ -54,25 +41,25 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[s
 
 
 def interval_summary(df: DataFrame, col: str, group: Sequence[str] = (), q: float = 0.95, tail: str | None = "auto", null: float = 0.0) -> DataFrame:
-    """Mean, two-sided interval, half-width, add-one p-value and standard error of replicates.
+    """Mean, two-sided interval, half-width, add-one p-value and standard error of replicates or samples.
 
-    Meant for replicates or samples, whose number per group is a parameter.
     ``tail='upper'`` counts values >= null, ``'lower'`` values <= null, and
-    ``'auto'`` the side away from the mean.
+    ``'auto'`` the side away from the mean. Groups may be of any size: the ends
+    of the interval are exact quantiles, found without gathering a group.
     """
-    margin = (1 - q) / 2
+    margin, group = (1 - q) / 2, list(group)
     c = F.col(col)
     upper = (F.count_if(c >= null) + 1) / (F.count(c) + 1)
     lower = (F.count_if(c <= null) + 1) / (F.count(c) + 1)
     p = {"upper": upper, "lower": lower}.get(tail, F.when(F.avg(c) > null, lower).otherwise(upper))
-    out = df.groupBy(*group).agg(
-        F.count(c).alias("n"),
-        F.avg(c).alias("mean"),
-        F.percentile(col, F.lit(margin)).alias("lower"),
-        F.percentile(col, F.lit(1 - margin)).alias("upper"),
-        p.alias("p"),
-        sem(col).alias("sem"),
+    keys = [F.col(g) for g in group] or [F.lit(0).alias("_all")]
+    moments = df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), p.alias("p"), sem(col).alias("sem"))
+    ends = quantiles(df, col, [margin, 1 - margin], group).groupBy(*keys).agg(
+        F.max(F.when(F.col("prob") == margin, F.col("value"))).alias("lower"), F.max(F.when(F.col("prob") == 1 - margin, F.col("value"))).alias("upper")
     )
+    names = group or ["_all"]
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}")) for k in names]
+    out = moments.alias("m").join(ends.alias("e"), same, "left").select(*[f"m.{g}" for g in group], "n", "mean", "lower", "upper", "p", "sem")
     return out.withColumn("half_width", half_width(F.col("mean"), F.col("lower"), F.col("upper")))
 
 
@@ -148,20 +135,35 @@ def highest_density(df: DataFrame, value: str, group: Sequence[str], tie: Sequen
 def density(df: DataFrame, value: str, group: Sequence[str], points: int = 200, cut: float = 3.0) -> DataFrame:
     """(group, i, x, density): Gaussian kernel density on an even grid, bandwidth std * n**(-1/5).
 
-    Each draw meets the fixed grid of its own group; kernels are averaged on the map side.
+    Every grid point is one sum over the group's draws, combined on the map side.
     """
+    if not group:
+        return density(df.withColumn("_all", F.lit(0)), value, ["_all"], points, cut).drop("_all")
     group = list(group)
     stats = df.groupBy(*group).agg(
         F.min(value).alias("_min"), F.max(value).alias("_max"),
         (F.stddev_samp(value) * F.pow(F.count(value).cast("double"), F.lit(-0.2))).alias("_bw"),
-    )
+    ).where(F.col("_bw") > 0)
+    # equal draws weigh in as one row with a count, spread by value and not by group
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    rows = salted_join(counts, stats, group, spread=[value])
     lo, hi = F.col("_min") - cut * F.col("_bw"), F.col("_max") + cut * F.col("_bw")
-    i = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    rows = df.join(stats, group).where(F.col("_bw") > 0).select(*group, value, "_bw", lo.alias("_lo"), hi.alias("_hi"), i)
-    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / (points - 1)
-    z = (x - F.col(value)) / F.col("_bw")
-    kernel = F.exp(-0.5 * z * z) / (F.col("_bw") * (2 * 3.141592653589793) ** 0.5)
-    return rows.groupBy(*group, "i").agg(F.min(x).alias("x"), F.avg(kernel).alias("density"))
+    at = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+    width = F.col("_bw") * (2 * 3.141592653589793) ** 0.5
+
+    def kernel(x: Column) -> Column:
+        z = (x - F.col(value)) / F.col("_bw")
+        return F.col("_c") * F.exp(-0.5 * z * z) / width
+
+    # one sum per grid point: no draw is multiplied by the grid
+    sums = rows.groupBy(*group).agg(
+        F.first(lo).alias("_lo"), F.first(hi).alias("_hi"), F.sum("_c").alias("_n"), *[F.sum(kernel(x)).alias(f"_d{i}") for i, x in enumerate(at)]
+    )
+    grid = F.transform(
+        F.array(*[f"_d{i}" for i in range(points)]),
+        lambda d, i: F.struct(i.alias("i"), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points - 1)).alias("x"), (d / F.col("_n")).alias("density")),
+    )
+    return sums.select(*group, F.inline(grid))
 
 
 def explained_variance(y: Column, y_hat: Column) -> Column:

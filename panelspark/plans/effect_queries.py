@@ -22,16 +22,17 @@ def posterior_mean(spark, sf):
     return _MEAN.of(ef.posterior_mean(ef.explode_draws(tb.draws(spark, sf), "v")))
 
 
-_ALONG = Out(longs=("region",), doubles=("mean",))
+_ALONG = Out(longs=("region", "step"), doubles=("mean",))
 
 
 @query(
     "j12_mean_by_panel_row",
-    _ALONG.sql(tb.DR + tb.RG, "SELECT rg.region, avg(value) AS mean FROM ld JOIN rg ON rg.region = ld.idx GROUP BY 1"),
+    _ALONG.sql(tb.DR + tb.RG, "SELECT rg.region, step, avg(value) AS mean FROM ld JOIN (rg CROSS JOIN range(0, 3) t(step)) ON rg.region + 25 * step = ld.idx GROUP BY 1, 2"),
 )
 def mean_by_panel_row(spark, sf):
     """Posterior means attached to panel rows by an explicit observation number, never by row order."""
-    obs = tb.regions(spark, sf).select("region", F.col("region").alias("idx"))
+    steps = tb.regions(spark, sf).select("region", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"))
+    obs = steps.withColumn("idx", F.col("region") + 25 * F.col("step"))
     return _ALONG.of(ef.posterior_mean(tb.long_draws(spark, sf)).join(obs, "idx"))
 
 
@@ -127,19 +128,19 @@ _CF = Out(doubles={"per_head_per_day": 9, "per_head": 9, "total": 0})
     _CF.sql(
         tb.DR
         + tb.RG
-        + """d AS (SELECT idx AS obs, avg(value * value - value) AS d FROM ld WHERE idx < 50 GROUP BY 1),
-        p AS (SELECT region + 25 * k AS obs, k, population AS N FROM rg, range(0, 2) t(k)),
+        + """d AS (SELECT idx AS obs, avg(value * value - value) AS d FROM ld GROUP BY 1),
+        p AS (SELECT region + 25 * k AS obs, k, population AS N FROM rg, range(0, 3) t(k)),
         w AS (SELECT k, sum(d / N * N) / sum(N) AS ph FROM d JOIN p USING (obs) GROUP BY 1)""",
-        "SELECT avg(ph) AS per_head_per_day, avg(ph) * 8 * 2 AS per_head, avg(ph) * 8 * 2 * 337000000.0 AS total FROM w",
+        "SELECT avg(ph) AS per_head_per_day, avg(ph) * 8 * 3 AS per_head, avg(ph) * 8 * 3 * 337000000.0 AS total FROM w",
     ),
 )
 def counterfactual_change(spark, sf):
-    """Two result tables, here the draws and their squares, as a national total over two steps."""
-    fact = tb.long_draws(spark, sf).where("idx < 50").withColumnRenamed("idx", "obs")
+    """Two result tables, here the draws and their squares, as a national total over the three steps that the elements cover."""
+    fact = tb.long_draws(spark, sf).withColumnRenamed("idx", "obs")
     counter = fact.withColumn("value", F.col("value") * F.col("value"))
-    r = tb.regions(spark, sf).select("region", F.col("population").alias("N"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k"))
+    r = tb.regions(spark, sf).select("region", F.col("population").alias("N"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     panel = r.select((F.col("region") + 25 * F.col("k")).alias("obs"), F.col("k").alias("date"), "N")
-    return _CF.of(ef.counterfactual_change(fact, counter, panel, "value", F.lit(2)))
+    return _CF.of(ef.counterfactual_change(fact, counter, panel, "value", F.lit(3)))
 
 
 # ---- national reports ----

@@ -375,8 +375,8 @@ TEXTS = Out(longs=("doc_id", "n_chars"), strings=("lang",))
 
 @query("a13_first_per_text", TEXTS.sql("", "SELECT doc_id, n_chars, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"))
 def first_per_text(spark, sf):
-    d = tb.table(spark, sf, "documents").select("text", "doc_id", "n_chars", "lang")
-    return TEXTS.of(keep_first(d, ["text"], ["doc_id"]))
+    d = tb.table(spark, sf, "documents").select(ev.text_digest("text").alias("digest"), "doc_id", "n_chars", "lang")
+    return TEXTS.of(keep_first(d, ["digest"], ["doc_id"]))
 
 
 DISTINCTS = Out(longs=("n_parts", "n_suppliers", "n_days"))

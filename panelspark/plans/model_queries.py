@@ -41,15 +41,32 @@ def rater_majority(spark, sf):
     return _CONS.of(md.consensus(raters(spark, sf), "any2"))
 
 
-@query("m03_classify_events")
+_CLASS = Out(longs=("doc_id",), strings=("part",), flags=("sound",))
+
+
+@query(
+    "m03_classify_events",
+    _CLASS.sql(
+        f"""s AS (SELECT doc_id, row_number() OVER (ORDER BY {h('13', 'doc_id')}, doc_id) AS i FROM labels JOIN documents USING (doc_id)),""",
+        "SELECT d.doc_id, CASE WHEN i <= 70 THEN 'test' WHEN i > 70 THEN 'train' ELSE 'none' END AS part, true AS sound FROM documents d LEFT JOIN s USING (doc_id)",
+    ),
+)
 def classify_documents(spark, sf):
-    """Trained on the labelled documents, each distinct text scored once, labels joined back to every document."""
+    """Trained on the labelled documents but 70, each distinct text scored once, labels joined back to every document.
+
+    ``sound``: the label is that of the probability, and equal texts have equal labels.
+    """
     d = tb.table(spark, sf, "documents").select("doc_id", "text")
     labelled = d.join(tb.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    _, train = sm.split_by_count(labelled, "doc_id", 70, 13)
+    test, train = sm.split_by_count(labelled, "doc_id", 70, 13)
     model = md.train_text_classifier(train)
-    scored = md.score_texts(ev.distinct_texts(d), model)
-    return ev.attach_predictions(d, scored, spread=["doc_id"]).select("doc_id", F.round("prob", 6).alias("prob"), "label")
+    scored = ev.attach_predictions(d, md.score_texts(ev.distinct_texts(d), model), spread=["doc_id"])
+    keyed = scored.withColumn("digest", ev.text_digest("text")).drop("text")
+    spans = keyed.groupBy("digest").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    parts = test.select("doc_id", F.lit("test").alias("part")).unionByName(train.select("doc_id", F.lit("train").alias("part")))
+    out = keyed.join(spans, "digest").join(parts, "doc_id", "left").fillna("none", subset=["part"])
+    sound = (F.col("low") == F.col("high")) & (F.col("label") == (F.col("prob") > 0.5).cast("int")) & F.col("prob").between(0, 1)
+    return _CLASS.of(out.withColumn("sound", sound))
 
 
 # ---- evaluation ----
@@ -238,18 +255,18 @@ def confounder_screen(spark, sf):
     "m17_attribute_correlates",
     _SCREEN.sql(
         tb.DR + tb.RG + tb.OP.replace(tb.RG, "")
-        + """a AS (SELECT idx AS region, avg(value) AS a_first FROM ld WHERE idx < 25 GROUP BY 1), b AS (SELECT idx - 25 AS region, avg(value) AS a_last FROM ld WHERE idx BETWEEN 25 AND 49 GROUP BY 1),
+        + """e AS (SELECT idx % 25 AS region, idx // 25 AS step, avg(value) AS m FROM ld GROUP BY 1, 2), a AS (SELECT region, arg_min(m, step) AS a_first, arg_max(m, step) AS a_last FROM e GROUP BY 1),
         l AS (SELECT region, arg_max(V, date) / any_value(population) AS v_last FROM op GROUP BY 1),
-        x AS (SELECT * FROM a JOIN b USING (region) JOIN l USING (region) JOIN rg USING (region))""",
+        x AS (SELECT * FROM a JOIN l USING (region) JOIN rg USING (region))""",
         " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM x" for a in ("a_first", "a_last", "v_last") for b in ("balance", "population")),
     ),
 )
 def attribute_correlates(spark, sf):
     """First and last posterior means and the last V per head against scaled attributes."""
-    means = tb.long_draws(spark, sf).where("idx < 50").groupBy("idx").agg(F.avg("value").alias("m"))
-    first = means.where("idx < 25").select(F.col("idx").alias("region"), F.col("m").alias("a_first"))
-    last = means.where("idx >= 25").select((F.col("idx") - 25).alias("region"), F.col("m").alias("a_last"))
+    step = F.floor(F.col("idx") / 25)
+    means = tb.long_draws(spark, sf).groupBy((F.col("idx") % 25).alias("region"), step.alias("step")).agg(F.avg("value").alias("m"))
+    ends = means.groupBy("region").agg(F.min_by("m", "step").alias("a_first"), F.max_by("m", "step").alias("a_last"))
     v = st.last_values(tb.order_panel(spark, sf).withColumn("v_last", F.col("V") / F.col("population")), ["v_last"])
-    x = first.join(last, "region").join(v, "region").join(tb.regions(spark, sf).select("region", "balance", "population"), "region")
+    x = ends.join(v, "region").join(tb.regions(spark, sf).select("region", "balance", "population"), "region")
     x = st.standard_scaled(x, ["balance", "population"])
     return _SCREEN.of(st.correlations(x, [(a, b) for a in ("a_first", "a_last", "v_last") for b in ("balance", "population")]))

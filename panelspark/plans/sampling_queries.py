@@ -10,6 +10,7 @@ from panelspark.functions.text import words
 from panelspark.operators import sampling as sm
 from panelspark.plans import tables as tb
 from panelspark.plans.registry import Out, query
+from panelspark.session import cut_lineage
 
 
 def dated(df):
@@ -44,12 +45,13 @@ def sample_half(spark, sf):
     return _CHUNK.of(line.join(placed.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"))
 
 
-_RANK = Out(longs=("doc_id",))
+_RANK = Out(longs=("doc_id", "pos"))
 
 
-@query("rs02_shuffled", _RANK.sql("", "SELECT doc_id FROM documents"))
+@query("rs02_shuffled", _RANK.sql("", f"SELECT doc_id, row_number() OVER (ORDER BY {h('3', 'doc_id')}, doc_id) - 1 AS pos FROM documents"))
 def shuffled(spark, sf):
-    return sm.shuffled(tb.table(spark, sf, "documents").select("doc_id"), "doc_id", 3).select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    """Each row with its place in the random order, which shows the order to a comparison that ignores it."""
+    return _RANK.of(sm.hash_positions(tb.table(spark, sf, "documents").select("doc_id"), "doc_id", 3))
 
 
 @query("sl03_slice_of_shuffle", _ID.sql("", f"SELECT doc_id, n_chars FROM documents ORDER BY {h('4', 'doc_id')}, doc_id LIMIT 100 OFFSET 150"))
@@ -197,12 +199,21 @@ def oversampled_words(spark, sf):
     return _OVER.of(sm.oversampled_words(sm.word_counts(toxic_documents(spark, sf), STOP), baseline))
 
 
-@query("rs09_rebalance_words")
+_BALANCED = Out(longs=("n_over", "n_before", "n_foreign"))
+
+
+@query("rs09_rebalance_words", _BALANCED.sql("", "SELECT 0 AS n_over, count(*) AS n_before, 0 AS n_foreign FROM documents JOIN labels USING (doc_id) WHERE toxic = 1"))
 def rebalance_words(spark, sf):
-    """Flagged documents thinned, half of those with over-sampled words per round, until no word is over-sampled."""
+    """Flagged documents thinned, each over-sampled word by its excess per round, until none is over-sampled.
+
+    Counted afterwards: over-sampled words, documents before, and kept ones that were not among them.
+    """
+    before = toxic_documents(spark, sf)
     baseline = sm.word_counts(tb.table(spark, sf, "documents"), STOP)
-    out = sm.rebalance_words(toxic_documents(spark, sf), baseline, "doc_id", STOP, 12, threshold=0.02, drop_share=0.5)
-    return out.select("doc_id")
+    kept = cut_lineage(sm.rebalance_words(before, baseline, "doc_id", STOP, 12, threshold=0.02))
+    over = sm.oversampled_words(sm.word_counts(kept, STOP), baseline).agg(F.count(F.lit(1)).alias("n_over"))
+    foreign = kept.join(before.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1))).scalar()
+    return _BALANCED.of(over.select("n_over", before.agg(F.count(F.lit(1))).scalar().alias("n_before"), foreign.alias("n_foreign")))
 
 
 _SEMI = Out(longs=("doc_id",))

@@ -94,7 +94,7 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RG = """
-rg AS (
+rg AS MATERIALIZED (
   SELECT n.n_nationkey AS region, n.n_regionkey AS state, c.population, c.balance
   FROM nation n JOIN (SELECT c_nationkey, count(*) AS population, avg(c_acctbal) AS balance FROM customer GROUP BY 1) c
     ON c.c_nationkey = n.n_nationkey),
@@ -154,7 +154,7 @@ grid AS (SELECT rg.region, rg.state, rg.population, CAST(d.date AS DATE) AS date
 ap0 AS (SELECT grid.region, grid.state, grid.population, grid.date, """
     + ", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTS)
     + """ FROM grid LEFT JOIN act ON act.region = grid.region AND act.date = grid.date),
-ap AS (SELECT *, """
+ap AS MATERIALIZED (SELECT *, """
     + ", ".join(f"sum({c}) OVER (PARTITION BY region ORDER BY date) AS {t}" for c, t in TOTALS.items())
     + " FROM ap0),\n"
 )
@@ -164,10 +164,10 @@ ap AS (SELECT *, """
 
 NW = """
 own AS (SELECT DISTINCT event_id AS ref_id, region AS dst FROM ev),
-net AS (SELECT e.region AS src, own.dst, count(*) AS n_refs,
+net AS MATERIALIZED (SELECT e.region AS src, own.dst, count(*) AS n_refs,
                count(*) / (SELECT CAST((epoch_us(max(event_time)) - epoch_us(min(event_time))) // 86400000000 AS DOUBLE) FROM ev) AS n_refs_per_day
         FROM ev e JOIN own ON own.ref_id = e.ref_id WHERE e.ref_id <> -1 GROUP BY 1, 2),
-edg AS (SELECT src, dst, n_refs_per_day / sum(n_refs_per_day) OVER (PARTITION BY src) AS weight FROM net),
+edg AS MATERIALIZED (SELECT src, dst, n_refs_per_day / sum(n_refs_per_day) OVER (PARTITION BY src) AS weight FROM net),
 """
 
 
@@ -205,7 +205,7 @@ od AS (SELECT c.c_nationkey AS region, CAST(o_orderdate AS DATE) AS date,
        FROM orders JOIN customer c ON c.c_custkey = o_custkey GROUP BY 1, 2),
 ogrid AS (SELECT rg.region, rg.state, rg.population, CAST(d.date AS DATE) AS date
           FROM rg, (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS date FROM orders) d),
-op AS (SELECT g.region, g.state, g.population, g.date, """
+op AS MATERIALIZED (SELECT g.region, g.state, g.population, g.date, """
     + ", ".join(f"CAST(sum(coalesce(od.{c}, 0)) OVER (PARTITION BY g.region ORDER BY g.date) AS BIGINT) AS {c}" for c in "VCDU")
     + """ FROM ogrid g LEFT JOIN od ON od.region = g.region AND od.date = g.date),
 """
