@@ -78,9 +78,12 @@ def log_transforms(
     """log2(x + median/100) as ``x_log`` and log2(100) - log2(100 - x) as ``x_neglog``; the originals go."""
     present = [c for c in log_cols if c in df.columns]
     new = {}
-    for c in present:
-        med = quantiles(df, c, [0.5]).select("value").scalar()
-        new[f"{c}_log"] = inf_to_null(F.log2(F.col(c) + med / 100))
+    if present:
+        # all medians in one pass over the columns as rows, brought back as one map
+        long = df.select([F.col(c).cast("double").alias(c) for c in present]).unpivot([], present, "_column", "_value")
+        medians = quantiles(long, "_value", [0.5], ["_column"])
+        found = medians.agg(F.map_from_entries(F.collect_list(F.struct("_column", "value")))).scalar()
+        new = {f"{c}_log": inf_to_null(F.log2(F.col(c) + F.element_at(found, F.lit(c)) / 100)) for c in present}
     for c in complement_cols:
         new[f"{c}_neglog"] = inf_to_null(F.log2(F.lit(100.0)) - F.log2(100 - F.col(c)))
     return df.withColumns(new).drop(*present, *complement_cols)

@@ -83,3 +83,23 @@ def test_prefix_sums_with_bad_cut_points_stay_exact(spark, hot):
             want[x] = total
             total += sum(1 for _, _, y in data if y == x)
         assert got == want
+
+
+def test_hot_null_is_spread_in_a_left_join(spark):
+    big = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+    dim = spark.createDataFrame([(2, "two"), (4, "four")], "k long, name string")
+    got = skew.salted_join(big, dim, ["k"], "left")
+    assert rows(got.where("name IS NOT NULL"), "id", "name") == [(2, "two"), (4, "four")]
+    assert got.count() == 2000 and skew.hot_keys(big, ["k"]).count() == 1
+
+
+def test_cut_points_follow_the_rows(spark, hot, monkeypatch):
+    monkeypatch.setattr(skew, "RANGE_ROWS", 20)
+    data, df = hot
+    cuts = skew.cut_points(df, "x", ["id"]).first()[0]
+    assert 50 < len(cuts) <= 200 and cuts == sorted(cuts) and 5.0 in cuts
+    got = skew.positions(df, "x", tie=["id"]).collect()
+    assert sorted(r.pos for r in got) == list(range(len(data)))
+    assert [r.x for r in sorted(got, key=lambda r: r.pos)] == sorted(x for _, _, x in data)
+    spread = skew.positions(df.withColumn("y", (F.col("x") * 100).cast("long")), "y", tie=["id"], span=1000)
+    assert [r.pos for r in sorted(spread.collect(), key=lambda r: (r.y, r.id))] == list(range(len(data)))

@@ -15,15 +15,14 @@ def sample(spark):
     return data, spark.createDataFrame(data, "id int, g string, x double").repartition(3)
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_quantiles(spark, sample, bounded):
+def test_quantiles(spark, sample):
     data, df = sample
     probs = [0.0, 0.025, 0.5, 0.9, 1.0]
-    got = {(r.g, r.prob): r.value for r in st.quantiles(df, "x", probs, ["g"], bounded).collect()}
+    got = {(r.g, r.prob): r.value for r in st.quantiles(df, "x", probs, ["g"]).collect()}
     for g in "ab":
         for p in probs:
             assert got[(g, p)] == pytest.approx(np.quantile([x for _, h, x in data if h == g], p))
-    whole = {r.prob: r.value for r in st.quantiles(df, "x", probs, bounded=bounded).collect()}
+    whole = {r.prob: r.value for r in st.quantiles(df, "x", probs).collect()}
     assert whole == {p: pytest.approx(np.quantile([x for _, _, x in data], p)) for p in probs}
 
 
