@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ SIMILARITY = 0.8
 #: 20 bands of 4 coordinates: two texts that are 0.8 alike share no band with probability 0.00003.
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
+#: Rounds in which a text outside its bucket's main class meets HELPERS members of it.
+ROUNDS, HELPERS = 2, 12
 #: Documents whose darts are thrown at once.
 TOGETHER = 128
 
@@ -25,21 +29,21 @@ _U = np.uint64
 _UNIT = 2.0**-64
 
 
-def _cells(top: float) -> list[tuple[int, float, float]]:
-    """Cells of the rank axis up to ``top``, the same for every text: (number, low, high), none higher than 1."""
-    out, low, number = [], 0.0, 0
-    while low < top:
-        high = 0.125 if not low else min(2 * low, low + 1)
-        out.append((number, low, high))
-        low, number = high, number + 1
-    return out
+def _cells() -> Iterator[tuple[int, float, float]]:
+    """Cells of the rank axis from its start on, the same for every text: (number, low, high)."""
+    bound = 0.0
+    for number in count():
+        high = 0.125 if not bound else min(2 * bound, bound + 1 if bound < 8 else bound + 16)
+        yield number, bound, high
+        bound = high
 
 
+@lru_cache(64)
 def _poisson(mean: float) -> np.ndarray:
     """Probabilities of at most 0, 1, 2, ... darts in a region of this area."""
     p = math.exp(-mean)
     terms = [p]
-    for k in range(1, 20):
+    for k in range(1, 20 + int(5 * mean)):
         p *= mean / k
         terms.append(p)
     return np.cumsum(terms)
@@ -53,8 +57,8 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray
     most one high in rank. How many darts lie in a region, and for each its
     place, rank and coordinate, follow from a hash of element and region alone,
     so two sets see the same darts where their weights overlap. A dart counts if
-    it lies below the element's weight. Regions are opened until about
-    k ln k + 2 k darts have hit a set and every coordinate has one. Two sets
+    it lies below the element's weight. Regions are opened by rising rank until
+    every coordinate of a set has a dart, some k ln k darts in all. Two sets
     agree at a coordinate with a probability equal to their weighted similarity.
     A set without weight has only zeros.
     """
@@ -63,36 +67,30 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray
     nth = np.arange(len(column)) - np.repeat(np.cumsum(width) - width, width)
     base = mixed(elements[column] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
     room, own = weights[column] - nth, owner[column]
-    total = np.bincount(owner, weights, n)
     out, ranks = np.zeros(n * k, np.uint64), np.full(n * k, np.inf)
-    low_before, top, need = np.zeros(n), np.zeros(n), total > 0
-    top[need] = (k * math.log(k) + 2 * k) / total[need]
-    while need.any():
-        for number, low, high in _cells(float(top[need].max())):
-            active = need[own] & (low >= low_before[own]) & (low < top[own])
-            if not active.any():
-                continue
-            some = np.flatnonzero(active)
-            seed = mixed(base[some] + _U((number + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
-            darts = np.searchsorted(_poisson(high - low), seed * _UNIT, "right")
-            hit = np.flatnonzero(darts)
-            times = darts[hit]
-            at = np.repeat(hit, times)
-            turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            dart = mixed(seed[at] ^ mixed(turn.astype(np.uint64) + _U(0x165667B19E3779F9)))
-            inside = (mixed(dart ^ _U(0xD6E8FEB86659FD93)) * _UNIT) < room[some[at]]
-            dart, at = dart[inside], at[inside]
-            rank = low + (high - low) * (mixed(dart ^ _U(0xA0761D6478BD642F)) * _UNIT)
-            place = own[some[at]] * k + (dart % _U(k)).astype(np.int64)
-            order = np.lexsort((rank, place))
-            place, rank, dart = place[order], rank[order], dart[order]
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-            better = first[rank[first] < ranks[place[first]]]
-            ranks[place[better]], out[place[better]] = rank[better], dart[better]
-        opened = np.array([_cells(t)[-1][2] if t else 0.0 for t in top])
-        low_before = np.where(need, opened, low_before)
-        need = need & np.isinf(ranks.reshape(n, k)).any(axis=1)
-        top = np.where(need, 2 * opened, top)
+    alive = np.arange(len(column))
+    for number, low, high in _cells():
+        open_ = np.isinf(ranks.reshape(n, k)).any(axis=1)
+        alive = alive[open_[own[alive]]]
+        if not len(alive):
+            break
+        seed = mixed(base[alive] + _U((number + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
+        darts = np.searchsorted(_poisson(high - low), seed * _UNIT, "right")
+        hit = np.flatnonzero(darts)
+        times = darts[hit]
+        at = np.repeat(hit, times)
+        turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        dart = mixed(seed[at] ^ mixed(turn.astype(np.uint64) + _U(0x165667B19E3779F9)))
+        inside = (mixed(dart ^ _U(0xD6E8FEB86659FD93)) * _UNIT) < room[alive[at]]
+        dart, at = dart[inside], at[inside]
+        rank = low + (high - low) * (mixed(dart ^ _U(0xA0761D6478BD642F)) * _UNIT)
+        place = own[alive[at]] * k + (dart % _U(k)).astype(np.int64)
+        order = np.lexsort((rank, place))
+        place, rank, dart = place[order], rank[order], dart[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        # what earlier regions have given is of lower rank
+        better = first[np.isinf(ranks[place[first]])]
+        ranks[place[better]], out[place[better]] = rank[better], dart[better]
     return out.reshape(n, k)
 
 
@@ -182,6 +180,34 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets with the root of their class so far."""
+    joined = members.join(roots, members["uid"] == roots["node"], "left")
+    return joined.select("bucket", "uid", "far", F.coalesce("root", "uid").alias("root"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(bucket, main): buckets that hold several classes, with the one that has most of its members."""
+    held = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
+    each = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("_classes"), F.max(F.struct("_n", "root")).alias("_most"))
+    return each.where("_classes > 1").select("bucket", F.col("_most.root").alias("main"))
+
+
+def _with_helpers(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): every text that is outside its bucket's main class with some members of that class.
+
+    Copies edited at random are often alike to some of a class and not to its
+    first text. Which members help is a matter of a hash, so a class has HELPERS
+    of them however large it is.
+    """
+    placed = _placed(members, roots)
+    outside = placed.join(_mixed(placed), "bucket").where("root != main").select("uid", F.col("main").alias("root")).distinct()
+    chosen = [F.min(F.struct(F.xxhash64("uid", F.lit(turn * HELPERS + k)), "uid"))["uid"] for k in range(HELPERS)]
+    helpers = placed.groupBy("root").agg(F.array_distinct(F.array(*chosen)).alias("_helpers"))
+    pairs = fanned_join(outside, helpers, "root", ["uid"]).select("uid", F.explode("_helpers").alias("_helper"))
+    return pairs.select(F.col("_helper").alias("a"), F.col("uid").alias("b")).where("a != b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, uid, class_uid, class_id, n_copies): the near-duplicate class of each row.
 
@@ -189,8 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class is a connected component of links together with the exact copies of
     its texts. ``class_id`` is its smallest id (null only if all are null).
     Only one row per different text is compared. In each bucket every text is
-    checked with the bucket's first text. A pair that this leaves in two classes
-    is checked too, unless their distances to the first text show that it cannot
+    checked with the bucket's first text, and those left outside its main class
+    with some others of that class. A pair that this leaves in two classes is
+    checked too, unless the distances to the first text show that it cannot
     be alike: one minus the similarity obeys the triangle inequality.
 
     A null text is a class of its own (``uid`` and ``class_uid`` null); texts
@@ -209,20 +236,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = stored(verified(shared.where("uid != first").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct(), texts))
     links = stars.where(F.col("similarity") >= least).select("a", "b")
-    roots = components(links)
-
     far = stars.select(F.col("a").alias("first"), F.col("b").alias("uid"), (1 - F.col("similarity")).alias("far"))
-    placed = shared.join(far, ["first", "uid"], "left").join(roots, F.col("uid") == F.col("node"), "left")
-    placed = placed.select("bucket", "uid", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "uid").alias("root"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.max("far").alias("_far"))
-    mixed_buckets = mixed_buckets.where((F.col("_a") != F.col("_b"))).select("bucket")
-    open_rows = stored(placed.where(F.col("far") > 0).join(mixed_buckets, "bucket"))
+    members = stored(shared.join(far, ["first", "uid"], "left").select("bucket", "uid", F.coalesce("far", F.lit(0.0)).alias("far")))
+    roots = components(links)
+    for turn in range(ROUNDS):
+        more = stored(verified(_with_helpers(members, roots, turn), texts).where(F.col("similarity") >= least).select("a", "b"))
+        if more.isEmpty():
+            break
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    placed = _placed(members, roots)
+    open_rows = stored(placed.where("far > 0").join(_mixed(placed).select("bucket"), "bucket"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     apart = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & apart)
     rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     more = verified(rest, texts).where(F.col("similarity") >= least).select("a", "b")
-    roots = components(links.unionByName(more))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     classed = rows.join(roots, F.col("uid") == F.col("node"), "left").select("id", "uid", F.coalesce("root", "uid").alias("class_uid"))
     sizes = classed.where(F.col("class_uid").isNotNull()).groupBy("class_uid").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
