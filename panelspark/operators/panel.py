@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions.nulls import ratio
 from panelspark.operators.stats import quantiles
@@ -137,7 +140,8 @@ def make_monotonic(
 
     Without epsilon a running minimum (from the end) or maximum does it. With
     epsilon a repaired value lies epsilon below (above) its fixed neighbour,
-    which depends on the neighbour's own repair: a fold over the sorted series.
+    which depends on the neighbour's own repair: one fold over the sorted series
+    of a region, which has at most one row per calendar day; a repeated day raises.
     """
     if epsilon == 0:
         w = _so_far(region, date, reverse=prioritize_last)
@@ -145,30 +149,35 @@ def make_monotonic(
         # a missing value takes its repaired neighbour; a missing fixed end leaves the whole series missing
         return df.withColumns({c: F.when(F.first(c).over(w).isNotNull(), extreme(c).over(w)) for c in cols})
 
-    arrays = _collect_series(df, region, date)
-
-    def repaired(c: str) -> Column:
-        x = F.transform("_s", lambda s: s[c].cast("double"))
-        if prioritize_last:
-            x = F.reverse(x)
-
-        def step(acc: Column, v: Column) -> Column:
-            near = F.get(acc, F.lit(0))
-            fits = (v < near) if prioritize_last else (v > near)
-            moved = near - epsilon if prioritize_last else near + epsilon
-            fixed = F.when(F.size(acc) == 0, v).when(fits, v).otherwise(moved)
-            return F.concat(F.array(fixed), acc)
-
-        folded = F.aggregate(x, F.array().cast("array<double>"), step)
-        return folded if prioritize_last else F.reverse(folded)
-
-    return _explode_series(arrays, df.columns, {c: repaired(c) for c in cols}, region)
+    kinds = [T.StructField(f.name, T.DoubleType()) if f.name in cols else f for f in df.schema]
+    sign = 1.0 if prioritize_last else -1.0
+
+    def repaired(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(date)
+        if pc.count_distinct(rows[date], mode="all").as_py() < rows.num_rows:
+            raise ValueError("a series has a date more than once")
+        for c in cols:
+            x = [None if v is None else sign * float(v) for v in rows[c].to_pylist()]
+            fixed, near = [], None
+            for k, v in enumerate(reversed(x) if prioritize_last else x):
+                if k and near is None:
+                    v = None
+                elif k and (v is None or v >= near):
+                    v = near - epsilon
+                near = v
+                fixed.append(None if v is None else sign * v)
+            rows = rows.set_column(rows.column_names.index(c), c, pa.array(fixed[::-1] if prioritize_last else fixed, pa.float64()))
+        return rows
+
+    return df.groupBy(region).applyInArrow(repaired, T.StructType(kinds)).select(*df.columns)
 
 
 def _collect_series(df: DataFrame, region: str, date: str) -> DataFrame:
     """One row per region with its rows as a date-ordered array (at most one entry per calendar day)."""
     rest = [c for c in df.columns if c not in (region, date)]
-    return df.groupBy(region).agg(F.array_sort(F.collect_list(F.struct(date, *rest))).alias("_s"))
+    series = df.groupBy(region).agg(F.array_sort(F.collect_list(F.struct(date, *rest))).alias("_s"))
+    dates = F.transform("_s", lambda s: s[date])
+    return series.withColumn("_s", F.when(F.size(F.array_distinct(dates)) == F.size(dates), F.col("_s")).otherwise(F.raise_error(F.lit("a series has a date more than once"))))
 
 
 def _explode_series(arrays: DataFrame, columns: Sequence[str], new: Mapping[str, Column], region: str) -> DataFrame:

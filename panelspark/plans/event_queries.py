@@ -119,7 +119,7 @@ def _per_day(e):
 def sink_by_date(spark, sf):
     path = scratch_path(spark, "by-date")
     files.write_by_date(tb.raw_events(spark, sf), path)
-    return PER_DAY.of(_per_day(files.read_parquet(spark, path)))
+    return PER_DAY.of(_per_day(spark.read.parquet(path)))
 
 
 SUPPLIER = Out(longs=("region", "n"), doubles={"balance": 6})
@@ -134,6 +134,94 @@ def delimited_files(spark, sf):
     return SUPPLIER.of(back.groupBy(F.col("s_nationkey").alias("region")).agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("balance")))
 
 
+@query("io08_comma_csv", SUPPLIER.sql("", "SELECT c_nationkey AS region, count(*) AS n, avg(c_acctbal) AS balance FROM customer GROUP BY 1"))
+def comma_csv(spark, sf):
+    """Written with a header and read back under a declared schema."""
+    path = scratch_path(spark, "customers")
+    files.write_csv(tb.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), path)
+    back = files.read_delimited(spark, path, "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE")
+    return SUPPLIER.of(back.groupBy(F.col("c_nationkey").alias("region")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("balance")))
+
+
+MILES = Out(longs=("county1", "n"), doubles=("miles",))
+
+
+@query("io10_tab_separated", MILES.sql("", "SELECT c_nationkey AS county1, count(*) AS n, sum(c_acctbal) AS miles FROM customer WHERE c_acctbal > 0 GROUP BY 1"))
+def tab_separated(spark, sf):
+    path = scratch_path(spark, "distances")
+    c = tb.table(spark, sf, "customer").where("c_acctbal > 0")
+    rows = c.select(F.col("c_nationkey").alias("county1"), F.col("c_custkey").alias("county2"), F.col("c_acctbal").alias("mi_to_county"))
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    back = files.read_delimited(spark, path, schemas.DISTANCES, sep="\t")
+    return MILES.of(back.groupBy("county1").agg(F.count(F.lit(1)).alias("n"), F.sum("mi_to_county").alias("miles")))
+
+
+TEXT_LABELS = Out(longs=("quality", "n"), strings=("longest",))
+
+
+@query("io11_text_csv", TEXT_LABELS.sql("", "SELECT quality, count(*) AS n, max(CAST(doc_id AS VARCHAR)) AS longest FROM labels GROUP BY 1"))
+def text_csv(spark, sf):
+    """All columns stay text, so codes keep their zeros and sort as text."""
+    path = scratch_path(spark, "labels")
+    files.write_csv(tb.table(spark, sf, "labels"), path)
+    back = files.read_delimited(spark, path)
+    return TEXT_LABELS.of(back.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("longest")))
+
+
+ANSWERED = Out(longs=("n", "n_flagged"))
+
+
+@query(
+    "io14_two_json_files",
+    ANSWERED.sql(
+        "a AS (SELECT DISTINCT md5(text) AS d, n_chars % 3 = 0 AS f FROM documents WHERE n_chars % 3 < 2),",
+        "SELECT count(*) AS n, count(*) FILTER (f) AS n_flagged FROM a",
+    ),
+)
+def two_json_files(spark, sf):
+    """Answers written as two sets of JSON lines, read together and cleaned."""
+    d = tb.table(spark, sf, "documents")
+    answer = F.element_at(F.array(F.lit("accept"), F.lit("reject"), F.lit("ignore")), (F.col("n_chars") % 3 + 1).cast("int"))
+    paths = [scratch_path(spark, f"answers{k}") for k in range(2)]
+    for k, path in enumerate(paths):
+        files.write_json_lines(d.where(F.col("doc_id") % 2 == k).select("text", answer.alias("answer")), path)
+    clean = ev.clean_answers(files.read_json_lines(spark, paths, schemas.ANSWERS))
+    return ANSWERED.of(clean.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_flagged").alias("n_flagged")))
+
+
+@query("io04_dated_files", DAYS_POSTED.sql(POSTS_SQL, "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, count(*) FILTER (ref_id <> -1) AS n_shared, count(DISTINCT user_id) AS n_users FROM f WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' GROUP BY 1"))
+def dated_files(spark, sf):
+    """Daily folders of JSON lines, of which only those in the range are opened."""
+    path = scratch_path(spark, "daily-posts")
+    lines = posts_as_json(spark, sf).withColumnRenamed("file_date", "date")
+    lines.hint("rebalance", "date").write.partitionBy("date").option("compression", "gzip").text(path)
+    posts = ev.flatten_posts(files.posts_between(spark, path, "2024-01-08", "2024-01-21"))
+    out = posts.groupBy(F.date_format("event_time", "yyyy-MM-dd").alias("date")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("ref_id") != -1).alias("n_shared"), F.count_distinct("user_id").alias("n_users")
+    )
+    return DAYS_POSTED.of(out)
+
+
+WIDE_DAYS = Out(longs=("region", "n"), strings=("date",))
+
+
+@query(
+    "r01_wide_daily_file",
+    WIDE_DAYS.sql(
+        "o AS (SELECT c_nationkey AS region, date_trunc('month', o_orderdate) AS d, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), m AS (SELECT DISTINCT d FROM o), r AS (SELECT DISTINCT region FROM o)",
+        "SELECT r.region, strftime(m.d, '%Y-%m-%d') AS date, o.n FROM r CROSS JOIN m LEFT JOIN o ON o.region = r.region AND o.d = m.d",
+    ),
+)
+def wide_daily_file(spark, sf):
+    """A file with four id columns and a column per date, written and read back by its header line."""
+    path = scratch_path(spark, "wide")
+    o = tb.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.date_format("o_orderdate", "yyyy-MM-01").alias("month"))
+    per_user = o.agg(F.count(F.lit(1)).alias("n")).join(tb.users(spark, sf), "user_id")
+    wide = per_user.groupBy("region", F.lit("name").alias("name"), F.lit("kind").alias("kind"), (F.col("region") % 5).alias("code")).pivot("month").agg(F.sum("n"))
+    files.write_csv(wide, path)
+    return WIDE_DAYS.of(rg.wide_to_long(files.read_wide_days(spark, path), ["region", "name", "kind", "code"], "n").withColumn("date", F.date_format("date", "yyyy-MM-dd")))
+
+
 CODES = Out(longs=("region", "n"), doubles=("gini",))
 
 

@@ -20,11 +20,14 @@ def read_json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
 
 
-def files_between(spark: SparkSession, folder: str, first: str, last: str, pattern: str = r"(\d{4}-\d{2}-\d{2})\.json") -> list[str]:
-    """Daily files whose name carries a date in [first, last], in order. Only the listing is read."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    dated = names.withColumn("_d", F.regexp_extract("path", pattern, 1)).where(F.col("_d").between(first, last))
-    return [r.path for r in dated.orderBy("_d", "path").collect()]
+def posts_between(spark: SparkSession, folder: str, first: str, last: str) -> DataFrame:
+    """Raw posts of the days in [first, last] from a folder with one subfolder ``date=YYYY-MM-DD`` per day.
+
+    The date is a partition column, so files of other days are never opened.
+    """
+    schema = f"{schemas.POSTS.strip()}, date DATE"
+    posts = spark.read.schema(schema).option("mode", "FAILFAST").option("basePath", folder).json(folder)
+    return posts.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
@@ -44,10 +47,6 @@ def read_delimited(spark: SparkSession, path: str, schema: str | None = None, se
     return nan_to_null(raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in types.fields if f.name in columns]))
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.parquet(*paths)
-
-
 def read_wide_days(spark: SparkSession, path: str) -> DataFrame:
     """Wide file with four id columns and one count column per ISO date; the days come from its header line."""
     raw = spark.read.option("header", True).csv(path)
@@ -68,11 +67,6 @@ def write_by_date(df: DataFrame, path: str, date: str = "date") -> None:
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    """To a path not read by ``df``."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

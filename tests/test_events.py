@@ -53,11 +53,14 @@ def test_stream_takes_each_file_once_and_equals_batch(spark, tmp_path):
     assert rows(got, "event_id", "event_time") == rows(batch, "event_id", "event_time")
 
 
-def test_files_between(spark, tmp_path):
+def test_posts_between_open_only_their_days(spark, tmp_path):
     for day in ("2021-01-31", "2021-02-01", "2021-02-02", "2021-02-03"):
-        write(tmp_path / f"streaming--{day}.json.gz", POSTS[:1])
-    got = files.files_between(spark, str(tmp_path), "2021-02-01", "2021-02-02")
-    assert [p[-18:-8] for p in got] == ["2021-02-01", "2021-02-02"]
+        (tmp_path / f"date={day}").mkdir()
+        write(tmp_path / f"date={day}" / "part.json.gz", POSTS[:1])
+    got = files.posts_between(spark, str(tmp_path), "2021-02-01", "2021-02-02")
+    assert sorted(str(r.date) for r in got.select("date").distinct().collect()) == ["2021-02-01", "2021-02-02"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
 
 
 # user 1 is active in two regions, user 2 ties, user 3 has no label, user 4 comes back
