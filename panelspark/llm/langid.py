@@ -111,25 +111,34 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
     )
 
 
-def word_scores(model: Model, word: str) -> np.ndarray:
+class GramScores(dict):
+    """Sum of log frequencies and number of the n-grams that stand for a string: itself if it was learned, else its parts."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model, self.none = model, np.zeros(len(model.languages) + 1)
+
+    def __missing__(self, part: str) -> bytes:
+        if (known := self.model.grams.get(len(part), {}).get(part)) is not None:
+            found = np.array([*known, 1.0])
+        elif len(part) < 2:
+            found = self.none
+        else:
+            found = np.frombuffer(self[part[:-1]]) + np.frombuffer(self[part[1:]])
+        if len(self) >= CACHE:
+            self.clear()
+        self[part] = out = found.tobytes()
+        return out
+
+
+def word_scores(model: Model, grams: GramScores, word: str) -> np.ndarray:
     """Log frequencies of a word; of an unseen one, the mean over its n-grams, each replaced by shorter ones where unseen."""
     if (known := model.words.get(word)) is not None:
         return np.array(known)
-    found: list[tuple[float, ...]] = []
-    marked = f"<{word}>"
-
-    def cover(part: str, n: int) -> None:
-        if n == 0:
-            return
-        for i in range(len(part) - n + 1):
-            g = part[i : i + n]
-            if (known := model.grams.get(n, {}).get(g)) is not None:
-                found.append(known)
-            else:
-                cover(g, n - 1)
-
-    cover(marked, min(LONGEST, len(marked)))
-    return np.mean(found, axis=0) if found else np.zeros(len(model.languages))
+    width = len(model.languages)
+    parts = _grams(word, min(LONGEST, len(word) + 2))
+    total = np.frombuffer(b"".join(map(grams.__getitem__, parts))).reshape(-1, width + 1).sum(0)
+    return total[:width] / total[width] if total[width] else total[:width]
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,14 +153,14 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
-        width = len(m.languages)
+        width, grams = len(m.languages), GramScores(m)
 
         def token(t: str) -> bytes:
             if (found := known.get(t)) is None:
                 words = WORD.findall(t.lower())
                 v = np.zeros(width + 1, np.float32)
                 for w in words:
-                    v[:width] += word_scores(m, w)
+                    v[:width] += word_scores(m, grams, w)
                 v[width] = len(words)
                 found = v.tobytes()
                 if len(t) <= 64:
