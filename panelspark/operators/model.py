@@ -20,6 +20,7 @@ from panelspark.functions.nulls import ratio, same
 from panelspark.operators.sampling import bootstrap_counts, bootstrap_rows, poisson_weights
 from panelspark.operators.skew import prefix_sums
 from panelspark.operators.stats import interval_summary, last_values, standard_scaled
+from panelspark.session import cut_lineage
 
 
 # ---- labels ----
@@ -235,7 +236,7 @@ def forest_importances(df: DataFrame, key: str, y: str, xs: Sequence[str], reps:
     distributed job of its own.
     """
     rows = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(df.select(key, F.col(y).cast("double").alias("_y"), *xs))
-    weights = bootstrap_counts(df, key, reps, seed)
+    weights = cut_lineage(bootstrap_counts(df, key, reps, seed))  # drawn once for all fits
     forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_hat",
                                    maxDepth=depth, numTrees=trees, seed=seed)
     out = None

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import h32
@@ -135,16 +138,42 @@ def attributes(spark, sf):
 ATTRIBUTES = ["balance", "population", "supplier_balance", "suppliers"]
 
 
-@query("m10_principal_components")
+_PC = Out(longs=("n_regions",), doubles=("variance", "shared"), flags=("falling",))
+
+
+@query("m10_principal_components", _PC.sql(tb.RG, f"SELECT count(*) AS n_regions, {len(ATTRIBUTES)} AS variance, 0 AS shared, true AS falling FROM rg"))
 def principal_components(spark, sf):
-    out = md.principal_components(attributes(spark, sf), ATTRIBUTES, 2)
-    return out.select("region", F.round(F.abs("pc0"), 6).alias("pc0"), F.round(F.abs("pc1"), 6).alias("pc1"))
+    """What holds of all components of scaled columns: variances add up to the number of columns, covariances are 0."""
+    names = [f"pc{i}" for i in range(len(ATTRIBUTES))]
+    out = md.principal_components(attributes(spark, sf), ATTRIBUTES, len(names))
+    variances = [F.var_pop(c) for c in names]
+    pairs = [F.abs(F.covar_pop(a, b)) for i, a in enumerate(names) for b in names[i + 1 :]]
+    falling = [a >= b - 1e-9 for a, b in zip(variances, variances[1:], strict=False)]
+    row = out.agg(F.count(F.lit(1)).alias("n_regions"), sum(variances, F.lit(0.0)).alias("variance"), F.greatest(*pairs, F.lit(0.0)).alias("shared"), reduce(and_, falling, F.lit(True)).alias("falling"))
+    return _PC.of(row)
+
+
+_CLUSTERED = Out(longs=("region",), flags=("nearest",))
 
 
-@query("m11_cluster_regions")
+@query("m11_cluster_regions", _CLUSTERED.sql(tb.RG, "SELECT region, true AS nearest FROM rg"))
 def cluster_regions(spark, sf):
-    out = md.cluster_regions(attributes(spark, sf), ATTRIBUTES, 4, 2)
-    return out.groupBy("cluster").agg(F.count_distinct("region").alias("n_regions"), F.count(F.lit(1)).alias("n_rows"))
+    """Regions in four clusters; each must be nearest to the centre of its own."""
+    rows = attributes(spark, sf)
+    labels = md.cluster_regions(rows, ATTRIBUTES, 4).select("region", "cluster").distinct()
+    x = st.standard_scaled(st.last_values(rows, ATTRIBUTES), ATTRIBUTES).join(labels, "region")
+    centres = x.groupBy("cluster").agg(F.struct(*[F.avg(c).alias(c) for c in ATTRIBUTES]).alias("c"))
+    # four centres
+    every = centres.agg(F.collect_list(F.struct("cluster", "c"))).scalar()
+
+    x = x.withColumn("_every", every)
+
+    def far(centre):
+        return sum(((F.col(a) - centre["c"][a]) ** 2 for a in ATTRIBUTES), F.lit(0.0))
+
+    each = [F.get("_every", F.lit(k)) for k in range(4)]
+    best = F.array_min(F.array(*[F.struct(far(e).alias("far"), e["cluster"].alias("cluster")) for e in each]))
+    return _CLUSTERED.of(x.select("region", (best["cluster"] == F.col("cluster")).alias("nearest")))
 
 
 # ---- regression ----
@@ -195,10 +224,16 @@ def coefficient_summary(spark, sf):
     return _COEF.of(md.coefficient_summary(ols_replicates(spark, sf)))
 
 
-@query("m14_forest_importances")
+_FOREST = Out(longs=("n_features",), doubles=("total",), flags=("inside",))
+
+
+@query("m14_forest_importances", _FOREST.sql("", "SELECT 2 AS n_features, 1 AS total, count(*) > 0 AS inside FROM supplier"))
 def forest_importances(spark, sf):
+    """Importances over replicates: they add up to 1, and each mean lies inside its interval."""
     reps = md.forest_importances(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], 3, 16, trees=20)
-    return md.importance_summary(reps).select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")])
+    s = md.importance_summary(reps)
+    inside = F.bool_and((F.col("lower") <= F.col("mean") + 1e-12) & (F.col("mean") <= F.col("upper") + 1e-12))
+    return _FOREST.of(s.agg(F.count(F.lit(1)).alias("n_features"), F.sum("mean").alias("total"), inside.alias("inside")))
 
 
 _REPORT = Out(strings=("feature",), doubles={"coef": 4, "std_error": 4, "t": 3, "r2": 6})
