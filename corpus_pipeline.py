@@ -8,6 +8,7 @@ tokenized and packed. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +64,26 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def beside_extras(stage: Stage) -> Stage:
+    """The stage on documents that may have more columns: these get names of their own meanwhile, so none can clash."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extras = {c: f"_extra{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        return stage(spark, docs.withColumnsRenamed(extras), sf_dir).withColumnsRenamed({v: k for k, v in extras.items()})
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", one_of_each_class),
-    ("decontamination", drop_contaminated),
-    ("secrets", blank_secrets),
+    ("toxicity", beside_extras(drop_toxic)),
+    ("near_duplicates", beside_extras(one_of_each_class)),
+    ("decontamination", beside_extras(drop_contaminated)),
+    ("secrets", beside_extras(blank_secrets)),
     ("packing", pack_sequences),
 ]
 

@@ -95,14 +95,14 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
 
     ``secrets`` is an array of (start, kind, stop, rule) by start, then kind as
     listed; it is empty where nothing was found. All columns of ``versions``
-    stay; repeated rows stay repeated.
+    stay, but for those of these two names; repeated rows stay repeated.
     """
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     hits = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("findings") > 0))
     hits = hits.select("blob", "rule", order[F.col("rule")].alias("_kind"), F.explode("findings").alias("_f"))
     one = F.struct(F.col("_f.start").alias("start"), F.col("_kind").alias("kind"), F.col("_f.stop").alias("stop"), F.col("rule").alias("rule"))
     per_blob = hits.groupBy("blob").agg(F.sort_array(F.collect_list(one)).alias("secrets"))
-    out = with_blob(versions, text_col).join(per_blob, "blob", "left")
+    out = with_blob(versions.drop("secrets"), text_col).join(per_blob, "blob", "left")
     empty = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,rule:string>>")
     return out.withColumn("secrets", F.coalesce("secrets", empty))
 
