@@ -118,7 +118,7 @@ def fit(
     sample: int = SAMPLE,
     penalty: float = 1.0,
     shrink: float = 2e-3,
-    rounds: int = 300,
+    rounds: int = 400,
 ) -> Model:
     """Logistic regression on a bounded sample of labelled documents.
 
@@ -194,23 +194,28 @@ def _descend(data, width: int, penalty: float, shrink: float, rounds: int) -> tu
     weigh = share * np.where(y > 0, 0.5 / (share @ y), 0.5 / (share @ (1 - y)))
     r, c, v = _sparse(list(data["cols"]), list(data["times"]))
     v = np.log1p(v)
-    r2, c2, v2 = _sparse(list(data["cols2"]), list(data["times2"]))
-    v2 = np.log1p(v2)
-    times = lambda w, r, c, v: np.bincount(r, v * w[c], len(y))
-    back = lambda e, r, c, v: np.bincount(c, v * e[r], width)
-    w, b, look, look_b, t = np.zeros(width), 0.0, np.zeros(width), 0.0, 1.0
+    # only documents with identity terms have anything to compare: what they have minus what the swapped ones have
+    other = [list(a) != list(b) or list(x) != list(z) for a, b, x, z in zip(data["cols"], data["cols2"], data["times"], data["times2"], strict=True)]
+    pairs = data[np.array(other, bool)]
+    r1, c1, v1 = _sparse(list(pairs["cols"]), list(pairs["times"]))
+    r2, c2, v2 = _sparse(list(pairs["cols2"]), list(pairs["times2"]))
+    rd, cd, vd = np.concatenate([r1, r2]), np.concatenate([c1, c2]), np.concatenate([np.log1p(v1), -np.log1p(v2)])
+    share_d = share[np.array(other, bool)]
     norm = np.bincount(r, v * v, len(y))
-    step = 1.0 / (0.25 * max(1.0, float((weigh * norm).sum() / weigh.sum())) + 2 * penalty + 1e-9)
-    step = min(step, 0.5)
+    w, b, look, look_b, t = np.zeros(width), 0.0, np.zeros(width), 0.0, 1.0
+    step = min(0.5, 1.0 / (0.25 * max(1.0, float((weigh * norm).sum() / weigh.sum())) + 2 * penalty + 1e-9))
     for _ in range(rounds):
-        z = times(look, r, c, v) + look_b
-        change = times(look, r, c, v) - times(look, r2, c2, v2)
+        z = np.bincount(r, v * look[c], len(y)) + look_b
         e = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        d = 2 * penalty * share * change
-        g = back(e, r, c, v) + back(d, r, c, v) - back(d, r2, c2, v2)
+        g = np.bincount(c, v * e[r], width)
+        if len(rd):
+            change = np.bincount(rd, vd * look[cd], len(share_d))
+            g += np.bincount(cd, vd * (2 * penalty * share_d * change)[rd], width)
         new = look - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * shrink, 0)
         new_b = look_b - step * e.sum()
+        if np.abs(new - w).max(initial=0.0) < 1e-4 * np.abs(new).max(initial=1e-9):
+            return new, float(new_b)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, look_b = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new, new_b, t_new
