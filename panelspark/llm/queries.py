@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import decontam, langid, licenses, neardup, packing, pii, quality, secrets, substrings, toxicity
+from panelspark.llm.oracles import ORACLES  # noqa: F401  read by the entry
 from panelspark.llm.scratch import stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,5 +137,4 @@ QUERIES = {
         op9_blob_ledger,
         op10_merge_sorted_suffixes,
     )
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
