@@ -229,6 +229,12 @@ def coefficient_summary(replicates: DataFrame, value: str = "coef") -> DataFrame
     return out.orderBy(F.col("p").asc(), F.col("mean").desc())
 
 
+def explained_variance_summary(replicates: DataFrame) -> DataFrame:
+    """Mean and interval of the explained variance over replicates, each counted once."""
+    per_rep = replicates.groupBy("rep").agg(F.max("explained_variance").alias("explained_variance"))
+    return interval_summary(per_rep, "explained_variance").select("n", "mean", "lower", "upper")
+
+
 def forest_importances(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, seed: int, depth: int = 2, trees: int = 100) -> DataFrame:
     """(rep, feature, importance, explained_variance) of a random forest per bootstrap replicate.
 

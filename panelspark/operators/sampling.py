@@ -82,15 +82,23 @@ def poisson_weights(df: DataFrame, key: str, reps: int, seed: int | str) -> Data
     return drawn.where("weight > 0").drop("_u")
 
 
-def sample_regions(df: DataFrame, n: int, seed: int | str, replace: bool = False, region: str = "region") -> DataFrame:
-    """All rows of ``n`` random regions; with replacement a region drawn k times appears k times (column ``copy``)."""
+def sample_regions(
+    df: DataFrame, n: int | None, seed: int | str, replace: bool = False, region: str = "region", frac: float | None = None
+) -> DataFrame:
+    """All rows of ``n`` random regions, or of the part ``frac`` of them, rounded; with replacement a region drawn k
+    times appears k times (column ``copy``).
+    """
+    if (n is None) == (frac is None):
+        raise ValueError("give either n or frac")
     regions = df.select(region).distinct()
-    if not replace:
-        return df.join(sample_n(regions, region, n, seed), region, "left_semi").select(*df.columns)
-    rows = hash_positions(regions, region, seed, "_row")
-    slots = df.sparkSession.range(n).select(F.col("id").alias("_slot"))
     size = regions.agg(F.count(F.lit(1))).scalar()
-    picks = slots.select(F.col("_slot").alias("copy"), F.pmod(h32(seed, F.lit("draw"), F.col("_slot")), size).alias("_row"))
+    many = F.lit(n) if n is not None else F.round(size * F.lit(frac)).cast("bigint")
+    rows = hash_positions(regions, region, seed, "_row")
+    if not replace:
+        return df.join(rows.where(F.col("_row") < many).select(region), region, "left_semi").select(*df.columns)
+    slots = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(1).cast("bigint"), many.cast("bigint"))).alias("_slot"))
+    slots = slots.select((F.col("_slot") - 1).alias("_slot"), size.alias("_size"))
+    picks = slots.select(F.col("_slot").alias("copy"), F.pmod(h32(seed, F.lit("draw"), F.col("_slot")), F.col("_size")).alias("_row"))
     return df.join(picks.join(rows.select(region, "_row"), "_row").drop("_row"), region)
 
 

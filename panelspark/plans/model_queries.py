@@ -224,6 +224,17 @@ def coefficient_summary(spark, sf):
     return _COEF.of(md.coefficient_summary(ols_replicates(spark, sf)))
 
 
+_EXPLAINED = Out(longs=("n",), doubles=("mean", "lower", "upper"))
+
+
+@query(
+    "m13_explained_variance",
+    _EXPLAINED.sql(OLS_SQL, "SELECT count(*) AS n, avg(ev) AS mean, quantile_cont(ev, 0.025) AS lower, quantile_cont(ev, 0.975) AS upper FROM (SELECT rep, max(ev) AS ev FROM cf GROUP BY 1)"),
+)
+def explained_variance(spark, sf):
+    return _EXPLAINED.of(md.explained_variance_summary(ols_replicates(spark, sf)))
+
+
 _FOREST = Out(longs=("n_features",), doubles=("total",), flags=("inside",))
 
 

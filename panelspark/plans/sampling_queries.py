@@ -108,6 +108,11 @@ def sample_regions(spark, sf):
     return _REG.of(dated(sm.sample_regions(tb.sparse_orders(spark, sf), 8, 8)))
 
 
+@query("rs05_sample_regions_part", _REG.sql(tb.SO + f"r AS (SELECT region FROM (SELECT region, row_number() OVER (ORDER BY {h('18', 'region')}, region) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT region FROM so)) WHERE i <= round(m * 0.3))", f"SELECT {KEYS}, n FROM so WHERE region IN (SELECT region FROM r)"))
+def sample_part_of_regions(spark, sf):
+    return _REG.of(dated(sm.sample_regions(tb.sparse_orders(spark, sf), None, 18, frac=0.3)))
+
+
 _REP = Out(longs=("region", "n", "copy"), strings=("date",))
 
 

@@ -59,6 +59,10 @@ def test_sample_regions(spark):
     want = set(sorted(range(6), key=lambda r: (h(7, r), r))[:3])
     assert {r.region for r in got.collect()} == want
     assert got.count() == p.where(F.col("region").isin(list(want))).count()
+    half = sm.sample_regions(p, None, 7, frac=0.5)
+    assert {r.region for r in half.collect()} == want
+    with pytest.raises(ValueError, match="either"):
+        sm.sample_regions(p, 3, 7, frac=0.5)
     many = sm.sample_regions(p, 10, 8, replace=True)
     assert many.select("copy").distinct().count() == 10
     perm = sorted(range(6), key=lambda r: (h(8, r), r))
