@@ -75,14 +75,19 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
+            seen: dict[str, dict[str, int]] = {}
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = seen.setdefault(lang, {})
+                marked = f"<{word}>"
                 for size in range(1, LONGEST + 1):
-                    for g in _grams(word, size):
-                        seen[lang, size, g] += n
-            keys = list(seen)
+                    for i in range(len(marked) - size + 1):
+                        g = marked[i : i + size]
+                        own[g] = own.get(g, 0) + n
+            langs = [lang for lang, own in seen.items() for _ in own]
+            keys = [g for own in seen.values() for g in own]
+            counts = [n for own in seen.values() for n in own.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())],
+                [pa.array(langs, pa.string()), pa.array([len(g) for g in keys], pa.int32()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())],
                 names=["lang", "size", "gram", "n"],
             )
 
@@ -141,6 +146,27 @@ def word_scores(model: Model, grams: GramScores, word: str) -> np.ndarray:
     return total[:width] / total[width] if total[width] else total[:width]
 
 
+class TokenScores(dict):
+    """Of a token without white space: the sum of its words' scores, and how many words it has, as 32-bit numbers."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model, self.grams = model, GramScores(model)
+
+    def __missing__(self, token: str) -> bytes:
+        words = WORD.findall(token.lower())
+        out = np.zeros(len(self.model.languages) + 1, np.float32)
+        for w in words:
+            out[:-1] += word_scores(self.model, self.grams, w)
+        out[-1] = len(words)
+        found = out.tobytes()
+        if len(token) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[token] = found
+        return found
+
+
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the likeliest language of each whole text and its probability.
 
@@ -152,27 +178,13 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
-        width, grams = len(m.languages), GramScores(m)
-
-        def token(t: str) -> bytes:
-            if (found := known.get(t)) is None:
-                words = WORD.findall(t.lower())
-                v = np.zeros(width + 1, np.float32)
-                for w in words:
-                    v[:width] += word_scores(m, grams, w)
-                v[width] = len(words)
-                found = v.tobytes()
-                if len(t) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[t] = found
-            return found
+        m = shared.value
+        width, tokens = len(m.languages), TokenScores(m)
 
         for batch in batches:
             langs, scores = [], []
             for value in batch.column(1):
-                total = np.frombuffer(b"".join(map(token, (value.as_py() or "").split())), np.float32).reshape(-1, width + 1).sum(0, dtype=np.float64)
+                total = np.frombuffer(b"".join(map(tokens.__getitem__, (value.as_py() or "").split())), np.float32).reshape(-1, width + 1).sum(0, dtype=np.float64)
                 if not width or not total[width]:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
