@@ -20,8 +20,8 @@ SIMILARITY = 0.8
 #: 20 bands of 4 coordinates: two texts that are 0.8 alike share no band with probability 0.00003.
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
-#: Rounds in which a text outside its bucket's main class meets HELPERS members of it.
-ROUNDS, HELPERS = 2, 12
+#: Members of its bucket's main class that a text outside of it meets.
+HELPERS = 24
 #: Documents whose darts are thrown at once.
 TOGETHER = 128
 
@@ -193,16 +193,15 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return each.where("_classes > 1").select("bucket", F.col("_most.root").alias("main"))
 
 
-def _with_helpers(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+def _with_helpers(placed: DataFrame) -> DataFrame:
     """Pairs (a, b): every text that is outside its bucket's main class with some members of that class.
 
     Copies edited at random are often alike to some of a class and not to its
     first text. Which members help is a matter of a hash, so a class has HELPERS
     of them however large it is.
     """
-    placed = _placed(members, roots)
     outside = placed.join(_mixed(placed), "bucket").where("root != main").select("uid", F.col("main").alias("root")).distinct()
-    chosen = [F.min(F.struct(F.xxhash64("uid", F.lit(turn * HELPERS + k)), "uid"))["uid"] for k in range(HELPERS)]
+    chosen = [F.min(F.struct(F.xxhash64("uid", F.lit(k)), "uid"))["uid"] for k in range(HELPERS)]
     helpers = placed.groupBy("root").agg(F.array_distinct(F.array(*chosen)).alias("_helpers"))
     pairs = fanned_join(outside, helpers, "root", ["uid"]).select("uid", F.explode("_helpers").alias("_helper"))
     return pairs.select(F.col("_helper").alias("a"), F.col("uid").alias("b")).where("a != b").distinct()
@@ -239,20 +238,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = stars.select(F.col("a").alias("first"), F.col("b").alias("uid"), (1 - F.col("similarity")).alias("far"))
     members = stored(shared.join(far, ["first", "uid"], "left").select("bucket", "uid", F.coalesce("far", F.lit(0.0)).alias("far")))
     roots = components(links)
-    for turn in range(ROUNDS):
-        more = stored(verified(_with_helpers(members, roots, turn), texts).where(F.col("similarity") >= least).select("a", "b"))
-        if more.isEmpty():
-            break
+    placed = stored(_placed(members, roots))
+    more = stored(verified(_with_helpers(placed), texts).where(F.col("similarity") >= least).select("a", "b"))
+    if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        placed = stored(_placed(members, roots))
 
-    placed = _placed(members, roots)
     open_rows = stored(placed.where("far > 0").join(_mixed(placed).select("bucket"), "bucket"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     apart = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & apart)
     rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    more = verified(rest, texts).where(F.col("similarity") >= least).select("a", "b")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    more = stored(verified(rest, texts).where(F.col("similarity") >= least).select("a", "b"))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     classed = rows.join(roots, F.col("uid") == F.col("node"), "left").select("id", "uid", F.coalesce("root", "uid").alias("class_uid"))
     sizes = classed.where(F.col("class_uid").isNotNull()).groupBy("class_uid").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
