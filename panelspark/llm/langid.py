@@ -10,30 +10,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.scratch import forget, stored
+from panelspark.llm.scratch import stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest n-grams, ends of words marked.
 LONGEST = 5
-#: A word or n-gram is learned from this share of a language's words or n-grams on: a language has at most 1/share of them.
-WORD_SHARE, GRAM_SHARE = 5e-5, 5e-5
 #: What stands for a frequency that is not known, as a share of the least one learned.
 FLOOR = 0.1
 CACHE = 400_000
+#: Documents are looked up in blocks of about so many characters, each word once a block.
+BLOCK = 16_000_000
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies by language: of words, and of n-grams by their length."""
+    """All counts, as tables: (lang, word, n) and (lang, size, gram, n). Totals by language, and by language and size, are few."""
 
     languages: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[int, dict[str, tuple[float, ...]]]
+    words: DataFrame
+    grams: DataFrame
+    word_totals: dict[str, int]
+    gram_totals: dict[tuple[str, int], int]
+    word_floor: float
+    gram_floors: dict[int, float]
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -44,9 +49,9 @@ def _grams(word: str, n: int) -> list[str]:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Counts the words of all documents whose language is known, and the n-grams of those words.
 
-    Only words and n-grams with a share of their language above a threshold
-    come to the driver, so their number does not grow with the documents. Rows
-    without a language or text teach nothing; without any the model is empty.
+    Every word and n-gram is kept, in tables under ``spark.checkpoint.dir``;
+    only totals come to the driver. Rows without a language or text teach
+    nothing; without any the model is empty.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
@@ -93,106 +98,201 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
 
     grams = words.mapInArrow(parts, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     grams = stored(grams)
+    of_words = words.groupBy("lang").agg(F.sum("n").alias("total"), F.min("n").alias("least")).collect()
+    of_grams = grams.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.min("n").alias("least")).collect()
 
-    def frequent(df: DataFrame, by: list[str], share: float) -> list:
-        totals = df.groupBy(*by).agg(F.sum("n").alias("total"))
-        return df.join(totals, by).where(F.col("n") >= share * F.col("total")).withColumn("p", F.col("n") / F.col("total")).collect()
-
-    top, parts_top = frequent(words, ["lang"], WORD_SHARE), frequent(grams, ["lang", "size"], GRAM_SHARE)
-    forget(words, grams)
-    languages = tuple(sorted({r.lang for r in top}))
-    at = {x: i for i, x in enumerate(languages)}
-
-    def table(found: list[tuple[str, str, float]], share: float) -> dict[str, tuple[float, ...]]:
-        out: dict[str, list[float]] = {}
-        for lang, key, p in found:
-            out.setdefault(key, [math.log(share * FLOOR)] * len(languages))[at[lang]] = math.log(p)
-        return {k: tuple(v) for k, v in out.items()}
+    def floor(found: list) -> float:
+        return math.log(FLOOR * min((r.least / r.total for r in found), default=1.0))
 
     return Model(
-        languages,
-        table([(r.lang, r.word, r.p) for r in top], WORD_SHARE),
-        {n: table([(r.lang, r.gram, r.p) for r in parts_top if r["size"] == n and r.lang in at], GRAM_SHARE) for n in range(1, LONGEST + 1)},
+        tuple(sorted(r.lang for r in of_words)),
+        words,
+        grams,
+        {r.lang: r.total for r in of_words},
+        {(r.lang, r["size"]): r.total for r in of_grams},
+        floor(of_words),
+        {n: floor([r for r in of_grams if r["size"] == n]) for n in range(1, LONGEST + 1)},
     )
 
 
+def _by_language(counts: DataFrame, key: str, model: Model, total: Column, floor: Column) -> DataFrame:
+    """(key, scores): log frequencies in the order of the languages, the floor where a language does not have the key."""
+    log = counts.select(key, "lang", F.log(F.col("n") / total).alias("log"), floor.alias("floor"))
+    own = [F.coalesce(F.max(F.when(F.col("lang") == x, F.col("log"))), F.max("floor")) for x in model.languages]
+    return log.groupBy(key).agg(F.array(*own).alias("scores"))
+
+
+def word_table(model: Model) -> DataFrame:
+    total = F.create_map(*[F.lit(x) for item in model.word_totals.items() for x in item])
+    return _by_language(model.words, "word", model, total[F.col("lang")], F.lit(model.word_floor))
+
+
+def gram_table(model: Model) -> DataFrame:
+    total = F.create_map(*[F.lit(x) for (lang, n), v in model.gram_totals.items() for x in (f"{n} {lang}", v)])
+    floor = F.create_map(*[F.lit(x) for item in model.gram_floors.items() for x in item])
+    return _by_language(model.grams, "gram", model, total[F.concat_ws(" ", "size", "lang")], floor[F.col("size")])
+
+
+def score_matrix(scores: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.concatenate([np.empty(0), *(c.flatten().to_numpy() for c in scores.chunks)]).reshape(-1, width)
+
+
 class GramScores(dict):
     """Sum of log frequencies and number of the n-grams that stand for a string: itself if it was learned, else its parts."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, learned: dict[str, np.ndarray], width: int) -> None:
         super().__init__()
-        self.model, self.none = model, np.zeros(len(model.languages) + 1)
+        self.learned, self.none = learned, np.zeros(width + 1)
 
-    def __missing__(self, part: str) -> bytes:
-        if (known := self.model.grams.get(len(part), {}).get(part)) is not None:
-            found = np.array([*known, 1.0])
+    def __missing__(self, part: str) -> np.ndarray:
+        if (known := self.learned.get(part)) is not None:
+            found = np.append(known, 1.0)
         elif len(part) < 2:
             found = self.none
         else:
-            found = np.frombuffer(self[part[:-1]]) + np.frombuffer(self[part[1:]])
-        if len(self) >= CACHE:
-            self.clear()
-        self[part] = out = found.tobytes()
-        return out
+            found = self[part[:-1]] + self[part[1:]]
+        self[part] = found
+        return found
 
+    def word(self, word: str) -> np.ndarray:
+        """Of an unseen word: the mean over its n-grams, each replaced by shorter ones where unseen."""
+        total = sum(map(self.__getitem__, _grams(word, min(LONGEST, len(word) + 2))), self.none)
+        return total[:-1] / total[-1] if total[-1] else total[:-1]
 
-def word_scores(model: Model, grams: GramScores, word: str) -> np.ndarray:
-    """Log frequencies of a word; of an unseen one, the mean over its n-grams, each replaced by shorter ones where unseen."""
-    if (known := model.words.get(word)) is not None:
-        return np.array(known)
-    width = len(model.languages)
-    parts = _grams(word, min(LONGEST, len(word) + 2))
-    total = np.frombuffer(b"".join(map(grams.__getitem__, parts))).reshape(-1, width + 1).sum(0)
-    return total[:width] / total[width] if total[width] else total[:width]
 
+def unseen_scores(unseen: DataFrame, model: Model) -> DataFrame:
+    """(word, scores) of words that were not learned: a block of words asks for each of its n-grams once."""
+    width = len(model.languages)
 
-class TokenScores(dict):
-    """Of a token without white space: the sum of its words' scores, and how many words it has, as 32-bit numbers."""
-
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model, self.grams = model, GramScores(model)
-
-    def __missing__(self, token: str) -> bytes:
-        words = WORD.findall(token.lower())
-        out = np.zeros(len(self.model.languages) + 1, np.float32)
-        for w in words:
-            out[:-1] += word_scores(self.model, self.grams, w)
-        out[-1] = len(words)
-        found = out.tobytes()
-        if len(token) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[token] = found
-        return found
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            grams = list({g for w in words for n in range(1, LONGEST + 1) for g in _grams(w, n)})
+            n = len(words) + len(grams)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(words + [None] * len(grams), pa.string()), pa.array([None] * len(words) + grams, pa.string())], names=["block", "word", "gram"]
+            )
+            block += 1
+
+    asked = stored(unseen.mapInArrow(ask, "block long, word string, gram string"))
+    known = asked.where("gram IS NOT NULL").select("block", "gram").join(gram_table(model), "gram").select(F.col("block").alias("asker"), "gram", "scores")
+
+    def answer(words: pa.Table, grams: pa.Table) -> pa.Table:
+        scores = GramScores(dict(zip(grams["gram"].to_pylist(), score_matrix(grams["scores"], width), strict=True)), width)
+        found = [scores.word(w) for w in words["word"].to_pylist()]
+        return pa.table({"word": words["word"], "scores": pa.array(found, pa.list_(pa.float64()))})
+
+    own = asked.where("word IS NOT NULL").select("block", "word")
+    return own.groupBy("block").cogroup(known.groupBy("asker")).applyInArrow(answer, "word string, scores array<double>")
+
+
+class Numbers(dict):
+    """Keys numbered in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def counted(texts: list[str | None]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """Sorted words of some texts; for each text the places of its words in that list, and how often it has them."""
+    tokens, words = Numbers(), Numbers()
+    of_texts = [np.fromiter(map(tokens.__getitem__, (t or "").split()), np.int64) for t in texts]
+    of_tokens = [[words[w] for w in WORD.findall(t.lower())] for t in tokens]
+    n_words = np.array([len(x) for x in of_tokens], np.int64)
+    first = np.cumsum(n_words) - n_words
+    order = sorted(words)
+    rank = np.empty(len(order), np.int64)
+    rank[[words[w] for w in order]] = np.arange(len(order))
+    flat = rank[np.array([w for x in of_tokens for w in x], np.int64)]
+    places, times = [], []
+    for own in of_texts:
+        n = n_words[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        p, k = np.unique(flat[at], return_counts=True)
+        places.append(p)
+        times.append(k)
+    return order, places, times
+
+
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *values]), pa.int32()))
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(block, id, gaps, times, place, word): rows of documents with the counts of their words, and rows of each block's words."""
+    ints = T.ArrayType(T.IntegerType())
+    kinds = {"block": T.LongType(), "id": docs.schema["id"].dataType, "gaps": ints, "times": ints, "place": T.IntegerType(), "word": T.StringType()}
+    schema = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+    names = schema.names
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        ints = pa.list_(pa.int32())
+        for batch in batches:
+            texts, ids, start = batch.column(1).to_pylist(), batch.column(0), 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and size < BLOCK:
+                    size += len(texts[stop] or "")
+                    stop += 1
+                order, places, times = counted(texts[start:stop])
+                n, v = stop - start, len(order)
+                gaps = lists([np.diff(p, prepend=0) for p in places])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, block)), ids.slice(start, n), gaps, lists(times), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(v, block)), pa.nulls(v, ids.type), pa.nulls(v, ints), pa.nulls(v, ints), pa.array(np.arange(v), pa.int32()), pa.array(order, pa.string())], names=names
+                )
+                block, start = block + 1, stop
+
+    return docs.mapInArrow(cut, schema)
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the likeliest language of each whole text and its probability.
 
-    A text that is null or has no letter is ``und`` with score 0, and so is
-    every text if nothing was learned. Ties go to the first language by name.
-    Other columns are not carried.
+    Texts are counted in blocks; a block asks the table of all learned words for
+    each of its words once, so a word has no more rows in the join than there are
+    blocks. Words never seen in training get their n-grams' scores, once for all
+    documents. A text that is null or has no letter is ``und`` with score 0, and
+    so is every text if nothing was learned. Ties go to the first language by
+    name. Other columns are not carried.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        width, tokens = len(m.languages), TokenScores(m)
-
-        for batch in batches:
-            langs, scores = [], []
-            for value in batch.column(1):
-                total = np.frombuffer(b"".join(map(tokens.__getitem__, (value.as_py() or "").split())), np.float32).reshape(-1, width + 1).sum(0, dtype=np.float64)
-                if not width or not total[width]:
+    languages, width = model.languages, len(model.languages)
+    if not width:
+        return docs.select(id_col, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    blocks = stored(in_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
+    own = blocks.where("word IS NOT NULL").select("block", "place", "word")
+    found = stored(own.select("word").distinct().join(word_table(model), "word", "left"))
+    unseen = unseen_scores(found.where("scores IS NULL").select("word"), model)
+    scores = found.where("scores IS NOT NULL").unionByName(unseen)
+    looked_up = own.join(scores, "word").select(F.col("block").alias("asker"), "place", "scores")
+
+    def predict(texts: pa.Table, words: pa.Table) -> pa.Table:
+        table = np.zeros((len(words), width))
+        table[words["place"].to_numpy()] = score_matrix(words["scores"], width)
+        langs, likely = [], []
+        for chunk in texts.select(["gaps", "times"]).combine_chunks().to_batches():
+            gaps, times = (c.flatten().to_numpy() for c in chunk.columns)
+            ends = chunk.column(0).offsets.to_numpy() - chunk.column(0).offsets[0].as_py()
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if a == b:
                     langs.append(UNDETERMINED)
-                    scores.append(0.0)
+                    likely.append(0.0)
                     continue
-                p = np.exp(total[:width] - total[:width].max())
+                # places are in the order of the words: equal texts are summed alike in every block
+                total = (table[np.cumsum(gaps[a:b])] * times[a:b, None]).sum(0)
+                p = np.exp(total - total.max())
                 best = int(np.argmax(p))
-                langs.append(m.languages[best])
-                scores.append(float(p[best] / p.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
+                langs.append(languages[best])
+                likely.append(float(p[best] / p.sum()))
+        return pa.Table.from_arrays([texts["id"], pa.array(langs, pa.string()), pa.array(likely, pa.float64())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(predict, schema)
+    texts = blocks.where("word IS NULL").select("block", "id", "gaps", "times")
+    return texts.groupBy("block").cogroup(looked_up.groupBy("asker")).applyInArrow(predict, schema)

@@ -86,6 +86,25 @@ def test_language_backs_off(spark, make):
     assert {r.lang_pred for r in langid.detect(docs, empty).collect()} == {"und"}
 
 
+def test_language_keeps_rare_words(spark, make):
+    common = {"en": "the and with this thing " * 6000 + "zyxo", "de": "zyxa zyxe zyxu zyxi und " * 6000}
+    docs = spark.createDataFrame(list(common.items()), "lang string, text string")
+    model = langid.fit(docs)
+    assert model.words.where("lang = 'en' AND word = 'zyxo' AND n = 1").count() == 1
+    out = {r.doc_id: r.lang_pred for r in langid.detect(make(["zyxo", "zyxoo", "zyxo und"]), model).collect()}
+    assert out == {0: "en", 1: out[1], 2: "de"}
+
+
+def test_language_does_not_depend_on_blocks(spark, make, monkeypatch):
+    rng = random.Random(11)
+    docs = make([prose(rng, rng.randint(1, 60)) + " Unseenword" * (i % 2) for i in range(30)] * 2)
+    model = langid.fit(docs.where("doc_id < 20").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb")))
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.detect(docs, model).collect()}
+    monkeypatch.setattr(langid, "BLOCK", 100)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.detect(docs, model).collect()} == whole
+    assert all(whole[i] == whole[i + 30] for i in range(30))
+
+
 # decontamination
 
 
