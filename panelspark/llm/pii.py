@@ -46,7 +46,11 @@ _unit = rf"(?:(?:{_digit})\b|[0-9])"
 NUMBER = re.compile(rf"\b(?:plus\s+)?{_unit}(?:[\s,.-]*{_unit}){{6,}}", re.IGNORECASE)
 WORD = re.compile(rf"(?P<plus>plus\s+)|(?P<word>{_digit})(?:[\s,-]+(?=(?:{_digit})\b|[0-9]))?", re.IGNORECASE)
 HIDDEN = re.compile(f"[{INVISIBLE}]+")
-CUES = [c for w in SPELLED for c in (f" {w} ", f"{w}-")]
+#: What every match of a costlier rule holds.
+BRACKETED_CUE = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
+AT_CUE, DOT_CUE = re.compile(r"\sat\s", re.IGNORECASE), re.compile(r"\sdot\s", re.IGNORECASE)
+#: Letters that match i and s where case is ignored, but are not lowered to them.
+ODD_CASE = str.maketrans("İıſ", "iis")
 
 
 def luhn(digits: str) -> bool:
@@ -89,21 +93,18 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def edits(text: str) -> list[tuple[int, int, str]]:
     """What the transducers would write: (start, end, written) without overlaps, in order."""
-    low, out = text.lower(), []
-    if len(low) != len(text):
-        low = text
-    if "at" in low or "dot" in low or "." in low:
+    out: list[tuple[int, int, str]] = []
+    if BRACKETED_CUE.search(text):
         out += [(*m.span(), {"at": "@", "dot": "."}.get(m["word"].lower(), m["word"])) for m in BRACKETED.finditer(text)]
-    if " dot " in low and " at " in low:
+    if DOT_CUE.search(text) and AT_CUE.search(text):
         for m in BARE.finditer(text):
             if m["rest"].split()[-1].lower() not in LAST:
                 continue
             out.append((*m.span("at"), "@"))
             out += [(*d.span(), ".") for d in DOT.finditer(text, m.start("rest"), m.end("rest"))]
-    if any(c in low for c in CUES):
-        for m in NUMBER.finditer(text):
-            for w in WORD.finditer(text, m.start(), m.end()):
-                out.append((*w.span(), "+" if w["plus"] else SPELLED[w["word"].lower()]))
+    for m in NUMBER.finditer(text):
+        for w in WORD.finditer(text, m.start(), m.end()):
+            out.append((*w.span(), "+" if w["plus"] else SPELLED[w["word"].translate(ODD_CASE).lower()]))
     if not text.isascii():
         if text.translate(ONE_TO_ONE) != text:
             out += [(i, i + 1, ONE_TO_ONE[ord(c)]) for i, c in enumerate(text) if ord(c) in ONE_TO_ONE]

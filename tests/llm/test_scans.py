@@ -80,6 +80,24 @@ def test_disguised(text, kind, source):
     assert source in got
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("call plus four, nine, one, five, one, two, three, four, five.", "phone", "plus four, nine, one, five, one, two, three, four, five"),
+        ("call plus\tfour\nnine\tone\nfive\tone\ntwo\tthree\nfour.", "phone", "plus\tfour\nnine\tone\nfive\tone\ntwo\tthree\nfour"),
+        ("call plus four.nine.one.five.one.two.three.four", "phone", "plus four.nine.one.five.one.two.three.four"),
+        ("call plus 4915123456 now", "phone", "plus 4915123456"),
+        ("call +49 three fıve ſix zero one two three FOUR", "phone", "+49 three fıve ſix zero one two three FOUR"),
+        ("write to jane at\nexample dot com", "email", "jane at\nexample dot com"),
+        ("write to jane\tat\texample\u00a0dot\u00a0com", "email", "jane\tat\texample\u00a0dot\u00a0com"),
+        ("İ wrote to jane AT example DOT com", "email", "jane AT example DOT com"),
+        ("write to jane[@]example。com", "email", "jane[@]example。com"),
+    ],
+)
+def test_disguised_with_any_separator(text, kind, source):
+    assert [text[a:b] for k, a, b in pii.spans(text)[1] if k == kind] == [source]
+
+
 @pytest.mark.parametrize("text", ["look at the dot on it", "meet at home. dot com", "one two three", "at (at) dot (dot)", "аео ру", "five - six - seven"])
 def test_clean_text_has_none(text):
     assert pii.spans(text) == ([], [])
