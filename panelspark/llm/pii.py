@@ -159,7 +159,7 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         for kind, found in detect(normal.text).items():
             for a, b in found:
                 left, right, edited = normal.source(a, b)
-                if edited and all(right <= x or y <= left for x, y in base[kind]):
+                if edited and not any(x <= left and right <= y for x, y in base[kind]):
                     more.append((kind, left, right))
     return [(k, a, b) for k in KINDS for a, b in base[k]], more
 
@@ -172,8 +172,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``base`` are the plain matches. ``added`` are those found after the
     transducers undo homoglyphs, spelled digits, hidden characters and at/dot
-    disguises; none overlaps a base span of its kind. Null and empty texts have
-    none. Ids may be null or repeated; other columns are not carried.
+    disguises; none lies wholly in a base span of its kind, but one may reach
+    beyond a base span that is only its plain part. Null and empty texts have none. Ids may be null or repeated; other columns are not carried.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("base", SPAN), T.StructField("added", SPAN)])
 

@@ -98,6 +98,16 @@ def test_disguised_with_any_separator(text, kind, source):
     assert [text[a:b] for k, a, b in pii.spans(text)[1] if k == kind] == [source]
 
 
+@pytest.mark.parametrize(
+    ("whole", "part"),
+    [("j\u043ehn@example.com", "hn@example.com"), ("john@example.c\u043em", "john@example.c"), ("jo\u200bhn@example.com", "hn@example.com")],
+)
+def test_disguised_in_part(whole, part):
+    text = f"write to {whole} today"
+    base, more = pii.spans(text)
+    assert [text[a:b] for _, a, b in base] == [part] and [text[a:b] for _, a, b in more] == [whole]
+
+
 @pytest.mark.parametrize("text", ["look at the dot on it", "meet at home. dot com", "one two three", "at (at) dot (dot)", "аео ру", "five - six - seven"])
 def test_clean_text_has_none(text):
     assert pii.spans(text) == ([], [])
