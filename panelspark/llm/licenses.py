@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: MinHash values of a window, each a band of its own: a window that holds a template is at least a sixth alike to it
-#: (a template of n words is sought in windows of 2 n words), so with 64 bands one agrees with probability 0.99999.
+#: MinHash values of a window, each a band of its own: a window that holds CONTAINMENT of a template is at least a sixth
+#: alike to it (see ``template_table``), so 64 bands all differ with probability (5/6)^64 = 0.0000086 at worst.
 BANDS = 64
 
 # Notices by license; each is sought as a whole.
@@ -69,13 +69,19 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] | None
     """(template, license, n_words, size, shingles): one row a template; those of under five words cannot be sought.
 
     ``size`` is the number of words of the windows it is sought in: the least
-    power of two that is at least twice as long.
+    power of two that is at least twice as long, or exactly twice its words
+    where a window of that power that holds CONTAINMENT of it would be less than
+    a sixth alike to it (5 and 9 words). The worst cases are then 5 words in
+    windows of 10, 1 of 6 shingles, and 6 words in windows of 16, 2 of 12.
     """
     schema = T.StructType([T.StructField("template", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("notice", T.StringType())])
     rows = [(i, *t) for i, t in enumerate(TEMPLATES if templates is None else templates)]
     words = F.size(word_array(F.col("notice")))
     df = with_shingles(spark.createDataFrame(rows, schema).withColumn("n_words", words), "notice")
-    size = F.pow(F.lit(2), F.ceil(F.log2(F.lit(2) * F.col("n_words")))).cast("int")
+    power = F.pow(F.lit(2), F.ceil(F.log2(F.lit(2) * F.col("n_words")))).cast("int")
+    own = F.col("n_words") - (SHINGLE - 1)
+    held = F.ceil(CONTAINMENT * own)
+    size = F.when(6 * held < power - (SHINGLE - 1) + own - held, 2 * F.col("n_words")).otherwise(power)
     return df.where(F.size("_shingles") > 0).select("template", "license", "n_words", size.alias("size"), F.array_distinct("_shingles").alias("shingles"))
 
 

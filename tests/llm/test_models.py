@@ -166,6 +166,16 @@ def test_licenses(spark, make):
     assert licenses.scan(make([])).count() == 0 and licenses.scan(make(texts), []).count() == 0
 
 
+def test_short_notices_in_many_contexts(spark, make):
+    rng = random.Random(12)
+    docs = make([f"{prose(rng, 16 + i % 32)} Released under the MIT License {prose(rng, 40)}" for i in range(10_000)])
+    assert licenses.scan(docs).where("template = 0 AND containment = 1").select("doc_id").distinct().count() == 10_000
+    sizes = {r.n_words: (r["size"], len(r.shingles)) for r in licenses.template_table(spark, [("x", " ".join(f"w{i}" for i in range(n))) for n in range(5, 70)]).collect()}
+    for n, (size, own) in sizes.items():
+        held = -(-own * 8 // 10)
+        assert size >= 2 * n and size % 2 == 0 and held / (size - 4 + own - held) >= 1 / 6
+
+
 # near duplicates
 
 
