@@ -46,4 +46,24 @@ def _quality() -> str:
       (failed & {quality.POLICIES['v1'].mask}) = 0 AS kept, failed FROM b"""
 
 
-ORACLES = {"op8_rule_ledger": _quality(), "op9_blob_ledger": _secrets()}
+LEXICAL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents WHERE text IS NOT NULL),
+    t AS MATERIALIZED (SELECT doc_id, len(words) AS n, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+    i AS MATERIALIZED (SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark WHERE text IS NOT NULL),
+    z AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0),
+    f AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, z GROUP BY term),
+    p AS MATERIALIZED (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS points FROM f JOIN w USING (term), z),
+    s AS (SELECT item_id, doc_id, CAST(sum(points) AS BIGINT) AS score FROM i JOIN p USING (term) GROUP BY item_id, doc_id HAVING sum(points) > 0),
+    r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 10"""
+
+NEAREST = """
+    WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS p FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.p, v.p) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 10"""
+
+ORACLES = {"op8_rule_ledger": _quality(), "op9_blob_ledger": _secrets(), "op11_lexical_scan": LEXICAL, "op13_kd_trees": NEAREST}

@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm import decontam, langid, licenses, neardup, packing, pii, quality, secrets, substrings, toxicity
+from panelspark.llm import alignment, decontam, langid, lexical, licenses, neardup, packing, pii, quality, secrets, substrings, toxicity, vectors
 from panelspark.llm.oracles import ORACLES  # noqa: F401  read by the entry
 from panelspark.llm.scratch import stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+OTHER_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +124,24 @@ def op10_merge_sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, OTHER_TOKENIZER)
+    documents = stored(alignment.summaries(aligned).withColumn("_row", F.monotonically_increasing_id()))
+    counted = alignment.link_counts(documents)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op13_kd_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = vectors.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -136,5 +155,8 @@ QUERIES = {
         op8_rule_ledger,
         op9_blob_ledger,
         op10_merge_sorted_suffixes,
+        op11_lexical_scan,
+        op12_token_alignment,
+        op13_kd_trees,
     )
-}
\ No newline at end of file
+}
