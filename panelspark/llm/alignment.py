@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.packing import ChunkIds
+from panelspark.llm.packing import CACHE, ChunkIds
 from panelspark.llm.scratch import stored
 
 #: Characters of text that are aligned together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
+#: A blank without a word on both sides.
+UNEVEN = re.compile(r"^ | $|\s |\A\Z")
 #: At most this many id pairs are broadcast: those with at least that part of all links.
 FREQUENT = 100_000
 
@@ -39,23 +42,56 @@ class ByteLevel:
         self.bytes_of = [b""] * (1 + max(vocab.values()))
         for token, n in vocab.items():
             self.bytes_of[n] = token.encode() if token in special else bytes(byte[c] for c in token)
+        self.lengths = np.array(list(map(len, self.bytes_of)))
+        self.changes = spec.get("normalizer") is not None
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.chunks.text(" " + t), "<i4") for t in texts]
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids of a blank and the text, None where they do not spell it; every byte is a token, so without a normalizer they do."""
+        ids = np.frombuffer(self.chunks.text(" " + text), "<i4")
+        return None if self.changes and not spells(self.bytes_of, ids, text) else ids
 
 
-class Pieces:
-    """Tokens of a ``sentencepiece`` model, which puts a blank before the text itself."""
+class Pieces(dict):
+    """Tokens of a ``sentencepiece`` model, which puts a blank before the text itself.
+
+    Where no piece reaches over a blank, a text with single blanks between its
+    words is encoded word by word; a word's ids are remembered.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         from sentencepiece import SentencePieceProcessor
 
         self.model = m = SentencePieceProcessor(model_file=path)
-        pieces = [(n, m.id_to_piece(n)) for n in range(m.get_piece_size())]
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if m.is_byte(n) else p.replace("▁", " ").encode() for n, p in pieces]
+        pieces = [m.id_to_piece(n) for n in range(m.get_piece_size())]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if m.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
+        self.lengths = np.array(list(map(len, self.bytes_of)))
+        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
+
+    def whole(self, text: str) -> bytes | None:
+        ids = np.array(self.model.encode(text, num_threads=1), np.int32)
+        return ids.tobytes() if spells(self.bytes_of, ids, text) else None
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.whole(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids of a blank and the text, None where they do not spell it."""
+        if self.by_word and not UNEVEN.search(text):
+            if len(self) > CACHE:
+                self.clear()
+            words = list(map(self.__getitem__, text.split(" ")))
+            if None not in words:
+                return np.frombuffer(b"".join(words), np.int32)
+        ids = self.whole(text)
+        return None if ids is None else np.frombuffer(ids, np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
+
+def spells(bytes_of: list[bytes], ids: np.ndarray, text: str) -> bool:
+    return b"".join(map(bytes_of.__getitem__, ids.tolist())) == (" " + text).encode("utf-8", "surrogatepass")
 
 
 #: By file; a worker process serves many tasks.
@@ -75,7 +111,7 @@ class Side:
         self.n = np.array([len(x) for x in lists], np.int64)
         self.ids = np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32)
         self.doc = np.repeat(np.arange(len(lists)), self.n)
-        self.end = np.cumsum(np.array(list(map(len, map(tokens.bytes_of.__getitem__, self.ids.tolist()))), np.int64))
+        self.end = np.cumsum(tokens.lengths[self.ids])
         self.start = np.concatenate([np.zeros(1, np.int64), self.end])[: len(self.end)]
         self.first = np.cumsum(self.n) - self.n
 
@@ -90,13 +126,12 @@ def aligned(texts: list[str | None], a: ByteLevel | Pieces, b: ByteLevel | Piece
     tokens overlap when one begins within the other, so both directions together
     give all pairs. Texts whose tokens do not spell a blank and the text have none.
     """
-    lists_a, lists_b = a.encode([t or "" for t in texts]), b.encode([t or "" for t in texts])
-    none = np.zeros(0, np.int32)
-    for i, text in enumerate(texts):
-        raw = (" " + (text or "")).encode("utf-8", "surrogatepass")
-        spelled = [b"".join(map(t.bytes_of.__getitem__, ids[i].tolist())) == raw for t, ids in ((a, lists_a), (b, lists_b))]
-        if not text or not all(spelled):
-            lists_a[i] = lists_b[i] = none
+    none, lists_a, lists_b = np.zeros(0, np.int32), [], []
+    for text in texts:
+        ids_a, ids_b = (a.encode(text), b.encode(text)) if text else (None, None)
+        known = ids_a is not None and ids_b is not None
+        lists_a.append(ids_a if known else none)
+        lists_b.append(ids_b if known else none)
     side_a, side_b = Side(a, lists_a), Side(b, lists_b)
     frame_a, frame_b = side_a.frame("a"), side_b.frame("b")
     over_b = pd.merge_asof(frame_a, frame_b, on="at", by="doc")
@@ -140,39 +175,43 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     columns are not. Texts of any length are taken whole: a batch is one text or
     about BATCH_CHARS characters. Empty tables give no rows.
     """
-    schema = T.StructType(
-        [
-            docs.schema[id_col],
-            T.StructField("a_ids", T.ArrayType(T.IntegerType())),
-            T.StructField("b_ids", T.ArrayType(T.IntegerType())),
-            T.StructField("overlaps", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))),
-            T.StructField("groups", T.ArrayType(T.StructType([T.StructField("n_a", T.IntegerType()), T.StructField("n_b", T.IntegerType())]))),
-        ]
-    )
+    schema = T.StructType([docs.schema[id_col], *ALIGNED])
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: _align(batches, a_path, b_path), schema)
+
+
+def _pairs_of(a: str, b: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(a, T.IntegerType()), T.StructField(b, T.IntegerType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokens_of(a_path), tokens_of(b_path)
-        for batch in batches:
-            lengths = pc.utf8_length(batch.column(1).fill_null("")).to_pylist()
-            for first, n in spans(lengths, BATCH_CHARS):
-                part = batch.slice(first, n)
-                left, right, pairs, together = aligned(part.column(1).to_pylist(), a, b)
-                doc = left.doc[pairs[:, 0]]
-                ends = pairs[together]
-                new = np.diff(left.doc[ends[:, 0]], prepend=-1) != 0
-                size_a, size_b = (np.where(new, x - s.first[s.doc[x]] + 1, np.diff(x, prepend=0)) for x, s in ((ends[:, 0], left), (ends[:, 1], right)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        lists_of(left.n, pa.array(left.ids)),
-                        lists_of(right.n, pa.array(right.ids)),
-                        lists_of(np.bincount(doc, minlength=n), structs(("a", "b"), pairs[:, 0] - left.first[doc], pairs[:, 1] - right.first[doc])),
-                        lists_of(np.bincount(left.doc[ends[:, 0]], minlength=n), structs(("n_a", "n_b"), size_a, size_b)),
-                    ],
-                    names=[f.name for f in schema],
-                )
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+ALIGNED = [
+    T.StructField("a_ids", T.ArrayType(T.IntegerType())),
+    T.StructField("b_ids", T.ArrayType(T.IntegerType())),
+    T.StructField("overlaps", _pairs_of("a", "b")),
+    T.StructField("groups", _pairs_of("n_a", "n_b")),
+]
+
+
+def _align(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+    a, b = tokens_of(a_path), tokens_of(b_path)
+    for batch in batches:
+        lengths = pc.utf8_length(batch.column(1).fill_null("")).to_pylist()
+        for first, n in spans(lengths, BATCH_CHARS):
+            part = batch.slice(first, n)
+            left, right, pairs, together = aligned(part.column(1).to_pylist(), a, b)
+            doc = left.doc[pairs[:, 0]]
+            ends = pairs[together]
+            new = np.diff(left.doc[ends[:, 0]], prepend=-1) != 0
+            size_a, size_b = (np.where(new, x - s.first[s.doc[x]] + 1, np.diff(x, prepend=0)) for x, s in ((ends[:, 0], left), (ends[:, 1], right)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    lists_of(left.n, pa.array(left.ids)),
+                    lists_of(right.n, pa.array(right.ids)),
+                    lists_of(np.bincount(doc, minlength=n), structs(("a", "b"), pairs[:, 0] - left.first[doc], pairs[:, 1] - right.first[doc])),
+                    lists_of(np.bincount(left.doc[ends[:, 0]], minlength=n), structs(("n_a", "n_b"), size_a, size_b)),
+                ],
+                names=["id", *[f.name for f in ALIGNED]],
+            )
 
 
 class Written(dict):
@@ -186,52 +225,51 @@ class Written(dict):
 _written = Written()
 
 
-def summaries(alignments: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_a, n_b, n_overlaps, n_groups, groups_sha256, links) from the rows of ``align``.
+def summaries(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_a, n_b, n_overlaps, n_groups, groups_sha256, links) per document, from what ``align`` gives of it.
 
     Groups are written `a1,a2|b1;a3|b2` with ids in order, and hashed; without
     tokens the column is empty. ``links`` holds (pair, n) for each pair of ids
-    whose tokens end together in n places, a pair being a * 2^32 + b.
+    whose tokens end together in n places, a pair being a * 2^32 + b. Both steps
+    run in one task, so that the lists of tokens never leave it.
     """
-    link = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
-    schema = T.StructType(
-        [
-            alignments.schema[id_col],
-            *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_overlaps", "n_groups")],
-            T.StructField("groups_sha256", T.StringType()),
-            T.StructField("links", T.ArrayType(link)),
-        ]
+    schema = T.StructType([docs.schema[id_col], *SUMMARY])
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: map(_summary, _align(batches, a_path, b_path)), schema)
+
+
+SUMMARY = [
+    *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_overlaps", "n_groups")],
+    T.StructField("groups_sha256", T.StringType()),
+    T.StructField("links", T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())]))),
+]
+
+
+def _summary(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n_a, n_b, n_o, n_g = (np.diff(batch.column(i).offsets.to_numpy()).astype(np.int64) for i in (1, 2, 3, 4))
+    a, b = batch.column(1).flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy().astype(np.int64)
+    of_a, of_b = (x.to_numpy().astype(np.int64) for x in batch.column(4).flatten().flatten())
+    to_a, to_b = np.cumsum(of_a), np.cumsum(of_b)
+    # tokens in the order of writing: a group's a tokens follow all earlier b tokens, its b tokens all its a tokens
+    codes = np.zeros(len(a) + len(b), np.int64)
+    place_a, place_b = np.arange(len(a)) + np.repeat(to_b - of_b, of_a), np.arange(len(b)) + np.repeat(to_a, of_b)
+    codes[place_a], codes[place_b] = a * 4, b * 4 + 2
+    codes[place_a[to_a - 1]] += 1
+    codes[place_b[to_b - 1]] += 1
+    stop, marks = np.cumsum(n_a + n_b), []
+    for end, size in zip(stop.tolist(), (n_a + n_b).tolist(), strict=True):
+        text = "".join(map(_written.__getitem__, codes[end - size : end].tolist()))
+        marks.append(hashlib.sha256(text[:-1].encode()).hexdigest() if size else "")
+    pair, doc = (a[to_a - 1] << 32) | b[to_b - 1], np.repeat(np.arange(batch.num_rows), n_g)
+    order = np.lexsort((pair, doc))
+    pair, doc = pair[order], doc[order]
+    at = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    times = np.diff(np.concatenate([at, [len(pair)]]))
+    links = pa.StructArray.from_arrays([pa.array(pair[at]), pa.array(times)], names=["pair", "n"])
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), *map(pa.array, (n_a, n_b, n_o, n_g)), pa.array(marks, pa.string()), lists_of(np.bincount(doc[at], minlength=batch.num_rows), links)],
+        names=["id", *[f.name for f in SUMMARY]],
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b, n_o, n_g = (np.diff(batch.column(i).offsets.to_numpy()).astype(np.int64) for i in (1, 2, 3, 4))
-            a, b = batch.column(1).flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy().astype(np.int64)
-            of_a, of_b = (x.to_numpy().astype(np.int64) for x in batch.column(4).flatten().flatten())
-            to_a, to_b = np.cumsum(of_a), np.cumsum(of_b)
-            # tokens in the order of writing: a group's a tokens follow all earlier b tokens, its b tokens all its a tokens
-            codes = np.zeros(len(a) + len(b), np.int64)
-            place_a, place_b = np.arange(len(a)) + np.repeat(to_b - of_b, of_a), np.arange(len(b)) + np.repeat(to_a, of_b)
-            codes[place_a], codes[place_b] = a * 4, b * 4 + 2
-            codes[place_a[to_a - 1]] += 1
-            codes[place_b[to_b - 1]] += 1
-            stop, marks = np.cumsum(n_a + n_b), []
-            for end, size in zip(stop.tolist(), (n_a + n_b).tolist(), strict=True):
-                text = "".join(map(_written.__getitem__, codes[end - size : end].tolist()))
-                marks.append(hashlib.sha256(text[:-1].encode()).hexdigest() if size else "")
-            pair, doc = (a[to_a - 1] << 32) | b[to_b - 1], np.repeat(np.arange(batch.num_rows), n_g)
-            order = np.lexsort((pair, doc))
-            pair, doc = pair[order], doc[order]
-            at = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-            times = np.diff(np.concatenate([at, [len(pair)]]))
-            links = pa.StructArray.from_arrays([pa.array(pair[at]), pa.array(times)], names=["pair", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (n_a, n_b, n_o, n_g)), pa.array(marks, pa.string()), lists_of(np.bincount(doc[at], minlength=batch.num_rows), links)],
-                names=[f.name for f in schema],
-            )
-
-    return alignments.mapInArrow(run, schema)
-
 
 def pair_counts(links: DataFrame) -> DataFrame:
     """(pair, total, best) from rows (pair, n): how many links hold a pair, and whether no pair of its b has more.

@@ -130,8 +130,8 @@ def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, OTHER_TOKENIZER)
-    documents = stored(alignment.summaries(aligned).withColumn("_row", F.monotonically_increasing_id()))
+    summaries = alignment.summaries(table(spark, sf_dir, "documents"), TOKENIZER, OTHER_TOKENIZER)
+    documents = stored(summaries.withColumn("_row", F.monotonically_increasing_id()))
     counted = alignment.link_counts(documents)
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
 

@@ -74,7 +74,7 @@ def test_a_very_long_text(spark, make):
     long = "fox " + "word, " * 400_000 + "FOX"
     got = lexical.search(make([long, "a fox"]), spark.createDataFrame([(1, "fox")], "item_id long, text string")).collect()
     assert {r.id for r in got} == {0, 1}
-    row = alignment.summaries(alignment.align(make([long]), queries.TOKENIZER, queries.OTHER_TOKENIZER)).first()
+    row = alignment.summaries(make([long]), queries.TOKENIZER, queries.OTHER_TOKENIZER).first()
     assert row.n_groups > 400_000 and sum(x.n for x in row.links) == row.n_groups
 
 
@@ -132,7 +132,7 @@ def test_alignment(spark, make, folder, texts):
 
 def test_links_beyond_the_frequent_ones(spark, make, texts):
     """Whatever part of the pairs is broadcast, sums are the same."""
-    rows = stored(alignment.summaries(alignment.align(make(texts), queries.TOKENIZER, queries.OTHER_TOKENIZER)).withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored(alignment.summaries(make(texts), queries.TOKENIZER, queries.OTHER_TOKENIZER).withColumn("_row", F.monotonically_increasing_id()))
     got = [sorted(tuple(r) for r in alignment.link_counts(rows, n).select("_row", "n_links", "n_best", "count_sum").collect()) for n in (1, 50, alignment.FREQUENT)]
     assert got[0] == got[1] == got[2]
 
@@ -141,7 +141,7 @@ def test_alignment_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, "no id"), (5, "same"), (5, "same"), (6, None)], "doc_id long, text string").withColumns({"a_ids": F.lit(1), "links": F.lit(2)})
     out = alignment.align(docs, queries.TOKENIZER, queries.OTHER_TOKENIZER)
     assert sorted((str(r.doc_id), len(r.groups) > 0) for r in out.collect()) == [("5", True), ("5", True), ("6", False), ("None", True)]
-    empty = stored(alignment.summaries(out.limit(0)).withColumn("_row", F.monotonically_increasing_id()))
+    empty = stored(alignment.summaries(docs.limit(0), queries.TOKENIZER, queries.OTHER_TOKENIZER).withColumn("_row", F.monotonically_increasing_id()))
     assert alignment.link_counts(empty).count() == 0
 
 
