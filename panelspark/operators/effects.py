@@ -16,6 +16,7 @@ from panelspark.functions import codes
 from panelspark.functions.nulls import ratio, weighted_mean
 from panelspark.operators.panel import expand_dates, interpolate, rate_of_change
 from panelspark.operators.stats import change_between, highest_density, interval_summary, quantiles, weighted_means
+from panelspark.session import cut_lineage
 
 # Fixed values of the effect-size report.
 NATION = 337_000_000
@@ -94,8 +95,11 @@ def effect_per_sample(rows: DataFrame, nation: float = NATION, steps: int = STEP
 
 
 def effect_distribution(samples: DataFrame, cols: Sequence[str] = ("ate", "delta_v")) -> DataFrame:
-    """Mean, 95% interval and one-sided p-value over the posterior samples, per quantity."""
-    long = samples.unpivot(["s"], list(cols), "quantity", "value")
+    """Mean, 95% interval and one-sided p-value over the posterior samples, per quantity.
+
+    The samples, one row each, are stored: their intervals take more than one scan.
+    """
+    long = cut_lineage(samples.select("s", *cols)).unpivot(["s"], list(cols), "quantity", "value")
     return interval_summary(long, "value", ["quantity"], tail="upper").select("quantity", "n", "mean", "lower", "upper", "p", "sem")
 
 

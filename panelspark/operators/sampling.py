@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from math import exp, factorial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.functions.hashing import HASH_SPAN, h32, unit
+from panelspark.functions.hashing import h32, unit
 from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, bare_word, is_word, raw_words, words
 from panelspark.operators.skew import positions
 from panelspark.session import cut_lineage
@@ -19,18 +20,38 @@ def hash_order(df: DataFrame, key: str, seed: int | str, out: str = "_h") -> Dat
 
 
 def hash_positions(df: DataFrame, key: str, seed: int | str, out: str = "pos") -> DataFrame:
-    """Adds each row's place in the random order, and the row count ``n``. Hashes are even, so equal ranges balance."""
-    return positions(hash_order(df, key, seed), "_h", tie=[key], out=out, span=HASH_SPAN).drop("_h")
+    """Adds each row's place in the random order, and the row count ``n``."""
+    return positions(hash_order(df, key, seed), "_h", tie=[key], out=out).drop("_h")
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int | str, skip: int = 0) -> DataFrame:
-    """Rows ``skip`` to ``skip + n`` of a random order; ``key`` is unique.
+# Bits of a hash that name its bucket: a histogram of the buckets is bounded, and evenly filled.
+BUCKET_BITS = 16
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int | str, skip: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows ``skip`` to ``skip + n`` of a random order, all others); ``key`` is unique.
 
-    Keys alone are put in order and numbered; the rows then come by a semi-join.
+    The order is that of a hash. Rows are counted by the hash's leading bits,
+    which says for all but two buckets on which side of the cuts they lie. Only
+    the rows of those two are put in order.
     """
-    placed = hash_positions(df.select(key), key, seed, "_pos")
-    picked = placed.where((F.col("_pos") >= skip) & (F.col("_pos") < skip + n)).select(key)
-    return df.join(picked, key, "left_semi").select(*df.columns)
+    held = hash_order(df, key, seed).withColumn("_bucket", F.shiftright("_h", 32 - BUCKET_BITS).cast("int"))
+    sizes = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)  # over 2^BUCKET_BITS rows at most
+    ends = sizes.select("_bucket", F.sum("_size").over(upto).alias("_end"), "_size")
+    first, last, start, end = F.lit(skip), F.lit(skip + n), F.col("_end") - F.col("_size"), F.col("_end")
+    side = F.when((start >= first) & (end <= last), True).when((end <= first) | (start >= last), False)
+    # the histogram has at most 2^BUCKET_BITS rows
+    marked = held.join(F.broadcast(ends.select("_bucket", start.alias("_start"), side.alias("_in"))), "_bucket")
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy("_h", key)) + F.col("_start") - 1
+    cut = marked.where(F.col("_in").isNull()).withColumn("_in", place.between(first, last - 1))
+    rows = marked.where(F.col("_in").isNotNull()).unionByName(cut)
+    return rows.where("_in").select(*df.columns), rows.where("NOT _in").select(*df.columns)
+
+
+def sample_n(df: DataFrame, key: str, n: int, seed: int | str, skip: int = 0) -> DataFrame:
+    """Rows ``skip`` to ``skip + n`` of a random order; ``key`` is unique."""
+    return drawn(df, key, n, seed, skip)[0]
 
 
 def shuffled(df: DataFrame, key: str, seed: int | str) -> DataFrame:
@@ -40,8 +61,7 @@ def shuffled(df: DataFrame, key: str, seed: int | str) -> DataFrame:
 
 def split_by_count(df: DataFrame, key: str, n_test: int, seed: int | str) -> tuple[DataFrame, DataFrame]:
     """(test, train): ``n_test`` random rows and the rest."""
-    test = sample_n(df, key, n_test, seed)
-    return test, df.join(test.select(key), key, "left_anti").select(*df.columns)
+    return drawn(df, key, n_test, seed)
 
 
 def bootstrap_rows(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:

@@ -8,21 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Rows that one task of an ordered pass is meant to sort: the number of ranges follows from the row count.
-RANGE_ROWS = 1_000_000
+from panelspark.session import cut_lineage
 
-# Rows sampled per range to place the cut points.
-SAMPLED = 20
+# Rows of a table that may be broadcast: a few per task of the largest clusters.
+BROADCAST_ROWS = 100_000
 
 
 def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_count(df: DataFrame) -> Column:
-    """How many ranges to cut an ordered pass over ``df`` into, as a scalar: some per task at least, more as rows grow."""
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    return F.greatest(F.lit(2 * tasks(df)), F.ceil(rows / F.lit(RANGE_ROWS))).cast("bigint")
+def beside(big: DataFrame, keyed: DataFrame, on: Sequence[str], spread: Sequence[str] = ()) -> DataFrame:
+    """``big`` with the columns of ``keyed``, a stored table unique on ``on``, missing keys being equal.
+
+    A small ``keyed`` is broadcast and nothing of ``big`` moves; a larger one is
+    met in a join that spreads hot keys.
+    """
+    if keyed.count() > BROADCAST_ROWS:
+        return salted_join(big, keyed, on, spread=spread, null_safe=True)
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"k.{k}")) for k in on]
+    return big.alias("b").join(F.broadcast(keyed.alias("k")), same).select("b.*", *[f"k.{c}" for c in keyed.columns if c not in on])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int | None = None) -> DataFrame:
@@ -97,113 +102,57 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def cut_points(df: DataFrame, value: str, tie: Sequence[str] = ()) -> DataFrame:
-    """One row: a sorted array of cut points between which lie about equal numbers of rows.
+def in_order(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """A stored table of ``df`` in the order of ``group`` and ``order``, with ``_part`` and ``_place``.
 
-    They come from a sample of SAMPLED rows per range, chosen by a hash of value
-    and ``tie``, so that no more than the sample meets in one task. They are
-    taken over all groups together: a range holds about an even part of the
-    whole table whatever share one group has of it.
+    Spark's range partitioner deals the rows over the tasks and every task sorts
+    its own; ``_part`` numbers the ranges in order and ``_place`` the rows of a
+    range. What follows reads both from the table, so a range never moves again.
     """
-    buckets, rows = range_count(df), df.agg(F.count(F.lit(1))).scalar()
-    every = F.greatest(F.lit(1), F.floor(rows / (buckets * SAMPLED))).cast("bigint")
-    chosen = df.where(F.pmod(F.xxhash64(value, *tie), every) == 0)
-    values = F.array_sort(F.collect_list(value))
-    step = F.greatest(F.lit(1), F.floor(F.size("_values") / buckets)).cast("int")
-    picked = F.filter("_values", lambda x, i: i % F.col("_step") == F.col("_step") - 1)
-    return chosen.agg(values.alias("_values")).withColumn("_step", step).select(F.array_distinct(picked).alias("_cuts"))
-
-
-def _below(cuts: str, v: Column) -> Column:
-    """How many of the sorted cut points are smaller than ``v``, by bisection."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
-        open_ = acc["lo"] < acc["hi"]
-        less = F.get(cuts, mid) < v
-        return F.struct(F.when(open_ & less, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~less, mid).otherwise(acc["hi"]).alias("hi"))
-
-    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + F.lit(2))).cast("int"))
-    return F.aggregate(rounds, start, halve)["lo"]
-
-
-def _with_cuts(df: DataFrame, cuts: DataFrame | list) -> DataFrame:
-    """Adds the array ``_cuts``; the one row of cut points is all that is broadcast."""
-    if isinstance(cuts, list):
-        return df.withColumn("_cuts", F.array(*[F.lit(c) for c in cuts]))
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
-
-
-def positions(
-    df: DataFrame,
-    value: str,
-    group: Sequence[str] = (),
-    tie: Sequence[str] = (),
-    out: str = "pos",
-    span: int | None = None,
-) -> DataFrame:
+    sort = [*group, *order]
+    placed = df.repartitionByRange(tasks(df), *sort).sortWithinPartitions(*sort).withColumn("_id", F.monotonically_increasing_id())
+    # the id is the partition in its upper bits and the row's number in the lower 33
+    part, place = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return cut_lineage(placed.withColumns({"_part": part, "_place": place}).drop("_id"))
+
+
+def positions(df: DataFrame, value: str, group: Sequence[str] = (), tie: Sequence[str] = (), out: str = "pos") -> DataFrame:
     """Zero-based position of each row in the order (value, tie) within its group, and the group size ``n``.
 
-    Values are divided into ranges; rows are numbered inside a (group, range)
-    and shifted by the sizes of the ranges below. A cut point that is itself a
-    frequent value forms a range of its own, split again by a hash of ``tie``,
-    since the order among equal values carries no meaning. ``span`` says that
-    the values are spread evenly from 0 to span, as hashes are; their range is
-    then plain arithmetic. The result is exact whatever the ranges are; they
-    only balance the work. Rows with a missing value are left out.
+    Rows are sorted once in ranges; a row's position is its place in its range
+    plus the sizes of the group's earlier ranges. The part of a group in a range
+    is one row of the table of offsets, which has at most as many rows as there
+    are ranges and groups. A frequent value is spread over ranges by ``tie``.
+    Rows with a missing value are left out.
     """
-    rows = df.where(F.col(value).isNotNull())
-    v = F.col(value)
-    if span is not None:
-        whole_range = F.floor(v * range_count(rows) / F.lit(span)).cast("bigint")
-        ranged = rows.withColumns({"_range": whole_range, "_sub": F.lit(0)})
-    else:
-        held = _with_cuts(rows, cut_points(rows, value, tie))
-        below = _below("_cuts", v)
-        held = held.withColumn("_at", below)
-        on_cut = F.coalesce(F.get("_cuts", F.col("_at")) == v, F.lit(False))
-        sub = F.pmod(F.xxhash64(*tie), F.lit(2 * tasks(df))).cast("int") if tie else F.lit(0)
-        ranged = held.withColumns({"_range": F.col("_at") * 2 + on_cut.cast("int"), "_sub": F.when(on_cut, sub).otherwise(F.lit(0))}).drop("_cuts", "_at")
-
-    cell = [*group, "_range", "_sub"]
-    before = W.partitionBy(*group).orderBy("_range", "_sub").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*group)
-    sizes = ranged.groupBy(*cell).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.select(
-        *cell,
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        F.sum("_size").over(whole).alias("n"),
+    group = list(group)
+    rows = in_order(df.where(F.col(value).isNotNull()), [value, *tie], group)
+    parts = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select(
+        *group, "_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_size").over(W.partitionBy(*group)).alias("n")
     )
-    inside = F.row_number().over(W.partitionBy(*cell).orderBy(value, *tie)) - 1
-    numbered = ranged.withColumn("_in", inside).join(sizes, cell)
-    return numbered.withColumn(out, F.col("_start") + F.col("_in")).drop("_range", "_sub", "_start", "_in")
+    numbered = beside(rows, cut_lineage(offsets), [*group, "_part"], spread=["_place"])
+    return numbered.withColumn(out, F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
 
 
-def prefix_sums(
-    df: DataFrame,
-    value: str,
-    sums: Sequence[str],
-    group: Sequence[str] = (),
-    cuts: DataFrame | list | None = None,
-) -> DataFrame:
+def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Adds ``<c>_below``, the sum of c over smaller values of the group, and ``<c>_all``, that over the whole group.
 
-    (group, value) must be unique. The sums of a group come from its ranges, so
-    its rows are never joined by the group alone.
+    (group, value) must be unique. Running sums are taken within the ranges of
+    one sort and shifted by the totals of the group's earlier ranges.
     """
-    if cuts is None:
-        cuts = cut_points(df, value)
-    ranged = _with_cuts(df, cuts).withColumn("_range", _below("_cuts", F.col(value))).drop("_cuts")
-    cell = [*group, "_range"]
-    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    totals = ranged.groupBy(*cell).agg(*[F.sum(c).alias(f"_{c}_total") for c in sums])
+    group = list(group)
+    rows = in_order(df, [value], group)
+    cell = [*group, "_part"]
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*cell).agg(*[F.sum(c).alias(f"_{c}_total") for c in sums])
     totals = totals.select(
         *cell,
         *[F.coalesce(F.sum(f"_{c}_total").over(before), F.lit(0)).alias(f"_{c}_start") for c in sums],
         *[F.sum(f"_{c}_total").over(W.partitionBy(*group)).alias(f"{c}_all") for c in sums],
     )
-    inside = W.partitionBy(*cell).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    run = ranged.withColumns({f"_{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    joined = run.join(totals, cell)
+    inside = W.partitionBy(*cell).orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    run = rows.withColumns({f"_{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    joined = beside(run, cut_lineage(totals), cell, spread=["_place"])
     return joined.select(*df.columns, *[(F.col(f"_{c}_start") + F.col(f"_{c}_in")).alias(f"{c}_below") for c in sums], *[f"{c}_all" for c in sums])

@@ -1,42 +1,117 @@
 """Summary statistics.
 
-Exact order statistics over unbounded columns come from value counts and
-prefix sums, so no task ever holds a whole column or group.
+Exact order statistics over unbounded columns come from mergeable sketches,
+which bracket the wanted ranks, and one scan that counts what lies outside the
+brackets; only values inside them are moved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import ratio, weighted_mean
-from panelspark.operators.skew import positions, prefix_sums, salted_join
+from panelspark.operators.skew import beside, positions, salted_join
+from panelspark.session import cut_lineage
+
+
+# A sketch's ranks are within n / ACCURACY; brackets are read from it at GRID even steps.
+ACCURACY, GRID = 10_000, 1000
+
+# Distinct values inside one group's brackets that one task sorts; more are narrowed by another sketch.
+SORTED = 1_000_000
+
+
+def _bracket(grid: Column, rank: Column, n: Column) -> tuple[Column, Column]:
+    """Values of a sketch's grid on either side of a zero-based rank among ``n``, an infinity beyond its ends."""
+    lo, hi = F.floor(rank * GRID / n).cast("int") - 1, F.ceil((rank + 1) * GRID / n).cast("int") + 1
+    ends = F.when(lo < 0, float("-inf")).otherwise(F.get(grid, lo)), F.when(hi > GRID, float("inf")).otherwise(F.get(grid, hi))
+    return tuple(F.coalesce(e, F.lit(x)) for e, x in zip(ends, (float("-inf"), float("inf"))))
+
+
+def _within(value: Column, lo: Column, hi: Column) -> Column:
+    """Inside a bracket; NaN, which sorts last, is inside an open one."""
+    return (value >= lo) & ((value <= hi) | (hi == float("inf")))
+
+
+def _sketch(value: Column) -> Column:
+    """GRID + 1 values at even steps of rank, by a summary with a guaranteed error that merges across tasks."""
+    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
+
+
+def _brackets(rows: DataFrame, group: list[str], probs: Sequence[float]) -> DataFrame:
+    """(group, _n, _at0.., _lo0.., _hi0..): stored brackets narrow enough that one task can sort a group's values inside them."""
+    n, which = F.col("_n"), range(len(probs))
+    at = {f"_at{i}": (n - 1) * F.lit(float(p)) for i, p in enumerate(probs)}
+    first = rows.groupBy(*group).agg(F.count("_v").alias("_n"), _sketch(F.col("_v")).alias("_g")).where("_n > 0").withColumns(at)
+    ends = {f"_{e}{i}": c for i in which for e, c in zip(("lo", "hi"), _bracket(F.col("_g"), F.floor(f"_at{i}"), n))}
+    found = cut_lineage(first.withColumns(ends).drop("_g"))
+    most = found.agg(F.max("_n")).first()[0] or 0
+    while (most := most * 4 * len(probs) // GRID) > SORTED:
+        v, marked = F.col("_v"), _beside_brackets(rows, found, group)
+        inside = [_within(v, F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in which]
+        again = marked.groupBy(*group).agg(
+            *[F.first(c).alias(c) for c in found.columns if c not in group],
+            *[F.count_if(v < F.col(f"_lo{i}")).alias(f"_b{i}") for i in which],
+            *[F.count_if(inside[i]).alias(f"_c{i}") for i in which],
+            *[_sketch(F.when(inside[i], v)).alias(f"_g{i}") for i in which],
+        )
+        closer = {f"_{e}{i}": c for i in which for e, c in zip(("lo", "hi"), _bracket(F.col(f"_g{i}"), F.floor(f"_at{i}") - F.col(f"_b{i}"), F.col(f"_c{i}")))}
+        tight = {c: (F.greatest if c.startswith("_lo") else F.least)(F.col(c), x) for c, x in closer.items()}
+        most = again.agg(F.max(F.greatest(F.lit(0), *[f"_c{i}" for i in which]))).first()[0]
+        found = cut_lineage(again.withColumns(tight).select(found.columns))
+    return found
+
+
+def _beside_brackets(rows: DataFrame, brackets: DataFrame, group: list[str]) -> DataFrame:
+    if group:
+        return beside(rows, brackets, group, spread=["_v"])
+    one = brackets.first()
+    return rows.withColumns({f.name: F.lit(one[f.name] if one else None).cast(f.dataType) for f in brackets.schema})
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
-    """(group, prob, value): exact quantiles with linear interpolation."""
-    group = list(group)
-    p_list = [float(p) for p in probs]
-    counts = df.where(F.col(col).isNotNull()).groupBy(*group, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    placed = prefix_sums(counts, "_v", ["_c"], group).withColumnRenamed("_c_all", "_n")
+    """(group, prob, value): exact quantiles with linear interpolation.
+
+    A sketch per group brackets every wanted rank. In a second scan each value
+    between brackets only adds to the count, least and greatest of its gap,
+    before anything is shuffled; values inside a bracket are counted one by one.
+    A rank is then found among these few rows per group, or at the edge of a gap.
+    """
+    group, p_list = list(group), [float(p) for p in probs]
+    rows = df.select(*group, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    brackets = _brackets(rows, group, p_list)
+    marked, v = _beside_brackets(rows, brackets, group), F.col("_v")
+    lo, hi = ([F.col(f"_{e}{i}") for i in range(len(p_list))] for e in ("lo", "hi"))
+    inside = reduce(or_, [_within(v, a, b) for a, b in zip(lo, hi)])
+    # a gap is named after the bracket end below it
+    gap = F.greatest(F.lit(float("-inf")), *[F.when(v > b, b) for b in hi], F.lit(None).cast("double"))
+    cells = marked.groupBy(*group, F.when(inside, v).otherwise(gap).alias("_at"), (~inside).alias("_gap"))
+    counts = cells.agg(F.count(v).alias("_c"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.first("_n").alias("_n"))
+    before = W.partitionBy(*group).orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    start, last = F.col("_start"), F.col("_start") + F.col("_c") - 1
 
     def target(p: float) -> Column:
         at = (F.col("_n") - 1) * F.lit(p)
         return F.struct(F.lit(p).alias("prob"), F.floor(at).alias("lo"), F.ceil(at).alias("hi"), (at - F.floor(at)).alias("frac"))
 
-    start, end = F.col("_c_below"), F.col("_c_below") + F.col("_c")
-
-    def holds(place: Column) -> Column:
-        return (place >= start) & (place < end)
+    def value_at(place: Column) -> Column:
+        """The value at a rank that this row holds; one in the middle of a gap would mean a sketch beyond its error."""
+        missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+        known = F.when((place == start) | ~F.col("_gap"), F.col("_min")).when(place == last, F.col("_max")).otherwise(missed)
+        return F.when(place.between(start, last), known)
 
-    hits = F.filter(F.array(*[target(p) for p in p_list]), lambda t: holds(t["lo"]) | holds(t["hi"]))
-    picked = placed.where(F.size(hits) > 0).select(*group, "_v", "_c", "_c_below", F.explode(hits).alias("_t"))
-    lo = F.max(F.when(holds(F.col("_t.lo")), F.col("_v")))
-    hi = F.max(F.when(holds(F.col("_t.hi")), F.col("_v")))
-    out = picked.groupBy(*group, F.col("_t.prob").alias("prob")).agg((lo + (hi - lo) * F.max("_t.frac")).alias("value"))
+    hits = F.filter(F.array(*[target(p) for p in p_list]), lambda t: t["lo"].between(start, last) | t["hi"].between(start, last))
+    picked = placed.select(*group, "_c", "_gap", "_min", "_max", "_start", F.explode(hits).alias("_t"))
+    low, high = F.max(value_at(F.col("_t.lo"))), F.max(value_at(F.col("_t.hi")))
+    out = picked.groupBy(*group, F.col("_t.prob").alias("prob")).agg((low + (high - low) * F.max("_t.frac")).alias("value"))
     return out.select(*group, "prob", "value")
 
 

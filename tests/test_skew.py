@@ -62,10 +62,9 @@ def test_positions_number_every_row_once(spark, hot, grouped):
 
 def test_positions_split_a_hot_value(spark, hot):
     _, df = hot
-    ranged = skew.positions(df, "x", tie=["id"])
-    plan = ranged._jdf.queryExecution().optimizedPlan().toString()
-    assert "_sub" in plan
-    assert ranged.count() == 3000
+    ranges = skew.in_order(df, ["x", "id"]).where("x = 5.0").groupBy("_part").count().collect()
+    assert len(ranges) >= 2 and max(r["count"] for r in ranges) < 700
+    assert skew.positions(df, "x", tie=["id"]).count() == 3000
 
 
 def test_positions_skip_missing_values(spark):
@@ -73,16 +72,15 @@ def test_positions_skip_missing_values(spark):
     assert [(r.id, r.pos, r.n) for r in skew.positions(df, "x", tie=["id"]).collect()] == [(2, 0, 1)]
 
 
-def test_prefix_sums_with_bad_cut_points_stay_exact(spark, hot):
+def test_prefix_sums(spark, hot):
     data, df = hot
     counts = df.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    for cuts in (None, [0], [5, 5000]):
-        got = {r.x: r.c_below for r in skew.prefix_sums(counts, "x", ["c"], cuts=cuts).collect()}
-        want, total = {}, 0
-        for x in sorted({x for _, _, x in data}):
-            want[x] = total
-            total += sum(1 for _, _, y in data if y == x)
-        assert got == want
+    got = {r.x: (r.c_below, r.c_all) for r in skew.prefix_sums(counts, "x", ["c"]).collect()}
+    want, total = {}, 0
+    for x in sorted({x for _, _, x in data}):
+        want[x] = total, len(data)
+        total += sum(1 for _, _, y in data if y == x)
+    assert got == want
 
 
 def test_hot_null_is_spread_in_a_left_join(spark):
@@ -93,13 +91,27 @@ def test_hot_null_is_spread_in_a_left_join(spark):
     assert got.count() == 2000 and skew.hot_keys(big, ["k"]).count() == 1
 
 
-def test_cut_points_follow_the_rows(spark, hot, monkeypatch):
-    monkeypatch.setattr(skew, "RANGE_ROWS", 20)
+def test_ranges_hold_even_parts_in_order(spark, hot):
+    _, df = hot
+    parts = skew.in_order(df, ["x", "id"]).groupBy("_part").agg(F.min("x"), F.max("x"), F.count("x"), F.max("_place")).orderBy("_part").collect()
+    assert all(a[2] <= b[1] for a, b in zip(parts, parts[1:]))
+    assert all(r[3] == r[4] + 1 for r in parts)
+    assert max(r[3] for r in parts) < 3000 / len(parts) * 1.6 and len(parts) == skew.tasks(df)
+
+
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_beside_small_and_large_tables(spark, hot, monkeypatch, rows):
+    """With and without a broadcast, missing keys being equal."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", rows)
     data, df = hot
-    cuts = skew.cut_points(df, "x", ["id"]).first()[0]
-    assert 50 < len(cuts) <= 200 and cuts == sorted(cuts) and 5.0 in cuts
-    got = skew.positions(df, "x", tie=["id"]).collect()
-    assert sorted(r.pos for r in got) == list(range(len(data)))
-    assert [r.x for r in sorted(got, key=lambda r: r.pos)] == sorted(x for _, _, x in data)
-    spread = skew.positions(df.withColumn("y", (F.col("x") * 100).cast("long")), "y", tie=["id"], span=1000)
-    assert [r.pos for r in sorted(spread.collect(), key=lambda r: (r.y, r.id))] == list(range(len(data)))
+    df = df.withColumn("k", F.when(F.col("k") < 900, F.col("k")))
+    dim = df.select("k").distinct().withColumn("name", F.concat(F.lit("n"), F.coalesce("k", F.lit(-1))))
+    got = skew.beside(df, dim, ["k"], spread=["id"])
+    assert got.count() == len(data) and got.where("name = concat('n', coalesce(k, -1))").count() == len(data)
+
+
+def test_no_array_rides_on_the_rows(spark, hot):
+    _, df = hot
+    for out in (skew.positions(df, "x", tie=["id"]), skew.prefix_sums(df.groupBy("x").count(), "x", ["count"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "aggregate(" not in plan and "NestedLoop" not in plan

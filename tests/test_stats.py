@@ -31,6 +31,38 @@ def test_quantile_of_one_and_of_missing(spark):
     assert rows(st.quantiles(df, "x", [0.25], ["g"]), "g", "value") == [("a", 3.0), ("c", 1.25)]
 
 
+@pytest.mark.parametrize("most", [3, 50, 10**6])
+def test_quantiles_in_more_rounds(spark, sample, monkeypatch, most):
+    """Brackets narrowed by further sketches give the same values, with coarse sketches and missing groups too."""
+    monkeypatch.setattr(st, "SORTED", most)
+    monkeypatch.setattr(st, "GRID", 40)
+    data, df = sample
+    df = df.withColumn("g", F.when(F.col("g") == "a", F.col("g")))
+    got = {(r.g, r.prob): r.value for r in st.quantiles(df, "x", [0.1, 0.5, 0.99], ["g"]).collect()}
+    want = {(g, p): np.quantile([x for _, h, x in data if h == (g or "b")], p) for g in ("a", None) for p in (0.1, 0.5, 0.99)}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    whole = {r.prob: r.value for r in st.quantiles(df, "x", [0.1, 0.5]).collect()}
+    assert whole == {p: pytest.approx(np.quantile([x for _, _, x in data], p)) for p in (0.1, 0.5)}
+
+
+def test_quantiles_move_only_what_lies_in_a_bracket(spark):
+    """A task sends one row per gap and the few distinct values of the brackets, not the column."""
+    df = spark.range(200_000, numPartitions=4).selectExpr("hash(id) * 1.0D AS x", "id % 2 AS g")
+    out = st.quantiles(df, "x", [0.25, 0.5], ["g"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan()
+    assert "rangepartitioning" not in plan.toString()
+    cells = df.join(st.cut_lineage(st._brackets(df.select("g", F.col("x").alias("_v")), ["g"], [0.25, 0.5])), "g")
+    inside = cells.where("x between _lo0 and _hi0 or x between _lo1 and _hi1").count()
+    assert 0 < inside < 200_000 / 50
+
+
+def test_quantiles_of_no_rows_and_of_not_a_number(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("b", None)], "g string, x double")
+    assert st.quantiles(df.limit(0), "x", [0.5]).count() == 0
+    assert st.quantiles(df, "x", [0.0], ["g"]).collect() == [("a", 0.0, 1.0)]
+
+
 def test_interval_summary(spark):
     x = [0.5, -0.1, 0.9, 1.4, 0.3]
     df = spark.createDataFrame([(v,) for v in x], "x double")
