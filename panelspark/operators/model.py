@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.codes import median3
+from panelspark.functions.hashing import h32
 from panelspark.functions.nulls import ratio, same
-from panelspark.operators.sampling import bootstrap_counts, bootstrap_rows, poisson_weights
+from panelspark.operators.resampling import resampled
+from panelspark.operators.sampling import bootstrap_counts, poisson_weights
 from panelspark.operators.skew import prefix_sums
 from panelspark.operators.stats import interval_summary, last_values, standard_scaled
 from panelspark.session import cut_lineage
@@ -120,21 +122,24 @@ METRICS = ["accuracy", "precision", "recall", "f1", "mcc", "auroc"]
 def bootstrap_metrics(scored: DataFrame, key: str, reps: int, seed: int | str, threshold: float = 0.5, exact: bool = True) -> DataFrame:
     """One row of metrics per bootstrap replicate of rows (key, label, score).
 
-    ``exact=False`` uses Poisson weights, which need no row numbering.
+    Metrics only need how many rows of each (label, score) a replicate has, so
+    that is what is drawn: rows are counted by cell once, and replicates are
+    drawn from the counts. ``exact=False`` gives every row a Poisson weight.
     """
     if exact:
-        rows = bootstrap_rows(scored.select(key, "label", "score"), key, reps, seed).withColumn("weight", F.lit(1))
+        counts = scored.groupBy("label", "score").agg(F.count(F.lit(1)).alias("n"))
+        cells = resampled(counts, ["label", "score"], reps, seed, n="n").drop("n")
     else:
         rows = poisson_weights(scored.select(key, "label", "score"), key, reps, seed)
-    # both kinds of metric only need the weight per (replicate, label, score)
-    cells = rows.groupBy("rep", "label", "score").agg(F.sum("weight").alias("weight"))
+        cells = rows.groupBy("rep", "label", "score").agg(F.sum("weight").alias("weight"))
+    cells = cut_lineage(cells)
     auc = roc_auc(cells, ["rep"])
     return confusion_metrics(cells, ["rep"], threshold).join(auc, "rep")
 
 
 def metric_intervals(replicates: DataFrame) -> DataFrame:
-    """(metric, mean, half_width) over the replicates."""
-    long = replicates.unpivot(["rep"], METRICS, "metric", "value")
+    """(metric, mean, half_width) over the replicates, one row each, which are stored."""
+    long = cut_lineage(replicates.select("rep", *METRICS)).unpivot(["rep"], METRICS, "metric", "value")
     return interval_summary(long, "value", ["metric"]).select("metric", "mean", "half_width")
 
 
@@ -186,11 +191,20 @@ def ols_by_replicate(rows: DataFrame, y: str, xs: Sequence[str], weight: str = "
     """
     means = rows.agg(F.struct(*[F.avg(c).alias(c) for c in [y, *xs]])).scalar()
     centred = rows.select(group, weight, *[(F.col(c) - means.getField(c)).alias(c) for c in [y, *xs]])
+    reduced = centred.groupBy(group).agg(*[s.alias(n) for n, s in _cross_products(y, xs, F.col(weight)).items()])
+    return _solved(reduced, xs, group)
+
+
+def _cross_products(y: str, xs: Sequence[str], weight: Column) -> dict[str, Column]:
+    """Weighted sums of products of all pairs of 1, xs and y."""
     names = ["_one", *xs, y]
     value = {"_one": F.lit(1.0), **{c: F.col(c) for c in [*xs, y]}}
-    sums = {f"s{i}_{j}": F.sum(F.col(weight) * value[a] * value[b]) for i, a in enumerate(names) for j, b in enumerate(names) if j >= i}
-    reduced = centred.groupBy(group).agg(*[s.alias(n) for n, s in sums.items()])
-    size, features = len(names), ["intercept", *xs]
+    return {f"s{i}_{j}": F.sum(weight * value[a] * value[b]) for i, a in enumerate(names) for j, b in enumerate(names) if j >= i}
+
+
+def _solved(reduced: DataFrame, xs: Sequence[str], group: str) -> DataFrame:
+    """Coefficients and explained variance from one row of cross products per group."""
+    size, features = len(xs) + 2, ["intercept", *xs]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -213,11 +227,24 @@ def ols_by_replicate(rows: DataFrame, y: str, xs: Sequence[str], weight: str = "
 
 
 def bootstrap_ols(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, seed: int | str, exact: bool = True) -> DataFrame:
-    if exact:
-        rows = bootstrap_rows(df.select(key, y, *xs), key, reps, seed).withColumn("weight", F.lit(1))
-    else:
-        rows = poisson_weights(df.select(key, y, *xs), key, reps, seed)
-    return ols_by_replicate(rows, y, xs)
+    """``ols_by_replicate`` over bootstrap replicates of the rows, which are drawn where the rows are."""
+    draw = resampled if exact else poisson_weights
+    return ols_by_replicate(draw(df.select(key, y, *xs), [key] if exact else key, reps, seed), y, xs)
+
+
+def block_ols(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, seed: int | str, blocks: int = 256) -> DataFrame:
+    """``ols_by_replicate`` with hash blocks of rows drawn in place of rows.
+
+    One aggregate gives the cross products of each block; a replicate draws as
+    many blocks as there are and adds theirs up. The rows are read once whatever
+    the number of replicates. Blocks are random parts of the rows, so intervals
+    agree with those of drawn rows while there are many more blocks than columns.
+    """
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in [y, *xs]])).scalar()
+    centred = df.select((h32(f"{seed}-block", F.col(key)) % blocks).alias("block"), *[(F.col(c) - means.getField(c)).alias(c) for c in [y, *xs]])
+    sums = centred.groupBy("block").agg(*[s.alias(n) for n, s in _cross_products(y, xs, F.lit(1)).items()])
+    drawn = resampled(sums, ["block"], reps, seed)
+    return _solved(drawn.groupBy("rep").agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in sums.columns if n != "block"]), xs, "rep")
 
 
 def coefficient_summary(replicates: DataFrame, value: str = "coef") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import h32, unit
 from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, bare_word, is_word, raw_words, words
+from panelspark.operators.resampling import resampled
 from panelspark.operators.skew import positions
 from panelspark.session import cut_lineage
 
@@ -65,24 +66,14 @@ def split_by_count(df: DataFrame, key: str, n_test: int, seed: int | str) -> tup
 
 
 def bootstrap_rows(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:
-    """Rows drawn with replacement: ``rep`` and the columns of ``df``, one row per draw, as many draws per replicate as rows.
-
-    Rows get dense numbers in hash order. Each row stands for one slot of every
-    replicate, and the slot's hash names the row drawn, so no driver-side count
-    or list of draws is needed.
-    """
-    rows = hash_positions(df, key, seed, "_row")
-    # every row becomes ``reps`` rows next, so few input rows must not end up in few tasks
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.select("_row", "n").repartition(tasks, "_row")
-    slots = spread.select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.col("_row").alias("_slot"), F.col("n").alias("_n"))
-    drawn = slots.select("rep", F.pmod(h32(seed, F.col("rep"), F.col("_slot")), F.col("_n")).alias("_row"))
-    return drawn.join(rows.drop("n"), "_row").select("rep", *df.columns)
+    """Rows drawn with replacement: ``rep`` and the columns of ``df``, one row per draw, as many draws per replicate as rows."""
+    times = F.explode(F.array_repeat(F.lit(0), F.col("weight").cast("int")))
+    return resampled(df, [key], reps, seed).withColumn("_", times).select("rep", *df.columns)
 
 
 def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:
-    """(rep, key, weight): how often each row is drawn with replacement."""
-    return bootstrap_rows(df.select(key), key, reps, seed).groupBy("rep", key).agg(F.count(F.lit(1)).alias("weight"))
+    """(rep, key, weight): how often each row is drawn with replacement, rows not drawn left out."""
+    return resampled(df.select(key), [key], reps, seed)
 
 
 def poisson_weights(df: DataFrame, key: str, reps: int, seed: int | str) -> DataFrame:

@@ -4,30 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-# Rows of a table that may be broadcast: a few per task of the largest clusters.
-BROADCAST_ROWS = 100_000
+# Rows of a table that may be broadcast; a few per task of a large cluster.
+BROADCAST_ROWS = 20_000
 
 
 def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def beside(big: DataFrame, keyed: DataFrame, on: Sequence[str], spread: Sequence[str] = ()) -> DataFrame:
-    """``big`` with the columns of ``keyed``, a stored table unique on ``on``, missing keys being equal.
+def small_rows(df: DataFrame) -> pa.Table | None:
+    """The rows of a table that turns out to have no more than may be broadcast."""
+    rows = df.limit(BROADCAST_ROWS + 1).toArrow()
+    return rows if rows.num_rows <= BROADCAST_ROWS else None
 
-    A small ``keyed`` is broadcast and nothing of ``big`` moves; a larger one is
-    met in a join that spreads hot keys.
+
+def beside(big: DataFrame, keyed: DataFrame, on: Sequence[str], spread: Sequence[str] = (), rows: pa.Table | None = None) -> DataFrame:
+    """``big`` with the columns of ``keyed``, which is unique on ``on``, missing keys being equal.
+
+    A small ``keyed`` (its ``rows``, if known) is broadcast and nothing of
+    ``big`` moves; a larger one is met in a join that spreads hot keys.
     """
-    if keyed.count() > BROADCAST_ROWS:
-        return salted_join(big, keyed, on, spread=spread, null_safe=True)
+    rows = rows or small_rows(keyed)
+    if rows is None:
+        return salted_join(big, cut_lineage(keyed), on, spread=spread, null_safe=True)
+    known = big.sparkSession.createDataFrame(rows, keyed.schema)
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"k.{k}")) for k in on]
-    return big.alias("b").join(F.broadcast(keyed.alias("k")), same).select("b.*", *[f"k.{c}" for c in keyed.columns if c not in on])
+    return big.alias("b").join(F.broadcast(known.alias("k")), same).select("b.*", *[f"k.{c}" for c in keyed.columns if c not in on])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int | None = None) -> DataFrame:
@@ -132,7 +141,7 @@ def positions(df: DataFrame, value: str, group: Sequence[str] = (), tie: Sequenc
     offsets = parts.select(
         *group, "_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_size").over(W.partitionBy(*group)).alias("n")
     )
-    numbered = beside(rows, cut_lineage(offsets), [*group, "_part"], spread=["_place"])
+    numbered = beside(rows, offsets, [*group, "_part"], spread=["_place"])
     return numbered.withColumn(out, F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
 
 
@@ -154,5 +163,5 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], group: Sequence[
     )
     inside = W.partitionBy(*cell).orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
     run = rows.withColumns({f"_{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    joined = beside(run, cut_lineage(totals), cell, spread=["_place"])
+    joined = beside(run, totals, cell, spread=["_place"])
     return joined.select(*df.columns, *[(F.col(f"_{c}_start") + F.col(f"_{c}_in")).alias(f"{c}_below") for c in sums], *[f"{c}_all" for c in sums])

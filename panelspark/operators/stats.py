@@ -12,12 +12,14 @@ from functools import reduce
 from itertools import combinations
 from operator import or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import ratio, weighted_mean
-from panelspark.operators.skew import beside, positions, salted_join
+from panelspark.operators.skew import beside, positions, salted_join, small_rows
 from panelspark.session import cut_lineage
 
 
@@ -45,35 +47,47 @@ def _sketch(value: Column) -> Column:
     return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
 
 
-def _brackets(rows: DataFrame, group: list[str], probs: Sequence[float]) -> DataFrame:
-    """(group, _n, _at0.., _lo0.., _hi0..): stored brackets narrow enough that one task can sort a group's values inside them."""
+def _brackets(rows: DataFrame, group: list[str], probs: Sequence[float]) -> tuple[DataFrame, pa.Table | None]:
+    """(group, _n, _at0.., _lo0.., _hi0..): brackets narrow enough that one task can sort a group's values inside them.
+
+    They come with their rows where groups are few, and stored otherwise.
+    """
+
+    def held(df: DataFrame, most: str) -> tuple[DataFrame, pa.Table | None, int]:
+        known = small_rows(df)
+        if known is not None:
+            return df, known, pc.max(known.column(most)).as_py() or 0
+        df = cut_lineage(df)
+        return df, None, df.agg(F.max(most)).first()[0]
+
     n, which = F.col("_n"), range(len(probs))
     at = {f"_at{i}": (n - 1) * F.lit(float(p)) for i, p in enumerate(probs)}
     first = rows.groupBy(*group).agg(F.count("_v").alias("_n"), _sketch(F.col("_v")).alias("_g")).where("_n > 0").withColumns(at)
     ends = {f"_{e}{i}": c for i in which for e, c in zip(("lo", "hi"), _bracket(F.col("_g"), F.floor(f"_at{i}"), n))}
-    found = cut_lineage(first.withColumns(ends).drop("_g"))
-    most = found.agg(F.max("_n")).first()[0] or 0
+    found, known, most = held(first.withColumns(ends).drop("_g"), "_n")
+    columns = found.columns
     while (most := most * 4 * len(probs) // GRID) > SORTED:
-        v, marked = F.col("_v"), _beside_brackets(rows, found, group)
+        v, marked = F.col("_v"), _beside_brackets(rows, found, group, known)
         inside = [_within(v, F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in which]
         again = marked.groupBy(*group).agg(
-            *[F.first(c).alias(c) for c in found.columns if c not in group],
+            *[F.first(c).alias(c) for c in columns if c not in group],
             *[F.count_if(v < F.col(f"_lo{i}")).alias(f"_b{i}") for i in which],
             *[F.count_if(inside[i]).alias(f"_c{i}") for i in which],
             *[_sketch(F.when(inside[i], v)).alias(f"_g{i}") for i in which],
         )
         closer = {f"_{e}{i}": c for i in which for e, c in zip(("lo", "hi"), _bracket(F.col(f"_g{i}"), F.floor(f"_at{i}") - F.col(f"_b{i}"), F.col(f"_c{i}")))}
         tight = {c: (F.greatest if c.startswith("_lo") else F.least)(F.col(c), x) for c, x in closer.items()}
-        most = again.agg(F.max(F.greatest(F.lit(0), *[f"_c{i}" for i in which]))).first()[0]
-        found = cut_lineage(again.withColumns(tight).select(found.columns))
-    return found
+        inner = F.greatest(F.lit(0), *[f"_c{i}" for i in which])
+        found, known, most = held(again.withColumns(tight).select(*columns, inner.alias("_most")), "_most")
+        found, known = found.drop("_most"), known and known.drop_columns("_most")
+    return found, known
 
 
-def _beside_brackets(rows: DataFrame, brackets: DataFrame, group: list[str]) -> DataFrame:
+def _beside_brackets(rows: DataFrame, brackets: DataFrame, group: list[str], known: pa.Table | None) -> DataFrame:
     if group:
-        return beside(rows, brackets, group, spread=["_v"])
-    one = brackets.first()
-    return rows.withColumns({f.name: F.lit(one[f.name] if one else None).cast(f.dataType) for f in brackets.schema})
+        return beside(rows, brackets, group, spread=["_v"], rows=known)
+    one = known.to_pylist()
+    return rows.withColumns({f.name: F.lit(one[0][f.name] if one else None).cast(f.dataType) for f in brackets.schema})
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
@@ -86,8 +100,8 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], group: Sequence[s
     """
     group, p_list = list(group), [float(p) for p in probs]
     rows = df.select(*group, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    brackets = _brackets(rows, group, p_list)
-    marked, v = _beside_brackets(rows, brackets, group), F.col("_v")
+    brackets, known = _brackets(rows, group, p_list)
+    marked, v = _beside_brackets(rows, brackets, group, known), F.col("_v")
     lo, hi = ([F.col(f"_{e}{i}") for i in range(len(p_list))] for e in ("lo", "hi"))
     inside = reduce(or_, [_within(v, a, b) for a, b in zip(lo, hi)])
     # a gap is named after the bracket end below it

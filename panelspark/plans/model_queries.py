@@ -16,7 +16,7 @@ from panelspark.operators import sampling as sm
 from panelspark.operators import stats as st
 from panelspark.plans import tables as tb
 from panelspark.plans.registry import Out, query
-from panelspark.plans.sampling_queries import bootstrap_sql, h
+from panelspark.plans.sampling_queries import h, resampled_sql
 
 _CONS = Out(longs=("doc_id",), doubles=("label",), flags=("any2", "all3", "is_flagged"))
 _RATE_SQL = f"""
@@ -112,7 +112,7 @@ _TABLE = Out(strings=("metric",), doubles=("mean", "half_width"))
 def intervals_sql(reps: int) -> str:
     parts = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS v FROM met" for m in md.METRICS)
     return (
-        SCORED_SQL + bootstrap_sql("sc", "doc_id", reps, "14") + "x AS (SELECT rep, label, score, weight FROM bw JOIN sc USING (doc_id)),"
+        SCORED_SQL + "cl AS (SELECT label, score, count(*) AS n FROM sc GROUP BY 1, 2)," + resampled_sql("cl", ["label", "score"], reps, "14", "x", "n")
         + metrics_sql("x", "rep", "weight") + f"l AS ({parts})"
     )
 
@@ -179,7 +179,7 @@ def cluster_regions(spark, sf):
 # ---- regression ----
 
 OLS_SQL = (
-    bootstrap_sql("supplier", "s_suppkey", 1000, "15")
+    resampled_sql("supplier", ["s_suppkey"], 1000, "15")
     + """
 m AS (SELECT rep, CAST(weight AS DOUBLE) AS w, CAST(s_acctbal AS DOUBLE) AS y, CAST(s_nationkey AS DOUBLE) AS a, CAST(s_suppkey % 7 AS DOUBLE) AS b FROM bw JOIN supplier USING (s_suppkey)),
 g AS (SELECT rep, sum(w * y) / sum(w) AS my, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM m GROUP BY 1),

@@ -69,6 +69,9 @@ def listed(
     )
 
 
+RECURSIVE = "/* recursive */"
+
+
 class Out:
     """One column list used on both sides of a comparison."""
 
@@ -79,5 +82,6 @@ class Out:
         return shown(df, **self.kinds)
 
     def sql(self, ctes: str, source: str) -> str:
-        head = f"WITH {ctes.strip().rstrip(',')}\n" if ctes.strip() else ""
+        kind = "RECURSIVE " if RECURSIVE in ctes else ""
+        head = f"WITH {kind}{ctes.strip().rstrip(',')}\n" if ctes.strip() else ""
         return f"{head}SELECT {listed(**self.kinds)} FROM ({source})"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.text import words
 from panelspark.operators import sampling as sm
 from panelspark.plans import tables as tb
-from panelspark.plans.registry import Out, query
+from panelspark.plans.registry import RECURSIVE, Out, query
 from panelspark.session import cut_lineage
 
 
@@ -68,18 +68,32 @@ def split_by_count(spark, sf):
     return _SPLIT.of(test.withColumn("part", F.lit("test")).unionByName(train.withColumn("part", F.lit("train"))))
 
 
-def bootstrap_sql(table: str, key: str, reps: int, seed: str, name: str = "bw") -> str:
-    return f"""
-    {name}_r AS (SELECT {key}, row_number() OVER (ORDER BY {h(seed, key)}, {key}) - 1 AS i, count(*) OVER () AS n FROM {table}),
-    {name} AS (SELECT d.rep, r.{key}, d.weight FROM
-       (SELECT rep, {h(seed, 'rep', 'i')} % n AS j, count(*) AS weight FROM {name}_r, range(0, {reps}) t(rep) GROUP BY 1, 2) d JOIN {name}_r r ON r.i = d.j),
+def resampled_sql(source: str, keys: list[str], reps: int, seed: str, name: str = "bw", n: str = "1") -> str:
+    """Draws by cell as CTE ``name``: (rep, keys, weight). Each level of the tree splits the draws of its nodes.
+
+    Of m draws at a node as many go left as its distribution function has values
+    up to the node's hash. Cells must have different hashes.
+    """
+    return f"""{RECURSIVE}
+    {name}_c AS MATERIALIZED (SELECT {', '.join(keys)}, {h(seed, *keys)} AS hh, CAST({n} AS BIGINT) AS n FROM {source}),
+    {name}_n AS MATERIALIZED (SELECT d, hh >> (32 - d) AS pre, CAST(sum(CASE WHEN (hh >> (31 - d)) & 1 = 0 THEN n ELSE 0 END) AS BIGINT) AS l, CAST(sum(n) AS BIGINT) AS w
+       FROM {name}_c, (SELECT CAST(range AS INTEGER) AS d FROM range(0, 32)) GROUP BY 1, 2),
+    {name}_t AS (SELECT range AS rep, 0 AS d, CAST(0 AS BIGINT) AS pre, (SELECT CAST(sum(n) AS BIGINT) FROM {name}_c) AS m FROM range(0, {reps})
+       UNION ALL SELECT rep, d + 1 AS d, 2 * pre + side AS pre, CASE WHEN side = 0 THEN x ELSE m - x END AS m FROM
+         (SELECT rep, d, pre, m, CASE WHEN any_value(l) = 0 THEN 0 WHEN any_value(l) = any_value(w) THEN m ELSE least(m, count(*) FILTER (cdf <= u)) END AS x FROM
+           (SELECT rep, d, pre, m, l, w, ({h(seed, 'rep', 'd', 'pre')} + 0.5) / 4294967296.0 AS u,
+                   sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(l / w) + (m - k) * ln(1 - l / w))) OVER (PARTITION BY rep, pre ORDER BY k) AS cdf FROM
+             (SELECT rep, {name}_t.d, {name}_t.pre, m, l, w, unnest(CASE WHEN l > 0 AND l < w THEN range(0, m + 1) ELSE [CAST(NULL AS BIGINT)] END) AS k
+              FROM {name}_t JOIN {name}_n ON {name}_n.d = {name}_t.d AND {name}_n.pre = {name}_t.pre))
+          GROUP BY rep, d, pre, m), (SELECT range AS side FROM range(0, 2)) WHERE CASE WHEN side = 0 THEN x ELSE m - x END > 0),
+    {name} AS (SELECT rep, {', '.join(keys)}, m AS weight FROM {name}_t JOIN {name}_c ON hh = pre WHERE d = 32),
     """
 
 
 _BOOT = Out(longs=("rep", "doc_id", "weight"))
 
 
-@query("rs04_bootstrap_counts", _BOOT.sql(bootstrap_sql("labels", "doc_id", 100, "6"), "SELECT rep, doc_id, weight FROM bw"))
+@query("rs04_bootstrap_counts", _BOOT.sql(resampled_sql("labels", ["doc_id"], 100, "6"), "SELECT rep, doc_id, weight FROM bw"))
 def bootstrap_counts(spark, sf):
     return _BOOT.of(sm.bootstrap_counts(tb.table(spark, sf, "labels"), "doc_id", 100, 6))
 
