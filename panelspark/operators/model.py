@@ -11,15 +11,16 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.codes import median3
 from panelspark.functions.hashing import h32
 from panelspark.functions.nulls import ratio, same
+from panelspark.operators.forest import forest_importances  # noqa: F401  part of this module's interface
 from panelspark.operators.resampling import resampled
-from panelspark.operators.sampling import bootstrap_counts, poisson_weights
+from panelspark.operators.sampling import poisson_weights
 from panelspark.operators.skew import prefix_sums
 from panelspark.operators.stats import interval_summary, last_values, standard_scaled
 from panelspark.session import cut_lineage
@@ -262,33 +263,10 @@ def explained_variance_summary(replicates: DataFrame) -> DataFrame:
     return interval_summary(per_rep, "explained_variance").select("n", "mean", "lower", "upper")
 
 
-def forest_importances(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, seed: int, depth: int = 2, trees: int = 100) -> DataFrame:
-    """(rep, feature, importance, explained_variance) of a random forest per bootstrap replicate.
-
-    Replicates are independent weighted fits on the same table; each fit is a
-    distributed job of its own.
-    """
-    rows = VectorAssembler(inputCols=list(xs), outputCol="_x").transform(df.select(key, F.col(y).cast("double").alias("_y"), *xs))
-    weights = cut_lineage(bootstrap_counts(df, key, reps, seed))  # drawn once for all fits
-    forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_hat",
-                                   maxDepth=depth, numTrees=trees, seed=seed)
-    out = None
-    for rep in range(reps):
-        drawn = rows.join(weights.where(F.col("rep") == rep).select(key, F.col("weight").cast("double").alias("_w")), key)
-        model = forest.fit(drawn)
-        scored = model.transform(drawn)
-        w, e, v = F.col("_w"), F.col("_y") - F.col("_hat"), F.col("_y")
-        var_e = F.sum(w * e * e) / F.sum(w) - F.pow(F.sum(w * e) / F.sum(w), 2)
-        var_y = F.sum(w * v * v) / F.sum(w) - F.pow(F.sum(w * v) / F.sum(w), 2)
-        cells = [F.struct(F.lit(x).alias("feature"), F.lit(float(i)).alias("importance")) for x, i in zip(xs, model.featureImportances.toArray())]
-        part = scored.agg((1 - ratio(var_e, var_y)).alias("explained_variance")).select(
-            F.lit(rep).alias("rep"), F.inline(F.array(*cells)), "explained_variance")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def importance_summary(replicates: DataFrame) -> DataFrame:
-    s = interval_summary(replicates, "importance", ["feature"]).select("feature", "mean", "lower", "upper")
+    """Mean and interval of each feature's importance over the replicates, which are stored."""
+    rows = cut_lineage(replicates.select("rep", "feature", "importance"))
+    s = interval_summary(rows, "importance", ["feature"]).select("feature", "n", "mean", "lower", "upper")
     return s.orderBy(F.col("mean").desc())
 
 

@@ -235,16 +235,87 @@ def explained_variance(spark, sf):
     return _EXPLAINED.of(md.explained_variance_summary(ols_replicates(spark, sf)))
 
 
-_FOREST = Out(longs=("n_features",), doubles=("total",), flags=("inside",))
+@query(
+    "m12_block_ols",
+    _OLS.sql(
+        f"bb AS (SELECT s_suppkey, {h('17-block', 's_suppkey')} % 256 AS block FROM supplier), bl AS (SELECT DISTINCT block FROM bb),"
+        + resampled_sql("bl", ["block"], 1000, "17", "bx") + "bw AS (SELECT rep, s_suppkey, weight FROM bx JOIN bb USING (block)),"
+        + OLS_SQL[OLS_SQL.index("m AS (SELECT rep, CAST(weight"):],
+        "SELECT rep, feature, coef, ev AS explained_variance FROM cf",
+    ),
+)
+def block_ols(spark, sf):
+    """Replicates that draw hash blocks of rows, each reduced to its cross products."""
+    return _OLS.of(md.block_ols(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], 1000, 17))
+
 
+# ---- forest ----
 
-@query("m14_forest_importances", _FOREST.sql("", "SELECT 2 AS n_features, 1 AS total, count(*) > 0 AS inside FROM supplier"))
+FOREST_REPS, FOREST_TREES = 100, 100
+
+
+def _split_sql(level: int, rows: str) -> str:
+    """Best splits of one level from rows (rep, tree, node, w, y, b) as CTE ``b<level>``."""
+    return f"""
+    s{level} AS (SELECT rep, tree, node, f, b[f + 1] AS bin, sum(w) AS w, sum(w * y) AS s, sum(w * y * y) AS q FROM {rows}, (SELECT CAST(range AS INTEGER) AS f FROM range(0, 2)) GROUP BY 1, 2, 3, 4, 5),
+    c{level} AS (SELECT rep, tree, node, f, bin, sum(w) OVER o AS wl, sum(s) OVER o AS sl, sum(w) OVER p AS w, sum(s) OVER p AS s, sum(q) OVER p AS q FROM s{level}
+       WINDOW o AS (PARTITION BY rep, tree, node, f ORDER BY bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY rep, tree, node, f)),
+    g{level} AS (SELECT *, sl ** 2 / wl + (s - sl) ** 2 / (w - wl) - s ** 2 / w AS gain, q - s ** 2 / w AS spread FROM c{level} WHERE wl < w),
+    b{level} AS MATERIALIZED (SELECT rep, tree, node, f, bin AS cut, gain, sl / wl AS lv, (s - sl) / (w - wl) AS rv FROM g{level} WHERE spread > 0 AND round(gain / spread, 9) > 0
+       QUALIFY row_number() OVER (PARTITION BY rep, tree, node ORDER BY round(gain / spread, 9) DESC, f, bin) = 1),
+    """
+
+
+FOREST_SQL = (
+    resampled_sql("supplier", ["s_suppkey"], FOREST_REPS, "16")
+    + f"""
+    fe AS (SELECT [quantile_cont(s_nationkey, list_transform(range(1, 32), lambda i: i / 32)), quantile_cont(s_suppkey % 7, list_transform(range(1, 32), lambda i: i / 32))] AS e, avg(s_acctbal) AS my FROM supplier),
+    fr AS (SELECT s_suppkey, s_acctbal - my AS y, [len(list_filter(list_distinct(e[1]), lambda v: s_nationkey > v)), len(list_filter(list_distinct(e[2]), lambda v: s_suppkey % 7 > v))] AS b FROM supplier, fe),
+    fp AS (SELECT weight, list_transform(range(0, 3 * weight + 13), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(weight) - weight - lgamma(j + 1))))) AS steps FROM (SELECT DISTINCT weight FROM bw)),
+    fd AS MATERIALIZED (SELECT rep, s_suppkey, weight, y, b, steps FROM bw JOIN fp USING (weight) JOIN fr USING (s_suppkey)),
+    fw AS MATERIALIZED (SELECT rep, tree, s_suppkey, y, b, len(list_filter(steps, lambda s: {h('16-tree', 'rep', 'tree', 's_suppkey')} / 4294967296.0 >= s)) AS w FROM fd, (SELECT range AS tree FROM range(0, {FOREST_TREES}))),
+    r0 AS (SELECT rep, tree, 1 AS node, w, y, b FROM fw WHERE w > 0),
+    """
+    + _split_sql(0, "r0")
+    + "r1 AS (SELECT fw.rep, fw.tree, CASE WHEN b[f + 1] > cut THEN 3 ELSE 2 END AS node, w, y, b FROM fw JOIN b0 ON b0.rep = fw.rep AND b0.tree = fw.tree WHERE w > 0),"
+    + _split_sql(1, "r1")
+    + """
+    ft AS (SELECT rep, tree, f, sum(gain) AS gain FROM (SELECT rep, tree, f, gain FROM b0 UNION ALL SELECT rep, tree, f, gain FROM b1) GROUP BY 1, 2, 3),
+    fs AS (SELECT rep, tree, f, gain / sum(gain) OVER (PARTITION BY rep, tree) AS part FROM ft),
+    fi AS (SELECT n.rep, x.f, coalesce(sum(part), 0) / any_value(n.n) AS importance FROM (SELECT rep, count(DISTINCT tree) AS n FROM fs GROUP BY 1) n CROSS JOIN (SELECT range AS f FROM range(0, 2)) x
+       LEFT JOIN fs ON fs.rep = n.rep AND fs.f = x.f GROUP BY 1, 2),
+    fv AS (SELECT rep, s_suppkey, avg(CASE WHEN b1.node IS NULL THEN v ELSE CASE WHEN b[b1.f + 1] > b1.cut THEN b1.rv ELSE b1.lv END END) AS guess FROM
+       (SELECT fd.rep, b0.tree, s_suppkey, b, CASE WHEN b[b0.f + 1] > cut THEN 3 ELSE 2 END AS node, CASE WHEN b[b0.f + 1] > cut THEN rv ELSE lv END AS v FROM fd JOIN b0 ON b0.rep = fd.rep) x
+       LEFT JOIN b1 ON b1.rep = x.rep AND b1.tree = x.tree AND b1.node = x.node GROUP BY x.rep, s_suppkey),
+    fx AS (SELECT rep, 1 - (sum(weight * (y - guess) ** 2) / sum(weight) - (sum(weight * (y - guess)) / sum(weight)) ** 2) / (sum(weight * y ** 2) / sum(weight) - (sum(weight * y) / sum(weight)) ** 2) AS ev
+       FROM fd JOIN fv USING (rep, s_suppkey) GROUP BY 1),
+    """
+).replace("GROUP BY x.rep, s_suppkey)", "GROUP BY 1, 2)").replace("fv AS (SELECT rep,", "fv AS (SELECT x.rep,")
+
+
+def forest_replicates(spark, sf):
+    return md.forest_importances(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], FOREST_REPS, 16, trees=FOREST_TREES)
+
+
+_FOREST = Out(strings=("feature",), doubles=("mean", "lower", "upper"), longs=("n",))
+
+
+@query(
+    "m14_forest_importances",
+    _FOREST.sql(FOREST_SQL, "SELECT CASE f WHEN 0 THEN 's_nationkey' ELSE 'slot' END AS feature, count(*) AS n, avg(importance) AS mean, quantile_cont(importance, 0.025) AS lower, quantile_cont(importance, 0.975) AS upper FROM fi GROUP BY 1"),
+)
 def forest_importances(spark, sf):
-    """Importances over replicates: they add up to 1, and each mean lies inside its interval."""
-    reps = md.forest_importances(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], 3, 16, trees=20)
-    s = md.importance_summary(reps)
-    inside = F.bool_and((F.col("lower") <= F.col("mean") + 1e-12) & (F.col("mean") <= F.col("upper") + 1e-12))
-    return _FOREST.of(s.agg(F.count(F.lit(1)).alias("n_features"), F.sum("mean").alias("total"), inside.alias("inside")))
+    """Importances with their intervals over 100 replicates of 100 trees."""
+    return _FOREST.of(md.importance_summary(forest_replicates(spark, sf)))
+
+
+@query(
+    "m14_forest_explained",
+    _EXPLAINED.sql(FOREST_SQL, "SELECT count(*) AS n, avg(ev) AS mean, quantile_cont(ev, 0.025) AS lower, quantile_cont(ev, 0.975) AS upper FROM fx"),
+)
+def forest_explained(spark, sf):
+    """The variance that the forests explain, with its interval."""
+    return _EXPLAINED.of(md.explained_variance_summary(forest_replicates(spark, sf)))
 
 
 _REPORT = Out(strings=("feature",), doubles={"coef": 4, "std_error": 4, "t": 3, "r2": 6})

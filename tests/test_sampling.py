@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from math import comb
 
 import pytest
 from conftest import d, rows
@@ -34,10 +35,28 @@ def test_shuffle_and_split(ids):
     assert {r.k for r in train.collect()} == set(order(3)[50:])
 
 
+def plain_draws(seed, rep, keys, m, bits=32):
+    """Draws of one replicate: each bit of the rows' hashes splits them, and a binomial of the node's hash splits the draws."""
+    if len(keys) < 2 or not m:
+        return {k: m for k in keys if m}
+    left, right = ([k for k in keys if h(seed, k) >> (bits - 1) & 1 == side] for side in (0, 1))
+    took = m if not right else 0
+    if left and right:
+        p, u = len(left) / len(keys), (h(seed, rep, 32 - bits, h(seed, keys[0]) >> bits) + 0.5) / 2**32
+        upto = 0.0
+        for took in range(m + 1):
+            upto += comb(m, took) * p**took * (1 - p) ** (m - took)
+            if upto > u:
+                break
+    return plain_draws(seed, rep, left, took, bits - 1) | plain_draws(seed, rep, right, m - took, bits - 1)
+
+
 def test_bootstrap_counts(ids):
     got = {(r.rep, r.k): r.weight for r in sm.bootstrap_counts(ids, "k", 4, 5).collect()}
-    want = Counter((rep, order(5)[h(5, rep, slot) % 200]) for rep in range(4) for slot in range(200))
+    keys = [r.k for r in ids.collect()]
+    want = {(rep, k): n for rep in range(4) for k, n in plain_draws(5, rep, keys, len(keys)).items()}
     assert got == want
+    assert Counter((r.rep, r.k) for r in sm.bootstrap_rows(ids, "k", 4, 5).collect()) == want
 
 
 def test_poisson_weights(ids):
