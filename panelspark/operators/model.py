@@ -20,7 +20,7 @@ from panelspark.functions.hashing import h32
 from panelspark.functions.nulls import ratio, same
 from panelspark.operators.forest import forest_importances  # noqa: F401  part of this module's interface
 from panelspark.operators.resampling import resampled
-from panelspark.operators.sampling import poisson_weights
+from panelspark.operators.sampling import poisson_weights, sample_n
 from panelspark.operators.skew import prefix_sums
 from panelspark.operators.stats import interval_summary, last_values, standard_scaled
 from panelspark.session import cut_lineage
@@ -63,6 +63,29 @@ def train_text_classifier(train: DataFrame, text: str = "text", label: str = "la
     return Pipeline(stages=stages).fit(rows.select(text, "_weight", "_label"))
 
 
+def training_mix(own: DataFrame, other: DataFrame, key: str, seed: int | str, share: float = 0.4) -> DataFrame:
+    """All rows of ``own``, and as many random ones of ``other`` as ``share`` of their number; ``key`` is unique in ``other``.
+
+    Columns are those of ``own``; where ``other`` has fewer rows, all of them.
+    """
+    return own.unionByName(sample_n(other, key, int(own.count() * share), seed).select(own.columns))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Writes a trained model to a folder that all executors share."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def held_out_scores(test: DataFrame, model: PipelineModel, key: str, text: str = "text", label: str = "label") -> DataFrame:
+    """(key, label, score) of held-out rows: what ``confusion_metrics`` and the like evaluate."""
+    scored = model.transform(test.select(key, text, F.col(label).cast("int").alias("label")))
+    return scored.select(key, "label", vector_to_array("probability").getItem(1).alias("score"))
+
+
 def score_texts(texts: DataFrame, model: PipelineModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """(text, prob, label) for each row; pass distinct texts so that copies are scored once."""
     scored = model.transform(texts.select(text))

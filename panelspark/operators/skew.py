@@ -39,16 +39,26 @@ def beside(big: DataFrame, keyed: DataFrame, on: Sequence[str], spread: Sequence
     return big.alias("b").join(F.broadcast(known.alias("k")), same).select("b.*", *[f"k.{c}" for c in keyed.columns if c not in on])
 
 
+# Rows of a table that are looked at to find its hot keys.
+SAMPLED = 1_000_000
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int | None = None) -> DataFrame:
-    """Keys holding at least 1/share of the rows: never more than ``share`` rows.
+    """(keys, _copies): keys holding at least 1/share of the rows, and into how many such parts theirs divide.
 
-    By default the share is a quarter of what a shuffle task has on average, so
-    a key that is left alone cannot make its task much longer than others.
+    By default a part is a quarter of what a shuffle task has on average, so a
+    key that is left alone cannot make its task much longer than others. There
+    are never more than ``share`` such keys, nor copies of all of them than twice
+    that. They are found in a sample of about SAMPLED rows chosen by hash; all
+    rows are read where there are no more.
     """
     share = share or 4 * tasks(df)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("_n") * share >= total).drop("_n")
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    some = df.where(F.pmod(F.xxhash64(*df.columns), F.greatest(F.lit(1), F.floor(rows / SAMPLED))) == 0)
+    counts = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = some.agg(F.count(F.lit(1))).scalar()
+    parts = F.col("_n") * share / total
+    return counts.where(parts >= 1).select(*keys, (F.floor(parts) + 1).cast("int").alias("_copies"))
 
 
 def salted_join(
@@ -57,24 +67,22 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] = (),
-    salts: int | None = None,
+    share: int | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join in which the hot keys of ``big`` are spread over ``salts`` tasks, by default as many as a shuffle has.
+    """Equi-join in which a hot key of ``big`` is spread over as many tasks as its share of the rows asks for.
 
-    ``keyed`` is unique on ``on`` and is copied ``salts`` times for the hot keys
-    only. ``spread`` names columns of ``big`` that differ within a hot key. The
-    list of hot keys has at most a few rows per shuffle task, so broadcasting it
-    is bounded. A hot NULL is spread like any other key, also where it matches
-    nothing.
+    ``keyed`` is unique on ``on``; a row of it is copied once per part of its
+    key's rows (see ``hot_keys``), so that all copies together are a few per
+    shuffle task. ``spread`` names columns of ``big`` that differ within a hot
+    key. The list of hot keys is bounded as well and is broadcast. A hot NULL is
+    spread like any other key, also where it matches nothing.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"how={how!r} is not supported")
     on = list(on)
-    salts = salts or max(8, tasks(big))
-    hot = hot_keys(big, on).withColumn("_hot", F.lit(True))
+    hot = hot_keys(big, on, share)
     spread_cols = [F.col(c) for c in (spread or [c for c in big.columns if c not in on])]
-    salt = F.pmod(F.xxhash64(*spread_cols), F.lit(salts)).cast("int")
 
     def same_keys(left: str, right: str, nulls: bool = null_safe) -> Column:
         cond = F.lit(True)
@@ -83,13 +91,12 @@ def salted_join(
             cond = cond & (a.eqNullSafe(b) if nulls else a == b)
         return cond
 
-    def with_flag(df: DataFrame) -> DataFrame:
+    def with_copies(df: DataFrame) -> DataFrame:
         joined = df.alias("d").join(F.broadcast(hot.alias("h")), same_keys("d", "h", True), "left")
-        return joined.select("d.*", F.coalesce("h._hot", F.lit(False)).alias("_hot"))
+        return joined.select("d.*", F.coalesce("h._copies", F.lit(1)).alias("_copies"))
 
-    left = with_flag(big).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = with_flag(keyed).withColumn("_salt", F.explode(copies)).drop("_hot")
+    left = with_copies(big).withColumn("_salt", F.pmod(F.xxhash64(*spread_cols), F.col("_copies")).cast("int")).drop("_copies")
+    right = with_copies(keyed).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
     cond = same_keys("l", "r") & (F.col("l._salt") == F.col("r._salt"))
     out = left.alias("l").join(right.alias("r"), cond, how)
     cols = [F.col(f"l.{c}") for c in big.columns]

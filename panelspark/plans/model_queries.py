@@ -17,6 +17,7 @@ from panelspark.operators import stats as st
 from panelspark.plans import tables as tb
 from panelspark.plans.registry import Out, query
 from panelspark.plans.sampling_queries import h, resampled_sql
+from panelspark.session import cut_lineage, scratch_path
 
 _CONS = Out(longs=("doc_id",), doubles=("label",), flags=("any2", "all3", "is_flagged"))
 _RATE_SQL = f"""
@@ -44,6 +45,45 @@ def rater_majority(spark, sf):
     return _CONS.of(md.consensus(raters(spark, sf), "any2"))
 
 
+# ---- text classifier: two sources of labels, some rows held out, model stored ----
+
+_MIX = Out(longs=("doc_id", "label"), strings=("part",))
+MIX_SQL = (
+    f"""oh AS (SELECT doc_id, quality AS label, row_number() OVER (ORDER BY {h('13', 'doc_id')}, doc_id) AS i FROM labels JOIN documents USING (doc_id)),"""
+    + _RATE_SQL
+    + f"""oo AS (SELECT doc_id, CAST(is_flagged AS INT) AS label, row_number() OVER (ORDER BY {h('18', 'doc_id')}, doc_id) AS i FROM d JOIN documents USING (doc_id) WHERE any2),
+    os AS (SELECT doc_id, label, row_number() OVER (ORDER BY {h('19', 'doc_id')}, doc_id) AS i FROM oo WHERE i > 70),
+    mix AS (SELECT doc_id, label, 'own' AS part FROM oh WHERE i > 70 UNION ALL SELECT doc_id, label, 'other' FROM os WHERE i <= (SELECT CAST(floor(count(*) * 0.4) AS BIGINT) FROM oh WHERE i > 70)
+        UNION ALL SELECT doc_id, label, 'test' FROM oh WHERE i <= 70),
+    """
+)
+
+
+def sources(spark, sf):
+    """(test, train, other): labelled documents, 70 held out, and those of a second source with three raters less 70."""
+    d = tb.table(spark, sf, "documents").select("doc_id", "text")
+    own = d.join(tb.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    rated = md.consensus(raters(spark, sf), "any2").select("doc_id", F.col("is_flagged").cast("int").alias("label"))
+    test, train = sm.split_by_count(own, "doc_id", 70, 13)
+    return test, train, sm.split_by_count(d.join(rated, "doc_id"), "doc_id", 70, 18)[1]
+
+
+@query("m02_training_mix", _MIX.sql(MIX_SQL, "SELECT * FROM mix"))
+def training_mix(spark, sf):
+    """What the classifier is trained on: own rows and 40% as many of the second source; and what is held out."""
+    test, train, other = sources(spark, sf)
+    parts = md.training_mix(train.withColumn("part", F.lit("own")), other.withColumn("part", F.lit("other")), "doc_id", 19)
+    return _MIX.of(parts.unionByName(test.withColumn("part", F.lit("test"))))
+
+
+def trained_classifier(spark, sf):
+    """(model, held-out rows); the model is that read back from the shared folder."""
+    test, train, other = sources(spark, sf)
+    path = scratch_path(spark, "classifier")
+    md.save_model(md.train_text_classifier(cut_lineage(md.training_mix(train, other, "doc_id", 19))), path)
+    return md.load_model(path), test
+
+
 _CLASS = Out(longs=("doc_id",), strings=("part",), flags=("sound",))
 
 
@@ -60,9 +100,9 @@ def classify_documents(spark, sf):
     ``sound``: the label is that of the probability, and equal texts have equal labels.
     """
     d = tb.table(spark, sf, "documents").select("doc_id", "text")
-    labelled = d.join(tb.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    test, train = sm.split_by_count(labelled, "doc_id", 70, 13)
-    model = md.train_text_classifier(train)
+    model, test = trained_classifier(spark, sf)
+    labelled = d.join(tb.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    train = labelled.join(test.select("doc_id"), "doc_id", "left_anti")
     scored = ev.attach_predictions(d, md.score_texts(ev.distinct_texts(d), model), spread=["doc_id"])
     keyed = scored.withColumn("digest", ev.text_digest("text")).drop("text")
     spans = keyed.groupBy("digest").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -126,6 +166,17 @@ def bootstrap_metrics(spark, sf):
     return _TABLE.of(md.metric_intervals(md.bootstrap_metrics(scored(spark, sf), "doc_id", 1000, 14)))
 
 
+_HELD_OUT = Out(strings=("metric",), doubles=("mean", "half_width"))
+
+
+@query("m07_held_out_metrics")
+def held_out_metrics(spark, sf):
+    """Six metrics of the trained classifier on its held-out rows, over a thousand replicates."""
+    model, test = trained_classifier(spark, sf)
+    scores = cut_lineage(md.held_out_scores(test, model, "doc_id"))
+    return _HELD_OUT.of(md.metric_intervals(md.bootstrap_metrics(scores, "doc_id", 1000, 20)))
+
+
 # ---- clusters ----
 
 

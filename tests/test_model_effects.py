@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import effects as ef
 from panelspark.operators import model as md
+from panelspark.operators import sampling as sm
 
 
 def test_consensus(spark):
@@ -54,6 +55,24 @@ def test_text_classifier_learns_and_scores_each_text(spark):
     assert got == [("awful storm", 1), ("calm day", 0)]
 
 
+def test_model_of_two_sources_is_stored_and_evaluated(spark, tmp_path):
+    """Scores of the stored model are those of the trained one, and its replicates are those of a plain draw from them."""
+    own = spark.createDataFrame([(i, f"{'awful storm' if i % 3 == 0 else 'calm day'} number{i % 11}", int(i % 3 == 0)) for i in range(100)], "id int, text string, label int")
+    other = spark.createDataFrame([(i, f"{'rain' if i % 2 else 'sun'} number{i % 7}", i % 2) for i in range(1000, 1090)], "id int, text string, label int")
+    test, train = sm.split_by_count(own, "id", 30, 1)
+    mix = md.training_mix(train, other, "id", 2)
+    assert mix.where("id < 1000").count() == 70 and mix.where("id >= 1000").count() == 28
+    assert md.training_mix(train, other, "id", 2, share=5.0).count() == 160
+    model = md.train_text_classifier(mix)
+    md.save_model(model, str(tmp_path / "model"))
+    again = md.load_model(str(tmp_path / "model"))
+    want = rows(md.held_out_scores(test, model, "id"), "id", "label", "score")
+    assert rows(md.held_out_scores(test, again, "id"), "id", "label", "score") == want and len(want) == 30
+    reps = md.bootstrap_metrics(md.held_out_scores(test, again, "id"), "id", 40, 3).collect()
+    right = [(score > 0.5) == bool(label) for _, label, score in want]
+    assert len(reps) == 40 and np.mean([r.accuracy for r in reps]) == pytest.approx(np.mean(right), abs=0.08)
+
+
 def test_clusters(spark):
     data = [(r, d(t), (r % 2) * 10 + r * 0.01, (r % 2) * 5.0) for r in range(8) for t in range(2)]
     df = spark.createDataFrame(data, "region int, date date, a double, b double")

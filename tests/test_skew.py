@@ -20,6 +20,18 @@ def test_hot_keys_are_few(hot):
     assert [r.k for r in skew.hot_keys(df, ["k"]).collect()] == [7]
 
 
+def test_copies_follow_a_key_s_share(spark, monkeypatch):
+    """As many copies as parts of its rows, few in all, and about the same from a sample."""
+    df = spark.range(40_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 1 WHEN id % 20 = 1 THEN 2 ELSE id END AS k")
+    assert {r.k: r._copies for r in skew.hot_keys(df, ["k"], share=40).collect()} == {1: 21, 2: 3}
+    monkeypatch.setattr(skew, "SAMPLED", 4000)
+    some = {r.k: r._copies for r in skew.hot_keys(df, ["k"], share=40).collect()}
+    assert set(some) == {1, 2} and abs(some[1] - 21) <= 2 and abs(some[2] - 3) <= 1
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, name string")
+    got = skew.salted_join(df, dim, ["k"], spread=["id"])
+    assert rows(got.groupBy("name").count(), "name", "count") == [("a", 20_000), ("b", 2000), ("c", 1)]
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_salted_join_equals_plain_join(spark, hot, how):
     data, df = hot
