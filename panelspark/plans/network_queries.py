@@ -68,7 +68,7 @@ def interaction_edges(spark, sf):
 
 PW = """
 pw0 AS (SELECT g.src, g.dst, g.weight * b.population / a.population AS weight FROM geo0 g JOIN rg a ON a.region = g.src JOIN rg b ON b.region = g.dst),
-pw AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM pw0),
+pw AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS weight FROM pw0),
 """
 
 
@@ -82,21 +82,22 @@ def population_weighted(spark, sf):
 
 _MEAN = Out(longs=("region",), strings=("date",), doubles=("V_near", "C_near"))
 _MEAN_SQL = """
-nm AS (SELECT e.src AS region, p.date, sum(e.weight * p.V) AS v, sum(e.weight * p.C) AS c FROM {0} e JOIN op p ON p.region = e.dst GROUP BY 1, 2),
+ed AS MATERIALIZED (SELECT src, dst, weight FROM {0}), hs AS MATERIALIZED (SELECT DISTINCT src FROM ed),
+nm AS MATERIALIZED (SELECT e.src AS region, p.date, sum(e.weight * p.V) AS v, sum(e.weight * p.C) AS c FROM ed e JOIN op p ON p.region = e.dst GROUP BY 1, 2),
 """
 _MEAN_SELECT = (
-    "SELECT op.region, strftime(op.date, '%Y-%m-%d') AS date, CASE WHEN op.region IN (SELECT src FROM {0}) THEN coalesce(nm.v, 0) END AS V_near, "
-    "CASE WHEN op.region IN (SELECT src FROM {0}) THEN coalesce(nm.c, 0) END AS C_near FROM op LEFT JOIN nm ON nm.region = op.region AND nm.date = op.date"
+    "SELECT op.region, strftime(op.date, '%Y-%m-%d') AS date, CASE WHEN hs.src IS NOT NULL THEN coalesce(nm.v, 0) END AS V_near, "
+    "CASE WHEN hs.src IS NOT NULL THEN coalesce(nm.c, 0) END AS C_near FROM op LEFT JOIN hs ON hs.src = op.region LEFT JOIN nm ON nm.region = op.region AND nm.date = op.date"
 )
 
 
-@query("p20_neighbour_mean", _MEAN.sql(tb.OP + tb.EV + tb.NW + _MEAN_SQL.format("edg"), _MEAN_SELECT.format("edg")))
+@query("p20_neighbour_mean", _MEAN.sql(tb.OP + tb.EV + tb.NW + _MEAN_SQL.format("edg"), _MEAN_SELECT))
 def neighbour_mean(spark, sf):
     edges = nw.interaction_edges(tb.stored_network(spark, sf), tb.users(spark, sf))
     return _MEAN.of(dated(nw.neighbour_mean(tb.order_panel(spark, sf), ["V", "C"], edges, "_near")))
 
 
-@query("p20_neighbour_mean_by_distance", _MEAN.sql(tb.OP + DIST + PW + _MEAN_SQL.format("pw"), _MEAN_SELECT.format("pw")))
+@query("p20_neighbour_mean_by_distance", _MEAN.sql(tb.OP + DIST + PW + _MEAN_SQL.format("pw"), _MEAN_SELECT))
 def neighbour_mean_by_distance(spark, sf):
     """Edges by distance, weighted by population."""
     p = tb.order_panel(spark, sf)

@@ -19,6 +19,9 @@ def dated(df):
 
 KEYS = "region, strftime(date, '%Y-%m-%d') AS date"
 
+# The calendar of ``op`` has no gaps, so a lag by days is one by rows.
+CALENDAR = "WINDOW w AS (PARTITION BY region ORDER BY date)"
+
 
 # ---- flagship: events to exposure ----
 
@@ -88,8 +91,8 @@ _RATE = Out(longs=("region",), strings=("date",), doubles=("V_dxdt1", "V_dxdt8",
     "p03_rate_of_change",
     _RATE.sql(
         tb.OP,
-        "SELECT op.region, strftime(op.date, '%Y-%m-%d') AS date, op.V - a.V AS V_dxdt1, (op.V - b.V) / 8 AS V_dxdt8, op.C - a.C AS C_dxdt1, (op.C - b.C) / 8 AS C_dxdt8 "
-        "FROM op JOIN op a ON a.region = op.region AND a.date + 1 = op.date JOIN op b ON b.region = op.region AND b.date + 8 = op.date",
+        f"SELECT {KEYS}, V - lag(V, 1) OVER w AS V_dxdt1, (V - lag(V, 8) OVER w) / 8 AS V_dxdt8, C - lag(C, 1) OVER w AS C_dxdt1, (C - lag(C, 8) OVER w) / 8 AS C_dxdt8 "
+        f"FROM op {CALENDAR} QUALIFY row_number() OVER w > 8",
     ),
 )
 def rate_of_change(spark, sf):
@@ -104,10 +107,7 @@ _MANY = Out(longs=("region", "C", *[f"C_tlag{n}" for n in LAGS]), strings=("date
     "p04_many_lags",
     _MANY.sql(
         tb.OP,
-        "SELECT op.region, strftime(op.date, '%Y-%m-%d') AS date, op.C, "
-        + ", ".join(f"l{n}.C AS C_tlag{n}" for n in LAGS)
-        + " FROM op "
-        + " ".join(f"JOIN op l{n} ON l{n}.region = op.region AND l{n}.date + {n} = op.date" for n in LAGS),
+        f"SELECT {KEYS}, C, " + ", ".join(f"lag(C, {n}) OVER w AS C_tlag{n}" for n in LAGS) + f" FROM op {CALENDAR} QUALIFY row_number() OVER w > {LAGS[-1]}",
     ),
 )
 def many_lags(spark, sf):
@@ -318,7 +318,10 @@ def thin_dates(spark, sf):
 
 
 _COMP = Out(longs=("region", "N", "V", "D", "C", "R", "I", "S", "T_a"), strings=("date",))
-_COMP_SQL = "comp AS (SELECT op.region, op.date, op.population AS N, op.V, op.D, op.C, a.C AS R, op.C - a.C AS I, op.population - (op.C + op.V) AS S, op.U AS T_a FROM op JOIN op a ON a.region = op.region AND a.date + 8 = op.date),"
+_COMP_SQL = (
+    "comp AS MATERIALIZED (SELECT region, date, population AS N, V, D, C, lag(C, 8) OVER w AS R, C - lag(C, 8) OVER w AS I, population - (C + V) AS S, U AS T_a "
+    f"FROM op {CALENDAR} QUALIFY row_number() OVER w > 8),"
+)
 
 
 def compartments_of(spark, sf):
@@ -453,7 +456,7 @@ def step_parameter(spark, sf):
 _BLEND = Out(longs=("region",), strings=("date",), doubles=("blend",))
 
 
-@query("p27_blend_lag1", _BLEND.sql(tb.OP, "SELECT op.region, strftime(op.date, '%Y-%m-%d') AS date, op.U - (op.U - a.U) / 8 AS blend FROM op JOIN op a ON a.region = op.region AND a.date + 8 = op.date"))
+@query("p27_blend_lag1", _BLEND.sql(tb.OP, f"SELECT {KEYS}, U - (U - lag(U, 8) OVER w) / 8 AS blend FROM op {CALENDAR} QUALIFY row_number() OVER w > 8"))
 def blend(spark, sf):
     lagged = pn.calendar_lag(tb.order_panel(spark, sf), ["U"], [8])
     return _BLEND.of(dated(lagged.withColumn("blend", blend_lag1(F.col("U"), F.col("U_tlag8")))))
