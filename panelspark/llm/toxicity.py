@@ -72,15 +72,17 @@ def text_features(text: str | None) -> np.ndarray:
     return np.frombuffer(b"".join(map(_tokens.__getitem__, sorted(set((text or "").split())))), np.int32)
 
 
-def swapped(text: str, turn: int) -> str | None:
-    """The text with each identity term replaced by another of its group; None if it has none."""
-    changed = False
+def swapped(text: str) -> str | None:
+    """The text with each identity term replaced by another of its group, by a hash of the text; None if it has none."""
+    changed, turn = False, None
 
     def other(m: re.Match) -> str:
-        nonlocal changed
+        nonlocal changed, turn
         choices = OTHERS.get(m[0].lower())
         if not choices:
             return m[0]
+        if turn is None:
+            turn = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))
         changed = True
         return choices[turn % len(choices)]
 
@@ -156,51 +158,60 @@ def fit(
         place = np.full(SPACE, -1, np.int32)
         place[index] = np.arange(len(index))
 
-        def own(text: str | None) -> tuple[list[int], list[int]]:
+        def own(text: str | None) -> np.ndarray:
             found = place[text_features(text)]
             cols, times = np.unique(found[found >= 0], return_counts=True)
-            return cols.tolist(), times.tolist()
+            return pairs_of(cols, np.log1p(times))
 
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("label", "cols", "times", "cols2", "times2")}
-            for k, (y, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                other = swapped(text or "", k)
+            out: dict[str, list] = {"label": [], "own": [], "change": []}
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                other = swapped(text or "")
                 first = own(text)
-                second = own(other) if other is not None else first
-                for name, v in zip(out, (int(y > 0), *first, *second), strict=True):
-                    out[name].append(v)
-            kinds = [pa.int32(), *[pa.list_(pa.int32())] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    # at most ``sample`` rows of at most FEATURES numbers; equal rows in any order give the same sums but for rounding
-    lists = "array<int>"
-    data = rows.mapInArrow(matrix, f"label int, cols {lists}, times {lists}, cols2 {lists}, times2 {lists}")
-    data = data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("n")).orderBy("label", "cols", "times", "cols2", "times2").toPandas()
+                out["label"].append(int(y > 0))
+                out["own"].append(first.tobytes())
+                out["change"].append(b"" if other is None else difference(first, own(other)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["label"], pa.int32()), pa.array(out["own"], pa.binary()), pa.array(out["change"], pa.binary())], names=list(out))
+
+    # at most ``sample`` rows of at most FEATURES pairs, packed; in one order whatever the tasks were
+    data = rows.mapInArrow(matrix, "label int, own binary, change binary").orderBy("label", "own", "change").toArrow()
     weight, intercept = _descend(data, len(index), penalty, shrink, rounds)
     return Model(index, weight, intercept)
 
 
-def _sparse(cols: list, times: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    flat = np.concatenate([*map(np.asarray, cols), np.zeros(0)]).astype(np.int64)
-    return rows, flat, np.concatenate([*map(np.asarray, times), np.zeros(0)]).astype(float)
+#: A feature's place among those kept, and its value.
+PAIR = np.dtype([("col", "<i4"), ("value", "<f4")])
+
+
+def pairs_of(cols: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(cols), PAIR)
+    out["col"], out["value"] = cols, values
+    return out
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What ``a`` has minus what ``b`` has, without the features that are alike."""
+    cols, place = np.unique(np.concatenate([a["col"], b["col"]]), return_inverse=True)
+    values = np.bincount(place, np.concatenate([a["value"], -b["value"]]), len(cols))
+    return pairs_of(cols[values != 0], values[values != 0])
+
+
+def _sparse(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of every pair."""
+    sizes = [len(x.as_buffer()) // PAIR.itemsize for x in packed]
+    flat = np.frombuffer(b"".join(x.as_py() for x in packed), PAIR)
+    return np.repeat(np.arange(len(sizes)), sizes), flat["col"].astype(np.int64), flat["value"].astype(float)
 
 
-def _descend(data, width: int, penalty: float, shrink: float, rounds: int) -> tuple[np.ndarray, float]:  # noqa: ANN001
+def _descend(data: pa.Table, width: int, penalty: float, shrink: float, rounds: int) -> tuple[np.ndarray, float]:
     """Proximal gradient descent with momentum on mean loss + penalty * mean squared change + shrink * |weights|."""
-    y, n = data["label"].to_numpy(float), data["n"].to_numpy(float)
-    share = n / n.sum()
+    y = data["label"].to_numpy().astype(float)
+    share = np.full(len(y), 1 / len(y))
     # both labels weigh alike, so the threshold of one half is no matter of how many there are
     weigh = share * np.where(y > 0, 0.5 / (share @ y), 0.5 / (share @ (1 - y)))
-    r, c, v = _sparse(list(data["cols"]), list(data["times"]))
-    v = np.log1p(v)
+    r, c, v = _sparse(data["own"])
     # only documents with identity terms have anything to compare: what they have minus what the swapped ones have
-    other = [list(a) != list(b) or list(x) != list(z) for a, b, x, z in zip(data["cols"], data["cols2"], data["times"], data["times2"], strict=True)]
-    pairs = data[np.array(other, bool)]
-    r1, c1, v1 = _sparse(list(pairs["cols"]), list(pairs["times"]))
-    r2, c2, v2 = _sparse(list(pairs["cols2"]), list(pairs["times2"]))
-    rd, cd, vd = np.concatenate([r1, r2]), np.concatenate([c1, c2]), np.concatenate([np.log1p(v1), -np.log1p(v2)])
-    share_d = share[np.array(other, bool)]
+    rd, cd, vd = _sparse(data["change"])
     norm = np.bincount(r, v * v, len(y))
     w, b, look, look_b, t = np.zeros(width), 0.0, np.zeros(width), 0.0, 1.0
     step = min(0.5, 1.0 / (0.25 * max(1.0, float((weigh * norm).sum() / weigh.sum())) + 2 * penalty + 1e-9))
@@ -209,8 +220,8 @@ def _descend(data, width: int, penalty: float, shrink: float, rounds: int) -> tu
         e = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(c, v * e[r], width)
         if len(rd):
-            change = np.bincount(rd, vd * look[cd], len(share_d))
-            g += np.bincount(cd, vd * (2 * penalty * share_d * change)[rd], width)
+            change = np.bincount(rd, vd * look[cd], len(y))
+            g += np.bincount(cd, vd * (2 * penalty * share * change)[rd], width)
         new = look - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * shrink, 0)
         new_b = look_b - step * e.sum()
