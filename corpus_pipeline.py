@@ -36,7 +36,9 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = known.join(keep, (F.col("_own") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # the same id may stand beside the same text more than once
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = kept.groupBy("_own", "doc_id").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_rest"), F.first("text").alias("text"))
+    row = F.struct(F.lit(0).alias("_"), *rest)
+    # by their JSON, as extra columns may be of kinds that have no order
+    one = kept.groupBy("_own", "doc_id").agg(F.min_by(row, F.to_json(row)).alias("_rest"), F.first("text").alias("text"))
     one = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.{c}").alias(c) for c in docs.columns])
     return one.unionByName(docs.where(F.col("text").isNull()))
 
