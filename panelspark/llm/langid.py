@@ -28,6 +28,11 @@ BLOCK = 16_000_000
 UNDETERMINED = "und"
 
 
+def words_of(token: str) -> list[str]:
+    """Runs of letters, lower-case; numeric characters such as a raised two stand in words but make none."""
+    return [w for w in WORD.findall(token.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 @dataclass(frozen=True)
 class Model:
     """All counts, as tables: (lang, word, n) and (lang, size, gram, n). Totals by language, and by language and size, are few."""
@@ -62,7 +67,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
             seen: Counter = Counter()
             for lang, own in tokens.items():
                 for token, n in own.items():
-                    for w in WORD.findall(token.lower()):
+                    for w in words_of(token):
                         seen[lang, w] += n
             tokens.clear()
             return pa.RecordBatch.from_arrays(
@@ -119,7 +124,7 @@ def _by_language(counts: DataFrame, key: str, model: Model, total: Column, floor
     """(key, scores): log frequencies in the order of the languages, the floor where a language does not have the key."""
     log = counts.select(key, "lang", F.log(F.col("n") / total).alias("log"), floor.alias("floor"))
     own = [F.coalesce(F.max(F.when(F.col("lang") == x, F.col("log"))), F.max("floor")) for x in model.languages]
-    return log.groupBy(key).agg(F.array(*own).alias("scores"))
+    return log.groupBy(key).agg(F.array(*own).cast("array<float>").alias("scores"))
 
 
 def word_table(model: Model) -> DataFrame:
@@ -181,10 +186,10 @@ def unseen_scores(unseen: DataFrame, model: Model) -> DataFrame:
     def answer(words: pa.Table, grams: pa.Table) -> pa.Table:
         scores = GramScores(dict(zip(grams["gram"].to_pylist(), score_matrix(grams["scores"], width), strict=True)), width)
         found = [scores.word(w) for w in words["word"].to_pylist()]
-        return pa.table({"word": words["word"], "scores": pa.array(found, pa.list_(pa.float64()))})
+        return pa.table({"word": words["word"], "scores": pa.array(found, pa.list_(pa.float32()))})
 
     own = asked.where("word IS NOT NULL").select("block", "word")
-    return own.groupBy("block").cogroup(known.groupBy("asker")).applyInArrow(answer, "word string, scores array<double>")
+    return own.groupBy("block").cogroup(known.groupBy("asker")).applyInArrow(answer, "word string, scores array<float>")
 
 
 class Numbers(dict):
@@ -199,7 +204,7 @@ def counted(texts: list[str | None]) -> tuple[list[str], list[np.ndarray], list[
     """Sorted words of some texts; for each text the places of its words in that list, and how often it has them."""
     tokens, words = Numbers(), Numbers()
     of_texts = [np.fromiter(map(tokens.__getitem__, (t or "").split()), np.int64) for t in texts]
-    of_tokens = [[words[w] for w in WORD.findall(t.lower())] for t in tokens]
+    of_tokens = [[words[w] for w in words_of(t)] for t in tokens]
     n_words = np.array([len(x) for x in of_tokens], np.int64)
     first = np.cumsum(n_words) - n_words
     order = sorted(words)

@@ -38,6 +38,15 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([(s >= 0.5) == bool(y) for y, s in held]) > 0.9
 
 
+def test_the_model_does_not_depend_on_partitions(spark, make):
+    """A text's counterfactual is its own, wherever it stands."""
+    assert toxicity.swapped("Women and men") == toxicity.swapped("Women and men") != "Women and men"
+    docs = make([f"{'vile women' if i % 2 else 'kind men'} number {i % 7} {'hate' if i % 2 else 'peace'}" for i in range(60)])
+    known = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    one, other = (toxicity.fit(docs.repartition(n, "doc_id"), known) for n in (1, 5))
+    assert one.index.tolist() == other.index.tolist() and one.intercept == other.intercept and (one.weight == other.weight).all()
+
+
 def test_swapped_terms_keep_their_score(spark, make):
     rng = random.Random(1)
     texts, labels = [], []
@@ -226,3 +235,10 @@ def test_dart_agreement_is_weighted_similarity():
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(60)], "a binary, b binary")
     assert {bytes(r.root) for r in neardup.components(links).collect()} == {b"000"}
+
+
+def test_numeric_characters_are_no_letters(spark, make):
+    """Raised digits and fractions alone leave a text undetermined."""
+    model = langid.fit(make(["the cat sat", "die Katze sass"]).withColumn("lang", F.when(F.col("doc_id") == 0, "en").otherwise("de")))
+    got = [r.lang_pred for r in langid.detect(make(["² ½", "Ⅳ 3 _", "the² cat", None, ""]), model).orderBy("doc_id").collect()]
+    assert got == ["und", "und", "en", "und", "und"]
