@@ -160,10 +160,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, for every node of the links (a, b).
 
-    Large and small stars in turn, each a minimum by node and a join, until
-    nothing changes; the links are stored after each round.
+    Large and small stars in turn, each a minimum by node and a join, until all
+    that is left are stars about their smallest nodes. Links are stored after
+    each round.
     """
-    edges, state = stored(links.select("a", "b").where("a != b").distinct()), None
+    edges = stored(links.select("a", "b").where("a != b").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("m"))
@@ -172,12 +173,13 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b")))
         new = stored(small.distinct())
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = new
-        if tuple(now) == state:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # a node with two links up, or with links up and down, still has to be joined to its smallest
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = tuple(now)
 
 
 def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -197,12 +199,13 @@ def _with_helpers(placed: DataFrame) -> DataFrame:
     """Pairs (a, b): every text that is outside its bucket's main class with some members of that class.
 
     Copies edited at random are often alike to some of a class and not to its
-    first text. Which members help is a matter of a hash, so a class has HELPERS
-    of them however large it is.
+    first text. A class's members are dealt into HELPERS slots by hash and one of
+    each slot helps, however large the class is.
     """
     outside = placed.join(_mixed(placed), "bucket").where("root != main").select("uid", F.col("main").alias("root")).distinct()
-    chosen = [F.min(F.struct(F.xxhash64("uid", F.lit(k)), "uid"))["uid"] for k in range(HELPERS)]
-    helpers = placed.groupBy("root").agg(F.array_distinct(F.array(*chosen)).alias("_helpers"))
+    slot = F.pmod(F.xxhash64("uid"), F.lit(HELPERS)).alias("_slot")
+    helpers = placed.groupBy("root", slot).agg(F.min(F.struct(F.xxhash64("uid", F.lit(1)), "uid"))["uid"].alias("_helper"))
+    helpers = helpers.groupBy("root").agg(F.collect_set("_helper").alias("_helpers"))
     pairs = fanned_join(outside, helpers, "root", ["uid"]).select("uid", F.explode("_helpers").alias("_helper"))
     return pairs.select(F.col("_helper").alias("a"), F.col("uid").alias("b")).where("a != b").distinct()
 
@@ -228,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = signed.select(F.explode("keys").alias("bucket"), "uid")
     shared = members.groupBy("bucket").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     shared = stored(members.join(shared, "bucket"))
+    forget(signed)
 
     wanted = shared.select("uid").distinct()
     plain = docs.select(F.unhex(F.md5(text_col)).alias("uid"), F.col(text_col).alias("text"))
@@ -238,18 +242,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = stars.select(F.col("a").alias("first"), F.col("b").alias("uid"), (1 - F.col("similarity")).alias("far"))
     members = stored(shared.join(far, ["first", "uid"], "left").select("bucket", "uid", F.coalesce("far", F.lit(0.0)).alias("far")))
     roots = components(links)
+    forget(shared, stars)
     placed = stored(_placed(members, roots))
     more = stored(verified(_with_helpers(placed), texts).where(F.col("similarity") >= least).select("a", "b"))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        forget(placed)
         placed = stored(_placed(members, roots))
+    forget(members, more)
 
     open_rows = stored(placed.where("far > 0").join(_mixed(placed).select("bucket"), "bucket"))
+    forget(placed)
     x, y = open_rows.alias("x"), open_rows.alias("y")
     apart = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & apart)
     rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
     more = stored(verified(rest, texts).where(F.col("similarity") >= least).select("a", "b"))
+    forget(open_rows, texts)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
