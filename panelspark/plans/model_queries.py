@@ -252,10 +252,17 @@ def ols_replicates(spark, sf):
 
 _OLS = Out(longs=("rep",), strings=("feature",), doubles={"coef": 6, "explained_variance": 6})
 
+# Few distinct rows give coefficients that end in an exact 5 after six digits: noise beyond the ninth goes first, on both sides.
+_COEF_SQL = "SELECT rep, feature, round(coef, 9) AS coef, ev AS explained_variance FROM cf"
 
-@query("m12_bootstrap_ols", _OLS.sql(OLS_SQL, "SELECT rep, feature, coef, ev AS explained_variance FROM cf"))
+
+def steady(replicates):
+    return replicates.withColumn("coef", F.round("coef", 9))
+
+
+@query("m12_bootstrap_ols", _OLS.sql(OLS_SQL, _COEF_SQL))
 def bootstrap_ols(spark, sf):
-    return _OLS.of(ols_replicates(spark, sf))
+    return _OLS.of(steady(ols_replicates(spark, sf)))
 
 
 _COEF = Out(strings=("feature", "mean_text", "p_text", "interval_text"), doubles=("mean", "p", "lower", "upper"))
@@ -292,12 +299,12 @@ def explained_variance(spark, sf):
         f"bb AS (SELECT s_suppkey, {h('17-block', 's_suppkey')} % 256 AS block FROM supplier), bl AS (SELECT DISTINCT block FROM bb),"
         + resampled_sql("bl", ["block"], 1000, "17", "bx") + "bw AS (SELECT rep, s_suppkey, weight FROM bx JOIN bb USING (block)),"
         + OLS_SQL[OLS_SQL.index("m AS (SELECT rep, CAST(weight"):],
-        "SELECT rep, feature, coef, ev AS explained_variance FROM cf",
+        _COEF_SQL,
     ),
 )
 def block_ols(spark, sf):
     """Replicates that draw hash blocks of rows, each reduced to its cross products."""
-    return _OLS.of(md.block_ols(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], 1000, 17))
+    return _OLS.of(steady(md.block_ols(supplier_rows(spark, sf), "s_suppkey", "s_acctbal", ["s_nationkey", "slot"], 1000, 17)))
 
 
 # ---- forest ----
