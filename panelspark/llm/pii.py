@@ -19,8 +19,17 @@ HOMOGLYPHS = {
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K",
     "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "․": ".", "。": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "–": "-", "−": "-",
 }
-# Spelled digits.
-SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Spelled digits of the documents' languages.
+SPELLED = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Words for @, for the point and for the plus sign.
+AT_WORDS = ("at", "arobase", "arroba")
+DOT_WORDS = ("dot", "punkt", "point", "punto")
+PLUS_WORDS = ("plus", "más")
 # Characters without width.
 INVISIBLE = "​‌‍⁠﻿­"
 
@@ -35,20 +44,17 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-_digit = "|".join(SPELLED)
-#: Rules of the transducer, the first that fits at a place: what is read, and what is written for it.
-BRACKETED = re.compile(r"\s*[\[({<]\s*(?P<word>at|dot|@|\.)\s*[\])}>]\s*", re.IGNORECASE)
-BARE = re.compile(r"(?<=[A-Za-z0-9])(?P<at>\s+at\s+)(?P<rest>[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.IGNORECASE)
-# Last parts that a domain may have where nothing but the words "at" and "dot" marks it.
-LAST = frozenset("com org net edu gov mil int info biz io co ai app dev me eu uk us ca au de fr es it nl be ch at pl pt se no dk fi ie cz ru cn jp kr in br mx ar".split())
-DOT = re.compile(r"\s+dot\s+", re.IGNORECASE)
+_digit, _at, _dot, _plus = "|".join(SPELLED), "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(PLUS_WORDS)
+#: Rules on the words of a text whose letters are undone. None begins with a run of blanks or gives one back, so each place is read a bounded number of times.
+BRACKETED = re.compile(rf"[\[({{<]\s*+(?:(?P<at>{_at}|@)|{_dot}|\.)\s*+[\])}}>]\s*+", re.IGNORECASE)
+BARE = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>\s++(?:{_at})\s++)(?P<rest>[A-Za-z0-9-]++(?:\s++(?:{_dot})\s++[A-Za-z0-9-]++)+)(?![A-Za-z0-9-])", re.IGNORECASE)
+DOT = re.compile(rf"\s+(?:{_dot})\s+", re.IGNORECASE)
+# Words that begin a phrase and no domain, as in "at the dot".
+NO_DOMAIN = frozenset("a an the this that these those each every any some no my your his her its our their one".split())
 _unit = rf"(?:(?:{_digit})\b|[0-9])"
-NUMBER = re.compile(rf"\b(?:plus\s+)?{_unit}(?:[\s,.-]*{_unit}){{6,}}", re.IGNORECASE)
-WORD = re.compile(rf"(?P<plus>plus\s+)|(?P<word>{_digit})(?:[\s,-]+(?=(?:{_digit})\b|[0-9]))?", re.IGNORECASE)
+NUMBER = re.compile(rf"\b(?:(?:{_plus})\s++)?{_unit}(?:[\s,.-]*+{_unit}){{6,}}", re.IGNORECASE)
+WORD = re.compile(rf"(?P<plus>(?:{_plus})\s+)|(?P<word>{_digit})\b(?:[\s,-]+(?=(?:{_digit})\b|[0-9]))?", re.IGNORECASE)
 HIDDEN = re.compile(f"[{INVISIBLE}]+")
-#: What every match of a costlier rule holds.
-BRACKETED_CUE = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
-AT_CUE, DOT_CUE = re.compile(r"\sat\s", re.IGNORECASE), re.compile(r"\sdot\s", re.IGNORECASE)
 #: Letters that match i and s where case is ignored, but are not lowered to them.
 ODD_CASE = str.maketrans("İıſ", "iis")
 
@@ -91,24 +97,36 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def edits(text: str) -> list[tuple[int, int, str]]:
-    """What the transducers would write: (start, end, written) without overlaps, in order."""
+def letter_edits(text: str) -> list[tuple[int, int, str]]:
+    """What the transducer of letters writes: (start, end, written) for homoglyphs, other digits and hidden characters."""
+    if text.isascii():
+        return []
+    out = [(i, i + 1, ONE_TO_ONE[ord(c)]) for i, c in enumerate(text) if ord(c) in ONE_TO_ONE]
+    return sorted(out + [(*m.span(), "") for m in HIDDEN.finditer(text)])
+
+
+def is_domain(parts: list[str]) -> bool:
+    """Whether words between spoken points can be a domain: letters last, and not the beginning of a phrase."""
+    return len(parts[-1]) > 1 and parts[-1].isalpha() and parts[0].lower() not in NO_DOMAIN
+
+
+def word_edits(text: str) -> list[tuple[int, int, str]]:
+    """What the transducer of words writes: (start, end, written) without overlaps, in order."""
     out: list[tuple[int, int, str]] = []
-    if BRACKETED_CUE.search(text):
-        out += [(*m.span(), {"at": "@", "dot": "."}.get(m["word"].lower(), m["word"])) for m in BRACKETED.finditer(text)]
-    if DOT_CUE.search(text) and AT_CUE.search(text):
-        for m in BARE.finditer(text):
-            if m["rest"].split()[-1].lower() not in LAST:
-                continue
+    end = 0
+    for m in BRACKETED.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1].isspace():
+            start -= 1
+        end = m.end()
+        out.append((start, end, "@" if m["at"] else "."))
+    for m in BARE.finditer(text):
+        if is_domain([p for p in DOT.split(m["rest"]) if p]):
             out.append((*m.span("at"), "@"))
             out += [(*d.span(), ".") for d in DOT.finditer(text, m.start("rest"), m.end("rest"))]
     for m in NUMBER.finditer(text):
         for w in WORD.finditer(text, m.start(), m.end()):
             out.append((*w.span(), "+" if w["plus"] else SPELLED[w["word"].translate(ODD_CASE).lower()]))
-    if not text.isascii():
-        if text.translate(ONE_TO_ONE) != text:
-            out += [(i, i + 1, ONE_TO_ONE[ord(c)]) for i, c in enumerate(text) if ord(c) in ONE_TO_ONE]
-        out += [(*m.span(), "") for m in HIDDEN.finditer(text)]
     kept, end = [], 0
     for e in sorted(out):
         if e[0] >= end:
@@ -154,12 +172,19 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     base = detect(text)
     more: list[tuple[str, int, int]] = []
-    if changes := edits(text):
-        normal = Normalised(text, changes)
+    letters = letter_edits(text)
+    plain = Normalised(text, letters)
+    words = word_edits(plain.text)
+    if letters or words:
+        normal = Normalised(plain.text, words)
         for kind, found in detect(normal.text).items():
+            # a span is inside the base span that begins last before it, or in none: base spans do not overlap
+            starts = [x for x, _ in base[kind]]
             for a, b in found:
-                left, right, edited = normal.source(a, b)
-                if edited and not any(x <= left and right <= y for x, y in base[kind]):
+                middle_a, middle_b, by_words = normal.source(a, b)
+                left, right, by_letters = plain.source(middle_a, middle_b)
+                i = bisect_right(starts, left) - 1
+                if (by_words or by_letters) and (i < 0 or right > base[kind][i][1]):
                     more.append((kind, left, right))
     return [(k, a, b) for k in KINDS for a, b in base[k]], more
 
@@ -170,10 +195,16 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data of each text: (id, base, added), both arrays of (kind, start, stop) in code points of the source.
 
-    ``base`` are the plain matches. ``added`` are those found after the
-    transducers undo homoglyphs, spelled digits, hidden characters and at/dot
-    disguises; none lies wholly in a base span of its kind, but one may reach
-    beyond a base span that is only its plain part. Null and empty texts have none. Ids may be null or repeated; other columns are not carried.
+    ``base`` are the plain matches. ``added`` are those found after two
+    transducers, one on the other's output: letters (homoglyphs, digits of other
+    scripts, hidden characters), then words (spelled digits and at/dot in the
+    documents' languages); offsets go back through both. None lies wholly in a
+    base span of its kind, but one may reach beyond a base span that is only its
+    plain part. Where two rules fit at overlapping places, the one that begins
+    first is applied, of equal beginnings the shorter. Null and empty texts have
+    no spans, an empty table gives an empty one, and very long texts are read
+    whole in time linear in their length. Ids may be null or repeated; other
+    columns are not carried.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("base", SPAN), T.StructField("added", SPAN)])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -108,7 +109,42 @@ def test_disguised_in_part(whole, part):
     assert [text[a:b] for _, a, b in base] == [part] and [text[a:b] for _, a, b in more] == [whole]
 
 
-@pytest.mark.parametrize("text", ["look at the dot on it", "meet at home. dot com", "one two three", "at (at) dot (dot)", "аео ру", "five - six - seven"])
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("write to jane at ex\u0430mple dot com", "email", "jane at ex\u0430mple dot com"),
+        ("write to jan\u0435 at example dot com", "email", "jan\u0435 at example dot com"),
+        ("write to jane a\u200bt example d\u043et com", "email", "jane a\u200bt example d\u043et com"),
+        ("write to jane (\u0430t) example (dot) com", "email", "jane (\u0430t) example (dot) com"),
+        ("call +49 three f\u043eur one two three four five six", "phone", "+49 three f\u043eur one two three four five six"),
+        ("call +\uff14\uff19 three zero one two three four five", "phone", "+\uff14\uff19 three zero one two three four five"),
+        ("Ruf plus vier neun drei null eins zwei fünf SECHS sieben an", "phone", "plus vier neun drei null eins zwei fünf SECHS sieben"),
+        ("appelez +33 un deux trois quatre cinq six sept huit neuf ici", "phone", "+33 un deux trois quatre cinq six sept huit neuf"),
+        ("llame al más tres cuatro uno dos tres cuatro cinco seis siete", "phone", "más tres cuatro uno dos tres cuatro cinco seis siete"),
+        ("escriba a ana arroba correo punto es hoy", "email", "ana arroba correo punto es"),
+        ("write to jane at example dot xyz.", "email", "jane at example dot xyz"),
+        ("write to jane at mail dot example dot museum.", "email", "jane at mail dot example dot museum"),
+    ],
+)
+def test_disguises_together(text, kind, source):
+    assert [text[a:b] for k, a, b in pii.spans(text)[1] if k == kind] == [source]
+
+
+@pytest.mark.parametrize("text", ["(at) x" + " " * 1_000_000, "jane" + " " * 1_000_000 + "at x", "( " * 300_000, "one " * 5 + " " * 1_000_000, " at" * 300_000, "1 " * 6 + "-" * 1_000_000, "plus" + "\t" * 1_000_000])
+def test_long_runs_take_linear_time(text):
+    start = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - start < 5
+
+
+def test_many_spans_in_a_very_long_text():
+    one = "jane (at) example (dot) com, a@b.c; "
+    base, more = pii.spans(one * 30_000)
+    assert len(base) == len(more) == 30_000
+    assert more[-1] == ("email", len(one) * 29_999, len(one) * 29_999 + 27)
+
+
+@pytest.mark.parametrize("text", ["we looked at the dot product", "stay at a dot near it", "un deux trois", "at example dot 7", "look at the dot on it", "meet at home. dot com", "one two three", "at (at) dot (dot)", "аео ру", "five - six - seven"])
 def test_clean_text_has_none(text):
     assert pii.spans(text) == ([], [])
 
