@@ -95,13 +95,32 @@ def population_weighted(edges: DataFrame, populations: DataFrame) -> DataFrame:
     return normalised(both.select("src", "dst", w.alias("weight")))
 
 
-def attach_both_ends(edges: DataFrame, attributes: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
-    """Adds every attribute of the source and of the target in two joins, as src_x and dst_x."""
+def attach_both_ends(edges: DataFrame, attributes: DataFrame, cols: Sequence[str], how: str = "inner", hubs: bool = False) -> DataFrame:
+    """Adds every attribute of the source and of the target in two joins, as src_x and dst_x.
+
+    ``hubs`` spreads the edges of a region with a large share of them over
+    several tasks; ``attributes`` then has one row per region.
+    """
     src = attributes.select(F.col("region").alias("src"), *[F.col(c).alias(f"src_{c}") for c in cols])
     dst = attributes.select(F.col("region").alias("dst"), *[F.col(c).alias(f"dst_{c}") for c in cols])
+    if hubs:
+        return salted_join(salted_join(edges, src, ["src"], how, spread=["dst"]), dst, ["dst"], how, spread=["src"])
     return edges.join(src, "src", how).join(dst, "dst", how)
 
 
+def in_blocks(edges: DataFrame, values: DataFrame, blocks: tuple[int, int]) -> DataFrame:
+    """Edges beside the values of their targets, with the block of their source and of their target.
+
+    Sources and targets are dealt into ``blocks`` by hash. A target's values go
+    to the source blocks that hold an edge to it, never to more of them than it
+    has edges, so a hub's edges meet its values in as many tasks as there are
+    source blocks.
+    """
+    dealt = edges.withColumns({"_i": F.pmod(F.xxhash64("src"), F.lit(blocks[0])), "_j": F.pmod(F.xxhash64("dst"), F.lit(blocks[1]))})
+    wanted = dealt.select("dst", "_i").distinct()
+    return dealt.join(values.join(wanted, "dst"), ["dst", "_i"])
+
+
 def neighbour_mean(
     df: DataFrame,
     cols: Sequence[str],
@@ -109,16 +128,25 @@ def neighbour_mean(
     suffix: str = "_neighbor_mean",
     region: str = "region",
     date: str = "date",
+    blocks: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Adds, per (region, date), the edge-weighted sum of each column over the region's targets.
 
     A target without a value adds 0; a region without edges gets NULL. One join
-    and one aggregate serve all columns and dates.
+    and one aggregate serve all columns and dates. With ``blocks`` (of sources,
+    of targets) the edges are joined block by block and a source's sums are
+    first taken per block of targets, so neither a much-referenced target nor a
+    source of many edges is one task's work.
     """
     names = [f"{c}{suffix}" for c in cols]
     values = df.select(F.col(region).alias("dst"), date, *cols)
     sums = [F.sum(F.col("weight") * F.col(c)).alias(n) for c, n in zip(cols, names)]
-    means = edges.join(values, "dst").groupBy(F.col("src").alias(region), date).agg(*sums)
+    key = [F.col("src").alias(region), F.col(date)]
+    if blocks is None:
+        means = edges.join(values, "dst").groupBy(*key).agg(*sums)
+    else:
+        partial = in_blocks(edges, values, blocks).groupBy(*key, "_j").agg(*sums)
+        means = partial.groupBy(region, date).agg(*[F.sum(n).alias(n) for n in names])
     sources = edges.select(F.col("src").alias(region)).distinct().withColumn("_has_edges", F.lit(True))
     joined = df.join(means, [region, date], "left").join(sources, region, "left")
     out: list[Column] = [F.when(F.col("_has_edges"), F.coalesce(F.col(n), F.lit(0.0))).alias(n) for n in names]
@@ -132,11 +160,12 @@ def exposure(
     population: str = "population",
     region: str = "region",
     date: str = "date",
+    blocks: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Adds ``x_exposure``: neighbours' x times their population, per head of the region's own population."""
     products = [f"{c}_xpop" for c in cols]
     scaled = df.withColumns({p: F.col(c) * F.col(population) for c, p in zip(cols, products)})
-    means = neighbour_mean(scaled, products, edges, "_mean", region, date)
+    means = neighbour_mean(scaled, products, edges, "_mean", region, date, blocks)
     return means.select(*df.columns, *[ratio(F.col(f"{p}_mean"), F.col(population)).alias(f"{c}_exposure") for c, p in zip(cols, products)])
 
 

@@ -13,7 +13,7 @@ from panelspark.functions.hashing import h32, unit
 from panelspark.functions.text import OVERSAMPLING_EXCEPTIONS, bare_word, is_word, raw_words, words
 from panelspark.operators.resampling import resampled
 from panelspark.operators.skew import positions
-from panelspark.session import cut_lineage
+from panelspark.session import cut_lineage, forget, scratch_path
 
 
 def hash_order(df: DataFrame, key: str, seed: int | str, out: str = "_h") -> DataFrame:
@@ -169,24 +169,53 @@ def rebalance_words(
     ``one_by_one`` drops one row per round. Otherwise a round drops, for every
     over-sampled word, as many rows as its count exceeds what the baseline
     allows at the current totals, so no word is thinned beyond its excess and
-    few rounds are needed. Words of each row are held beside its key; rounds
-    move those only, and each is written to the shared checkpoint folder.
+    few rounds are needed. Words are counted once; a round takes the counts of
+    the rows it drops off them. Rounds write only those rows' keys and the
+    counts, to the shared checkpoint folder. Rows without a key are dropped.
     """
-    held = cut_lineage(df.select(key, words(F.col(text), stop_words).alias("_w"), h32(seed, F.col(key)).alias("_h")))
-    kept = held
+    held = cut_lineage(postings(df, key, stop_words, seed, text))
+    counts = first = cut_lineage(held.groupBy("word").agg(F.sum("_n").alias("n")))
+    gone_path, rounds = scratch_path(df.sparkSession, "dropped"), 0
+    kept, stages = held, []
     while True:
-        counts = kept.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
-        over = excess_words(counts, baseline, threshold, exceptions)
-        rows_of = kept.select(key, "_h", F.explode(F.array_distinct("_w")).alias("word")).join(over, "word")
-        if one_by_one:
-            dropped = rows_of.orderBy("_h", key).limit(1).select(key)
-        else:
-            least = positions(rows_of, "_h", ["word"], [key], "_pos")
-            dropped = least.where(F.col("_pos") < F.col("excess")).select(key).distinct()
-        dropped = cut_lineage(dropped)
-        if dropped.isEmpty():
-            return df.join(kept.select(key), key, "left_semi").select(*df.columns)
-        kept = cut_lineage(kept.join(dropped, key, "left_anti").select(*held.columns))
+        dropped = rebalance_round(kept, counts, baseline, key, threshold, more_than, one_by_one, exceptions)
+        # each round in a folder of its own, so that all rounds read as one table
+        dropped.write.parquet(f"{gone_path}/round={rounds}")
+        if counts is not first:
+            stages.append(counts)
+        last = df.sparkSession.read.schema(dropped.schema).parquet(f"{gone_path}/round={rounds}")
+        gone = df.sparkSession.read.schema(dropped.schema).option("recursiveFileLookup", "true").parquet(gone_path)
+        if last.isEmpty():
+            forget(held, first, *stages)
+            return df.where(F.col(key).isNotNull()).join(gone, key, "left_anti").select(*df.columns)
+        lost = kept.join(last, key, "left_semi").groupBy("word").agg(F.sum("_n").alias("_lost"))
+        counts = cut_lineage(counts.join(lost, "word", "left").select("word", (F.col("n") - F.coalesce("_lost", F.lit(0))).alias("n")))
+        kept, rounds = held.join(gone, key, "left_anti"), rounds + 1
+
+
+def rebalance_round(
+    held: DataFrame,
+    counts: DataFrame,
+    baseline: DataFrame,
+    key: str,
+    threshold: float = 0.02,
+    more_than: int = 5,
+    one_by_one: bool = False,
+    exceptions: Sequence[str] = OVERSAMPLING_EXCEPTIONS,
+) -> DataFrame:
+    """Keys of the rows that a round drops, from the rows' ``postings`` and the counts of all words."""
+    over = excess_words(counts.where(F.col("n") > more_than), baseline, threshold, exceptions)
+    rows_of = held.join(over, "word")
+    if one_by_one:
+        return rows_of.orderBy("_h", key).limit(1).select(key)
+    least = positions(rows_of, "_h", ["word"], [key], "_pos")
+    return least.where(F.col("_pos") < F.col("excess")).select(key).distinct()
+
+
+def postings(df: DataFrame, key: str, stop_words: Sequence[str], seed: int | str, text: str = "text") -> DataFrame:
+    """(key, _h, word, _n): how often each row holds each word, and the row's place in the random order."""
+    each = df.where(F.col(key).isNotNull()).select(key, F.explode(words(F.col(text), stop_words)).alias("word"))
+    return each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", h32(seed, F.col(key)))
 
 
 def excess_words(counts: DataFrame, baseline: DataFrame, threshold: float, exceptions: Sequence[str]) -> DataFrame:

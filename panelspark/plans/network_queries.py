@@ -106,6 +106,13 @@ def neighbour_mean_by_distance(spark, sf):
     return _MEAN.of(dated(nw.neighbour_mean(p, ["V", "C"], edges, "_near")))
 
 
+@query("p20_neighbour_mean_in_blocks", _MEAN.sql(tb.OP + tb.EV + tb.NW + _MEAN_SQL.format("edg"), _MEAN_SELECT))
+def neighbour_mean_in_blocks(spark, sf):
+    """The plan for edge lists beyond any broadcast: source blocks x target blocks, partial sums per block."""
+    edges = nw.interaction_edges(tb.stored_network(spark, sf), tb.users(spark, sf))
+    return _MEAN.of(dated(nw.neighbour_mean(tb.order_panel(spark, sf), ["V", "C"], edges, "_near", blocks=(16, 16))))
+
+
 _EXPO = Out(longs=("region",), strings=("date",), doubles={"rate_exposure": 9})
 
 
@@ -137,6 +144,15 @@ def both_ends(spark, sf):
     return _ENDS.of(nw.attach_both_ends(tb.network(spark, sf), tb.regions(spark, sf), ["balance", "population"]))
 
 
+@query(
+    "j10_both_ends_of_hubs",
+    _ENDS.sql(NET + tb.RG, "SELECT src, dst, n_refs, a.balance AS src_balance, b.balance AS dst_balance, a.population AS src_population, b.population AS dst_population FROM net JOIN rg a ON a.region = src JOIN rg b ON b.region = dst"),
+)
+def both_ends_of_hubs(spark, sf):
+    """The same with the edges of much-connected regions spread."""
+    return _ENDS.of(nw.attach_both_ends(tb.network(spark, sf), tb.regions(spark, sf), ["balance", "population"], hubs=True))
+
+
 DENSE = """
 dense AS (SELECT a.src, b.dst, coalesce(net.n_refs, 0) AS n_refs FROM (SELECT DISTINCT src FROM net) a CROSS JOIN (SELECT DISTINCT dst FROM net) b
           LEFT JOIN net ON net.src = a.src AND net.dst = b.dst),

@@ -235,6 +235,27 @@ def rebalance_words(spark, sf):
     return _BALANCED.of(over.select("n_over", before.agg(F.count(F.lit(1))).scalar().alias("n_before"), foreign.alias("n_foreign")))
 
 
+_ROUND = Out(longs=("doc_id",))
+
+
+@query(
+    "rs09_first_round",
+    _ROUND.sql(
+        OVER_SQL
+        + "x AS (SELECT word, n, m, sum(n) OVER () AS nn, m / sum(m) OVER () AS q FROM c JOIN b USING (word)),"
+        "o AS (SELECT word, greatest(1, ceil(n - (q + 0.02 * sqrt(q)) * nn)) AS excess FROM x WHERE (n / nn - q) / sqrt(q) > 0.02 AND word NOT IN ('i''m', 'doesn''t', 'san', 'antonio')),"
+        f"r AS (SELECT doc_id, excess, row_number() OVER (PARTITION BY word ORDER BY {h('12', 'doc_id')}, doc_id) AS pos FROM (SELECT DISTINCT doc_id, word FROM t) JOIN o USING (word))",
+        "SELECT DISTINCT doc_id FROM r WHERE pos <= excess",
+    ),
+)
+def first_round(spark, sf):
+    """The documents that the first round of rebalancing drops, in values."""
+    baseline = sm.word_counts(tb.table(spark, sf, "documents"), STOP)
+    held = cut_lineage(sm.postings(toxic_documents(spark, sf), "doc_id", STOP, 12))
+    counts = held.groupBy("word").agg(F.sum("_n").alias("n"))
+    return _ROUND.of(sm.rebalance_round(held, counts, baseline, "doc_id"))
+
+
 _SEMI = Out(longs=("doc_id",))
 
 

@@ -191,6 +191,27 @@ def density_curve(spark, sf):
     return _KDE.of(st.density(d, "v", ["chain"], 100))
 
 
+_BINNED = Out(longs=("chain", "i"), doubles=("x", "density", "max_error"))
+
+
+@query(
+    "a29_binned_density",
+    _BINNED.sql(
+        "d AS (SELECT vec_id % 4 AS chain, list_sum(CAST(embedding AS DOUBLE[])) AS v FROM embeddings),"
+        "s AS (SELECT chain, stddev_samp(v) * pow(count(*), -0.2) AS bw, min(v) AS a, max(v) AS b FROM d GROUP BY 1),"
+        "p AS (SELECT chain, (v - a) / bw * 32 AS z FROM d JOIN s USING (chain)),"
+        "n AS (SELECT chain, floor(z) AS node, 1 - (z - floor(z)) AS w FROM p UNION ALL SELECT chain, floor(z) + 1, z - floor(z) FROM p),"
+        "m AS (SELECT chain, node, sum(w) AS w FROM n GROUP BY 1, 2),"
+        "g AS (SELECT s.chain, i, a, bw, a - 3 * bw + (b - a + 6 * bw) * i / 99 AS x FROM s, range(0, 100) t(i))",
+        "SELECT g.chain, i, x, sum(w * exp(-0.5 * ((x - a - node * bw / 32) / bw) ** 2)) / sum(w) / (bw * sqrt(2 * pi())) AS density, "
+        "1 / (8 * 32 * 32 * sqrt(2 * pi()) * bw) AS max_error FROM g JOIN m ON m.chain = g.chain GROUP BY g.chain, i, x, a, bw",
+    ),
+)
+def binned_density_curve(spark, sf):
+    d = tb.draws(spark, sf).select("chain", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("v"))
+    return _BINNED.of(st.binned_density(d, "v", ["chain"], 100))
+
+
 _LL = Out(longs=("chain", "obs"), doubles=("total_ll",))
 
 

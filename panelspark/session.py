@@ -53,4 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes stage tables of ``cut_lineage`` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stage_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -117,3 +117,32 @@ def test_dense_homophily_against_all_pairs(spark):
     s = nw.dense_summary(e).first()
     full = [w.get((a, b), 0) for a in {a for a, _, _ in edges} for b in {b for _, b, _ in edges}]
     assert (s.n_pairs, s.n_edges, s.mean_weight, s.std_weight) == (len(full), len(edges), pytest.approx(np.mean(full)), pytest.approx(np.std(full)))
+
+
+def test_neighbour_means_in_blocks(spark):
+    rnd = random.Random(8)
+    edges = {(a, b): rnd.random() for a in range(40) for b in rnd.sample(range(40), 5)} | {(a, 0): 0.5 for a in range(1, 40)} | {(0, b): 0.25 for b in range(40)}
+    e = edge_list(spark, [(*k, w) for k, w in edges.items()])
+    df = spark.createDataFrame([(r, t, None if rnd.random() < 0.1 else rnd.random(), float(r)) for r in range(45) for t in range(6)], "region int, date int, x double, y double")
+    want = rows(nw.neighbour_mean(df, ["x", "y"], e), "region", "date", "x_neighbor_mean", "y_neighbor_mean")
+    for blocks in [(1, 1), (8, 4), (64, 64)]:
+        got = rows(nw.neighbour_mean(df, ["x", "y"], e, blocks=blocks), "region", "date", "x_neighbor_mean", "y_neighbor_mean")
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2:] for g in got] == [tuple(None if v is None else pytest.approx(v) for v in w[2:]) for w in want]
+
+
+def test_hub_is_spread_over_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        e = spark.range(4000).selectExpr("int(id) AS src", "0 AS dst", "1.0D AS weight")
+        values = spark.createDataFrame([(0, 1, 2.0), (0, 2, 3.0), (1, 1, 1.0)], "dst int, date int, x double")
+        hub = nw.in_blocks(e, values, (32, 4)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in hub) == 8000 and len(hub) > 2 and max(r["count"] for r in hub) < 4000
+        attributes = spark.createDataFrame([(i, i * 2) for i in range(4000)], "region int, a int")
+        both = nw.attach_both_ends(e, attributes, ["a"], hubs=True)
+        assert both.where("src_a = 2 * src AND dst_a = 0").count() == 4000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

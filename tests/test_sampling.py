@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter
 from math import comb
@@ -139,6 +140,36 @@ def test_rebalance_equals_one_at_a_time_removal(spark):
     assert left and not oversampled(left, base, [], 5, 0.2)
 
 
+@pytest.mark.parametrize("seed", [3, 11])
+def test_rebalance_equals_a_plain_replay_of_its_rounds(spark, seed):
+    rnd = random.Random(seed)
+    vocab = ["apple", "berry", "cherry", "damson", "elder", "figs"]
+    base_texts = [" ".join(rnd.choice(vocab) for _ in range(6)) for _ in range(200)]
+    texts = {i: " ".join(rnd.choice(vocab + ["berry"] * (i % 3) + ["figs"] * (i % 4)) for _ in range(6)) for i in range(120)}
+    texts |= {200: "", 201: None}
+    base = {w: n for w, n in Counter(x for t in base_texts for x in tokens(t, [])).items() if n > 5}
+    kept, rounds = dict(texts), 0
+    while True:
+        counts = Counter(x for t in kept.values() if t for x in tokens(t, []))
+        shared = {w: n for w, n in counts.items() if n > 5 and w in base}
+        n_all, m_all = sum(shared.values()), sum(base[w] for w in shared)
+        drop = set()
+        for w, n in shared.items():
+            q = base[w] / m_all
+            if (n / n_all - q) / math.sqrt(q) > 0.05:
+                excess = max(1, math.ceil(n - (q + 0.05 * math.sqrt(q)) * n_all))
+                holders = [i for i, t in kept.items() if t and w in tokens(t, [])]
+                drop |= set(sorted(holders, key=lambda i: (h(seed, i), i))[:excess])
+        if not drop:
+            break
+        kept, rounds = {i: t for i, t in kept.items() if i not in drop}, rounds + 1
+    assert rounds > 1 and 0 < len(kept) < len(texts)
+    df = spark.createDataFrame([*texts.items(), (None, "berry berry")], "id int, text string")
+    baseline = sm.word_counts(spark.createDataFrame([(t,) for t in base_texts], "text string"), [])
+    got = sm.rebalance_words(df, baseline, "id", [], seed, threshold=0.05)
+    assert {r.id for r in got.collect()} == set(kept)
+
+
 def test_word_exceptions(spark):
     counts = spark.createDataFrame([("san", 50), ("word", 50), ("other", 10)], "word string, n long")
     base = spark.createDataFrame([("san", 10), ("word", 10), ("other", 90)], "word string, n long")

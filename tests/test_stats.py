@@ -146,3 +146,17 @@ def test_log_likelihood_and_distinct_counts(spark):
     df = spark.createDataFrame([("v", 0, 0, 0, -1.0), ("w", 0, 0, 0, -2.0), ("v", 0, 1, 0, -4.0)], "variable string, chain int, draw int, obs int, ll double")
     assert rows(st.total_log_likelihood(df), "draw", "total_ll") == [(0, -3.0), (1, -4.0)]
     assert tuple(st.count_distincts(df, {"variable": "a", "draw": "b"}).first()) == (2, 2)
+
+
+def test_binned_density_is_within_its_bound(spark):
+    rnd = random.Random(2)
+    data = [("a", rnd.gauss(0, 1)) for _ in range(3000)] + [("b", rnd.choice([1.0, 2.0, 50.0])) for _ in range(500)] + [("c", 1.0), ("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for per_bandwidth in (2, 32):
+        exact = {(r.g, r.i): r for r in st.density(df, "v", ["g"], 50).collect()}
+        got = st.binned_density(df, "v", ["g"], 50, per_bandwidth=per_bandwidth).collect()
+        assert {(r.g, r.i) for r in got} == set(exact) and {r.g for r in got} == {"a", "b"}
+        assert all(abs(r.density - exact[r.g, r.i].density) <= r.max_error + 1e-12 and r.x == pytest.approx(exact[r.g, r.i].x) for r in got)
+    whole = st.binned_density(df.where("g = 'a'"), "v", [], 50)
+    assert "_all" not in whole.columns and whole.count() == 50
+    assert st.binned_density(df.where("false"), "v", ["g"], 50).count() == 0
