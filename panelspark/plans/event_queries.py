@@ -239,6 +239,21 @@ def second_header(spark, sf):
     return CODES.of(table.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.avg("gini").alias("gini")))
 
 
+@query(
+    "io12_second_header_file",
+    CODES.sql("", "SELECT n_nationkey AS region, count(*) AS n, avg(round(c_acctbal, 1)) AS gini FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1"),
+)
+def second_header_file(spark, sf):
+    """The same table written as a file whose first row repeats the header in words, and read back as text."""
+    c = tb.table(spark, sf, "customer")
+    geo_id = F.concat(F.lit("0500000US"), codes.pad_code(F.col("c_nationkey")))
+    rows = c.select(geo_id.alias("GEO_ID"), F.round("c_acctbal", 1).cast("string").alias("B19083_001E"))
+    path = scratch_path(spark, "gini")
+    files.write_csv(spark.createDataFrame([("Geography", "Estimate")], schemas.GINI).unionByName(rows), path)
+    table = rg.gini_table(files.read_delimited(spark, path))
+    return CODES.of(table.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.avg("gini").alias("gini")))
+
+
 PLACES = Out(longs=("user_id", "region"), strings=("state", "county"))
 
 

@@ -417,6 +417,38 @@ def assemble_panel(spark, sf):
     return _ASM.of(dated(rg.assemble_panel(base, activity, deaths, cases, pops, "2024-01-01", "2024-02-01", MEASURES)))
 
 
+_WHOLE = Out(
+    longs=("region", "state", "population", "vaccinations", "deaths", "cases", "suppliers", *tb.TOTALS.values()),
+    strings=("date",), doubles=("balance", "supplier_balance", "n_events_all_time_per_capita_log"),
+)
+
+
+@query(
+    "p24_full_panel",
+    _WHOLE.sql(
+        tb.EV + tb.AC + tb.OP + tb.SP
+        + f"""base AS (SELECT region, state, {_SHIFT} AS date, V AS vaccinations FROM op WHERE state > 0),
+        dth AS (SELECT region, {_SHIFT} AS date, D AS deaths FROM op), cas AS (SELECT region, {_SHIFT} AS date, C AS cases FROM op),
+        j AS (SELECT b.region, b.date, b.state, rg.population, rg.balance, sp.suppliers, sp.supplier_balance, b.vaccinations, d.deaths, c.cases, {', '.join(f'a.{c}' for c in tb.COUNTS)}
+              FROM base b JOIN rg USING (region) LEFT JOIN sp USING (region) LEFT JOIN act a USING (region, date) LEFT JOIN dth d USING (region, date) LEFT JOIN cas c USING (region, date)
+              WHERE b.state BETWEEN 1 AND 56 AND b.date >= DATE '2024-01-01' AND b.date < DATE '2024-02-01'),
+        q AS (SELECT * FROM j WHERE region IN (SELECT region FROM j GROUP BY 1 HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM j GROUP BY region)))),
+        z AS (SELECT *, {', '.join(f'sum(coalesce({c}, 0)) OVER (PARTITION BY region ORDER BY date) AS {t}' for c, t in tb.TOTALS.items())},
+              log2(nullif(sum(coalesce(n_events, 0)) OVER (PARTITION BY region), 0) / population) AS n_events_all_time_per_capita_log FROM q)""",
+        f"SELECT {KEYS}, state, population, balance, suppliers, supplier_balance, vaccinations, deaths, cases, {', '.join(tb.TOTALS.values())}, n_events_all_time_per_capita_log FROM z",
+    ),
+)
+def full_panel(spark, sf):
+    """All eight running totals, and the regions' attributes beside them."""
+    o = tb.order_panel(spark, sf).withColumn("date", F.add_months("date", 27 * 12))
+    base = o.where("state > 0").select("region", "date", "state", F.col("V").alias("vaccinations"))
+    deaths = o.select("region", "date", F.col("D").alias("deaths"))
+    cases = o.select("region", "date", F.col("C").alias("cases"))
+    attributes = tb.regions(spark, sf).drop("state").join(tb.suppliers(spark, sf), "region", "left")
+    panel = rg.assemble_panel(base, tb.activity(spark, sf).select("region", "date", *tb.TOTALS), deaths, cases, attributes, "2024-01-01", "2024-02-01", tb.TOTALS)
+    return _WHOLE.of(dated(panel))
+
+
 _SAT = Out(longs=("region",), strings=("date",), doubles=("A",))
 
 
