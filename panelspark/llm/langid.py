@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ CACHE = 400_000
 #: Documents are looked up in blocks of about so many characters, each word once a block.
 BLOCK = 16_000_000
 UNDETERMINED = "und"
+#: Words with at least this share of all counted words are known to every task; there are at most 1/share of them.
+COMMON = 1e-6
 
 
 def words_of(token: str) -> list[str]:
@@ -226,16 +229,40 @@ def lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *values]), pa.int32()))
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """(block, id, gaps, times, place, word): rows of documents with the counts of their words, and rows of each block's words."""
-    ints = T.ArrayType(T.IntegerType())
-    kinds = {"block": T.LongType(), "id": docs.schema["id"].dataType, "gaps": ints, "times": ints, "place": T.IntegerType(), "word": T.StringType()}
+class Common:
+    """Scores of the words that every task knows: at most 1/COMMON of them, brought over as one Arrow table."""
+
+    def __init__(self, table: pa.Table, width: int) -> None:
+        self.words = pa.array(table["word"].to_pylist(), pa.string())
+        self.scores = score_matrix(table["scores"], width).astype(np.float32)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where each word stands in ``scores``, -1 if it is not common."""
+        found = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
+        return found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def common_words(model: Model) -> Common:
+    least = COMMON * sum(model.word_totals.values())
+    often = model.words.groupBy("word").agg(F.sum("n").alias("_total")).where(F.col("_total") >= least).select("word")
+    return Common(word_table(model).join(often, "word", "left_semi").orderBy("word").toArrow(), len(model.languages))
+
+
+def in_blocks(docs: DataFrame, common: Common) -> DataFrame:
+    """(block, id, sums, gaps, times, place, word): rows of documents, and rows of each block's words that are not common.
+
+    A document has the summed scores of its common words (null without any)
+    and the counts of its other words.
+    """
+    ints, doubles = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
+    kinds = {"block": T.LongType(), "id": docs.schema["id"].dataType, "sums": doubles, "gaps": ints, "times": ints, "place": T.IntegerType(), "word": T.StringType()}
     schema = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
     names = schema.names
+    known = docs.sparkSession.sparkContext.broadcast(common)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        ints = pa.list_(pa.int32())
+        ints, doubles = pa.list_(pa.int32()), pa.list_(pa.float64())
         for batch in batches:
             texts, ids, start = batch.column(1).to_pylist(), batch.column(0), 0
             while start < len(texts):
@@ -244,13 +271,23 @@ def in_blocks(docs: DataFrame) -> DataFrame:
                     size += len(texts[stop] or "")
                     stop += 1
                 order, places, times = counted(texts[start:stop])
+                at = known.value.places(order)
+                rest = np.cumsum(at < 0) - 1
+                sums = []
+                for i, (p, k) in enumerate(zip(places, times, strict=True)):
+                    mine = at[p] >= 0
+                    # places are in the order of the words: equal texts are summed alike in every block
+                    sums.append((known.value.scores[at[p[mine]]].astype(np.float64) * k[mine, None]).sum(0).tolist() if mine.any() else None)
+                    places[i], times[i] = rest[p[~mine]], k[~mine]
+                order = [order[i] for i in np.flatnonzero(at < 0)]
                 n, v = stop - start, len(order)
                 gaps = lists([np.diff(p, prepend=0) for p in places])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), ids.slice(start, n), gaps, lists(times), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names
+                    [pa.array(np.full(n, block)), ids.slice(start, n), pa.array(sums, doubles), gaps, lists(times), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(v, block)), pa.nulls(v, ids.type), pa.nulls(v, ints), pa.nulls(v, ints), pa.array(np.arange(v), pa.int32()), pa.array(order, pa.string())], names=names
+                    [pa.array(np.full(v, block)), pa.nulls(v, ids.type), pa.nulls(v, doubles), pa.nulls(v, ints), pa.nulls(v, ints), pa.array(np.arange(v), pa.int32()), pa.array(order, pa.string())],
+                    names=names,
                 )
                 block, start = block + 1, stop
 
@@ -260,44 +297,48 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): the likeliest language of each whole text and its probability.
 
-    Texts are counted in blocks; a block asks the table of all learned words for
-    each of its words once, so a word has no more rows in the join than there are
-    blocks. Words never seen in training get their n-grams' scores, once for all
-    documents. A text that is null or has no letter is ``und`` with score 0, and
-    so is every text if nothing was learned. Ties go to the first language by
-    name. Other columns are not carried.
+    Texts are counted in blocks. The most frequent words (see COMMON, a bounded
+    number) are known to every task and summed at once; a block asks the table
+    of all learned words for each of its other words once, so a word has no more
+    rows in the join than there are blocks. Words never seen in training get
+    their n-grams' scores, once for all documents. A text that is null or has no
+    letter is ``und`` with score 0, and so is every text if nothing was learned.
+    Very long texts are counted whole, in a block of their own. Ties go to the
+    first language by name. An empty table gives an empty one. Other columns are
+    not carried.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     languages, width = model.languages, len(model.languages)
     if not width:
         return docs.select(id_col, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
 
-    blocks = stored(in_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
+    blocks = stored(in_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), common_words(model)))
     own = blocks.where("word IS NOT NULL").select("block", "place", "word")
-    found = stored(own.select("word").distinct().join(word_table(model), "word", "left"))
-    unseen = unseen_scores(found.where("scores IS NULL").select("word"), model)
-    scores = found.where("scores IS NOT NULL").unionByName(unseen)
-    looked_up = own.join(scores, "word").select(F.col("block").alias("asker"), "place", "scores")
+    met = own.join(word_table(model), "word", "left")
+    met = stored(met.select("block", "place", "scores", F.when(F.col("scores").isNull(), F.col("word")).alias("word")))
+    missed = met.where("scores IS NULL").select("block", "place", "word")
+    unseen = unseen_scores(missed.select("word").distinct(), model)
+    looked_up = met.where("scores IS NOT NULL").select("block", "place", "scores").unionByName(missed.join(unseen, "word").select("block", "place", "scores"))
+    looked_up = looked_up.withColumnRenamed("block", "asker")
 
     def predict(texts: pa.Table, words: pa.Table) -> pa.Table:
         table = np.zeros((len(words), width))
         table[words["place"].to_numpy()] = score_matrix(words["scores"], width)
         langs, likely = [], []
-        for chunk in texts.select(["gaps", "times"]).combine_chunks().to_batches():
-            gaps, times = (c.flatten().to_numpy() for c in chunk.columns)
+        for chunk in texts.select(["gaps", "times", "sums"]).combine_chunks().to_batches():
+            gaps, times = (c.flatten().to_numpy() for c in chunk.columns[:2])
             ends = chunk.column(0).offsets.to_numpy() - chunk.column(0).offsets[0].as_py()
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                if a == b:
+            for a, b, of_common in zip(ends[:-1], ends[1:], chunk.column(2).to_pylist(), strict=True):
+                if a == b and of_common is None:
                     langs.append(UNDETERMINED)
                     likely.append(0.0)
                     continue
-                # places are in the order of the words: equal texts are summed alike in every block
-                total = (table[np.cumsum(gaps[a:b])] * times[a:b, None]).sum(0)
+                total = (table[np.cumsum(gaps[a:b])] * times[a:b, None]).sum(0) + (0.0 if of_common is None else np.array(of_common))
                 p = np.exp(total - total.max())
                 best = int(np.argmax(p))
                 langs.append(languages[best])
                 likely.append(float(p[best] / p.sum()))
         return pa.Table.from_arrays([texts["id"], pa.array(langs, pa.string()), pa.array(likely, pa.float64())], names=schema.names)
 
-    texts = blocks.where("word IS NULL").select("block", "id", "gaps", "times")
+    texts = blocks.where("word IS NULL").select("block", "id", "sums", "gaps", "times")
     return texts.groupBy("block").cogroup(looked_up.groupBy("asker")).applyInArrow(predict, schema)

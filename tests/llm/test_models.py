@@ -1,6 +1,7 @@
 """Toxicity, language, decontamination, licenses and near duplicates against labels, brute force and planted cases."""
 
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -104,6 +105,64 @@ def test_language_keeps_rare_words(spark, make):
     assert out == {0: "en", 1: out[1], 2: "de"}
 
 
+def plain_languages(learned, texts):
+    """Word-first backoff as it reads, for a few texts."""
+    words_of, n_max, counts = langid.words_of, langid.LONGEST, {}
+    for lang, text in learned:
+        for w in words_of(text):
+            counts.setdefault(lang, Counter())[w] += 1
+    langs = sorted(counts)
+    grams = {(x, n): Counter() for x in langs for n in range(1, n_max + 1)}
+    for x in langs:
+        for w, k in counts[x].items():
+            for n in range(1, n_max + 1):
+                for g in langid._grams(w, n):
+                    grams[x, n][g] += k
+    total = {x: sum(counts[x].values()) for x in langs}
+    sizes = {key: sum(c.values()) for key, c in grams.items()}
+    floor = math.log(langid.FLOOR * min(min(counts[x].values()) / total[x] for x in langs))
+    floors = {n: math.log(langid.FLOOR * min(min(grams[x, n].values()) / sizes[x, n] for x in langs if grams[x, n])) for n in range(1, n_max + 1) if any(grams[x, n] for x in langs)}
+
+    def gram(g):
+        n = len(g)
+        if any(g in grams[x, n] for x in langs):
+            return [(math.log(grams[x, n][g] / sizes[x, n]) if g in grams[x, n] else floors[n]) for x in langs], 1
+        if n < 2:
+            return [0.0] * len(langs), 0
+        (a, i), (b, j) = gram(g[:-1]), gram(g[1:])
+        return [p + q for p, q in zip(a, b, strict=True)], i + j
+
+    def word(w):
+        if any(w in counts[x] for x in langs):
+            return [(math.log(counts[x][w] / total[x]) if w in counts[x] else floor) for x in langs]
+        parts = [gram(g) for g in langid._grams(w, min(n_max, len(w) + 2))]
+        n = sum(k for _, k in parts)
+        return [sum(v[i] for v, _ in parts) / max(n, 1) for i in range(len(langs))]
+
+    for text in texts:
+        scores = [word(w) for w in words_of(text or "")]
+        if not scores:
+            yield "und", 0.0
+            continue
+        total_of = [sum(v) for v in zip(*scores, strict=True)]
+        best = max(total_of)
+        yield langs[total_of.index(best)], 1 / sum(math.exp(v - best) for v in total_of)
+
+
+@pytest.mark.parametrize("common", [1e-6, 0.02, 2.0])
+def test_language_equals_a_plain_version(spark, make, monkeypatch, common):
+    monkeypatch.setattr(langid, "COMMON", common)
+    rnd = random.Random(6)
+    stems = {"aa": ["kala", "mota", "riku", "se"], "bb": ["kolo", "mata", "zek", "se"], "cc": ["qux", "kala", "vim"]}
+    learned = [(x, " ".join(rnd.choice(s) + rnd.choice(["", "n", "ti"]) for _ in range(rnd.randrange(1, 30)))) for x, s in stems.items() for _ in range(6)]
+    texts = [" ".join(rnd.choice(stems[rnd.choice(list(stems))]) + rnd.choice(["", "n", "tix", "oo"]) for _ in range(rnd.randrange(12))) for _ in range(40)] + [None, "", "12 !", "漢字", "kala " * 30_000]
+    model = langid.fit(spark.createDataFrame(learned, "lang string, text string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.detect(make(texts), model).collect()}
+    for i, (lang, score) in enumerate(plain_languages(learned, texts)):
+        assert got[i][1] == pytest.approx(score, abs=1e-3), texts[i]
+        assert got[i][0] == lang or abs(score - 0.5) < 1e-3
+
+
 def test_language_does_not_depend_on_blocks(spark, make, monkeypatch):
     rng = random.Random(11)
     docs = make([prose(rng, rng.randint(1, 60)) + " Unseenword" * (i % 2) for i in range(30)] * 2)
