@@ -9,6 +9,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,10 @@ COORDINATES = BANDS * ROWS
 HELPERS = 24
 #: Documents whose darts are thrown at once.
 TOGETHER = 128
+#: Open texts of a bucket up to which they are compared pair by pair; more are compared block by block.
+FEW = 64
+#: Texts of a block, their bytes, and shingles laid out at once.
+BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 1024, 4_000_000, 8192
 
 _U = np.uint64
 _UNIT = 2.0**-64
@@ -210,6 +215,82 @@ def _with_helpers(placed: DataFrame) -> DataFrame:
     return pairs.select(F.col("_helper").alias("a"), F.col("uid").alias("b")).where("a != b").distinct()
 
 
+def shared_weights(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the smaller weights of every set on the left with every set on the right.
+
+    A shingle that occurs n times counts as n different ones, so that sums of
+    smaller weights are numbers of common members: products of 0/1 matrices,
+    built for some columns at a time.
+    """
+
+    def members(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        elements, times = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
+        owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.where(nth == 0, np.repeat(elements, times), mixed(np.repeat(elements, times) + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))), np.repeat(owner, times)
+
+    (a, own_a), (b, own_b) = members(left), members(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)))
+
+    def placed(member: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(both, member)
+        held = at < len(both)
+        held[held] = both[at[held]] == member[held]
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], owner[held][order]
+
+    (a, own_a), (b, own_b) = placed(a, own_a), placed(b, own_b)
+    for start in range(0, len(both), COLUMNS):
+        grids = []
+        for at, owner, n in ((a, own_a, len(left)), (b, own_b, len(right))):
+            i, j = np.searchsorted(at, [start, start + COLUMNS])
+            grid = np.zeros((n, COLUMNS), np.float32)
+            grid[owner[i:j], at[i:j] - start] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def block_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): roots of classes that have alike texts in one bucket; ``rows`` are (bucket, uid, root, main, size).
+
+    Texts outside a bucket's main class meet all texts of the bucket. Both are
+    dealt by hash into blocks of some thousand texts or a few megabytes, and two
+    blocks meet in one task, where all their similarities are exact products;
+    only pairs of classes come out.
+    """
+    out = F.col("root") != F.col("main")
+    outside = F.when(out, 1).otherwise(0)
+    slots = rows.groupBy("bucket").agg(
+        *[
+            (F.lit(1) + F.floor(F.greatest(F.sum(one) / BLOCK_TEXTS, F.sum(one * F.col("size")) / BLOCK_BYTES))).cast("int").alias(name)
+            for name, one in (("_xs", outside), ("_ys", F.lit(1)))
+        ]
+    )
+    dealt = rows.join(slots, "bucket").join(texts.select("uid", "text"), "uid")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = dealt.where(out).select("bucket", F.pmod(F.xxhash64("uid"), "_xs").cast("int").alias("x"), upto("_ys").alias("y"), F.lit(True).alias("left"), "uid", "root", "text")
+    y = dealt.select("bucket", upto("_xs").alias("x"), F.pmod(F.xxhash64("uid", F.lit(1)), "_ys").cast("int").alias("y"), F.lit(False).alias("left"), "uid", "root", "text")
+
+    def meet(table: pa.Table) -> pa.Table:
+        sides = []
+        for side in (True, False):
+            own = table.filter(pc.equal(table["left"], side))
+            sides.append((own["root"].to_pylist(), [weighted(t.as_py()) for t in own["text"]]))
+        (root_x, left), (root_y, right) = sides
+        found: set[tuple[bytes, bytes]] = set()
+        if left and right:
+            both = shared_weights(left, right)
+            total = np.array([s[1].sum() for s in left])[:, None] + np.array([s[1].sum() for s in right])[None, :] - both
+            for i, j in zip(*np.nonzero((both > 0) & (both / np.maximum(total, 1) >= least)), strict=True):
+                if root_x[i] != root_y[j]:
+                    found.add((min(root_x[i], root_y[j]), max(root_x[i], root_y[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+    return x.unionByName(y).groupBy("bucket", "x", "y").applyInArrow(meet, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, uid, class_uid, class_id, n_copies): the near-duplicate class of each row.
 
@@ -219,8 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only one row per different text is compared. In each bucket every text is
     checked with the bucket's first text, and those left outside its main class
     with some others of that class. A pair that this leaves in two classes is
-    checked too, unless the distances to the first text show that it cannot
-    be alike: one minus the similarity obeys the triangle inequality.
+    checked too, in large buckets block by block, in others unless the distances
+    to the first text show that it cannot be alike: one minus the similarity
+    obeys the triangle inequality.
 
     A null text is a class of its own (``uid`` and ``class_uid`` null); texts
     without a word are alike only if equal. Ids may be null or repeated; other
@@ -235,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = shared.select("uid").distinct()
     plain = docs.select(F.unhex(F.md5(text_col)).alias("uid"), F.col(text_col).alias("text"))
-    texts = stored(plain.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")))
+    texts = stored(plain.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")).withColumn("size", F.octet_length("text")))
 
     stars = stored(verified(shared.where("uid != first").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct(), texts))
     links = stars.where(F.col("similarity") >= least).select("a", "b")
@@ -251,14 +333,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = stored(_placed(members, roots))
     forget(members, more)
 
-    open_rows = stored(placed.where("far > 0").join(_mixed(placed).select("bucket"), "bucket"))
+    open_rows = stored(placed.where("far > 0").join(_mixed(placed), "bucket").join(texts.select("uid", "size"), "uid"))
     forget(placed)
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    many = stored(open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select("bucket"))
+    few = open_rows.join(many, "bucket", "left_anti")
+    x, y = few.alias("x"), few.alias("y")
     apart = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & apart)
     rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    more = stored(verified(rest, texts).where(F.col("similarity") >= least).select("a", "b"))
-    forget(open_rows, texts)
+    more = verified(rest, texts).where(F.col("similarity") >= least).select("a", "b")
+    if not many.isEmpty():
+        more = more.unionByName(block_links(open_rows.join(many, "bucket"), texts, least))
+    more = stored(more)
+    forget(open_rows, texts, many)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 

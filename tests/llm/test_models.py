@@ -261,7 +261,11 @@ def classes_of(links, n):
     return [find(i) for i in range(n)]
 
 
-def test_near_duplicates_against_all_pairs(spark, make):
+@pytest.mark.parametrize("few", [64, 0])
+def test_near_duplicates_against_all_pairs(spark, make, monkeypatch, few):
+    """Open texts compared pair by pair, and in blocks of three."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 3)
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(30, 80)) for _ in range(30)]
     for t in texts[:12]:
@@ -279,6 +283,38 @@ def test_near_duplicates_against_all_pairs(spark, make):
     assert neardup.near_duplicates(make([])).count() == 0
 
 
+def test_products_are_exact_similarities(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
+    rng = random.Random(5)
+    texts = [prose(rng, 60)]
+    for _ in range(30):
+        w = rng.choice(texts).split()
+        w[rng.randrange(len(w))] = "qq"
+        texts.append(" ".join(w * rng.choice([1, 1, 3])))
+    sets = [neardup.weighted(t) for t in [*texts, "", "one", "a b a b a b a b a b a b"]]
+    both = neardup.shared_weights(sets[:20], sets)
+    total = [int(s[1].sum()) for s in sets]
+    for i in range(20):
+        for j in range(len(sets)):
+            union = total[i] + total[j] - both[i, j]
+            assert both[i, j] / union == neardup.similarity(sets[i], sets[j])
+
+
+def test_large_group_of_unlike_copies(spark, make):
+    """Copies of one text that are often less than 0.8 alike to one another, more than are compared pair by pair."""
+    rng = random.Random(21)
+    base = prose(rng, 60).split()
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = prose(rng, 1)
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(texts)).collect()}
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(texts[i], texts[j]) >= 0.8]
+    assert [got[i] for i in range(len(texts))] == classes_of(links, len(texts))
+
+
 def test_dart_agreement_is_weighted_similarity():
     rng = np.random.default_rng(0)
     every = rng.integers(1, 2**63, 300).astype(np.uint64)
