@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from panelspark.functions.codes import median3
 from panelspark.functions.hashing import h32
 from panelspark.functions.nulls import ratio, same
 from panelspark.operators.forest import forest_importances  # noqa: F401  part of this module's interface
-from panelspark.operators.resampling import resampled
+from panelspark.operators.resampling import resampled, resampled_sums
 from panelspark.operators.sampling import poisson_weights, sample_n
 from panelspark.operators.skew import prefix_sums
 from panelspark.operators.stats import interval_summary, last_values, standard_scaled
@@ -221,9 +223,13 @@ def ols_by_replicate(rows: DataFrame, y: str, xs: Sequence[str], weight: str = "
 
 def _cross_products(y: str, xs: Sequence[str], weight: Column) -> dict[str, Column]:
     """Weighted sums of products of all pairs of 1, xs and y."""
+    return {name: F.sum(weight * product) for name, product in _products(y, xs).items()}
+
+
+def _products(y: str, xs: Sequence[str]) -> dict[str, Column]:
     names = ["_one", *xs, y]
     value = {"_one": F.lit(1.0), **{c: F.col(c) for c in [*xs, y]}}
-    return {f"s{i}_{j}": F.sum(weight * value[a] * value[b]) for i, a in enumerate(names) for j, b in enumerate(names) if j >= i}
+    return {f"s{i}_{j}": value[a] * value[b] for i, a in enumerate(names) for j, b in enumerate(names) if j >= i}
 
 
 def _solved(reduced: DataFrame, xs: Sequence[str], group: str) -> DataFrame:
@@ -252,8 +258,16 @@ def _solved(reduced: DataFrame, xs: Sequence[str], group: str) -> DataFrame:
 
 def bootstrap_ols(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, seed: int | str, exact: bool = True) -> DataFrame:
     """``ols_by_replicate`` over bootstrap replicates of the rows, which are drawn where the rows are."""
-    draw = resampled if exact else poisson_weights
-    return ols_by_replicate(draw(df.select(key, y, *xs), [key] if exact else key, reps, seed), y, xs)
+    rows = df.select(key, y, *xs)
+    if not exact:
+        return ols_by_replicate(poisson_weights(rows, key, reps, seed), y, xs)
+    # where values are missing the fit depends on what the sums are taken about: the mean of the drawn rows, each once
+    whole = rows.where(reduce(or_, [F.col(c).isNull() for c in [y, *xs]])).isEmpty()
+    about = rows if whole else cut_lineage(resampled(rows, [key], reps, seed))
+    means = about.agg(F.struct(*[F.avg(c).alias(c) for c in [y, *xs]])).scalar()
+    centred = rows.select(key, *[(F.col(c) - means.getField(c)).alias(c) for c in [y, *xs]])
+    products = _products(y, xs)
+    return _solved(resampled_sums(centred.select(key, *[v.alias(c) for c, v in products.items()]), [key], reps, seed, list(products)), xs, "rep")
 
 
 def block_ols(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, seed: int | str, blocks: int = 256) -> DataFrame:

@@ -1,5 +1,6 @@
 """Draws by a tree of binomials against plain probabilities, and the same draws however the rows are dealt."""
 
+from hashlib import md5
 from math import comb
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from panelspark.functions.hashing import h32, h32_of_pairs
 from panelspark.operators import model as md
 from panelspark.operators import resampling as rs
 
@@ -83,3 +85,40 @@ def test_regression_from_blocks(spark):
     for f, true in (("a", 3), ("b", -2)):
         assert by_block[f].mean == pytest.approx(true, abs=0.1) and by_block[f].lower < true < by_block[f].upper
         assert by_block[f].upper - by_block[f].lower == pytest.approx(by_row[f].upper - by_row[f].lower, rel=0.45)
+
+
+def test_hashes_of_pairs():
+    """Empty texts, texts that end in the middle of a word, and texts of more than one block."""
+    lefts, rights = [f"7|{'r' * k}|" for k in range(6)] + ["", "é" * 9, "x" * 60], [f"{k}|é{10**k}" for k in range(9)] + [""]
+    want = [[int(md5((a + b).encode()).hexdigest()[:8], 16) for a in lefts] for b in rights]
+    assert h32_of_pairs(lefts, rights).tolist() == want
+
+
+def test_tasks_draw_ranges_of_blocks(spark):
+    """No two tasks go down the same part of the tree; dealt by a hash, every task went down nearly all of it."""
+    drawn = rs.resampled(spark.range(4000), ["id"], 2, 5).withColumn("h", h32(5, F.col("id")))
+    ends = sorted((r.a, r.b) for r in drawn.groupBy(F.spark_partition_id()).agg(F.min("h").alias("a"), F.max("h").alias("b")).collect())
+    assert len(ends) > 1 and all(b < a for (_, b), (a, _) in zip(ends, ends[1:]))
+
+
+def test_sums_of_drawn_rows(spark):
+    data = [(i, None if i % 5 == 0 else float(i), float("nan") if i == 3 else i * 0.25) for i in range(50)]
+    cells = spark.createDataFrame(data, "id long, a double, b double")
+    want = rs.resampled(cells, ["id"], 40, 8).groupBy("rep").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in "ab"])
+    got = {r.rep: r for r in rs.resampled_sums(cells, ["id"], 40, 8, ["a", "b"]).collect()}
+    assert len(got) == 40
+    for r in want.collect():
+        assert got[r.rep].a == pytest.approx(r.a) and got[r.rep].b == pytest.approx(r.b, nan_ok=True)
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_regressions_add_up_where_rows_are_drawn(spark, gaps):
+    """The same fit as over the drawn rows, of which none leaves its task."""
+    data = [(i, float(i % 7), None if gaps and i % 9 == 0 else float(i % 5), float(i * 37 % 101)) for i in range(120)]
+    df = spark.createDataFrame(data, "id long, a double, b double, y double")
+    names = ["rep", "feature", F.round("coef", 8), F.round("explained_variance", 8)]
+    got = md.bootstrap_ols(df, "id", "y", ["a", "b"], 30, 2)
+    assert rows(got, *names) == rows(md.ols_by_replicate(rs.resampled(df, ["id"], 30, 2), "y", ["a", "b"]), *names)
+    if not gaps:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "weight" not in plan
