@@ -286,8 +286,8 @@ def block_ols(df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int, see
 
 
 def coefficient_summary(replicates: DataFrame, value: str = "coef") -> DataFrame:
-    """Mean, p and interval per feature, most significant first; numbers also as fixed-decimal text."""
-    s = interval_summary(replicates, value, ["feature"])
+    """Mean, p and interval per feature of the replicates, which are stored, most significant first; numbers also as fixed-decimal text."""
+    s = interval_summary(cut_lineage(replicates.select("feature", value)), value, ["feature"])
     text = F.format_string("(%.5f, %.5f)", "lower", "upper")
     out = s.select("feature", "mean", "p", "lower", "upper", F.format_string("%.5f", "mean").alias("mean_text"),
                    F.format_string("%.3f", "p").alias("p_text"), text.alias("interval_text"))
@@ -295,8 +295,8 @@ def coefficient_summary(replicates: DataFrame, value: str = "coef") -> DataFrame
 
 
 def explained_variance_summary(replicates: DataFrame) -> DataFrame:
-    """Mean and interval of the explained variance over replicates, each counted once."""
-    per_rep = replicates.groupBy("rep").agg(F.max("explained_variance").alias("explained_variance"))
+    """Mean and interval of the explained variance over replicates, each counted once and stored."""
+    per_rep = cut_lineage(replicates.groupBy("rep").agg(F.max("explained_variance").alias("explained_variance")))
     return interval_summary(per_rep, "explained_variance").select("n", "mean", "lower", "upper")
 
 

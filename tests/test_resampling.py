@@ -122,3 +122,12 @@ def test_regressions_add_up_where_rows_are_drawn(spark, gaps):
     if not gaps:
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "weight" not in plan
+
+
+def test_summaries_read_stored_replicates(spark):
+    """The rounds of the exact quantiles do not draw the replicates again."""
+    data = [(i, float(i % 7), float(i * 37 % 101)) for i in range(60)]
+    replicates = md.bootstrap_ols(spark.createDataFrame(data, "id long, a double, y double"), "id", "y", ["a"], 20, 2)
+    for summary in (md.coefficient_summary(replicates), md.explained_variance_summary(replicates)):
+        assert "MapIn" not in summary._jdf.queryExecution().optimizedPlan().toString()
+        assert summary.count() == 1
