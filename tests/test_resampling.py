@@ -9,6 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from panelspark.functions.hashing import h32, h32_of_pairs
+from panelspark.operators import forest as fo
 from panelspark.operators import model as md
 from panelspark.operators import resampling as rs
 
@@ -131,3 +132,39 @@ def test_summaries_read_stored_replicates(spark):
     for summary in (md.coefficient_summary(replicates), md.explained_variance_summary(replicates)):
         assert "MapIn" not in summary._jdf.queryExecution().optimizedPlan().toString()
         assert summary.count() == 1
+
+
+def test_poisson_weights_of_a_hash():
+    hashes = np.random.default_rng(3).integers(0, 1 << 32, (4, 50_000), dtype=np.uint32)
+    rate = np.array([1, 2, 7, 2])
+    got = fo.poisson(rate, hashes)
+    for r, u, w in zip(rate.tolist(), hashes / (1 << 32), got):
+        upto = np.cumsum(np.exp(-r) * np.cumprod([1.0, *[r / k for k in range(1, 3 * r + 13)]]))
+        assert (w == np.searchsorted(upto, u, side="right")).all() and w.mean() == pytest.approx(r, rel=0.03)
+
+
+def test_sums_of_a_level(spark):
+    """Sums over all trees' weighted rows in plain Python, with missing bins and values, in one task and in many."""
+    data = [(r, k, 1 + (r + k) % 3, None if k == 4 else k * 0.5, [k % 3, None if k == 7 else k % 2]) for r in range(3) for k in range(40)]
+    drawn = spark.createDataFrame(data, "rep long, id long, weight long, y double, b array<int>")
+    splits = fo.Splits(3, 5, 1, None)
+    splits.feature[:, :4, 1], splits.cut[:, :4, 1] = 1, 0
+    want = {}
+    for r, k, w, y, b in data:
+        limits = fo.poisson_table(w)[0]
+        for t in range(4):
+            u = int(md5(f"s-tree|{r}|{t}|{k}".encode()).hexdigest()[:8], 16)
+            drawn_times = int((limits <= u).sum())
+            if drawn_times and b[1] is not None:
+                for f in (0, 1):
+                    cell = want.setdefault((r, t, 2 + int(b[1] > 0), f, b[f]), [0.0, 0.0, 0.0])
+                    for i, v in enumerate((1, y or 0.0, (y or 0.0) ** 2)):
+                        cell[i] += drawn_times * v
+    held = fo.HELD
+    fo.HELD = 1
+    try:
+        for parts in (1, 6):
+            got = fo.level_sums(drawn.repartition(parts), "id", 2, 5, "s", splits, 4).collect()
+            assert {(r.rep, r.tree, r.node, r.feature, r.bin): [r.w, r.s, r.q] for r in got} == want
+    finally:
+        fo.HELD = held
