@@ -145,7 +145,15 @@ def oversampled_words(
     exceptions: Sequence[str] = OVERSAMPLING_EXCEPTIONS,
 ) -> DataFrame:
     """(word, score): shared words whose share exceeds the baseline's, by (p - q) / sqrt(q) > threshold."""
-    both = counts.join(baseline.select("word", F.col("n").alias("m")), "word")
+    return _scored(_shared(counts, baseline), threshold, exceptions)
+
+
+def _shared(counts: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(word, n, m): the words of both, stored, as the totals and the words are read one after the other."""
+    return cut_lineage(counts.select("word", "n").join(baseline.select("word", F.col("n").alias("m")), "word"))
+
+
+def _scored(both: DataFrame, threshold: float, exceptions: Sequence[str]) -> DataFrame:
     totals = both.agg(F.struct(F.sum("n").alias("n"), F.sum("m").alias("m"))).scalar()
     p, q = F.col("n") / totals.getField("n"), F.col("m") / totals.getField("m")
     scored = both.select("word", ((p - q) / F.sqrt(q)).alias("score")).where(F.col("score") > threshold)
@@ -169,11 +177,11 @@ def rebalance_words(
     ``one_by_one`` drops one row per round. Otherwise a round drops, for every
     over-sampled word, as many rows as its count exceeds what the baseline
     allows at the current totals, so no word is thinned beyond its excess and
-    few rounds are needed. Words are counted once; a round takes the counts of
-    the rows it drops off them. Rounds write only those rows' keys and the
+    few rounds are needed. Words are counted once, those of ``baseline`` too; a
+    round takes the counts of the rows it drops off them. Rounds write only those rows' keys and the
     counts, to the shared checkpoint folder. Rows without a key are dropped.
     """
-    held = cut_lineage(postings(df, key, stop_words, seed, text))
+    held, baseline = cut_lineage(postings(df, key, stop_words, seed, text)), cut_lineage(baseline.select("word", "n"))
     counts = first = cut_lineage(held.groupBy("word").agg(F.sum("_n").alias("n")))
     gone_path, rounds = scratch_path(df.sparkSession, "dropped"), 0
     kept, stages = held, []
@@ -186,7 +194,7 @@ def rebalance_words(
         last = df.sparkSession.read.schema(dropped.schema).parquet(f"{gone_path}/round={rounds}")
         gone = df.sparkSession.read.schema(dropped.schema).option("recursiveFileLookup", "true").parquet(gone_path)
         if last.isEmpty():
-            forget(held, first, *stages)
+            forget(held, baseline, first, *stages)
             return df.where(F.col(key).isNotNull()).join(gone, key, "left_anti").select(*df.columns)
         lost = kept.join(last, key, "left_semi").groupBy("word").agg(F.sum("_n").alias("_lost"))
         counts = cut_lineage(counts.join(lost, "word", "left").select("word", (F.col("n") - F.coalesce("_lost", F.lit(0))).alias("n")))
@@ -220,11 +228,11 @@ def postings(df: DataFrame, key: str, stop_words: Sequence[str], seed: int | str
 
 def excess_words(counts: DataFrame, baseline: DataFrame, threshold: float, exceptions: Sequence[str]) -> DataFrame:
     """(word, excess): over-sampled words and by how much their count exceeds what the baseline allows, at least 1."""
-    both = counts.join(baseline.select("word", F.col("n").alias("m")), "word")
+    both = _shared(counts, baseline)
     totals = both.agg(F.struct(F.sum("n").alias("n"), F.sum("m").alias("m"))).scalar()
     q = F.col("m") / totals.getField("m")
     allowed = (q + threshold * F.sqrt(q)) * totals.getField("n")
-    over = oversampled_words(counts, baseline, threshold, exceptions).select("word")
+    over = _scored(both, threshold, exceptions).select("word")
     return both.join(over, "word", "left_semi").select("word", F.greatest(F.lit(1), F.ceil(F.col("n") - allowed)).cast("bigint").alias("excess"))
 
 

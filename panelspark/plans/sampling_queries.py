@@ -228,7 +228,7 @@ def rebalance_words(spark, sf):
     Counted afterwards: over-sampled words, documents before, and kept ones that were not among them.
     """
     before = toxic_documents(spark, sf)
-    baseline = sm.word_counts(tb.table(spark, sf, "documents"), STOP)
+    baseline = cut_lineage(sm.word_counts(tb.table(spark, sf, "documents"), STOP))
     kept = cut_lineage(sm.rebalance_words(before, baseline, "doc_id", STOP, 12, threshold=0.02))
     over = sm.oversampled_words(sm.word_counts(kept, STOP), baseline).agg(F.count(F.lit(1)).alias("n_over"))
     foreign = kept.join(before.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1))).scalar()

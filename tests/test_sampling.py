@@ -174,3 +174,13 @@ def test_word_exceptions(spark):
     counts = spark.createDataFrame([("san", 50), ("word", 50), ("other", 10)], "word string, n long")
     base = spark.createDataFrame([("san", 10), ("word", 10), ("other", 90)], "word string, n long")
     assert [r.word for r in sm.oversampled_words(counts, base).collect()] == ["word"]
+
+
+def test_a_round_counts_the_baseline_once(spark):
+    """Words shared with the baseline are stored: totals and scores read them, not the baseline's texts again."""
+    texts = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "alpha alpha alpha delta") for i in range(40)], "id long, text string")
+    baseline = sm.word_counts(texts, [])
+    counts = sm.word_counts(texts.where("id % 2 = 0"), [])
+    for over in (sm.excess_words(counts, baseline, 0.02, []), sm.oversampled_words(counts, baseline)):
+        assert "Generate" not in over._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.word for r in over.collect()] == ["delta"]
