@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ class ByteLevel:
     def encode(self, text: str) -> np.ndarray | None:
         """Ids of a blank and the text, None where they do not spell it; every byte is a token, so without a normalizer they do."""
         ids = np.frombuffer(self.chunks.text(" " + text), "<i4")
-        return None if self.changes and not spells(self.bytes_of, ids, text) else ids
+        return None if self.changes and not spells(self.bytes_of, ids.tolist(), text) else ids
 
 
 class Pieces(dict):
@@ -69,8 +70,8 @@ class Pieces(dict):
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
 
     def whole(self, text: str) -> bytes | None:
-        ids = np.array(self.model.encode(text, num_threads=1), np.int32)
-        return ids.tobytes() if spells(self.bytes_of, ids, text) else None
+        ids = self.model.encode(text, num_threads=1)
+        return array("i", ids).tobytes() if spells(self.bytes_of, ids, text) else None
 
     def __missing__(self, word: str) -> bytes | None:
         ids = self.whole(word)
@@ -90,8 +91,8 @@ class Pieces(dict):
         return None if ids is None else np.frombuffer(ids, np.int32)
 
 
-def spells(bytes_of: list[bytes], ids: np.ndarray, text: str) -> bool:
-    return b"".join(map(bytes_of.__getitem__, ids.tolist())) == (" " + text).encode("utf-8", "surrogatepass")
+def spells(bytes_of: list[bytes], ids: Iterable[int], text: str) -> bool:
+    return b"".join(map(bytes_of.__getitem__, ids)) == (" " + text).encode("utf-8", "surrogatepass")
 
 
 #: By file; a worker process serves many tasks.
@@ -116,7 +117,7 @@ class Side:
         self.first = np.cumsum(self.n) - self.n
 
     def frame(self, name: str) -> pd.DataFrame:
-        return pd.DataFrame({"doc": self.doc, "at": self.start, name: np.arange(len(self.ids)), f"{name}_at": self.start})
+        return pd.DataFrame({"at": self.start, name: np.arange(len(self.ids)), f"{name}_at": self.start})
 
 
 def aligned(texts: list[str | None], a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> tuple[Side, Side, np.ndarray, np.ndarray]:
@@ -134,8 +135,9 @@ def aligned(texts: list[str | None], a: ByteLevel | Pieces, b: ByteLevel | Piece
         lists_b.append(ids_b if known else none)
     side_a, side_b = Side(a, lists_a), Side(b, lists_b)
     frame_a, frame_b = side_a.frame("a"), side_b.frame("b")
-    over_b = pd.merge_asof(frame_a, frame_b, on="at", by="doc")
-    over_a = pd.merge_asof(frame_b, frame_a, on="at", by="doc")
+    # offsets run on over the documents, and both sides begin a document at the same one
+    over_b = pd.merge_asof(frame_a, frame_b, on="at")
+    over_a = pd.merge_asof(frame_b, frame_a, on="at")
     # both directions find the pairs that begin together
     over_a = over_a[over_a["a_at"] < over_a["b_at"]]
     pairs = np.concatenate([over_b[["a", "b"]].to_numpy(np.int64), over_a[["a", "b"]].to_numpy(np.int64)])
