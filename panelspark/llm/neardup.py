@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.scratch import fanned_join, forget, stored
+from panelspark.llm.scratch import forget, stored
 from panelspark.llm.words import mixed, shingles, word_hashes
 
 SIMILARITY = 0.8
 #: 20 bands of 4 coordinates: two texts that are 0.8 alike share no band with probability 0.00003.
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
-#: Members of its bucket's main class that a text outside of it meets.
+#: Members of a bucket of several blocks that meet all its texts first.
 HELPERS = 24
 #: Documents whose darts are thrown at once.
 TOGETHER = 128
-#: Open texts of a bucket up to which they are compared pair by pair; more are compared block by block.
-FEW = 64
+#: Texts of a block up to which they are compared pair by pair; more are compared by products.
+FEW = 8
 #: Texts of a block, their bytes, and shingles laid out at once.
 BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 1024, 4_000_000, 8192
 
@@ -125,7 +125,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def buckets(docs: DataFrame, text_col: str) -> DataFrame:
-    """(uid, keys) of every row with a text: the MD5 of the text, and its buckets; a text without words has none."""
+    """(uid, keys, size) of every row with a text: its MD5, its buckets and its bytes; a text without words has no bucket."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,27 +139,9 @@ def buckets(docs: DataFrame, text_col: str) -> DataFrame:
                 held = np.array([len(s[0]) > 0 for s in sets])
                 offsets = np.concatenate([[0], np.cumsum(held * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[held].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["uid", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pc.cast(pc.binary_length(part.column(1)), pa.int64())], names=["uid", "keys", "size"])
 
-    return docs.select(F.unhex(F.md5(text_col)).alias("uid"), text_col).where(F.col(text_col).isNotNull()).mapInArrow(sign, "uid binary, keys array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their exact ``similarity``; ``texts`` has (uid, text). Any a or b may occur in many pairs."""
-    one = fanned_join(pairs, texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b", ["a"])
-    both = fanned_join(one, texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a", ["b"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            found = []
-            for a, text_a, text_b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
-                if (key := a.as_py()) != last:
-                    last, held = key, weighted(text_a.as_py())
-                found.append(similarity(held, weighted(text_b.as_py())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary, similarity double")
+    return docs.select(F.unhex(F.md5(text_col)).alias("uid"), text_col).where(F.col(text_col).isNotNull()).mapInArrow(sign, "uid binary, keys array<long>, size long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,34 +169,6 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets with the root of their class so far."""
-    joined = members.join(roots, members["uid"] == roots["node"], "left")
-    return joined.select("bucket", "uid", "far", F.coalesce("root", "uid").alias("root"))
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """(bucket, main): buckets that hold several classes, with the one that has most of its members."""
-    held = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
-    each = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("_classes"), F.max(F.struct("_n", "root")).alias("_most"))
-    return each.where("_classes > 1").select("bucket", F.col("_most.root").alias("main"))
-
-
-def _with_helpers(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b): every text that is outside its bucket's main class with some members of that class.
-
-    Copies edited at random are often alike to some of a class and not to its
-    first text. A class's members are dealt into HELPERS slots by hash and one of
-    each slot helps, however large the class is.
-    """
-    outside = placed.join(_mixed(placed), "bucket").where("root != main").select("uid", F.col("main").alias("root")).distinct()
-    slot = F.pmod(F.xxhash64("uid"), F.lit(HELPERS)).alias("_slot")
-    helpers = placed.groupBy("root", slot).agg(F.min(F.struct(F.xxhash64("uid", F.lit(1)), "uid"))["uid"].alias("_helper"))
-    helpers = helpers.groupBy("root").agg(F.collect_set("_helper").alias("_helpers"))
-    pairs = fanned_join(outside, helpers, "root", ["uid"]).select("uid", F.explode("_helpers").alias("_helper"))
-    return pairs.select(F.col("_helper").alias("a"), F.col("uid").alias("b")).where("a != b").distinct()
-
-
 def shared_weights(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Sum of the smaller weights of every set on the left with every set on the right.
 
@@ -252,6 +206,113 @@ def shared_weights(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[
     return out
 
 
+def alike(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """For every set on the left whether each on the right has at least this similarity."""
+    both = shared_weights(left, right)
+    total = np.array([s[1].sum() for s in left])[:, None] + np.array([s[1].sum() for s in right])[None, :] - both
+    return (both > 0) & (both / np.maximum(total, 1) >= least)
+
+
+def forest(sets: list[tuple[np.ndarray, np.ndarray]], least: float, first: int | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) between alike sets that connect what all such links connect, without a circle.
+
+    Of more than FEW sets, the first HELPERS meet all of them, then those that
+    are still outside the largest class. With ``first``, only so many sets, from
+    the start, meet the others.
+    """
+    n = len(sets)
+    label, found = np.arange(n), []
+
+    def join(i: int, hits: np.ndarray) -> None:
+        new, at = np.unique(label[hits], return_index=True)
+        other = new != label[i]
+        found.extend((i, j) for j in hits[at[other]].tolist())
+        if other.any():
+            label[np.isin(label, new)] = label[i]
+
+    def meet(some: np.ndarray) -> None:
+        for i, row in zip(some.tolist(), alike([sets[i] for i in some], sets, least), strict=True):
+            join(i, np.flatnonzero(row))
+
+    if first is not None:
+        meet(np.arange(first))
+    elif n <= FEW:
+        for i, j in combinations(range(n), 2):
+            if label[i] != label[j] and similarity(sets[i], sets[j]) >= least:
+                join(i, np.array([j]))
+    else:
+        meet(np.arange(min(n, HELPERS)))
+        outside = np.flatnonzero(label != np.bincount(label).argmax())
+        if len(outside):
+            meet(outside)
+    return found
+
+
+def dealt(signed: DataFrame) -> DataFrame:
+    """(bucket, uid, size, blocks): the texts of every bucket that holds several, and into how many blocks they are dealt.
+
+    Of buckets that hold the same texts one is kept.
+    """
+    members = signed.select(F.explode("keys").alias("bucket"), "uid", "size")
+    same = [F.count(F.lit(1)).alias("_n"), F.min("uid").alias("_least"), *[F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"_all{k}") for k in (0, 1)]]
+    held = members.groupBy("bucket").agg(*same, F.sum("size").alias("_bytes")).where("_n > 1")
+    held = held.groupBy("_n", "_least", "_all0", "_all1").agg(F.min("bucket").alias("bucket"), F.first("_bytes").alias("_bytes"))
+    blocks = (F.lit(1) + F.floor(F.greatest(F.col("_n") / BLOCK_TEXTS, F.col("_bytes") / BLOCK_BYTES))).cast("int")
+    return members.join(held.select("bucket", blocks.alias("blocks")), "bucket")
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, least: float, several: bool) -> DataFrame:
+    """(a, b): links that connect all alike texts of each bucket of one block, and of others all texts that are alike to a helper.
+
+    ``members`` are those of ``dealt``; ``several`` says that some bucket has
+    more than one block. Each block is compared in one task, so the rows that
+    meet are the members and, for every further block, HELPERS of its bucket.
+    """
+    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    rows = members.select("bucket", block.alias("block"), F.col("blocks").alias("_blocks"), F.lit(False).alias("helps"), "uid")
+    if several:
+        slot = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(HELPERS)).alias("_slot")
+        one = F.min(F.struct(F.xxhash64("uid", F.lit(2)), "uid"))["uid"].alias("uid")
+        helpers = members.where("blocks > 1").groupBy("bucket", "blocks", slot).agg(one)
+        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        rows = rows.unionByName(helpers.select("bucket", each, F.col("blocks").alias("_blocks"), F.lit(True).alias("helps"), "uid"))
+    rows = rows.join(texts.select("uid", "text"), "uid").select("bucket", "block", "_blocks", "helps", "uid", "text")
+
+    def links(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+        texts_of = {uid: text for _, uid, text in sorted(held, key=lambda h: not h[0])}
+        uids = list(texts_of)
+        sets = [weighted(t) for t in texts_of.values()]
+        helps = sum(h[0] for h in held)
+        return [(min(uids[i], uids[j]), max(uids[i], uids[j])) for i, j in forest(sets, least, helps or None)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found() -> pa.RecordBatch:
+            out = links(held)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            bucket, block, _, helps, uid, text = (c.to_pylist() for c in batch.columns)
+            for now, *row in zip(zip(bucket, block, strict=True), helps, uid, text, strict=True):
+                if now != key:
+                    if held:
+                        yield found()
+                    key, held = now, []
+                held.append(row)
+        if held:
+            yield found()
+
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(compare, "a binary, b binary")
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(bucket, main): buckets that hold several classes, with the one that has most of its members."""
+    held = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
+    each = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("_classes"), F.max(F.struct("_n", "root")).alias("_most"))
+    return each.where("_classes > 1").select("bucket", F.col("_most.root").alias("main"))
+
+
 def block_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b): roots of classes that have alike texts in one bucket; ``rows`` are (bucket, uid, root, main, size).
 
@@ -281,9 +342,7 @@ def block_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         (root_x, left), (root_y, right) = sides
         found: set[tuple[bytes, bytes]] = set()
         if left and right:
-            both = shared_weights(left, right)
-            total = np.array([s[1].sum() for s in left])[:, None] + np.array([s[1].sum() for s in right])[None, :] - both
-            for i, j in zip(*np.nonzero((both > 0) & (both / np.maximum(total, 1) >= least)), strict=True):
+            for i, j in zip(*np.nonzero(alike(left, right, least)), strict=True):
                 if root_x[i] != root_y[j]:
                     found.add((min(root_x[i], root_y[j]), max(root_x[i], root_y[j])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
@@ -297,57 +356,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked where their weighted similarity is at least ``least``; a
     class is a connected component of links together with the exact copies of
     its texts. ``class_id`` is its smallest id (null only if all are null).
-    Only one row per different text is compared. In each bucket every text is
-    checked with the bucket's first text, and those left outside its main class
-    with some others of that class. A pair that this leaves in two classes is
-    checked too, in large buckets block by block, in others unless the distances
-    to the first text show that it cannot be alike: one minus the similarity
-    obeys the triangle inequality.
+    Only one row per different text is compared. The texts of a bucket meet in
+    one task, which returns links that connect what is alike. A bucket of more
+    than some thousand texts or a few megabytes is dealt into blocks, all of
+    which meet some helpers of the bucket; its texts that are then outside its
+    main class meet all others block by block.
 
     A null text is a class of its own (``uid`` and ``class_uid`` null); texts
     without a word are alike only if equal. Ids may be null or repeated; other
     columns are not carried.
     """
     rows = stored(docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("uid")))
-    signed = stored(buckets(docs, text_col).groupBy("uid").agg(F.first("keys").alias("keys")))
-    members = signed.select(F.explode("keys").alias("bucket"), "uid")
-    shared = members.groupBy("bucket").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    shared = stored(members.join(shared, "bucket"))
+    signed = stored(buckets(docs, text_col).groupBy("uid").agg(F.first("keys").alias("keys"), F.first("size").alias("size")))
+    members = stored(dealt(signed))
     forget(signed)
-
-    wanted = shared.select("uid").distinct()
     plain = docs.select(F.unhex(F.md5(text_col)).alias("uid"), F.col(text_col).alias("text"))
-    texts = stored(plain.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")).withColumn("size", F.octet_length("text")))
-
-    stars = stored(verified(shared.where("uid != first").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct(), texts))
-    links = stars.where(F.col("similarity") >= least).select("a", "b")
-    far = stars.select(F.col("a").alias("first"), F.col("b").alias("uid"), (1 - F.col("similarity")).alias("far"))
-    members = stored(shared.join(far, ["first", "uid"], "left").select("bucket", "uid", F.coalesce("far", F.lit(0.0)).alias("far")))
-    roots = components(links)
-    forget(shared, stars)
-    placed = stored(_placed(members, roots))
-    more = stored(verified(_with_helpers(placed), texts).where(F.col("similarity") >= least).select("a", "b"))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-        forget(placed)
-        placed = stored(_placed(members, roots))
-    forget(members, more)
-
-    open_rows = stored(placed.where("far > 0").join(_mixed(placed), "bucket").join(texts.select("uid", "size"), "uid"))
-    forget(placed)
-    many = stored(open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select("bucket"))
-    few = open_rows.join(many, "bucket", "left_anti")
-    x, y = few.alias("x"), few.alias("y")
-    apart = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.root") != F.col("y.root")) & apart)
-    rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    more = verified(rest, texts).where(F.col("similarity") >= least).select("a", "b")
-    if not many.isEmpty():
-        more = more.unionByName(block_links(open_rows.join(many, "bucket"), texts, least))
-    more = stored(more)
-    forget(open_rows, texts, many)
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    texts = stored(plain.join(members.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")))
+    large = members.where("blocks > 1")
+    several = not large.isEmpty()
+    roots = components(bucket_links(members, texts, least, several))
+    if several:
+        placed = large.join(roots, F.col("uid") == F.col("node"), "left").select("bucket", "uid", "size", F.coalesce("root", "uid").alias("root"))
+        more = stored(block_links(placed.join(_mixed(placed), "bucket"), texts, least))
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        forget(more)
+    forget(members, texts)
 
     classed = rows.join(roots, F.col("uid") == F.col("node"), "left").select("id", "uid", F.coalesce("root", "uid").alias("class_uid"))
     sizes = classed.where(F.col("class_uid").isNotNull()).groupBy("class_uid").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))

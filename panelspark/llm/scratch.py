@@ -1,11 +1,8 @@
-"""Stage tables in the shared folder, and joins that spread hot keys."""
+"""Stage tables in the shared folder."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelspark.session import scratch_path
 
@@ -29,16 +26,3 @@ def forget(*tables: DataFrame) -> None:
 
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def fanned_join(pairs: DataFrame, keyed: DataFrame, on: str, spread: Sequence[str], rows_per_copy: int = 200) -> DataFrame:
-    """Inner join of many ``pairs`` with ``keyed`` (unique on ``on``), a hot key being spread over several tasks.
-
-    The pairs of each key are counted; a key with n of them is copied
-    1 + n/rows_per_copy times and its pairs are dealt over the copies by a hash
-    of ``spread``. The copies together are fewer than the pairs.
-    """
-    copies = pairs.groupBy(on).agg((F.lit(1) + F.floor(F.count(F.lit(1)) / rows_per_copy)).cast("int").alias("_copies"))
-    salted = pairs.join(copies, on).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int")).drop("_copies")
-    copied = keyed.join(copies, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    return salted.join(copied, [on, "_salt"]).drop("_salt")

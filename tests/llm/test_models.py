@@ -315,6 +315,54 @@ def test_large_group_of_unlike_copies(spark, make):
     assert [got[i] for i in range(len(texts))] == classes_of(links, len(texts))
 
 
+@pytest.fixture
+def unlike_copies():
+    """Copies of one text, many of them less than 0.8 alike to one another."""
+    rng = random.Random(22)
+    base = prose(rng, 60).split()
+    texts = []
+    for _ in range(900):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = prose(rng, 1)
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_rows_and_queries_of_a_large_group(spark, make, monkeypatch, unlike_copies):
+    """A text goes to a task once per bucket, not once per pair, and few stage tables are written, each a query of the driver's."""
+    compared, tables = [], []
+    kind, store = type(make([])), neardup.stored
+    arrow = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, **k: (f.__name__ == "sign" or compared.append(self.count()), arrow(self, f, schema, **k))[1])
+    monkeypatch.setattr(neardup, "stored", lambda df, *a: (tables.append(1), store(df, *a))[1])
+    assert neardup.near_duplicates(make(unlike_copies)).count() == len(unlike_copies)
+    assert sum(compared) <= neardup.BANDS * len(unlike_copies), sum(compared)
+    assert len(tables) <= 10, len(tables)
+
+
+def test_forest_connects_what_all_links_connect(unlike_copies):
+    sets = [neardup.weighted(t) for t in unlike_copies[:80]]
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if neardup.similarity(sets[i], sets[j]) >= 0.8]
+    for n in (2, 8, 9, 80):
+        want = classes_of([x for x in links if max(x) < n], n)
+        got = neardup.forest(sets[:n], 0.8)
+        assert classes_of(got, n) == want and len(got) == n - len(set(want))
+    got = neardup.forest(sets, 0.8, 5)
+    assert classes_of(got, 80) == classes_of([x for x in links if min(x) < 5], 80)
+
+
+@pytest.mark.parametrize("block", [7, 40])
+def test_buckets_of_several_blocks(spark, make, monkeypatch, unlike_copies, block):
+    """Blocks that meet through helpers and one another."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(neardup, "HELPERS", 2)
+    texts = unlike_copies[:120]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(texts)).collect()}
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(texts[i], texts[j]) >= 0.8]
+    assert [got[i] for i in range(len(texts))] == classes_of(links, len(texts))
+
+
 def test_dart_agreement_is_weighted_similarity():
     rng = np.random.default_rng(0)
     every = rng.integers(1, 2**63, 300).astype(np.uint64)
