@@ -35,6 +35,8 @@ WIDTH = BEFORE + LENGTH
 PAD = b"\xff"
 #: Records in a sorted run, in a part of the merge, and sampled to cut the parts.
 RUN, PART, SAMPLE = 40_000, 40_000, 20_000
+#: Rows, and bytes of texts, that a task returns at once.
+TOGETHER, BYTES_TOGETHER = 8192, 4_000_000
 
 _U = np.uint64
 _BASE = 0x100000001B3
@@ -243,38 +245,55 @@ def sorted_neighbours(surroundings: DataFrame, side: str, parts: int) -> DataFra
     return out.select("uid", "place", "shares").unionByName(more)
 
 
-def settled(place: int, after: list[int], before: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Starts of strings around an anchor that surely occur twice, and those that remain open, as ranges.
+RANGES = "array<struct<first:bigint,last:bigint>>"
+
+
+def _ranges(owner: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> pa.Array:
+    """For each of n owners the list of its ranges, in the order given."""
+    order = np.argsort(owner, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    both = pa.StructArray.from_arrays([pa.array(x[order].astype(np.int64)) for x in (first, last)], names=["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(offsets), both)
+
+
+def settled(places: np.ndarray, after: pa.ListArray, before: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """Starts of strings around each anchor that surely occur twice, and those that remain open, as ranges.
 
     ``after`` and ``before`` are the shares with neighbours in the two orders.
     With a neighbour that shares r bytes from the anchor on and l before it, the
     strings that start from 200 - r to l bytes before the anchor are common.
     None can be beyond what the best neighbour of each order shares.
     """
-    at, far, near = place >> 16, place >> 8 & 255, place & 255
-    ranges = sorted((max(near, LENGTH - (s >> 8)), min(far, s & 255)) for s in {*after, *before})
-    low = max(near, LENGTH - max((s >> 8 for s in after), default=0))
-    high = min(far, max((s & 255 for s in before), default=0))
-    sure, open_, nxt = [], [], low
-    for a, b in ranges:
-        if a > b:
-            continue
-        if a > nxt:
-            open_.append((nxt, a - 1))
-        if b >= nxt:
-            sure.append((max(a, nxt), b))
-            nxt = b + 1
-    if nxt <= high:
-        open_.append((nxt, high))
-    turn = lambda rs: [(at - b, at - a) for a, b in rs]
-    return turn(sure), turn(open_)
-
-
-RANGES = "array<struct<first:bigint,last:bigint>>"
-
-
-def _ranges(lists: list[list[tuple[int, int]]]) -> pa.Array:
-    return pa.array([[{"first": a, "last": b} for a, b in x] for x in lists], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+    n = len(places)
+    at, far, near = places >> 16, places >> 8 & 255, places & 255
+    (own_a, a), (own_b, b) = ((np.repeat(np.arange(n), x.value_lengths().to_numpy()), x.flatten().to_numpy().astype(np.int64)) for x in (after, before))
+    most = np.zeros((2, n), np.int64)
+    np.maximum.at(most[0], own_a, a >> 8)
+    np.maximum.at(most[1], own_b, b & 255)
+    nxt, high = np.maximum(near, LENGTH - most[0]), np.minimum(far, most[1])
+    owner, shares = np.concatenate([own_a, own_b]), np.concatenate([a, b])
+    low, top = np.maximum(near[owner], LENGTH - (shares >> 8)), np.minimum(far[owner], shares & 255)
+    held = low <= top
+    owner, low, top = owner[held], low[held], top[held]
+    order = np.lexsort((top, low, owner))
+    owner, low, top = owner[order], low[order], top[order]
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    sure, open_ = [], []
+    # the ranges of an anchor by their start, one of each anchor at a time
+    for k in range(nth.max(initial=-1) + 1):
+        at_k = nth == k
+        o, x, y = owner[at_k], low[at_k], top[at_k]
+        gap, more = x > nxt[o], y >= nxt[o]
+        open_.append((o[gap], nxt[o][gap], x[gap] - 1))
+        sure.append((o[more], np.maximum(x, nxt[o])[more], y[more]))
+        nxt[o[more]] = y[more] + 1
+    rest = np.flatnonzero(nxt <= high)
+    open_.append((rest, nxt[rest], high[rest]))
+    out = []
+    for found in (sure, open_):
+        o, x, y = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in range(3))
+        out.append(_ranges(o, at[o] - y, at[o] - x, n))
+    return out[0], out[1]
 
 
 def repeated_starts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -293,23 +312,31 @@ def repeated_starts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             uids = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(uids), pa.array(np.concatenate([f[1] for f in found]))], names=["gram", "uid", "place"])
 
-    found = long_.mapInArrow(sample, "gram long, uid long, place long")
+    found = stored(long_.mapInArrow(sample, "gram long, uid long, place long"))
     key = F.xxhash64("uid", "place")
     twice = found.groupBy("gram").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a != _b").select("gram")
     places = stored(found.join(twice, "gram").groupBy("uid").agg(F.collect_set("place").alias("places")))
+    forget(found)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        names = ["uid", "place", "after", "before"]
+        held: list[tuple[int, int, bytes, bytes]] = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
+
         for batch in batches:
             for uid, blob, own in zip(*(batch.column(c) for c in range(3)), strict=True):
-                text, own = unpack(blob.as_py()), own.as_py()
-                at = [p >> 16 for p in own]
-                after = [text[p : p + LENGTH].ljust(LENGTH, PAD) for p in at]
-                before = [text[max(0, p - BEFORE) : p][::-1].ljust(BEFORE, PAD) for p in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uid.as_py()] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(after, pa.binary()), pa.array(before, pa.binary())],
-                    names=["uid", "place", "after", "before"],
-                )
+                text, uid = unpack(blob.as_py()), uid.as_py()
+                for place in own.values.to_pylist():
+                    p = place >> 16
+                    held.append((uid, place, text[p : p + LENGTH].ljust(LENGTH, PAD), text[max(0, p - BEFORE) : p][::-1].ljust(BEFORE, PAD)))
+                if len(held) >= TOGETHER:
+                    yield rows()
+                    held = []
+        if held:
+            yield rows()
 
     wanted = packed(docs, text_col).join(places, "uid")
     surroundings = stored(wanted.mapInArrow(cut, "uid long, place long, after binary, before binary"))
@@ -322,8 +349,8 @@ def repeated_starts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [settled(*x) for x in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ranges([x[0] for x in done]), _ranges([x[1] for x in done])], names=["uid", "place", "sure", "open"])
+            sure, open_ = settled(batch.column(1).to_numpy(), batch.column(2), batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sure, open_], names=["uid", "place", "sure", "open"])
 
     state = stored(both.mapInArrow(settle, f"uid long, place long, sure {RANGES}, open {RANGES}").where("size(sure) > 0 OR size(open) > 0"))
     sure = state.select("uid", F.explode("sure").alias("r")).select("uid", "r.first", "r.last")
@@ -346,12 +373,12 @@ def _counted(surroundings: DataFrame, open_: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple[bytes, int, int]] = []
             for uid, place, after, before, near, far in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = place >> 16
+                p, around = place >> 16, before[::-1] + after
                 for d in range(max(near, place & 255), min(far, place >> 8 & 255) + 1):
-                    out.append((md5(before[:d][::-1] + after[: LENGTH - d]).digest(), uid, p - d))
+                    out.append((md5(around[BEFORE - d : WIDTH - d]).digest(), uid, p - d))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["string", "uid", "start"])
 
-    every = keyed.join(span, "gram").select("uid", "place", "after", "before", "_near", "_far").mapInArrow(strings, "string binary, uid long, start long")
+    every = stored(keyed.join(span, "gram").select("uid", "place", "after", "before", "_near", "_far").mapInArrow(strings, "string binary, uid long, start long"))
     place_of = F.struct("uid", "start")
     twice = every.groupBy("string").agg(F.min(place_of).alias("_a"), F.max(place_of).alias("_b")).where("_a != _b").select("string")
     return every.join(twice, "string").select("uid", F.col("start").alias("first"), F.col("start").alias("last"))
@@ -388,18 +415,33 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         from hashlib import sha256
 
         unpack = zstandard.ZstdDecompressor().decompress
+
+        def rows(held: list[tuple]) -> pa.RecordBatch:
+            uids, firsts, lasts, kept = zip(*held, strict=True)
+            owner = np.repeat(np.arange(len(held)), [len(x) for x in firsts])
+            sha = [sha256(k).hexdigest() for k in kept]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(uids, pa.int64()), _ranges(owner, np.concatenate(firsts), np.concatenate(lasts), len(held)), pa.array(kept, pa.binary()), pa.array(sha, pa.string())],
+                names=["uid", "removed", "kept", "sha"],
+            )
+
+        held, size = [], 0
         for batch in batches:
             for uid, blob, own in zip(*(batch.column(c) for c in range(3)), strict=True):
-                data, runs = unpack(blob.as_py()), []
-                for r in own.as_py():
-                    a, b = r["first"], r["last"] + LENGTH
-                    if runs and a <= runs[-1][1]:
-                        runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
-                    else:
-                        runs.append((a, b))
-                cuts = [0, *[x for run in runs for x in run], len(data)]
+                data = unpack(blob.as_py())
+                # sorted by their starts; a run ends where the next start lies beyond all ends so far
+                first, end = own.values.field("first").to_numpy(), np.maximum.accumulate(own.values.field("last").to_numpy()) + LENGTH
+                new = np.flatnonzero(first[1:] > end[:-1]) + 1
+                first, end = first[np.concatenate([[0], new])], end[np.concatenate([new - 1, [-1]])]
+                cuts = [0, *np.stack([first, end], axis=1).ravel().tolist(), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()], pa.int64()), _ranges([runs]), pa.array([kept], pa.binary()), pa.array([sha256(kept).hexdigest()], pa.string())], names=["uid", "removed", "kept", "sha"])
+                held.append((uid.as_py(), first, end, kept))
+                size += len(kept) + 16 * len(first)
+                if len(held) >= TOGETHER or size >= BYTES_TOGETHER:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
     cut = packed(docs, text_col).join(starts, "uid").mapInArrow(strip, f"uid long, removed {RANGES}, kept binary, sha string")
     out = rows.join(cut, "uid", "left").join(copied, "uid", "left")
