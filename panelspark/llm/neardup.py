@@ -29,6 +29,8 @@ TOGETHER = 128
 FEW = 8
 #: Texts of a block, their bytes, and shingles laid out at once.
 BLOCK_TEXTS, BLOCK_BYTES, COLUMNS = 1024, 4_000_000, 8192
+#: Bits of a sieve for every key, and at most (8 MB); bits of one of Spark's bitmaps.
+SIEVE_BITS, MOST_BITS, BITMAP = 16, 2**26, 32768
 
 _U = np.uint64
 _UNIT = 2.0**-64
@@ -261,6 +263,22 @@ def dealt(signed: DataFrame) -> DataFrame:
     return members.join(held.select("bucket", blocks.alias("blocks")), "bucket")
 
 
+def sifted(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows whose ``col`` is among that of ``keys``, and some others, none of which are shuffled to find out.
+
+    Each key sets the bit of its hash in bitmaps of 4 KB, which go to all tasks.
+    With SIEVE_BITS a key about one other row in 16 stays, or fewer; there are
+    MOST_BITS at most, so of very many keys more do. No row of ``keys`` is missed.
+    """
+    bits = min(MOST_BITS, BITMAP * (1 + SIEVE_BITS * keys.count() // BITMAP))
+    at = F.pmod(F.xxhash64(col), F.lit(bits))
+    place, bit = F.shiftright(at, 15), at.bitwiseAND(BITMAP - 1)
+    maps = keys.select(place.alias("_place"), bit.alias("_bit")).groupBy("_place").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    is_set = F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
+    return rows.join(F.broadcast(maps), (place == F.col("_place")) & is_set, "left_semi")
+
+
 def bucket_links(members: DataFrame, texts: DataFrame, least: float, several: bool) -> DataFrame:
     """(a, b): links that connect all alike texts of each bucket of one block, and of others all texts that are alike to a helper.
 
@@ -370,18 +388,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(buckets(docs, text_col).groupBy("uid").agg(F.first("keys").alias("keys"), F.first("size").alias("size")))
     members = stored(dealt(signed))
     forget(signed)
-    plain = docs.select(F.unhex(F.md5(text_col)).alias("uid"), F.col(text_col).alias("text"))
-    texts = stored(plain.join(members.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")))
+    plain = docs.select(F.unhex(F.md5(text_col)).alias("uid"), F.col(text_col).alias("text")).where("text is not null")
+    # only texts that share a bucket are shuffled, whatever the size of the table
+    texts = sifted(plain, members.select("uid"), "uid").groupBy("uid").agg(F.first("text").alias("text"))
     large = members.where("blocks > 1")
     several = not large.isEmpty()
+    if several:
+        texts = stored(texts)
     roots = components(bucket_links(members, texts, least, several))
     if several:
         placed = large.join(roots, F.col("uid") == F.col("node"), "left").select("bucket", "uid", "size", F.coalesce("root", "uid").alias("root"))
         more = stored(block_links(placed.join(_mixed(placed), "bucket"), texts, least))
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-        forget(more)
-    forget(members, texts)
+        forget(more, texts)
+    forget(members)
 
     classed = rows.join(roots, F.col("uid") == F.col("node"), "left").select("id", "uid", F.coalesce("root", "uid").alias("class_uid"))
     sizes = classed.where(F.col("class_uid").isNotNull()).groupBy("class_uid").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))

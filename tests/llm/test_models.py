@@ -341,6 +341,56 @@ def test_rows_and_queries_of_a_large_group(spark, make, monkeypatch, unlike_copi
     assert len(tables) <= 10, len(tables)
 
 
+def shuffled(plan, col):
+    """Rows that exchanges with this column have written, in a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan(), col)
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan(), col)
+    below = sum(shuffled(plan.children().apply(i), col) for i in range(plan.children().size()))
+    names = [plan.output().apply(i).name() for i in range(plan.output().size())]
+    if kind == "ShuffleExchangeExec" and col in names:
+        below += plan.metrics().apply("shuffleRecordsWritten").value()
+    return below
+
+
+def test_texts_without_a_shared_bucket_are_not_shuffled(spark, make, monkeypatch):
+    """Also where the list of those that share one is too long to be sent to all tasks by itself."""
+    rng = random.Random(23)
+    texts = [prose(rng, 60) for _ in range(600)]
+    texts += [f"{t} end" for t in texts[:10]] + [None] * 5
+    rows, store, stars = [], neardup.stored, neardup.components
+
+    def run(df):
+        df.collect()
+        rows.append(shuffled(df._jdf.queryExecution().executedPlan(), "text"))
+        return df
+
+    monkeypatch.setattr(neardup, "stored", lambda df, *a: store(run(df), *a))
+    monkeypatch.setattr(neardup, "components", lambda links: stars(run(links)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(got[600 + i] == i for i in range(10)) and len(set(got.values())) == 605
+    assert 0 < sum(rows) < 200, rows
+
+
+def test_sieve_keeps_every_key(spark, monkeypatch):
+    ids = spark.range(40_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("uid"), "id")
+    ids = ids.unionByName(ids.limit(1).select(F.lit(None).cast("binary").alias("uid"), F.lit(-1).cast("long").alias("id")))
+    keys = ids.where("id % 10 = 0").select("uid")
+    kept = neardup.sifted(ids, keys, "uid").agg(F.sum(F.when(F.expr("id % 10 = 0"), 1)), F.count("id")).first()
+    assert kept[0] == 4000 and kept[1] < 4000 + 36_000 / 10
+    monkeypatch.setattr(neardup, "MOST_BITS", neardup.BITMAP // 16)
+    kept = neardup.sifted(ids, keys, "uid").where("id % 10 = 0").count()
+    assert kept == 4000
+    assert neardup.sifted(ids, keys.limit(0), "uid").count() == 0
+
+
 def test_forest_connects_what_all_links_connect(unlike_copies):
     sets = [neardup.weighted(t) for t in unlike_copies[:80]]
     links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if neardup.similarity(sets[i], sets[j]) >= 0.8]
